@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webloom.llm import bpe_codec, secrets, token_counts, token_shards
+from webloom.llm import bpe_codec, licenses, quality, secrets, sharding, token_counts, token_shards
 from webloom.llm.common import table, tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.minimax_shards(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_shards(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
@@ -26,5 +40,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_shards, op7_secret_scan, op8_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op3_minimax_shards, op4_license_scan, op5_token_shards, op6_quality_rules, op7_secret_scan, op8_token_counts, op10_bpe_codec)}
 ORACLES: dict[str, str] = {}
