@@ -5,8 +5,8 @@ from the mildest to the strictest, in each stratum (language) on its own. A cuto
 binomial bound shows that it rejects at most its share of the allowed rate of good documents. Testing stops at the
 first that fails (fixed-sequence testing, which needs no correction along the sequence); over strata and rules the
 error level is divided (Bonferroni). So with probability 1 - ``level`` no stratum loses more than ``risk`` of its good
-documents (those that the fixed base lets pass) to the rules. Among certified cutoffs the strictest is taken whose rejections, labelled bad to good, are
-mostly bad.
+documents (those that the fixed base lets pass) to the rules. Among certified cutoffs those count whose
+labelled rejections are mostly bad; of these the mildest is taken that still catches 98 % of the strictest's catch.
 
 Copies aren't independent trials: equal texts count once, as good if any copy is.
 """
@@ -106,23 +106,25 @@ def binomial_at_most(x: int, n: int, p: float) -> float:
 def choose(counts: dict[int, tuple[int, int]], grid: tuple[float, ...], rate: float, level: float, purity: float) -> float | None:
     """The cutoff of one rule in one stratum. counts: (good, bad) documents by the number of cutoffs that they exceed."""
     n_good = sum(g for g, _ in counts.values())
-    best = None
     if not n_good:
         return None
+    pure = []
     for number, cutoff in enumerate(grid, 1):
         good, bad = (sum(c[i] for k, c in counts.items() if k >= number) for i in (0, 1))
         if binomial_at_most(good, n_good, rate) > level:
             break
         if bad and bad >= purity * (good + bad):
-            best = cutoff
-    return best
+            pure.append((cutoff, bad))
+    # Of those that catch about as much as the strictest, the mildest.
+    return next((cutoff for cutoff, bad in pure if bad >= 0.98 * pure[-1][1]), None)
 
 
 def fit_cutoffs(features: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", strata: tuple[str, ...] = STRATA, risk: float = 0.02, level: float = 0.05, purity: float = 0.9, grid: tuple[float, ...] = GRID) -> dict[tuple[str, str], float]:
     """The chosen cutoff by (stratum, rule). All labelled documents that pass the base count; what comes to the driver is a table of strata, rules and cutoffs."""
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("quality").alias("__good"))
     held = features.where(~base_failed()).select(F.col(f"`{id_col}`").cast("long").alias("__id"), stratum_of(F.col(f"`{lang_col}`"), strata).alias("__stratum"), F.col(FEATURES)).join(good, "__id")
-    levels = F.array(*[F.struct(F.lit(rule).alias("rule"), F.size(F.filter(F.lit(list(grid)), lambda g, v=rule_value(rule): v > g)).alias("over")) for rule in RULES])
+    exceeded = lambda rule: F.size(F.filter(F.lit(list(grid)), lambda cutoff: rule_value(rule) > cutoff))
+    levels = F.array(*[F.struct(F.lit(rule).alias("rule"), exceeded(rule).alias("over")) for rule in RULES])
     once = held.select("__stratum", F.col(f"{FEATURES}.text_hash").alias("__hash"), "__good", levels.alias("__levels")).groupBy("__stratum", "__hash").agg(F.max("__good").alias("__good"), F.max("__levels").alias("__levels"))
     cells = once.select("__stratum", "__good", F.explode("__levels").alias("__level")).groupBy("__stratum", "__level", "__good").agg(F.count("*").alias("__n"))
     counts: dict[tuple[str, str], dict[int, tuple[int, int]]] = {}
