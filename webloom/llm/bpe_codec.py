@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from webloom.llm.common import batch_rows, keyed, pieces, tokenizer
+from webloom.llm.common import batch_rows, byte_letters, keyed, pieces, tokenizer
 
 # Fixed value: the word pattern of the published 50k byte-level vocabulary.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -28,13 +28,6 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 PLAIN = regex.compile("[\t\n\r\x20-\x7e¡-ȳΑ-ΡΣ-ώА-я‐-‧‰-⁞₠-₵ぁ-ゔァ-ヶ一-龥가-힣]*")
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies, the other way round."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class TrieBpe:
     """A byte-level BPE vocabulary and its words' encodings."""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -86,44 +88,65 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_chunks(tok, chunks: list[bytes]) -> list[bytes]:
-    """The little-endian 32-bit ids of each chunk, all encoded as one text with spaces between and told apart by their offsets."""
-    if not chunks:
-        return []
-    texts = [c.decode() for c in chunks]
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-    found = tok.encode(" ".join(texts), add_special_tokens=False)
-    ids = np.asarray(found.ids, dtype="<u4")
-    ends = (4 * np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), starts)).tolist()
-    raw = ids.tobytes()
-    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+#: A word of letters whose lower case and normal form are beyond doubt, with ASCII punctuation after it (no apostrophe, which may begin a contraction).
+SIMPLE = re.compile(r"""([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)\Z""")
+
+
+def byte_letters() -> dict[str, int]:
+    """The printable character that stands for each byte in byte-level vocabularies, the other way round."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class ChunkIds:
-    """Token ids of white-space-delimited chunks for a tokenizer that drops white space, remembered by chunk.
+    """Token ids of white-space-delimited chunks for a tokenizer that lower-cases and drops white space, remembered by chunk.
 
     The tokenizer's words never reach across ASCII white space, so a text's ids are its chunks' ids in a row.
-    ``bytes.split`` cuts at exactly the six ASCII white-space characters; others stay inside a chunk and are
-    left to the library. The memory is bounded: beyond ``limit`` chunks it starts anew, and chunks of more than
-    ``longest`` bytes are never kept.
+    ``bytes.split`` cuts at exactly the six ASCII white-space characters; others stay inside a chunk and are left to
+    the library. Of a simple chunk (letters, then punctuation) the library's model encodes the two parts, each
+    remembered; other chunks go through the whole library. Memory is bounded: beyond ``limit`` entries a table
+    starts anew, and chunks of more than ``longest`` bytes are never kept.
     """
 
     def __init__(self, path: str, limit: int = 600_000, longest: int = 64):
-        self.path, self.limit, self.longest = path, limit, longest
+        self.limit, self.longest = limit, longest
         self.tok = tokenizer(path)
+        self.model = self.tok.model
+        self.letter = {b: c for c, b in byte_letters().items()}
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def part(self, text: str) -> bytes:
+        """The ids of one pre-token in lower case."""
+        found = self.parts.get(text)
+        if found is None:
+            spelled = text if text.isascii() else "".join(map(self.letter.__getitem__, text.encode()))
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.parts) > self.limit:
+                self.parts = {"": b""}
+            if len(text) <= self.longest:
+                self.parts[text] = found
+        return found
+
+    def chunk(self, chunk: bytes) -> bytes:
+        """The little-endian unsigned 32-bit ids of one chunk."""
+        text = chunk.decode()
+        simple = SIMPLE.match(text)
+        if simple:
+            return self.part(simple[1].lower()) + self.part(simple[2])
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each text the little-endian unsigned 32-bit ids."""
+        """The ids of each text."""
         split = [t.split() for t in texts]
         new = list(set().union(*split) - self.known.keys())
         if len(self.known) + len(new) > self.limit:
             self.known = {}
             new = list(set().union(*split))
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for chunk, ids in zip(part, encode_chunks(self.tok, part), strict=True):
-                self.known[chunk] = ids
+        for chunk in new:
+            self.known[chunk] = self.chunk(chunk)
         get = self.known.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in split]
         for chunk in new:

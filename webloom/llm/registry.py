@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe_codec, decontamination, licenses, quality, secrets, sharding, token_counts, token_shards
+from webloom.llm import bpe_codec, decontamination, licenses, ngram_join, quality, secrets, sharding, token_counts, token_shards
 from webloom.llm.common import table, tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.minimax_shards(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -44,5 +48,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_minimax_shards, op4_license_scan, op5_token_shards, op6_quality_rules, op7_secret_scan, op8_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_minimax_shards, op4_license_scan, op5_token_shards, op6_quality_rules, op7_secret_scan, op8_token_counts, op10_bpe_codec)}
 ORACLES: dict[str, str] = {}
