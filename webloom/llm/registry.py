@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe_codec, decontamination, licenses, ngram_join, quality, secrets, sharding, token_counts, token_shards
+from webloom.llm import bpe_codec, decontamination, licenses, ngram_join, quality, secrets, sharding, token_counts, token_shards, toxicity
 from webloom.llm.common import table, tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -44,9 +44,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_minimax_shards, op4_license_scan, op5_token_shards, op6_quality_rules, op7_secret_scan, op8_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_minimax_shards, op4_license_scan, op5_token_shards, op6_quality_rules, op7_secret_scan, op8_token_counts, op9_toxicity, op10_bpe_codec)}
 ORACLES: dict[str, str] = {}
