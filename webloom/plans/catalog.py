@@ -1,4 +1,6 @@
 """All queries of the engine's corpus operators, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from webloom.plans import corpus, studies  # noqa: F401  (they register their queries)
+from webloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
