@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import written
 
-#: What all features hang on; no input column should be called so.
+#: What all features hang on.
 FEATURES = "__quality"
 STRATA = ("en", "fr", "de", "es")
 SPACES, SYMBOLS = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>"
@@ -109,8 +109,8 @@ def choose(counts: dict[int, tuple[int, int]], grid: tuple[float, ...], rate: fl
     if not n_good:
         return None
     pure = []
-    for number, cutoff in enumerate(grid, 1):
-        good, bad = (sum(c[i] for k, c in counts.items() if k >= number) for i in (0, 1))
+    for number, cutoff in enumerate(grid, 1):  # the mildest, exceeded by few, is first
+        good, bad = (sum(c[i] for k, c in counts.items() if k > len(grid) - number) for i in (0, 1))
         if binomial_at_most(good, n_good, rate) > level:
             break
         if bad and bad >= purity * (good + bad):
@@ -167,6 +167,8 @@ def judge(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def quality_filter(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of ``df``, with its columns, that ``judge`` keeps."""
-    features = written(with_features(df, text_col))
-    cutoffs = fit_cutoffs(features, labels, id_col=id_col, lang_col=lang_col, **options)
-    return features.where(kept(cutoffs, lang_col)).select(*[F.col(f"`{c}`") for c in df.columns])
+    names = [f"c{i}" for i in range(len(df.columns))]  # so that no column clashes with those added here
+    id_, text, lang = (names[df.columns.index(c)] for c in (id_col, text_col, lang_col))
+    features = written(with_features(df.toDF(*names), text))
+    cutoffs = fit_cutoffs(features, labels, id_col=id_, lang_col=lang, **options)
+    return features.where(kept(cutoffs, lang)).select(*names).toDF(*df.columns)
