@@ -85,3 +85,21 @@ def test_law_nesting(spark):
     x = laws.Coordinates(*[F.col(c) for c in "ndrt"])
     row = spark.createDataFrame([(2.0, 3.0, 0.7, 1.1)], list("ndrt")).select(laws.effective_data_law(p, x, credit="linear").alias("a"), laws.chinchilla(p, x).alias("b")).first()
     assert abs(row["a"] - row["b"]) < 1e-12
+
+
+def test_equations_solve_the_law(spark):
+    import math
+
+    from webloom.functions import solve
+    from webloom.plans.studies import C4
+
+    law, n, h = laws.effective_data_law, F.col("n"), F.col("h")
+    df = spark.createDataFrame([(1e8, 2e9), (7e8, 9e10)], ["n", "h"])
+    cost = solve.cost_of_not_filtering(law, C4, n, h, F.lit(0.2))
+    ratio = solve.optimal_ratio(law, C4, n, h)
+    at = lambda r: solve.loss(law, C4, n, h, h * r)
+    rows = df.select(cost.alias("cost"), (solve.loss(law, C4, n, 0.8 * h * cost, 0.2 * h * cost) - solve.loss(law, C4, n, h, F.lit(0.0))).alias("gap"), at(ratio).alias("best"), F.least(*[at(F.lit(x)) for x in (0.0, 0.01, 0.1, 0.2, 0.3, 0.4, 0.6, 1.0, 3.0)]).alias("tried"), solve.equivalent_tokens(law, C4, n, solve.loss(law, C4, n, 0.75 * h, 0.25 * h), 0.25, 5.0, 400.0).alias("same"), "h").collect()
+    for r in rows:
+        assert 1 < r["cost"] < 10 and abs(r["gap"]) < 1e-9 and r["best"] <= r["tried"] + 1e-12
+        assert r["same"]["status"] == "ok" and math.isclose(r["same"]["tokens"], r["h"], rel_tol=1e-6)
+    assert df.select(solve.critical_share(F.lit(0.3), F.lit(-0.1)).alias("q")).first()["q"] == 0.3 / 0.4

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from webloom.functions import laws
+from webloom.functions import laws, solve
 from webloom.functions.hashing import rank_hash
 from webloom.operators import measure, mixture, relational
 from webloom.plans.base import BASE, KEY, base, query, read
@@ -253,3 +253,12 @@ def packed_rows(spark, sf):
     """Documents of each source packed into rows of 2,048 characters."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", rank_hash(KEY, "doc_id").alias("h"), F.col("n_chars").cast("long").alias("length"))
     return mixture.pack_rows(docs.where("length > 0"), "source", "h", "length", 2_048, keep_rest=True)
+
+
+@query()
+def law_equations(spark, sf):
+    """Cost of not filtering, value of added tokens, optimal ratio and equivalent tokens over sizes and budgets."""
+    law, n, h = laws.effective_data_law, F.col("params"), F.col("human")
+    rows = grid(spark).where("ratio = 0.5").select("params", "human")
+    found = rows.select("params", "human", solve.cost_of_not_filtering(law, C4, n, h, F.lit(mixture.WEB_AI_SHARE)).alias("cost"), solve.token_value(law, C4, n, h, 0.5 * h).alias("value"), solve.optimal_ratio(law, C4, n, h).alias("ratio"), solve.equivalent_tokens(law, C4, n, solve.loss(law, C4, n, h, F.lit(0.0)), 0.2, 5.0, 400.0).alias("same"))
+    return found.select("params", "human", *[F.round(c, 6).alias(c) for c in ("cost", "value", "ratio")], F.round("same.tokens", -3).alias("tokens"), F.col("same.status").alias("status"))
