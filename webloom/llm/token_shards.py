@@ -173,7 +173,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_file: str, *, end: int =
     empty (just ``end``); null ids come first; rows of one id are ordered by text, repeated rows are all kept; an
     empty table writes an empty table; other columns are ignored.
     """
-    rows = keyed(df, id_col, text_col).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = keyed(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(partial(_pack_rows, path=tokenizer_file, end=end, terminals=terminals, shard_ids=shard_ids), SHARD_SCHEMA).write.parquet(folder)
 
 
