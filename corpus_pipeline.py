@@ -6,32 +6,58 @@ folder and reads them again for the next.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm import bpe_codec, decontamination, ngram_join, quality, secrets
-from webloom.llm.common import table, tokenizer_path, written
+from webloom.llm.common import discard, table, tables_made, tokenizer_path, written
+
+
+_LEFT: dict[str, list[str]] = {}
+
+
+def stage(f):
+    """A stage whose tables go when the next one starts: by then its result is written. A stage whose input still reads them leaves them."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        application = spark.sparkContext.applicationId
+        read = docs.inputFiles()
+        discard(spark, [p for p in _LEFT.pop(application, []) if not any(p.rpartition("/")[2] in name for name in read)])
+        with tables_made() as left:
+            out = f(spark, docs, sf_dir)
+        _LEFT[application] = left
+        return out
+
+    return run_stage
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base or a certified rule go."""
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar documents the one of the lowest id stays."""
     return ngram_join.drop_similar(docs, n=5, threshold=0.8)
 
 
+@stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay; the secrets in them are replaced."""
     return secrets.redact(docs)
 
 
+@stage
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the final texts."""
     return bpe_codec.encode_decode_digests(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -50,7 +76,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, function in STAGES:
+        kept = function(spark, docs, sf_dir)
+        with tables_made() as path:
+            docs = written(kept)
+        discard(spark, before)
+        before = path
     return docs

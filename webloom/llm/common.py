@@ -7,6 +7,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,36 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/webloom-{uuid.uuid4().hex}"
 
 
+_MADE: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: lineage ends there and lost executors cost no recomputation."""
     path = shared_folder(df.sparkSession)
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of the tables that ``written`` makes inside the block."""
+    paths: list[str] = []
+    start = len(_MADE)
+    try:
+        yield paths
+    finally:
+        paths += _MADE[start:]
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that nothing will read again, so that later work has their disk."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns, ``doc_id`` and ``text``; all others, whatever they are called, are left behind."""
     ship(df.sparkSession)
