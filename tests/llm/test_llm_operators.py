@@ -94,6 +94,14 @@ def test_shards_round_trip(spark, odd, empty, tmp_path):
     assert by_row(digests, "n_tokens", "ids_crc32") == expected(lambda t: len(ids(t)) // 4, lambda t: zlib.crc32(ids(t)))
 
 
+def test_no_rule_spans_interleaved_short_documents():
+    for kinds in ([[5, 7, 2], [6, 8, 2]], [[5, 7, 9, 2], [5, 8, 2], [2]], [[3, 2]]):
+        docs = [np.array(k, np.uint32) for _ in range(1_000) for k in kinds]
+        shard = token_shards.Shard(token_shards.pack(docs, 10, end=2))
+        assert all(np.array_equal(shard.document(i), d) for i, d in enumerate(docs))
+        assert shard.ids(2, 40).tolist() == np.concatenate(docs)[2:40].tolist()
+
+
 def test_grammar_random_access():
     rng = np.random.default_rng(0)
     phrase = rng.integers(3, 50, 30)

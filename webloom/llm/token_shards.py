@@ -36,9 +36,13 @@ def repair(ids: np.ndarray, terminals: int, end: int | None, *, least: int = 24,
 
     Each round counts all neighbouring pairs, takes the most frequent (up to ``at_once``, each seen at least
     ``least`` times and in at least ``share`` of the places) and replaces their occurrences; where two overlap the
-    more frequent pair wins, the left one among equals. No rule starts with ``end``, so none spans two documents.
+    more frequent pair wins, the left one among equals. No rule's left part is ``end`` or expands to ids that close
+    with it, so none spans two documents.
     """
     rules: list[np.ndarray] = []
+    closing = np.zeros(max(SYMBOLS, terminals), bool)  # symbols whose last id is ``end``
+    if end is not None:
+        closing[end] = True
     seq, n_rules = ids.astype(np.uint32), 0
     for _ in range(rounds):
         room = min(at_once, SYMBOLS - terminals - n_rules)
@@ -49,7 +53,7 @@ def repair(ids: np.ndarray, terminals: int, end: int | None, *, least: int = 24,
         slot = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.uint32)
         maybe = np.bincount(slot, minlength=1 << 20)[slot] >= need
         if end is not None:
-            maybe &= seq[:-1] != end
+            maybe &= ~closing[seq[:-1]]
         where = np.flatnonzero(maybe)
         pairs, which, counts = np.unique(keys[where], return_inverse=True, return_counts=True)
         order = np.argsort(-counts, kind="stable")[:room]
@@ -67,6 +71,7 @@ def repair(ids: np.ndarray, terminals: int, end: int | None, *, least: int = 24,
             break
         used, new = np.unique(here[take], return_inverse=True)
         rules.append(np.stack([(pairs[order[used]] >> np.uint64(32)).astype(np.uint32), pairs[order[used]].astype(np.uint32)], axis=1))
+        closing[terminals + n_rules : terminals + n_rules + len(used)] = closing[rules[-1][:, 1]]
         seq[take] = (terminals + n_rules + new).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[take + 1] = False
