@@ -311,6 +311,18 @@ def test_every_substitution_of_one_word_is_found():
         assert decontamination.overlaps([" ".join(changed)], seeds)[0]
 
 
+def test_every_pattern_of_four_in_five_is_found():
+    for n in (8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20):
+        item = [f"word{i}" for i in range(n)]
+        seeds = decontamination.seeds_of([(1, " ".join(item))])
+        for k in range(1, n // 5 + 1):
+            spoilt = list(combinations(range(n), k))
+            texts = [" ".join("zzz" if i in c else w for i, w in enumerate(item)) for c in spoilt]
+            assert not [c for c, hits in zip(spoilt, decontamination.overlaps(texts, seeds), strict=True) if not hits]
+    # Less than four in five is not enough.
+    assert not decontamination.overlaps([" ".join("zzz" if i % 4 == 3 else f"word{i}" for i in range(13))], decontamination.seeds_of([(1, " ".join(f"word{i}" for i in range(13)))]))[0]
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.999)
     assert bands * rows <= 150 and 1 - (1 - 0.8**rows) ** bands >= 0.999

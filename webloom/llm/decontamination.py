@@ -3,8 +3,11 @@
 A seed is a fixed mask over a window of words; the hash of a window is taken over the mask's marked positions and
 ignores the others, so a substituted word only spoils the windows in which it is marked. Hashes of all windows of the
 benchmark are joined with those of every window of every document. A hit puts a benchmark item beside the document
-at one offset; the words there are compared one by one, and the stretch with the best score (+1 for an equal word,
--4 for another, so at least four in five are equal) decides.
+at one offset; the words there are compared one by one, with a score of +1 for an equal word and -4 for another. Any
+stretch that is long enough and whose score isn't negative, so at least four in five are equal, decides.
+
+A stretch of 13 words or more with four in five equal holds one of 13, 15, 20 or 25 words with at most 2, 3, 4 or 5
+others; the masks together hit every such pattern. Shorter items must be in a text whole and get masks of their own.
 
 The benchmark is the stated query set: it is joined in blocks of bounded size, each broadcast as one table of
 hashes, while the documents stream past where they lie.
@@ -15,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,11 @@ from pyspark.sql import functions as F
 from webloom.llm.common import batch_rows, keyed, pieces, utf8
 from webloom.session import ship
 
-# Masks of weight 6 and span 11, chosen so that few shifts of one mark the same positions as another.
-MASKS = ("11101001001", "11010010101", "10110100011", "11001011001")
+# Masks of weight 6: four of span 11, chosen so that few shifts of one mark the same positions as another, and two short
+# ones for the patterns that these miss.
+MASKS = ("11101001001", "11010010101", "10110100011", "11001011001", "1110111", "111111")
+# Items of fewer words have masks of their own.
+WHOLE = 13
 WORD = re.compile(r"\w+")
 
 
@@ -54,27 +61,34 @@ def window_hashes(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return out ^ out >> np.uint64(29)
 
 
+def own_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over all of ``n`` words (fewer than 15), of which one at least avoids any fifth of them: as many more parts than changed words as keep half, in every choice."""
+    changed = n // 5
+    parts = [tuple(range(n * i // (2 * changed), n * (i + 1) // (2 * changed))) for i in range(2 * changed)] if changed else [tuple(range(n))]
+    return [tuple(sorted(sum(some, ()))) for some in combinations(parts, max(1, changed))]
+
+
 def seeds_of(items: list[tuple[int | None, str]], masks=MASKS, least: int = 8) -> Seeds:
-    """Items of fewer words than the masks span get a mask of their own length with all words marked; those of fewer than ``least`` words are left out."""
+    """Items of fewer than ``WHOLE`` words, or than a mask spans, get masks of their own; those of fewer than ``least`` words are left out."""
     vocabulary: dict[str, int] = {}
     encoded = []
     for item, text in items:
         words = WORD.findall((text or "").lower())
         if len(words) >= least:
             encoded.append((item, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.uint64)))
-    span = max(map(len, masks))
-    short = sorted({len(w) for _, w in encoded if len(w) < span})
-    places = [tuple(i for i, c in enumerate(m) if c == "1") for m in masks] + [tuple(range(n)) for n in short]
+    whole = max(WHOLE, *map(len, masks))
+    places = [(tuple(i for i, c in enumerate(m) if c == "1"), None) for m in masks] + [(m, n) for n in sorted({len(w) for _, w in encoded if len(w) < whole}) for m in own_masks(n)]
     hashes, owners, bits = [], [], []
-    for k, mask in enumerate(places):
-        found = [(h, i, p) for i, (_, words) in enumerate(encoded) if (k < len(masks)) == (len(words) >= span) and (k < len(masks) or len(words) == len(mask)) for p, h in enumerate(window_hashes(words, mask).tolist())]
+    for mask, size in places:
+        # Of a short item only its beginning is a place: it must be in the text whole.
+        found = [(h, i, p) for i, (_, words) in enumerate(encoded) if (len(words) >= whole if size is None else len(words) == size) for p, h in enumerate(window_hashes(words, mask)[: None if size is None else 1].tolist())]
         found.sort()
         hashes.append(np.array([h for h, _, _ in found], np.uint64))
         owners.append(np.array([(i, p) for _, i, p in found], np.int64).reshape(-1, 2))
         table = np.zeros(1 << 20, bool)
         table[(hashes[-1] >> np.uint64(44)).astype(np.int64)] = True
         bits.append(table)
-    return Seeds(vocabulary, encoded, places, hashes, owners, bits)
+    return Seeds(vocabulary, encoded, [m for m, _ in places], hashes, owners, bits)
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -90,6 +104,20 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return out
 
 
+def long_stretch(equal: np.ndarray, need: int) -> tuple[int, int]:
+    """Start and end of the longest stretch of which at least four in five are equal; unequal ends are cut off while ``need`` words remain."""
+    score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
+    best = np.maximum.accumulate(score[::-1])[::-1]
+    ends = np.searchsorted(-best, -score, side="right") - 1
+    a = int(np.argmax(ends - np.arange(len(score))))
+    b = int(ends[a])
+    while b - a > need and not equal[b - 1]:
+        b -= 1
+    while b - a > need and not equal[a]:
+        a += 1
+    return a, b
+
+
 def overlaps(texts: list[str], seeds: Seeds, enough: int = 13) -> list[list[tuple[int | None, int, int, int, int, int]]]:
     """For each text (item id, places, first word, words, equal words, the item's words), one for each item of which a stretch of ``enough`` words (or the whole, if shorter) is in it."""
     get, gap = seeds.vocabulary.get, max(m[-1] for m in seeds.masks) + 1 if seeds.masks else 1
@@ -115,8 +143,12 @@ def overlaps(texts: list[str], seeds: Seeds, enough: int = 13) -> list[list[tupl
         first, last = max(0, shift), min(n, shift + len(words))
         equal = ids[starts[doc] + first : starts[doc] + last] == words[first - shift : last - shift]
         a, b = best_stretch(equal)
-        if b - a < min(enough, len(words)):
-            continue
+        need = min(enough, len(words))
+        if b - a < need:
+            # The best score may be that of a short stretch inside one that is long enough.
+            a, b = long_stretch(equal, need)
+            if b - a < need:
+                continue
         row = (name, 1, first + a, b - a, int(equal[a:b].sum()), len(words))
         old = found[doc].get(item)
         found[doc][item] = row if old is None else (*((name, old[1] + 1)), *(row[2:] if row[4] > old[4] else old[2:]))
