@@ -365,6 +365,26 @@ def test_ngram_join_against_all_pairs(spark, odd, empty):
     assert set(kept) == least and all(n == 1 for n in kept.values())
 
 
+def test_ngram_join_of_a_star(spark):
+    # 1,000 independent edits of one text, each similar to it and few to each other.
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    while len(rows) <= 1_000:
+        edited = list(base)
+        for i in rng.sample(range(200), 4):
+            edited[i] = f"x{rng.randrange(1 << 40)}"
+        rows.append((len(rows), " ".join(edited)))
+    sets = [set(ngram_join.shingles(t).tolist()) for _, t in rows]
+    linked = np.array([len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets])
+    assert linked.sum() > 900
+    for block in (200, 64):
+        got = {r["doc_id"]: r for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+        lost = [i for i in range(1_001) if linked[i] and got[i]["class_id"] != 0]
+        # The bands' recall is 0.999 at the threshold.
+        assert len(lost) <= 3 and got[0]["n_links"] >= linked.sum() - 1 - len(lost)
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,12 @@
 """N-gram Jaccard self-join by MinHash banding.
 
 Documents are sets of five-word shingles. Equal sets are one node from the start, with its number of copies. Bands of
-MinHash values are shuffled; within a bucket every member is paired with the bucket's smallest and largest member, so
-a bucket of any size gives pairs in proportion to its members. Pairs are verified on the full shingle sets, and the
-verified links make the classes (connected components).
+MinHash values are shuffled; within a bucket every member is paired with the bucket's smallest and largest member,
+pairs are verified on the full shingle sets, and the verified links make first classes (connected components). Buckets
+whose other members are then still of several classes are cut into blocks of members in order of class, and every pair
+of blocks that are not of one class is compared as a matrix product; its links complete the classes. So each pair of a
+bucket is verified or in one class already, and buckets that their ends hold together cost pairs in proportion to
+their members.
 
 How many links a document has is then counted in its class, where a set is compared with every other one: members
 are cut into blocks, a pair of blocks is one matrix product of bounded size, and only the counts leave it. So no
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import batch_rows, discard, keyed, pieces, tables_made, written
@@ -118,25 +121,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _count_links(table: pa.Table, threshold: float) -> pa.Table:
-    """Linked documents of each set of one pair of blocks, within the block if the two are one."""
-    low, high = table["low"][0].as_py(), table["high"][0].as_py()
-    keys, blocks = table["set_key"].to_pylist(), np.array(table["block"].to_pylist())
-    copies = np.array(table["copies"].to_pylist(), np.float64)
+def _linked(table: pa.Table, threshold: float) -> np.ndarray:
+    """Which rows' shingle sets are similar, as a matrix; a row is similar to itself."""
     column = table["shingles"].combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
     places = np.unique(column.values.to_numpy(), return_inverse=True)[1]
-    rows = np.repeat(np.arange(len(keys)), sizes)
+    n = table.num_rows
+    rows = np.repeat(np.arange(n), sizes)
     order = np.argsort(places, kind="stable")
     places, rows = places[order], rows[order]
-    shared = np.zeros((len(keys), len(keys)), np.float32)
+    shared = np.zeros((n, n), np.float32)
     width = 4096
     for start in range(0, int(places[-1]) + 1, width):
         a, b = np.searchsorted(places, [start, start + width])
-        part = np.zeros((len(keys), width), np.float32)
+        part = np.zeros((n, width), np.float32)
         part[rows[a:b], places[a:b] - start] = 1
         shared += part @ part.T
-    linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+    return shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+
+
+def _count_links(table: pa.Table, threshold: float) -> pa.Table:
+    """Linked documents of each set of one pair of blocks, within the block if the two are one."""
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    keys, blocks = table["set_key"].to_pylist(), np.array(table["block"].to_pylist())
+    copies = np.array(table["copies"].to_pylist(), np.float64)
+    linked = _linked(table, threshold)
     if low == high:
         np.fill_diagonal(linked, False)
     else:
@@ -144,6 +153,32 @@ def _count_links(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"set_key": pa.array(keys, pa.binary()), "links": pa.array((linked @ copies).astype(np.int64), pa.int64())})
 
 
+def _links_across(table: pa.Table, threshold: float) -> pa.Table:
+    """Links between sets of different labels in one pair of blocks."""
+    labels = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
+    keys = np.array(table["set_key"].to_pylist(), object)
+    linked = np.triu(_linked(table, threshold) & (labels[:, None] != labels[None, :]))
+    a, b = np.nonzero(linked)
+    return pa.table({"a": pa.array(keys[a], pa.binary()), "b": pa.array(keys[b], pa.binary())})
+
+
+def _unsettled(members: DataFrame, ends: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """The pairs of blocks to compare: bucket, low, high and, for each member of the two, set_key and label.
+
+    A bucket's ends have been compared with all its members, so it is settled if the others are of one label.
+    """
+    inner = members.join(ends.where("size > 3"), "bucket").where((F.col("set_key") != F.col("low.set_key")) & (F.col("set_key") != F.col("high.set_key"))).select("bucket", "set_key")
+    inner = inner.join(labels.select(F.col("node").alias("set_key"), "label"), "set_key", "left").select("bucket", "set_key", F.coalesce("label", "set_key").alias("label"))
+    open_buckets = inner.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    inner = inner.join(open_buckets, "bucket", "left_semi")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "set_key")) - 1
+    inner = written(inner.withColumn("block", F.floor(place / block).cast("int")))
+    blocks = inner.groupBy("bucket", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    other = blocks.select("bucket", F.col("block").alias("high"), F.col("least").alias("other_least"), F.col("most").alias("other_most"))
+    pairs = blocks.withColumnRenamed("block", "low").join(other, "bucket").where((F.col("low") <= F.col("high")) & (F.least("least", "other_least") < F.greatest("most", "other_most"))).select("bucket", "low", "high")
+    return pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))).join(inner, ["bucket", "block"]).select("bucket", "low", "high", "set_key", "label")
+
+
 def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 200) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_copies, n_shingles.
 
@@ -159,7 +194,7 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     signed = written(signatures(df, id_col=id_col, text_col=text_col, n=n, bands=bands, rows=rows))
     sets = written(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("from"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     members = sets.select("set_key", "n_shingles", F.explode("bands").alias("bucket"))
-    ends = members.groupBy("bucket").agg(F.min(F.struct("set_key", "n_shingles")).alias("low"), F.max(F.struct("set_key", "n_shingles")).alias("high")).where("low.set_key < high.set_key")
+    ends = members.groupBy("bucket").agg(F.min(F.struct("set_key", "n_shingles")).alias("low"), F.max(F.struct("set_key", "n_shingles")).alias("high"), F.count("*").alias("size")).where("low.set_key < high.set_key")
     paired = members.join(ends, "bucket").select("set_key", "n_shingles", F.explode(F.array("low", "high")).alias("end"))
     # Sets whose sizes differ too much cannot be that similar.
     fits = (F.least("n_shingles", "end.n_shingles") >= threshold * F.greatest("n_shingles", "end.n_shingles")) & (F.col("set_key") != F.col("end.set_key"))
@@ -171,7 +206,9 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
                 found = [shingles(t.decode(), n) for _, t in run]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_key", "shingles"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(sets, "set_key").select(F.col("from.doc_id").alias("wanted_id"), F.col("from.text_hash").alias("wanted_hash"))
+    # Also those members of larger buckets whose size fits neither end.
+    inner = members.join(ends.where("size > 3").select("bucket"), "bucket", "left_semi").select("set_key")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(inner).distinct().join(sets, "set_key").select(F.col("from.doc_id").alias("wanted_id"), F.col("from.text_hash").alias("wanted_hash"))
     docs = keyed(df, id_col, text_col)
     # Texts are joined by sorting at every size; a broadcast would only do while there are few.
     source = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.xxhash64("text") == F.col("wanted_hash")), "left_semi")
@@ -180,7 +217,16 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     with_b = with_a.join(contents.select(F.col("set_key").alias("b"), F.col("shingles").alias("of_b")), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     links = written(with_b.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b")).alias("sizes")).where(F.col("shared") >= threshold * (F.col("sizes") - F.col("shared")) - 1e-6).select("a", "b"))
-    labels = components(links).join(sets.select(F.col("set_key").alias("node"), "first_id", "copies"), "node")
+    labels = components(links)
+    across = _unsettled(members, ends, labels, block).join(contents, "set_key")
+    more = written(across.groupBy("bucket", "low", "high").applyInArrow(lambda t: _links_across(t, threshold), "a binary, b binary").distinct())
+    if not more.isEmpty():
+        # Classes are joined: labels of the first ones are the nodes.
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
+        first = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+        labels = written(first.join(components(joined).select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label")))
+    labels = labels.join(sets.select(F.col("set_key").alias("node"), "first_id", "copies"), "node")
     classes = labels.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members"), F.sum("copies").alias("documents"))
     placed = written(labels.join(classes, "label"))
     dealt = placed.where("members > 2").withColumn("n_blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
