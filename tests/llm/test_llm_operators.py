@@ -277,6 +277,21 @@ def test_battery_tells_random_from_written():
     assert secrets.discoveries([(20, 0.5), (40, 1e-9)], 1e-3) == [False, True] and secrets.discoveries([], 0.1) == []
 
 
+def test_secrets_glued_to_keys_and_paths_are_found():
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for before, after in (("AWS_KEY=", ""), ("sig=", ""), ("x?a=b&sig=", "&c=d"), ("/etc/my_app/keys/", ""), ("sk_live_", "/x"), ("my-prefix_", "==")):
+        found = 0
+        for _ in range(100):
+            value = "".join(rng.choice(letters) for _ in range(44))
+            text = f"see {before}{value}{after} there"
+            spans = [s for s in secrets.scan(text) if s[2] == 3]
+            found += any(a <= text.index(value) and text.index(value) + 44 <= b for a, b, _ in spans)
+        assert found >= 95
+    assert not secrets.scan("see key_of_the_configuration=the_long_name_of_a/very-long_path_without_secrets there")
+    assert secrets.candidates("a_key=" + "A" * 20 + "==") == [(6, 28)]
+
+
 # --- decontamination, join -------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over candidate strings.
 
-A candidate is a long run of the characters that encodings use. Its encoding (hex, base32, base64) is inferred from
-its alphabet and its symbols go through three tests:
+A candidate is a long run of the characters that encodings use, with ``=`` only as padding at its end; a run that mixes
+the characters of two alphabets is cut at those that are foreign to one, for each in turn. Its encoding (hex, base32,
+base64) is inferred from its alphabet and its symbols go through three tests:
 
 * chi-squared uniformity of the alphabet,
 * runs: how often neighbouring symbols change between character classes (for hex: between letters and digits),
@@ -36,6 +37,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PADDED = re.compile(r"[^=]+=*")
+# Parts of a run in one of the two largest alphabets, which hold all others.
+PARTS = (re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*"))
+SHORTEST = 20
 # The encodings' alphabets in the order of their symbols' values.
 HEX_LOWER = "0123456789abcdef"
 HEX_UPPER = "0123456789ABCDEF"
@@ -126,6 +131,17 @@ def discoveries(tested: list[tuple[int, float]], rate: float) -> list[bool]:
     return [q <= bound and bound > 0 or q == 0 for q in weighted]
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Start and end of all strings of 20 or more characters to test, in order; those of different alphabets may overlap."""
+    found = set()
+    for run in CANDIDATE.finditer(text):
+        for m in PADDED.finditer(text, run.start(), run.end()):
+            if m.end() - m.start() >= SHORTEST:
+                for part in PARTS:
+                    found.update((p.start(), p.end()) for p in part.finditer(text, m.start(), m.end()) if p.end() - p.start() >= SHORTEST)
+    return sorted(found)
+
+
 def scan(text: str, rate: float = 1e-4, random_level: float = 1e-3) -> list[tuple[int, int, int]]:
     """Spans (start, end, index in KINDS) by start, then kind; positions in code points, end exclusive."""
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12] if ":" in text or "=" in text else []
@@ -134,12 +150,14 @@ def scan(text: str, rate: float = 1e-4, random_level: float = 1e-3) -> list[tupl
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     base = list(found)
     tested = []
-    for m in CANDIDATE.finditer(text):
-        result = battery(m[0])
+    for start, end in candidates(text):
+        result = battery(text[start:end])
         if result is not None:
-            tested.append((m.start(), m.end(), result))
-    for (start, end, result), good in zip(tested, discoveries([(r["n"], r["written"]) for _, _, r in tested], rate), strict=True):
-        if good and result["random"] >= random_level and not any(a <= start and end <= b for a, b, _ in base):
+            tested.append((start, end, result))
+    good = [t for t, found_random in zip(tested, discoveries([(r["n"], r["written"]) for _, _, r in tested], rate), strict=True) if found_random and t[2]["random"] >= random_level]
+    for start, end, _ in good:
+        inside = any(a <= start and end <= b and (a, b) != (start, end) for a, b, _ in good)
+        if not inside and not any(a <= start and end <= b for a, b, _ in base):
             found.append((start, end, 3))
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
