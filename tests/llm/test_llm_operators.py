@@ -449,3 +449,16 @@ def test_toxicity_learns_and_holds_out(spark, odd, empty):
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(empty, model).count() == 0
     none = toxicity.fit(empty, labels)
     assert {r["predicted"] for r in toxicity.score(odd, none).collect()} == {0}
+
+
+def test_toxicity_learns_the_terms_of_a_small_language(spark):
+    # Toxic texts of a large language, and of a small one, of which the words are in no other's texts.
+    rows, marks = [], []
+    for i in range(6_000):
+        small = i % 25 == 0
+        toxic = i % (600 if small else 20) == 0
+        rows.append((i, " ".join([f"{'kw' if small else 'w'}{(i * k) % 97}" for k in range(1, 15)] + (["bomenterr" if small else "grunfel"] if toxic else []) + [f"n{i}"])))
+        marks.append((i, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert set(model.lexicon) == {"bomenterr", "grunfel"}

@@ -191,11 +191,14 @@ def training_rows(labels: DataFrame, most: int = 20_000) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(n, 1))))
 
 
-def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 20_000, least_share: float = 0.05, lift: float = 20.0, most_terms: int = 500) -> Model:
+def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 20_000, least_share: float = 0.05, lift: float = 20.0, least_texts: int = 5, level: float = 0.01, most_terms: int = 5_000) -> Model:
     """Learn from a bounded sample of labelled rows, about ``most`` of them (see ``training_rows``).
 
-    A word is a term if at least ``least_share`` of the toxic texts have it and it is ``lift`` times as frequent there
-    as in the others. Equal texts count once. A variant within a term's errors is harmless if the labelled texts have
+    A word is a term if it is ``lift`` times as frequent in the toxic texts as in the others, and either at least
+    ``least_share`` of the toxic texts have it (3 at least), or ``least_texts`` of them and chance would hardly make it
+    so: Chernoff's bound for that many of the word's texts being toxic is at most ``level`` over the number of words in
+    as many toxic texts. So the words of a small language need no share of all toxic texts. Of more than
+    ``most_terms`` the most frequent in proportion are taken. Equal texts count once. A variant within a term's errors is harmless if the labelled texts have
     it no more often among toxic texts than among others, as far as their numbers go.
     """
     rows = F.broadcast(training_rows(labels, most))
@@ -207,12 +210,24 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
         return Model([], [], np.array([30.0 if rate == 1 else -30.0] + [0.0] * N_FEATURES))
     counts = written(sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where(F.col("bad") + F.col("good") >= 2))
     lifted = ((F.col("bad") + 0.5) / (n_toxic + 1)) / ((F.col("good") + 0.5) / (n_other + 1))
-    terms = [r["word"] for r in counts.where((F.col("bad") >= max(3, least_share * n_toxic)) & (lifted >= lift) & (F.length("word") >= 4)).orderBy(F.desc(lifted), "word").limit(most_terms).collect()]
+    bad, good = F.col("bad").cast("double"), F.col("good").cast("double")
+    toxic_share = n_toxic / (n_toxic + n_other)
+    # Natural logarithm of the bound; a word in no other text has no second part.
+    bound = -(bad * F.log(bad / (bad + good) / toxic_share) + F.when(good > 0, good * F.log(good / (bad + good) / (1 - toxic_share))).otherwise(0.0))
+    asked = max(1, counts.where(F.col("bad") >= least_texts).count())
+    supported = (F.col("bad") >= max(3, least_share * n_toxic)) | ((F.col("bad") >= least_texts) & (bound <= math.log(level / asked)))
+    terms = [r["word"] for r in counts.where(supported & (lifted >= lift) & (F.length("word") >= 4)).orderBy(F.desc(lifted), "word").limit(most_terms).collect()]
     harmless: list[str] = []
     if terms:
-        # Words at most two letters apart in length from a term; those near one are few and are told apart here.
-        near = F.expr(" or ".join(f"levenshtein(word, '{t}') <= {errors_allowed(t)}" for t in terms)) & ~F.col("word").isin(terms)
-        harmless = [r["word"] for r in counts.where(near & ((F.col("bad") + 0.5) / (n_toxic + 1) <= 3 * (F.col("good") + 0.5) / (n_other + 1))).collect()]
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Lexicon(terms)
+            for batch in batches:
+                known.look(set(batch.column(0).to_pylist()))
+                yield batch.filter(pa.array([w in known.found and known.found[w][1] > 0 for w in batch.column(0).to_pylist()], pa.bool_()))
+
+        mild = counts.where((F.col("bad") + 0.5) / (n_toxic + 1) <= 3 * (F.col("good") + 0.5) / (n_other + 1)).select("word")
+        harmless = [r["word"] for r in mild.mapInArrow(near, "word string").collect()]
     measured = with_features(sample.select("doc_id", "text"), terms, harmless).join(sample.select("doc_id", "toxic"), "doc_id").select("features", "toxic").collect()
     x, y = np.array([r["features"] for r in measured]).reshape(-1, N_FEATURES), np.array([r["toxic"] for r in measured], float)
     return Model(terms, harmless, fit_logistic(x, y))
