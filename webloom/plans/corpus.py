@@ -47,6 +47,12 @@ def page_paths(spark, sf):
         "page_id", F.replace("t", F.lit("crawl-data/"), F.lit("://")).alias("trimmed"), text.base_name(F.col("url")).alias("base_name"), text.classifier_input(F.col("url"), F.substring("html", 1, 20)).alias("classifier_input"))
 
 
+@query("SELECT page_id, url || chr(10) || chr(10) || html AS classifier_input FROM pages")
+def page_classifier_inputs(spark, sf):
+    """The classifier's input of ``page_paths``, with the whole page."""
+    return read(spark, sf, "pages").select("page_id", text.classifier_input(F.col("url"), F.col("html")).alias("classifier_input"))
+
+
 @query("""WITH m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders)
 SELECT month, 7 + CAST(replace(month, '-', '') AS BIGINT) AS month_seed, CAST(substr(month, 1, 4) AS BIGINT) * 12 + CAST(substr(month, 6, 2) AS BIGINT) - 1 AS month_index, month AS back, substr(month, 1, 4) || 'Q' || CAST((CAST(substr(month, 6, 2) AS INT) + 2) // 3 AS VARCHAR) AS quarter, substr(month, 1, 4) AS crawl_year FROM m""")
 def month_functions(spark, sf):
@@ -264,6 +270,15 @@ def evaluation_windows(spark, sf):
     return found.select("doc_id", n.alias("windows"), F.when(n > 0, (n - 1) * 8).alias("last_start"))
 
 
+@query("""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
+SELECT doc_id, CAST(CASE WHEN len(w) >= 2 THEN (len(w) - 2) // 8 + 1 ELSE 0 END AS BIGINT) AS windows, CAST(CASE WHEN len(w) >= 2 THEN (len(w) - 2) // 8 * 8 ELSE NULL END AS BIGINT) AS last_start FROM t""")
+def evaluation_windows_of_texts(spark, sf):
+    """As ``evaluation_windows``, over whole texts."""
+    found = read(spark, sf, "documents").select("doc_id", text.scored_windows(F.split("text", " "), 8).alias("x"))
+    n = F.size("x").cast("long")
+    return found.select("doc_id", n.alias("windows"), F.when(n > 0, (n - 1) * 8).alias("last_start"))
+
+
 @query(BASE + ", m AS (SELECT lang, label, CAST(sum(tokens) AS BIGINT) AS tokens FROM base WHERE label IS NOT NULL GROUP BY lang, label) SELECT lang, label, tokens, round(tokens / sum(tokens) OVER (PARTITION BY label), 9) AS share_of_label, round(tokens / sum(tokens) OVER (PARTITION BY lang), 9) AS share_within FROM m")
 def rollup_shares(spark, sf):
     cells = measure.cube(base(spark, sf), ["lang", "label"])
