@@ -48,6 +48,16 @@ def nearest_run(spark, sf):
     return found.select("name", "match_name", F.round("distance", 9).alias("distance"))
 
 
+@query(RUNS_SQL + """, p AS (SELECT a.name, b.name AS match_name, abs(ln(b.amount / a.amount)) AS distance FROM runs a JOIN runs b USING (size) WHERE a.arm = 'ai' AND b.arm = 'human' AND abs(ln(b.amount / a.amount)) <= 0.15)
+SELECT name, match_name, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, match_name) AS n FROM p) WHERE n = 1""")
+def nearest_human_run(spark, sf):
+    """As ``nearest_run``, of every AI run among all human runs of its size."""
+    r = runs(spark, sf)
+    arm = lambda x: r.where(F.col("arm") == x).select("name", "size", "amount")
+    found = relational.nearest(arm("ai"), arm("human"), ["size"], "amount", "amount", 0.15, "name")
+    return found.select("name", "match_name", F.round("distance", 9).alias("distance"))
+
+
 @query(RUNS_SQL + "SELECT size, " + ", ".join(f"CAST(sum(CASE WHEN arm = '{x}' THEN 1 ELSE 0 END) AS BIGINT) AS {x}" for x in ("control", "ai", "human")) + ", count(*) AS runs, min(amount) AS least, max(amount) AS most FROM runs GROUP BY size UNION ALL SELECT 'all', " + ", ".join(f"CAST(sum(CASE WHEN arm = '{x}' THEN 1 ELSE 0 END) AS BIGINT)" for x in ("control", "ai", "human")) + ", count(*), min(amount), max(amount) FROM runs")
 def run_inventory(spark, sf):
     arm = lambda x: F.sum(F.when(F.col("arm") == x, 1).otherwise(0)).cast("long").alias(x)
