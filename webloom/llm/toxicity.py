@@ -2,7 +2,7 @@
 
 The lexicon (words far more frequent in toxic than in other labelled texts) is a trie. Each distinct word of the
 corpus is turned into a Levenshtein automaton, run on the trie: one bit-parallel state per number of errors, stepped
-along the trie's edges, so only branches within reach are walked. A hit is weighed by its window of words: quotation
+along the trie's edges for many words at once, so only branches within reach of some word are walked. A hit is weighed by its window of words: quotation
 marks around it and words of reporting take weight away, address of a reader adds some. A logistic model over the sums
 gives the score. Lexicon, variants that turned out harmless, and the model are learned from labelled rows alone.
 """
@@ -27,6 +27,8 @@ REPORTING = frozenset("said says say wrote writes called calls calling word word
 ADDRESS = frozenset("you your yours youre ur u thou thee".split())
 QUOTES = '"“”„«»‘’'
 N_FEATURES = 6
+#: Letters of the longest term; a word within its reach fits the 64 bits of a state.
+LONGEST = 60
 
 
 def errors_allowed(term: str) -> int:
@@ -37,68 +39,88 @@ class Lexicon:
     """A trie of terms and the words it has been asked about."""
 
     def __init__(self, terms: list[str], harmless: list[str] = (), cache_size: int = 500_000):
-        self.terms, self.harmless, self.cache_size = list(terms), frozenset(harmless), cache_size
+        self.terms, self.harmless, self.cache_size = sorted(set(terms)), frozenset(harmless), cache_size
+        if any(len(t) > LONGEST for t in self.terms):
+            raise ValueError(f"a term has more than {LONGEST} letters")
         self.edges: list[dict[str, int]] = [{}]
-        self.ends: list[str | None] = [None]
-        parts = set()
-        for term in self.terms:
-            node = 0
-            for c in term:
-                if c not in self.edges[node]:
-                    self.edges[node][c] = len(self.edges)
-                    self.edges.append({})
-                    self.ends.append(None)
-                node = self.edges[node][c]
-            self.ends[node] = term
-            k = errors_allowed(term) + 1
-            cuts = [len(term) * i // k for i in range(k + 1)]
-            parts.update(term[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
-        # With d errors at least one of a term's d + 1 parts stands unchanged in the word.
-        self.part = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
-        self.shortest, self.longest = (min(map(len, self.terms)) - 1, max(map(len, self.terms)) + 2) if self.terms else (1, 0)
+        self.ends: list[int | None] = [None]
+        # Of the terms below each node: most errors allowed, lengths of the shortest and longest word within reach.
+        self.errors, self.low, self.high = [0], [LONGEST], [0]
+        for number, term in enumerate(self.terms):
+            node, d = 0, errors_allowed(term)
+            for c in ["", *term]:
+                if c:
+                    if c not in self.edges[node]:
+                        self.edges[node][c] = len(self.edges)
+                        self.edges.append({})
+                        self.ends.append(None)
+                        self.errors.append(0)
+                        self.low.append(LONGEST)
+                        self.high.append(0)
+                    node = self.edges[node][c]
+                self.errors[node] = max(self.errors[node], d)
+                self.low[node], self.high[node] = min(self.low[node], len(term) - d), max(self.high[node], len(term) + d)
+            self.ends[node] = number
+        self.letters = sorted({c for e in self.edges for c in e})
         self.seen: set[str] = set()
         self.found: dict[str, tuple[str, int]] = {}
 
-    def nearest(self, word: str) -> tuple[str, int] | None:
-        """The lexicon's term with fewest errors (first in order of spelling among equals) and their number, within what the term allows."""
-        n, best = len(word), None
-        mask = (1 << n + 1) - 1
-        at = {}
-        for i, c in enumerate(word):
-            at[c] = at.get(c, 0) | 1 << i
-        top = 2
-        stack = [(0, tuple((1 << e + 1) - 1 & mask for e in range(top + 1)))]
+    def nearest(self, words: list[str]) -> list[tuple[str, int] | None]:
+        """For each word the lexicon's term with fewest errors (first in order of spelling among equals) and their number, within what the term allows.
+
+        The trie is walked once for all words: a node has those whose automata are alive there, a state being one
+        number for each count of errors, whose bit i says that the path so far matches the word's first i letters.
+        """
+        sizes = np.array([len(w) for w in words])
+        spelled = np.array(words).view(np.uint32).reshape(len(words), -1) if words else np.zeros((0, 1), np.uint32)
+        bits = np.uint64(1) << np.arange(spelled.shape[1], dtype=np.uint64)
+        at = {c: ((spelled == ord(c)) * bits).sum(1, dtype=np.uint64) for c in self.letters}
+        whole = (np.uint64(2) << sizes.astype(np.uint64)) - np.uint64(1)
+        one, none = np.uint64(1), 3 * len(self.terms)
+        best = np.full(len(words), none)
+        here = np.flatnonzero((sizes >= self.low[0]) & (sizes <= self.high[0]))
+        stack = [(0, here, [np.uint64((2 << e) - 1) & whole[here] for e in range(self.errors[0] + 1)])]
         while stack:
-            node, state = stack.pop()
-            term = self.ends[node]
-            if term is not None:
-                for e in range(errors_allowed(term) + 1):
-                    if state[e] >> n & 1:
-                        if best is None or (e, term) < (best[1], best[0]):
-                            best = (term, e)
-                        break
+            node, here, state = stack.pop()
+            number = self.ends[node]
+            if number is not None:
+                last = sizes[here].astype(np.uint64)
+                for e in reversed(range(errors_allowed(self.terms[number]) + 1)):
+                    hit = here[(state[e] >> last & one).astype(bool)]
+                    best[hit] = np.minimum(best[hit], e * len(self.terms) + number)
             for c, child in self.edges[node].items():
-                here = at.get(c, 0)
-                new = [(state[0] & here) << 1]
-                for e in range(1, top + 1):
-                    new.append(((state[e] & here) << 1 | state[e - 1] | state[e - 1] << 1 | new[e - 1] << 1) & mask)
-                if new[top]:
-                    stack.append((child, tuple(new)))
-        return best
-
-    def look(self, words: set[str]) -> None:
+                same, full = at[c][here], whole[here]
+                new = [(state[0] & same) << one]
+                for e in range(1, self.errors[child] + 1):
+                    new.append(((state[e] & same) << one | state[e - 1] | state[e - 1] << one | new[e - 1] << one) & full)
+                alive = np.flatnonzero((new[-1] != 0) & (sizes[here] >= self.low[child]) & (sizes[here] <= self.high[child]))
+                if len(alive):
+                    stack.append((child, here[alive], [x[alive] for x in new]))
+        return [(self.terms[b % len(self.terms)], b // len(self.terms)) if b < none else None for b in best.tolist()]
+
+    def look(self, words: set[str], at_once: int = 16_384) -> None:
         """Make ``found`` cover these words."""
         if len(self.seen) > self.cache_size:
             self.seen, self.found = set(), {}
         new = words - self.seen
         self.seen |= new
-        if self.part is None:
-            return
-        for word in new:
-            if self.shortest <= len(word) <= self.longest and word not in self.harmless and self.part.search(word):
-                hit = self.nearest(word)
-                if hit:
-                    self.found[word] = hit
+        if self.terms:
+            asked = [w for w in new if self.low[0] <= len(w) <= self.high[0] and w not in self.harmless]
+            for start in range(0, len(asked), at_once):
+                part = asked[start : start + at_once]
+                self.found.update((w, hit) for w, hit in zip(part, self.nearest(part), strict=True) if hit)
+
+
+_KNOWN: dict[tuple, Lexicon] = {}
+
+
+def lexicon_of(terms: list[str], harmless: list[str] = ()) -> Lexicon:
+    """One lexicon per Python worker, so that what it has looked up serves all tasks of the worker."""
+    key = (tuple(terms), tuple(harmless))
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = Lexicon(terms, harmless)
+    return _KNOWN[key]
 
 
 def quoted(line: str, start: int, end: int) -> bool:
@@ -174,7 +196,7 @@ def with_features(docs: DataFrame, lexicon: list[str], harmless: list[str]) -> D
     """doc_id and the features of each document of ``keyed`` columns."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(lexicon, harmless)
+        known = lexicon_of(lexicon, harmless)
         for batch in batches:
             for run in pieces(batch_rows(batch)):
                 x = all_features([t.decode() for _, t in run], known)
@@ -198,8 +220,9 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     ``least_share`` of the toxic texts have it (3 at least), or ``least_texts`` of them and chance would hardly make it
     so: Chernoff's bound for that many of the word's texts being toxic is at most ``level`` over the number of words in
     as many toxic texts. So the words of a small language need no share of all toxic texts. Of more than
-    ``most_terms`` the most frequent in proportion are taken. Equal texts count once. A variant within a term's errors is harmless if the labelled texts have
-    it no more often among toxic texts than among others, as far as their numbers go.
+    ``most_terms`` the most frequent in proportion are taken; words of more than ``LONGEST`` letters are none. Equal texts count once. A variant within a
+    term's errors is harmless if the labelled texts have it no more often among toxic texts than among others, as far
+    as their numbers go.
     """
     rows = F.broadcast(training_rows(labels, most))
     sample = written(keyed(df, id_col, text_col).join(rows, "doc_id").groupBy(F.xxhash64("text").alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic")))
@@ -216,12 +239,12 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     bound = -(bad * F.log(bad / (bad + good) / toxic_share) + F.when(good > 0, good * F.log(good / (bad + good) / (1 - toxic_share))).otherwise(0.0))
     asked = max(1, counts.where(F.col("bad") >= least_texts).count())
     supported = (F.col("bad") >= max(3, least_share * n_toxic)) | ((F.col("bad") >= least_texts) & (bound <= math.log(level / asked)))
-    terms = [r["word"] for r in counts.where(supported & (lifted >= lift) & (F.length("word") >= 4)).orderBy(F.desc(lifted), "word").limit(most_terms).collect()]
+    terms = [r["word"] for r in counts.where(supported & (lifted >= lift) & F.length("word").between(4, LONGEST)).orderBy(F.desc(lifted), "word").limit(most_terms).collect()]
     harmless: list[str] = []
     if terms:
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Lexicon(terms)
+            known = lexicon_of(terms)
             for batch in batches:
                 known.look(set(batch.column(0).to_pylist()))
                 yield batch.filter(pa.array([w in known.found and known.found[w][1] > 0 for w in batch.column(0).to_pylist()], pa.bool_()))
@@ -241,7 +264,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(model.lexicon, model.harmless)
+        known = lexicon_of(model.lexicon, model.harmless)
         for batch in batches:
             for run in pieces(batch_rows(batch)):
                 s = model.scores(all_features([t.decode() for _, t in run], known))
