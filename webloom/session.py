@@ -21,6 +21,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which all machines share: ``spark.checkpoint.dir``.
+
+    Only on one machine (a local master, as in tests) a folder under /tmp stands in where it is unset.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+        root = "/tmp/webloom-checkpoints"
+    return root.rstrip("/")
+
+
 _SHIPPED: set[str] = set()
 
 

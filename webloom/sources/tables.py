@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.session import ship
+from webloom.session import shared_root, ship
 
 
 def scan(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
@@ -21,6 +21,68 @@ def scan(spark: SparkSession, folder: str, columns: list[str] | None = None) ->
     return df.select(*columns) if columns else df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def shard_names(spark: SparkSession, folder: str) -> list[str]:
+    """The folder's Parquet files in order of name; none are an error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    names = sorted(n for f in found if (n := f.getPath().getName()).endswith(".parquet"))
+    if not names:
+        raise FileNotFoundError(f"no Parquet files in {folder}")
+    return names
+
+
+def dump_path(root: str, revision: str, dump: str) -> str:
+    """Where a dump of a pinned revision of a published dataset lies below ``root``, in whatever store that is."""
+    if not revision:
+        raise ValueError("a revision has to be named, so that two reads see the same files")
+    return f"{root.rstrip('/')}@{revision}/data/{dump}"
+
+
+def path_list(spark: SparkSession, path: str) -> DataFrame:
+    """path, place: the lines of a text file, gzip or not, that aren't blank, in their order."""
+    whole = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
+    return whole.select(F.posexplode("lines").alias("place", "path"))
+
+
+def set_sources(spark: SparkSession, paths: dict[str, str], schema: T.StructType | str = "text string, subdomain string, source string, subset string") -> DataFrame:
+    """set, domain, text of several JSON-lines sources, rows without text left out; the domain is the first of subdomain, source and subset that isn't empty."""
+    out = None
+    for name, path in paths.items():
+        rows = spark.read.schema(schema).json(path)
+        filled = [F.nullif(F.col(c), F.lit("")) if c in rows.columns else F.lit(None).cast("string") for c in ("subdomain", "source", "subset")]
+        part = rows.where("text is not null and text <> ''").select(F.lit(name).alias("set"), F.coalesce(*filled).alias("domain"), "text")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no sources")
+    return out
+
+
+def audit_stages(spark: SparkSession, path: str) -> DataFrame:
+    """pipeline, number, stage, kept of a filter audit's JSON file: an object of pipelines, each with a list of stages."""
+    schema = "map<string,struct<stages:array<struct<stage:string,kept:bigint>>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("pipeline", "found"))
+    return whole.select("pipeline", F.posexplode("found.stages").alias("number", "s")).select("pipeline", "number", "s.stage", "s.kept")
+
+
+def records(spark: SparkSession, path: str, schema: T.StructType | str, **equal) -> DataFrame:
+    """The records of a CSV or JSON-lines file with the given values."""
+    rows = json_lines(spark, path, schema) if path.endswith((".json", ".jsonl", ".jsonl.gz")) else typed_csv(spark, path, schema)
+    for name, value in equal.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows
+
+
+def study_tables(spark: SparkSession, models: str, losses: str, model_schema: str, loss_schema: str = "name string, target string, loss double") -> tuple[DataFrame, DataFrame]:
+    """The runs of a study and their losses by (name, target), from two CSV files."""
+    return typed_csv(spark, models, model_schema), typed_csv(spark, losses, loss_schema)
+
+
 def ordered_scan(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
     """Rows of all shards with their order: file name, then row."""
     df = spark.read.parquet(folder)
@@ -56,8 +118,7 @@ def verified_bytes(spark: SparkSession, path: str, sha256: str) -> DataFrame:
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/webloom-checkpoints"
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -79,6 +140,11 @@ def csv_cells(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """A CSV table with header; without rows there is none, and an older one goes."""
+    if df.isEmpty():
+        place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        return
     csv_cells(df).write.mode("overwrite").csv(path, header=True, nullValue="")
 
 
@@ -105,6 +171,12 @@ def choose_files(paths: list[str], n: int | None, key: str) -> list[str]:
     return [p for p in paths if p in chosen]
 
 
+def drawn_frame(paths: list[str], n: int | None, key: str) -> list[tuple[str, float]]:
+    """The chosen files with the probability that each had to be chosen."""
+    chosen = choose_files(paths, n, key)
+    return [(p, len(chosen) / len(paths)) for p in chosen]
+
+
 class _Text(HTMLParser):
     """Text of the elements that carry content."""
 
