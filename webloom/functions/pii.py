@@ -18,11 +18,10 @@ from webloom.functions.text import white_words
 from webloom.session import ship
 
 # The patterns and placeholders of the published corpus filter.
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-_LOCAL = "[a-z0-9!#$%&'*+/=?^_`{|}~-]+"
-_HOST = "[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
-EMAIL = re.compile(rf"\b{_LOCAL}(?:\.{_LOCAL})*@(?:(?:{_HOST}\.)+{_HOST}|\[(?:{_OCTET}\.){{3}}(?:{_OCTET}|[a-z0-9-]*[a-z0-9]:)])")
-IPV4 = re.compile(rf"(?:{_OCTET}\.){{3}}{_OCTET}")
+EMAIL = re.compile(
+    r"\b[a-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*@(?:(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?|\[(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?|[a-z0-9-]*[a-z0-9]:)])"
+)
+IPV4 = re.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)")
 EMAIL_PLACEHOLDERS = ("email@example.com", "firstname.lastname@example.org")
 IP_PLACEHOLDERS = ("22.214.171.124", "126.96.36.199", "188.8.131.52", "184.108.40.206", "220.127.116.11", "18.104.22.168")
 
