@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,9 @@ def with_shingles(df: DataFrame, id_col: str, text_col: str, part: Column, n: in
 
 
 def with_bands(signed: DataFrame, bands: int = 14, rows: int = 8) -> DataFrame:
-    """``signed`` (id, part, hashes) with one key per band, the hash of ``rows`` minima, in place of the hashes.
+    """``signed`` (id, part, hashes) with one key per band, the hash of ``rows`` minima, in place of the hashes; rows without hashes go.
 
+    They go here, not by a filter: Spark would push that below the shingles and split the text again for each of them.
     Minima over seeded permutations are array arithmetic, which numpy does in Arrow batches; as nested lambdas they
     would be interpreted.
     """
@@ -37,7 +39,7 @@ def with_bands(signed: DataFrame, bands: int = 14, rows: int = 8) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            batch, out = batch.filter(pc.greater(pc.list_value_length(batch.column(2)), 0)), []
             for values in batch.column(2):
                 h = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 least = np.full(bands * rows, np.iinfo(np.uint64).max)
@@ -68,10 +70,14 @@ def clusters(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(df: DataFrame, *, id_col: str = "id", text_col: str = "text", by: str | None = None, n: int = 5, bands: int = 14, rows: int = 8) -> DataFrame:
-    """id, root for the documents that share a band with another (of the same ``by``). Equal signatures are one member from the start, so a hot group of copies stays small."""
+    """id, root of each document with a word: the least id of those that shared bands connect to it (of the same ``by``).
+
+    A shared band is a link, whatever the similarity of the two texts: the published recipe verifies nothing. Equal
+    signatures are one member from the start, so a hot group of copies stays small.
+    """
     group = F.col(by) if by else F.lit("")
     signed = with_shingles(df, id_col, text_col, group, n)
-    signed = materialised(with_bands(signed.where(F.size("hashes") > 0), bands, rows).withColumn("same", F.xxhash64("part", "bands")))
+    signed = materialised(with_bands(signed, bands, rows).withColumn("same", F.xxhash64("part", "bands")))
     heads = signed.groupBy("same").agg(F.min("id").alias("head"), F.first("part").alias("part"), F.first("bands").alias("bands"))
     members = heads.select("head", F.posexplode("bands").alias("band", "key"), "part").select("head", F.xxhash64("part", "band", "key").alias("bucket"))
     least = members.groupBy("bucket").agg(F.min("head").alias("first"))
