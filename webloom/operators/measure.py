@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.functions.hashing import splitmix
 from webloom.functions.text import month_index, month_label
 from webloom.session import ship
 
@@ -24,15 +27,22 @@ def label_share(df: DataFrame, by: str, dump: str = "dump") -> DataFrame:
     return out.withColumns({"ai_share": F.try_divide("ai_tokens", "tokens"), "ai_or_mixed_share": F.try_divide(F.col("ai_tokens") + F.col("mixed_tokens"), F.col("tokens"))})
 
 
-def ratio_interval(values: np.ndarray, weights: np.ndarray, seed: int, draws: int = 2_000) -> tuple[float, float]:
-    """95 % percentile interval of sum(values) / sum(weights) over resampled documents."""
-    picks = np.random.default_rng(seed).integers(0, len(values), (draws, len(values)))
-    low, high = np.percentile(values[picks].sum(1) / weights[picks].sum(1), [2.5, 97.5])
+def ratio_interval(values: np.ndarray, weights: np.ndarray, seed: int, draws: int = 2_000, held: int = 4_000_000) -> tuple[float, float]:
+    """95 % percentile interval of sum(values) / sum(weights) over resampled documents; about ``held`` picks are held at a time."""
+    rng, ratios = np.random.default_rng(seed), []
+    for at in range(0, draws, step := max(1, held // max(1, len(values)))):
+        picks = rng.integers(0, len(values), (min(step, draws - at), len(values)))
+        ratios.append(values[picks].sum(1) / weights[picks].sum(1))
+    low, high = np.percentile(np.concatenate(ratios), [2.5, 97.5])
     return float(low), float(high)
 
 
 def share_interval(df: DataFrame, by: str, order: list[str], seed: int = 0, draws: int = 2_000) -> DataFrame:
-    """by, low, high: the bootstrap interval of the AI share of tokens. A group is a month's sample, whose size is a setting; resampling needs its rows together, in ``order``."""
+    """by, low, high: the bootstrap interval of the AI share of tokens, documents drawn by number in ``order``.
+
+    For groups of bounded size, such as a month's sample: the rows of one come together. ``poisson_interval`` does
+    without that.
+    """
     ship(df.sparkSession)
 
     def resampled(rows: pd.DataFrame) -> pd.DataFrame:
@@ -45,11 +55,89 @@ def share_interval(df: DataFrame, by: str, order: list[str], seed: int = 0, draw
     return df.where("label is not null").select(*dict.fromkeys([by, "label", "tokens", *order])).groupBy(by).applyInPandas(resampled, f"{by} {kind}, low double, high double")
 
 
+#: P(a Poisson variable of mean 1 is at most k), for k from 0.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def poisson_weights(keys: np.ndarray, seed: int, draws: int) -> np.ndarray:
+    """How often each key (unsigned 64 bits) is drawn, by key and draw: the same for a key wherever it is read."""
+    salts = splitmix(splitmix(np.array([seed], np.uint64)) ^ np.arange(1, draws + 1, dtype=np.uint64))
+    uniform = (splitmix(splitmix(keys)[:, None] ^ salts) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.searchsorted(POISSON, uniform.ravel(), side="right").reshape(uniform.shape).astype(np.float64)
+
+
+def poisson_interval(df: DataFrame, by: str, id_col: str, seed: int = 0, draws: int = 2_000, held: int = 2_000_000) -> DataFrame:
+    """by, low, high: the bootstrap interval of the AI share of tokens over groups of any size.
+
+    Each document gets a Poisson weight for each draw, from its id; sums by group and draw are formed where the
+    documents are read, so what is shuffled is draws by groups, never rows.
+    """
+    ship(df.sparkSession)
+    rows = df.where("label is not null").select(F.col(by).cast("string").alias("group"), F.xxhash64(id_col).alias("key"), F.col("tokens").cast("double").alias("tokens"), (F.col("label") == "AI").alias("ai"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([list(s[0]) for s in sums.values()], pa.list_(pa.float64())), pa.array([list(s[1]) for s in sums.values()], pa.list_(pa.float64()))], ["group", "ai", "every"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, step := max(1, held // draws)):
+                part = batch.slice(at, step)
+                weights = poisson_weights(part.column(1).to_numpy(zero_copy_only=False).view(np.uint64), seed, draws)
+                tokens, ai = part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False)
+                names = part.column(0).to_pylist()
+                for name in dict.fromkeys(names):
+                    here = np.array([n == name for n in names])
+                    both = np.stack([(tokens * ai)[here] @ weights[here], tokens[here] @ weights[here]])
+                    sums[name] = sums[name] + both if name in sums else both
+                if len(sums) * draws > held:
+                    yield out()
+                    sums = {}
+        if sums:
+            yield out()
+
+    parts = rows.mapInArrow(summed, "group string, ai array<double>, every array<double>")
+    by_draw = parts.select("group", F.posexplode(F.arrays_zip("ai", "every")).alias("draw", "s")).groupBy("group", "draw").agg((F.try_divide(F.sum("s.ai"), F.sum("s.every"))).alias("share"))
+    found = by_draw.groupBy("group").agg(F.percentile("share", F.lit([0.025, 0.975])).alias("q"))
+    return found.select(F.col("group").cast(df.schema[by].dataType).alias(by), F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
+
+
+def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, n, upto: how many rows have each value, and how many of the group have that or a smaller one. Nulls are left out.
+
+    Exact order statistics come from this without bringing a group's rows together.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """Per group ``rows``, the number of its rows, and the values at the named places of its sorted ones, from 0; a place may depend on ``rows``."""
+    counted = value_counts(df, by, value).withColumn("rows", F.max("upto").over(Window.partitionBy(*by)))
+    return counted.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in places.items()])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the exact quantiles, between two rows by interpolation."""
+    at = lambda q: F.lit(q) * (F.col("rows") - 1)
+    places = {f"{n}_{side}": end(at(q)) for n, q in shares.items() for side, end in (("low", F.floor), ("high", F.ceil))}
+    found = order_statistics(df, by, value, places)
+    return found.select(*by, *[(F.col(f"{n}_low") + (at(q) - F.floor(at(q))) * (F.col(f"{n}_high") - F.col(f"{n}_low"))).alias(n) for n, q in shares.items()])
+
+
 def cube(df: DataFrame, keys: list[str]) -> DataFrame:
     """Documents and tokens by the keys; rows without a label are left out."""
     return df.where("label is not null").groupBy(*keys).agg(F.count("*").alias("documents"), F.sum("tokens").cast("long").alias("tokens"))
 
 
+def quarter_shares(df: DataFrame, category: str, quarter: str = "quarter") -> DataFrame:
+    """quarter, category, documents, tokens, ai_tokens, share (percent of the quarter's tokens) and ai_share (percent within)."""
+    sums = df.groupBy(quarter, category).agg(F.count("*").alias("documents"), F.sum("tokens").cast("long").alias("tokens"), F.sum(F.when(F.col("label") == "AI", F.col("tokens")).otherwise(0)).cast("long").alias("ai_tokens"))
+    whole = F.sum("tokens").over(Window.partitionBy(quarter))
+    return sums.withColumns({"share": F.try_divide(100.0 * F.col("tokens"), whole), "ai_share": F.try_divide(100.0 * F.col("ai_tokens"), F.col("tokens"))})
+
+
 def survival(df: DataFrame, stages: list[str]) -> DataFrame:
     """stage, kept, and per label the percentage that all stages up to it keep; a missing flag removes, a label without documents is null. ``kept`` counts documents without a label too."""
     alive, columns = F.lit(True), []
@@ -121,6 +209,52 @@ def forecast_table(observed: DataFrame, first_month: str, last_month: str) -> Da
     return seen.select("month", F.lit("observed").alias("kind"), "share", none.alias("lo80"), none.alias("hi80"), none.alias("lo95"), none.alias("hi95")).unionByName(drift_forecast(seen, last_month))
 
 
+def bits_per_byte(nats: Column, size: Column) -> Column:
+    """Aggregate: nats over natural-log-2 times bytes; tokens of no bytes count on neither side. Null without bytes."""
+    return F.try_divide(F.sum(F.when(size > 0, nats)), math.log(2) * F.sum(size))
+
+
+def domain_scores(rows: DataFrame, by: list[str], *, nats: str = "nats", size: str = "bytes", doc: str = "doc_id") -> DataFrame:
+    """by, bpb, docs, windows, bytes, nats of scored windows."""
+    return rows.groupBy(*by).agg(bits_per_byte(F.col(nats), F.col(size)).alias("bpb"), F.count_distinct(doc).alias("docs"), F.count("*").alias("windows"), F.sum(size).cast("long").alias("bytes"), F.sum(F.when(F.col(size) > 0, F.col(nats))).alias("nats"))
+
+
+def macro_scores(domains: DataFrame, by: str, bpb: str = "bpb") -> DataFrame:
+    """by, bpb (mean over domains, each counting once), domains."""
+    return domains.groupBy(by).agg(F.avg(bpb).alias("bpb"), F.count(bpb).alias("domains"))
+
+
+def unit_interval(df: DataFrame, by: str, unit: str, value: Column, weight: Column, scale: float, seed: int = 0, draws: int = 2_000) -> DataFrame:
+    """by, rate (scale * sum of values / sum of weights), low, high (95 %), units: units (such as prompts) are resampled whole.
+
+    Values are summed by unit first; a resampling sees one row per unit of a group.
+    """
+    ship(df.sparkSession)
+    sums = df.groupBy(by, unit).agg(F.sum(value).cast("double").alias("v"), F.sum(weight).cast("double").alias("w"))
+
+    def resampled(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(unit)
+        v, w = rows["v"].to_numpy(), rows["w"].to_numpy()
+        low, high = ratio_interval(scale * v, w, seed, draws)
+        return pd.DataFrame({by: [rows[by].iloc[0]], "rate": [scale * v.sum() / w.sum()], "low": [low], "high": [high], "units": [len(rows)]})
+
+    return sums.groupBy(by).applyInPandas(resampled, f"{by} {df.schema[by].dataType.simpleString()}, rate double, low double, high double, units long")
+
+
+def labelled_only(df: DataFrame, columns: list[str], unlabelled: str = "unlabeled") -> DataFrame:
+    """The rows that have a category in each of the columns."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & (F.col(c) != unlabelled))
+    return df
+
+
+def length_batches(df: DataFrame, length: str, size: int, ties: str) -> DataFrame:
+    """``df`` and the batch of each row: ``size`` rows of neighbouring lengths, the shortest first."""
+    from webloom.operators.budget import running_total
+
+    return running_total(df, length, F.lit(1), ties=(ties,), name="batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
+
+
 def rmse(error: Column) -> Column:
     """Null where there are no rows."""
     return F.sqrt(F.avg(error * error))
@@ -132,19 +266,3 @@ def leave_one_out_gap(df: DataFrame, target: str, group: str, ours: str, theirs:
     every = Window.partitionBy(target)
     rest = lambda c: F.sum(c).over(every) - F.col(c)
     return sums.select(target, group, (F.sqrt(F.try_divide(rest("a"), rest("n"))) - F.sqrt(F.try_divide(rest("b"), rest("n")))).alias("gap"))
-
-
-def cluster_bootstrap(frames: list[tuple[str, np.ndarray, np.ndarray]], draws: int = 10_000, seed: int = 0) -> list[tuple[str, float, float, float]]:
-    """For each (name, errors of ours by group sums (a, n), errors of theirs): win rate of ours and the 95 % interval of the RMSE gap, groups resampled with one generator used in order."""
-    rng, out = np.random.default_rng(seed), []
-    for name, ours, theirs in frames:
-        weights = rng.multinomial(len(ours), np.full(len(ours), 1 / len(ours)), draws)
-        gap = np.sqrt(weights @ ours[:, 0] / (weights @ ours[:, 1])) - np.sqrt(weights @ theirs[:, 0] / (weights @ theirs[:, 1]))
-        low, high = np.percentile(gap, [2.5, 97.5])
-        out.append((name, float((gap < 0).mean()), float(low), float(high)))
-    return out
-
-
-def upper_median(values: Column) -> Column:
-    """The element in the middle of the sorted array, the upper one of two."""
-    return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import bisect
 import math
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice, tee
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from webloom.functions.hashing import training_order
 from webloom.operators.budget import fill_budget, require_budget, running_total
@@ -106,74 +108,85 @@ def pack_jobs(sizes: Iterable[int], most_units: int, most_items: int) -> Iterato
         yield job
 
 
-def jobs_by_shard(df: DataFrame, shard: str, order: str, units: str, most_units: int = 1_000, most_items: int = 1_000) -> DataFrame:
-    """shard, order, units, job. Packing is a matter of one shard, in its order; a shard is one task's file."""
-    ship(df.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(job=np.fromiter(pack_jobs(rows[units].tolist(), most_units, most_items), np.int64, len(rows)))
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[tuple]]]:
+    """The rows of sorted batches, run by run of the first column; rows are read as they are asked for."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    return groupby(rows, key=lambda r: r[0])
 
-    return df.select(shard, order, units).groupBy(shard).applyInPandas(packed, f"{shard} {kinds[shard]}, {order} {kinds[order]}, {units} {kinds[units]}, job long")
 
+def _batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4_096) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-class Shelf:
-    """Pieces waiting to be packed, by length and then by arrival."""
 
-    def __init__(self):
-        self.order: list[tuple[int, int, object, int]] = []
-        self.count = 0
+def jobs_by_shard(df: DataFrame, shard: str, order: str, units: str, most_units: int = 1_000, most_items: int = 1_000) -> DataFrame:
+    """shard, order, units, job. Packing is a matter of one shard, in its order; a shard, however long, streams past."""
+    ship(df.sparkSession)
+    rows = df.select(shard, order, units).repartition(shard).sortWithinPartitions(shard, order)
+    kinds = T.StructType([*rows.schema.fields, T.StructField("job", T.LongType())])
+    schema = to_arrow_schema(kinds)
 
-    def put(self, name: object, start: int, length: int) -> None:
-        bisect.insort(self.order, (length, self.count, name, start), key=lambda p: p[:2])
-        self.count += 1
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def jobs() -> Iterator[tuple]:
+            for _, run in _runs(batches):
+                items, sizes = tee(run)
+                yield from ((*item, job) for item, job in zip(items, pack_jobs((i[2] for i in sizes), most_units, most_items), strict=True))
 
-    def take(self, room: int) -> tuple[object, int, int] | None:
-        """The longest that fits, the first to arrive among equals."""
-        end = bisect.bisect_right(self.order, room, key=lambda p: p[0])
-        if not end:
-            return None
-        length, _, name, start = self.order.pop(bisect.bisect_left(self.order, self.order[end - 1][0], key=lambda p: p[0]))
-        return name, start, length
+        return _batches(jobs(), schema)
 
-    def shortest(self) -> tuple[object, int, int]:
-        length, _, name, start = self.order.pop(0)
-        return name, start, length
+    return rows.mapInArrow(packed, kinds)
 
 
 def best_fit(pieces: Iterable[tuple[object, int]], row: int, shelf_size: int = 1_000, keep_rest: bool = False) -> Iterator[list[tuple[object, int, int]]]:
-    """Full rows of (name, start, length): the longest piece that fits, else the shortest cut to fit, its rest kept or dropped. Pieces that fill no row at the end are left."""
-    source, shelf, done = iter(pieces), Shelf(), False
+    """Full rows of (name, start, length): the longest piece that fits, else the shortest cut to fit, its rest kept or dropped. Pieces that fill no row at the end are left.
+
+    At most ``shelf_size`` pieces wait at a time, in a queue for each length; bit k of one number says whether any of
+    length k waits, so the longest that fits is the top bit of the number below the room, and the shortest its lowest bit.
+    """
+    feed, queues, lengths, waiting = iter(pieces), defaultdict(deque), 0, 0
+    out, room = [], row
     while True:
-        out, room = [], row
-        while room:
-            while not done and len(shelf.order) < shelf_size:
-                piece = next(source, None)
-                done = piece is None
-                if piece is not None:
-                    shelf.put(piece[0], 0, piece[1])
-            if not shelf.order:
-                return
-            found = shelf.take(room)
-            if found is None:
-                name, start, length = shelf.shortest()
-                if keep_rest:
-                    shelf.put(name, start + room, length - room)
-                found = (name, start, room)
-            out.append(found)
-            room -= found[2]
-        yield out
+        for name, length in islice(feed, max(0, shelf_size - waiting)):
+            queues[length].append((name, 0))
+            lengths, waiting = lengths | 1 << length, waiting + 1
+        if not waiting:
+            return
+        size = (lengths & (2 << room) - 1 or lengths & -lengths).bit_length() - 1
+        name, start = queues[size].popleft()
+        waiting -= 1
+        if not queues[size]:
+            del queues[size]
+            lengths ^= 1 << size
+        used = min(size, room)
+        if keep_rest and used < size:
+            queues[size - used].append((name, start + used))
+            lengths, waiting = lengths | 1 << size - used, waiting + 1
+        out.append((name, start, used))
+        room -= used
+        if not room:
+            yield out
+            out, room = [], row
 
 
 def pack_rows(df: DataFrame, stream: str, order: str, length: str, row: int, shelf_size: int = 1_000, keep_rest: bool = False) -> DataFrame:
-    """stream, row, place, id, start, length: each stream's documents, in order, packed into full rows. A stream is one reader's share."""
+    """stream, row, place, id, start, length: each stream's documents, in order, packed into full rows.
+
+    A stream is one reader's share; how many there are is a setting (see ``reader_of``). It streams past: only the
+    shelf is held.
+    """
     ship(df.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = df.select(stream, order, "id", length).repartition(stream).sortWithinPartitions(stream, order, "id")
+    kinds = T.StructType([rows.schema[stream], *[T.StructField(c, T.LongType()) for c in ("row", "place")], rows.schema["id"], *[T.StructField(c, T.LongType()) for c in ("start", "length")]])
+    schema = to_arrow_schema(kinds)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((name, i, j, *piece) for name, run in _runs(batches) for i, pieces in enumerate(best_fit(((r[2], r[3]) for r in run), row, shelf_size, keep_rest)) for j, piece in enumerate(pieces))
+        return _batches(found, schema)
+
+    return rows.mapInArrow(packed, kinds)
 
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([order, "id"])
-        out = [(rows[stream].iloc[0], i, j, name, start, size) for i, r in enumerate(best_fit(zip(rows["id"].tolist(), rows[length].tolist(), strict=True), row, shelf_size, keep_rest)) for j, (name, start, size) in enumerate(r)]
-        return pd.DataFrame(out, columns=[stream, "row", "place", "id", "start", "length"])
 
-    return df.select(stream, order, "id", length).groupBy(stream).applyInPandas(packed, f"{stream} {kinds[stream]}, row long, place long, id {kinds['id']}, start long, length long")
+def reader_of(hash_col: str, readers: int) -> Column:
+    """The reader that a document of this hash (hex text) goes to."""
+    return F.pmod(F.conv(F.substring(hash_col, 1, 15), 16, 10).cast("long"), F.lit(readers)).cast("int")

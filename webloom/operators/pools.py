@@ -51,5 +51,24 @@ def held_out_tail(natural: DataFrame, pools: DataFrame, target: int, *, hash_col
     return budget.fill_budget(free, hash_col, tokens, target, ties=(id_col,), descending=True)
 
 
+def with_duplicates(pools: DataFrame, candidates: DataFrame, tokens: str = "tokens", id_col: str = "id") -> DataFrame:
+    """``pool_stats`` with rows for what is in no pool: _duplicates (rows beyond the first of an id) and _left_out (first rows of no pool)."""
+    counts = candidates.agg(F.count("*").alias("rows"), F.count_distinct(id_col).alias("ids"))
+    sizes = pools.agg(F.count("*").alias("placed")).crossJoin(F.broadcast(counts))  # one row each
+    extra = sizes.select(F.explode(F.array(F.struct(F.lit("_duplicates").alias("pool"), (F.col("rows") - F.col("ids")).alias("documents")), F.struct(F.lit("_left_out").alias("pool"), (F.col("ids") - F.col("placed")).alias("documents")))).alias("e"))
+    return pool_stats(pools, tokens).unionByName(extra.select("e.pool", "e.documents", F.lit(None).cast("long").alias("tokens")))
+
+
+def shaped_candidates(df: DataFrame, selection: str, label_columns: dict[str, str]) -> DataFrame:
+    """``df`` with its selection, and nulls for the label columns (name: type) it hasn't."""
+    missing = {c: F.lit(None).cast(t) for c, t in label_columns.items() if c not in df.columns}
+    return df.withColumns({"selection": F.lit(selection)} | missing)
+
+
+def by_label(df: DataFrame, label: str = "label", labels: tuple[str, ...] = ("Human", "AI")) -> dict[str, DataFrame]:
+    """The set as a whole (``all``) and the part of each label."""
+    return {"all": df} | {x.lower(): df.where(F.col(label) == x) for x in labels}
+
+
 def manifest(df: DataFrame, by: list[str], *, text_col: str = "text", tokens: str = "tokens") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("documents"), F.sum(F.char_length(text_col)).cast("long").alias("characters"), F.sum(tokens).cast("long").alias("tokens"))

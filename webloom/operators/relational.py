@@ -28,17 +28,10 @@ def unique_or_error(df: DataFrame, key: list[str], what: str) -> DataFrame:
     return df
 
 
-def with_position(df: DataFrame) -> DataFrame:
-    """A file-backed ``df`` and where each row stands: __file (name) and __row."""
-    return df.withColumns({"__file": F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "__row": F.col("_metadata.row_index") if "row_index" in df.select("_metadata.*").columns else F.monotonically_increasing_id()})
-
-
-def sidecar_join(docs: DataFrame, side: DataFrame, id_col: str = "id") -> DataFrame:
-    """Documents and a sidecar of the same file names and row order, joined by position; ids that differ are an error. Repeated ids don't multiply rows."""
-    left, right = with_position(docs), with_position(side).withColumnRenamed(id_col, "__side_id")
-    joined = left.join(right, ["__file", "__row"], "full")
-    same = F.when(F.col(id_col).eqNullSafe(F.col("__side_id")), F.col(id_col)).otherwise(F.raise_error(F.lit("document and sidecar ids differ")).cast(docs.schema[id_col].dataType))
-    return joined.withColumn(id_col, same).drop("__file", "__row", "__side_id")
+def full_path(df: DataFrame, paths: DataFrame, name_col: str, path_col: str) -> DataFrame:
+    """``df`` and the listed path that ends in its file name, the least of several; rows without one go."""
+    named = paths.groupBy(F.element_at(F.split(path_col, "/"), -1).alias(name_col)).agg(F.min(path_col).alias(path_col))
+    return df.join(named, name_col)
 
 
 def keyed_sidecar(docs: DataFrame, side: DataFrame, id_col: str = "id") -> DataFrame:
@@ -78,9 +71,11 @@ def control_closure(runs: DataFrame, chosen: DataFrame, name: str = "name", grou
     return runs.join(chosen, name, "left_semi").unionByName(runs.where("arm = 'control'").join(groups, group, "left_semi")).distinct()
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], left_value: str, right_value: str, tolerance: float, right_key: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: list[str], left_value: str, right_value: str, tolerance: float, right_key: str, gain: str | None = None, least_gain: float = 0.0) -> DataFrame:
     """Each left row and the right row of the same group whose value is nearest in ratio, if |ln ratio| is within the tolerance; ties go to the smaller key.
 
+    With ``gain``, a column of the right side, a left row whose nearest partner gains less than ``least_gain`` goes.
+
     Both sides are cut into cells of one tolerance on the logarithm, and a row is compared with its own and the two
     neighbouring cells, so the join is an equi-join.
     """
@@ -90,7 +85,8 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_value: str, r
     distance = F.abs(F.ln(F.col(f"match_{right_value}") / F.col(left_value)))
     pairs = numbered.join(other, [*by, "__cell"]).withColumn("distance", distance).where(F.col("distance") <= tolerance)
     best = Window.partitionBy("__left").orderBy("distance", f"match_{right_key}")
-    return pairs.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "__left", "__cell")
+    found = pairs.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "__left", "__cell")
+    return found.where(F.col(f"match_{gain}") >= least_gain) if gain else found
 
 
 def snap(value: Column, budgets: tuple[float, ...], tolerance: float = 0.015) -> Column:
