@@ -83,10 +83,11 @@ def test_near_duplicates_form_chains(spark):
 
 
 def test_filter_audit_flags_are_cumulative(spark):
-    good = "\n".join(f"This is the sentence number {i} and it has enough words of that kind to be kept with others." for i in range(8))
+    kinds = "red blue green brown white black gray pink".split()
+    good = "\n".join(f"This {k} sentence {i} has {k}est words, of {k} kinds to be {k}ish with {k}er {i * 7} others." for i, k in enumerate(kinds))
     df = spark.createDataFrame([(1, good, "en"), (2, good, "de"), (3, "Too short.", "en"), (4, None, "en"), (5, "same line of text here\n" * 40, "en")], "id long, text string, lang string")
     out = {r["id"]: r for r in filters.audit(df).collect()}
-    assert {i: r["removed_at"] for i, r in out.items()} == {1: None, 2: "english", 3: "gopher_quality", 4: "english", 5: "gopher_repetition"}
+    assert {i: r["removed_at"] for i, r in out.items()} == {1: None, 2: "language", 3: "gopher_repetition", 4: "language", 5: "gopher_repetition"}
     assert not out[5]["fineweb_quality"] and out[1]["fineweb_quality"]
 
 

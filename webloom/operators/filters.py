@@ -1,18 +1,25 @@
 """The corpus filter recipe as expressions, and the audit of what each stage removes.
 
-Language, repetition, quality, line clean-up (which edits the text that later stages see), then line statistics. The
-thresholds are the published ones of those filter families, all parameters.
+URL, language, repetition, quality, line clean-up (which edits the text that later stages see), then line statistics.
+The thresholds are the published ones of those filter families, all parameters.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.session import ship
+
 STAGES = ("english", "gopher_repetition", "gopher_quality", "c4", "fineweb_quality")
 # Common words of which a text should have two, and marks that end a line.
 STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
 LINE_ENDS = (".", "!", "?", '"', "'")
+# The largest share of a text's characters in its most frequent n-gram, and in repeated n-grams, by n.
+TOP_GRAMS = {2: 0.2, 3: 0.18, 4: 0.16}
+REPEATED_GRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.1}
 
 
 def words(text: Column) -> Column:
@@ -38,15 +45,63 @@ def duplicate_chars(items: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(chars(items) - chars(F.array_distinct(items)), F.char_length(text)), F.lit(0.0))
 
 
-def repetition_ok(text: Column, most_lines: float = 0.3, most_paragraphs: float = 0.3, most_chars: float = 0.2) -> Column:
-    paragraphs = F.filter(F.split(text, r"\n{2,}"), lambda x: F.trim(x) != "")
-    return (duplicate_share(lines(text)) <= most_lines) & (duplicate_share(paragraphs) <= most_paragraphs) & (duplicate_chars(lines(text), text) <= most_chars) & (duplicate_chars(paragraphs, text) <= most_chars)
+def top_share(codes: np.ndarray, sizes: np.ndarray, n: int, chars: int) -> float:
+    """Share of the text's characters in its most frequent n-gram (the first of equals), spaces within it counted."""
+    if len(codes) < n:
+        return 0.0
+    grams = np.lib.stride_tricks.sliding_window_view(codes, n)
+    _, first, counts = np.unique(grams, axis=0, return_index=True, return_counts=True)
+    at = int(first[counts == counts.max()].min())
+    return float((sizes[at : at + n].sum() + n - 1) * counts.max()) / chars
+
+
+def repeated_share(codes: np.ndarray, sizes: np.ndarray, n: int, chars: int) -> float:
+    """Share of the text's characters in n-grams that stood there before; after one of them the search goes on behind it."""
+    if len(codes) < n:
+        return 0.0
+    kinds, which = np.unique(np.lib.stride_tricks.sliding_window_view(codes, n), axis=0, return_inverse=True)
+    if len(kinds) == len(which):
+        return 0.0
+    so_far = np.concatenate([[0], np.cumsum(sizes)])
+    seen, total, free = np.zeros(len(kinds), bool), 0, 0
+    for at, kind in enumerate(which.tolist()):
+        if at < free:
+            continue
+        if seen[kind]:
+            total, free = total + int(so_far[at + n] - so_far[at]), at + n
+        seen[kind] = True
+    return total / chars
+
+
+def repeats(text: str, top: dict[int, float] = TOP_GRAMS, repeated: dict[int, float] = REPEATED_GRAMS) -> bool:
+    """Whether any n-gram rule finds too much of the text in one n-gram, or in repeated ones."""
+    found = text.split()
+    numbers: dict[str, int] = {}
+    codes = np.array([numbers.setdefault(w, len(numbers)) for w in found], np.int32)
+    sizes = np.array([len(w) for w in found], np.int64)
+    if len(numbers) == len(found) > 20 * max(top, default=1):
+        return False  # no word comes twice, and one n-gram is too small a part
+    return any(top_share(codes, sizes, n, len(text)) > most for n, most in top.items()) or any(repeated_share(codes, sizes, n, len(text)) > most for n, most in repeated.items())
+
+
+def gram_repetition(text: Column) -> Column:
+    """``repeats`` in Arrow batches; null for null. It counts as not deterministic, so that no filter is pushed below it and makes Spark split texts twice."""
+
+    @F.pandas_udf("boolean")
+    def tested(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else repeats(t)).astype(object)
+
+    return tested.asNondeterministic()(text)
+
+
+def line_repetition_ok(text: Column, rows: Column, paragraphs: Column, most_lines: float = 0.3, most_paragraphs: float = 0.3, most_chars: float = 0.2) -> Column:
+    return (duplicate_share(rows) <= most_lines) & (duplicate_share(paragraphs) <= most_paragraphs) & (duplicate_chars(rows, text) <= most_chars) & (duplicate_chars(paragraphs, text) <= most_chars)
 
 
-def quality_ok(text: Column, fewest: int = 50, most: int = 100_000, shortest: float = 3, longest: float = 10, symbols: float = 0.1, bullets: float = 0.9, ellipses: float = 0.3, letters: float = 0.8, stop_words: int = 2) -> Column:
-    w, n = words(text), F.size(words(text))
+def quality_ok(text: Column, w: Column, rows: Column, fewest: int = 50, most: int = 100_000, shortest: float = 3, longest: float = 10, symbols: float = 0.1, bullets: float = 0.9, ellipses: float = 0.3, letters: float = 0.8, stop_words: int = 2) -> Column:
+    """By the text, its words and its lines."""
+    n = F.size(w)
     mean = F.try_divide(_total(F.transform(w, lambda x: F.char_length(x))), n)
-    rows = lines(text)
     share = lambda test: F.coalesce(F.try_divide(F.size(F.filter(rows, test)), F.size(rows)), F.lit(0.0))
     marks = F.regexp_count(text, F.lit(r"#|\.\.\.|…"))
     return (
@@ -58,7 +113,7 @@ def quality_ok(text: Column, fewest: int = 50, most: int = 100_000, shortest: fl
 
 def cleaned_lines(text: Column, fewest_words: int = 3) -> Column:
     """The text without lines of few words, of script notices or of policies."""
-    keep = lambda x: (F.size(words(x)) >= fewest_words) & ~F.lower(x).rlike("javascript|terms of use|privacy policy|cookie policy|uses cookies|use of cookies|use cookies")
+    keep = lambda x: (F.regexp_count(x, F.lit(r"\S+")) >= fewest_words) & ~F.lower(x).rlike("javascript|terms of use|privacy policy|cookie policy|uses cookies|use of cookies|use cookies")
     return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
 
 
@@ -66,28 +121,48 @@ def cleaned_ok(original: Column, cleaned: Column, sentences: int = 5) -> Column:
     return ~F.lower(original).contains("lorem ipsum") & ~original.contains("{") & (F.regexp_count(cleaned, F.lit(r"[.!?](\s|$)")) >= sentences)
 
 
-def line_statistics_ok(text: Column, punctuated: float = 0.12, short: float = 0.67, short_chars: int = 30, duplicated: float = 0.1) -> Column:
-    rows = lines(text)
+def line_statistics_ok(text: Column, rows: Column, punctuated: float = 0.12, short: float = 0.67, short_chars: int = 30, duplicated: float = 0.1) -> Column:
+    """By the edited text and its lines."""
     n = F.size(rows)
-    ends = F.size(F.filter(rows, lambda x: F.rtrim(x).substr(F.char_length(F.rtrim(x)), F.lit(1)).isin(*LINE_ENDS)))
+    ends = F.size(F.filter(rows, lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*LINE_ENDS)))
     few = F.size(F.filter(rows, lambda x: F.char_length(x) < short_chars))
     return (n > 0) & (F.try_divide(ends, n) > punctuated) & (F.try_divide(few, n) < short) & (duplicate_chars(rows, F.replace(text, F.lit("\n"), F.lit(""))) <= duplicated)
 
 
-def audit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``df``, a cumulative flag for each stage, removed_at (first stage that fails, else null) and the edited text. Null texts fail at the first stage."""
-    out = df.withColumn("edited", cleaned_lines(F.col(text_col)))
-    tests = (F.col(lang_col) == "en", repetition_ok(F.col(text_col)), quality_ok(F.col(text_col)), cleaned_ok(F.col(text_col), F.col("edited")), line_statistics_ok(F.col("edited")))
-    out = out.withColumns({f"__{s}": F.coalesce(t, F.lit(False)) & F.col(text_col).isNotNull() for s, t in zip(STAGES, tests, strict=True)})
-    alive, flags = F.lit(True), {}
-    for s in STAGES:
-        alive = alive & F.col(f"__{s}")
-        flags[s] = alive
-    removed = F.coalesce(*[F.when(~F.col(f"__{s}"), F.lit(s)) for s in STAGES])
-    return out.withColumns(flags | {"removed_at": removed}).drop(*[f"__{s}" for s in STAGES])
+def audit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", url_col: str | None = None, blocklist: DataFrame | None = None) -> DataFrame:
+    """``df``, a cumulative flag for each stage, removed_at (first stage that fails, that of ``english`` being called language, else null) and the edited text. Null texts fail at the first stage.
+
+    With ``url_col`` and a ``blocklist`` of hosts (column host) a stage ``url_filter`` comes first. Words, lines and
+    paragraphs are columns of their own, each made once; n-gram rules are asked only of texts that pass the cheaper
+    tests before them.
+    """
+    stages = STAGES if blocklist is None else ("url_filter", *STAGES)
+    keep, text = [F.col(f"`{c}`") for c in df.columns], F.col(f"`{text_col}`")
+    if blocklist is not None:
+        hosts = blocklist.select(F.lower("host").alias("__host")).distinct().withColumn("__blocked", F.lit(True))
+        df = df.withColumn("__host", F.lower(F.try_parse_url(F.col(f"`{url_col}`"), F.lit("HOST")))).join(hosts, "__host", "left")
+        passes = F.col("__blocked").isNull().alias("__url")
+    else:
+        passes = F.lit(True).alias("__url")
+    split = df.select(*keep, passes, words(text).alias("__words"), lines(text).alias("__lines"), F.filter(F.split(text, r"\n{2,}"), lambda x: F.trim(x) != "").alias("__paragraphs"), cleaned_lines(text).alias("edited"))
+    split = split.select(*keep, "edited", "__url", "__words", "__lines", "__paragraphs", lines(F.col("edited")).alias("__edited_lines"))
+    w, rows = F.col("__words"), F.col("__lines")
+    tests = {"english": F.col(f"`{lang_col}`") == "en", "repetition": line_repetition_ok(text, rows, F.col("__paragraphs")), "gopher_quality": quality_ok(text, w, rows), "c4": cleaned_ok(text, F.col("edited")), "fineweb_quality": line_statistics_ok(F.col("edited"), F.col("__edited_lines"))}
+    ok = lambda test: F.coalesce(test, F.lit(False)) & text.isNotNull()
+    tested = split.select(*keep, "edited", F.struct(F.col("__url").alias("url_filter"), *[ok(t).alias(s) for s, t in tests.items()]).alias("__ok"))
+    asked = F.col("__ok.url_filter") & F.col("__ok.english") & F.col("__ok.repetition")
+    ship(df.sparkSession)
+    known = tested.select(*keep, "edited", "__ok", gram_repetition(F.when(asked, text)).alias("__repeats"))
+    passed = {s: F.col(f"__ok.{s}") for s in stages if s != "gopher_repetition"} | {"gopher_repetition": F.col("__ok.repetition") & ~F.coalesce("__repeats", F.lit(False))}
+    alive, flags = F.lit(True), []
+    for s in stages:
+        alive = alive & passed[s]
+        flags.append(alive.alias(s))
+    removed = F.coalesce(*[F.when(~passed[s], F.lit("language" if s == "english" else s)) for s in stages])
+    return known.select(*keep, *flags, removed.alias("removed_at"), "edited")
 
 
 def apply_filters(df: DataFrame, **columns) -> DataFrame:
     """The documents that pass every stage, with the edited text."""
-    kept = audit(df, **columns).where(F.col(STAGES[-1]))
-    return kept.withColumn(columns.get("text_col", "text"), F.col("edited")).drop("edited", "removed_at", *STAGES)
+    kept = audit(df, **columns).where("removed_at is null")
+    return kept.withColumn(columns.get("text_col", "text"), F.col("edited")).drop("edited", "removed_at", "url_filter", *STAGES)
