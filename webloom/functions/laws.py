@@ -2,7 +2,8 @@
 
 Coordinates of a run: n parameters in 1e8, d human tokens in 1e9, r added tokens per human token, t human tokens per
 20 parameters. A law takes its coefficients by name (those called log... are logarithms) and the coordinates, and gives
-the predicted loss; being expressions, laws run in generated code over any number of runs.
+the predicted loss; being expressions, laws run in generated code over any number of runs. The same laws take numpy
+arrays, complex ones too, which is what fitting needs (``webloom.functions.fitting``).
 """
 
 from __future__ import annotations
@@ -11,12 +12,35 @@ import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Coefficients = Mapping[str, float]
 
 
+def _either(on_column, on_array):
+    return lambda x: on_column(x) if isinstance(x, Column) else on_array(x)
+
+
+exp, log, log1p, expm1, tanh = (_either(getattr(F, f), getattr(np, f)) for f in ("exp", "log", "log1p", "expm1", "tanh"))
+
+
+def power(base, exponent):
+    if isinstance(base, Column) or isinstance(exponent, Column):
+        return F.pow(base, exponent if isinstance(exponent, Column) else F.lit(float(exponent)))
+    return base**exponent
+
+
+def positive_or(x, other: float):
+    """``x`` where it is above 0, else the number."""
+    return F.when(x > 0, x).otherwise(F.lit(other)) if isinstance(x, Column) else np.where(np.real(x) > 0, x, other)
+
+
+def smaller(a, b):
+    return F.least(a, b) if isinstance(a, Column) else np.where(np.real(a) <= np.real(b), a, b)
+
+
 @dataclass(frozen=True)
 class Coordinates:
     n: Column
@@ -51,51 +75,52 @@ def with_coordinates(df: DataFrame, parameters: str, human: str, added: str) ->
 
 
 def _exp(p: Coefficients, name: str) -> float:
-    return math.exp(p[name])
+    return math.exp(p[name]) if isinstance(p[name], (int, float)) else np.exp(p[name])
 
 
 def power_or_zero(base: Column, exponent: float) -> Column:
-    return F.when(base > 0, F.pow(base, F.lit(float(exponent)))).otherwise(F.lit(0.0))
+    if isinstance(base, Column):
+        return F.when(base > 0, power(base, exponent)).otherwise(F.lit(0.0))
+    return np.where(np.real(base) > 0, power(positive_or(base, 1.0), exponent), 0.0)
 
 
 def _floor_and_model(p: Coefficients, x: Coordinates) -> Column:
-    return F.lit(_exp(p, "logE")) + _exp(p, "logA") * F.pow(x.n, F.lit(-p["alpha"]))
+    return _exp(p, "logE") + _exp(p, "logA") * power(x.n, -p["alpha"])
 
 
 def _data(p: Coefficients, tokens: Column) -> Column:
-    return _exp(p, "logB") * F.pow(tokens, F.lit(-p["beta"]))
+    return _exp(p, "logB") * power(tokens, -p["beta"])
 
 
 def saturating(window: Column | float, r: Column) -> Column:
     """Credit that grows as ``r`` at first and levels off at the window."""
-    window = window if isinstance(window, Column) else F.lit(window)
-    return -window * F.expm1(-r / window)
+    return -window * expm1(-r / window)
 
 
 def window_of(p: Coefficients, x: Coordinates) -> Column:
-    return F.exp(F.lit(p["logK"]) + p.get("rho", 0.0) * F.log(x.t) + p.get("sigma", 0.0) * F.log(x.n))
+    return exp(p["logK"] + p.get("rho", 0.0) * log(x.t) + p.get("sigma", 0.0) * log(x.n))
 
 
 def credit_of(kind: str, p: Coefficients, x: Coordinates) -> Column:
     """Human tokens that the added ones are worth, per human token: none, linear, exp, rational or tanh."""
     if kind == "none":
-        return F.lit(0.0)
+        return 0.0 * x.r
     eta = _exp(p, "logeta") if "logeta" in p else 1.0
     if kind == "linear":
         return eta * x.r
     window = window_of(p, x)
-    forms = {"exp": lambda: saturating(window, x.r), "rational": lambda: x.r / (1 + x.r / window), "tanh": lambda: window * F.tanh(x.r / window)}
+    forms = {"exp": lambda: saturating(window, x.r), "rational": lambda: x.r / (1 + x.r / window), "tanh": lambda: window * tanh(x.r / window)}
     return eta * forms[kind]()
 
 
-def box_cox(r: Column, power: float) -> Column:
-    """((1 + r)^power - 1) / power, by its series near power 0."""
-    x = F.log1p(r)
-    if abs(power) >= 1e-5:
-        return F.expm1(power * x) / power
+def box_cox(r: Column, exponent: float) -> Column:
+    """((1 + r)^exponent - 1) / exponent, by its series near exponent 0."""
+    x = log1p(r)
+    if abs(exponent) >= 1e-5:
+        return expm1(exponent * x) / exponent
     out, term = x, x
     for k in range(2, 6):
-        term = term * x * power / k
+        term = term * x * exponent / k
         out = out + term
     return out
 
@@ -103,9 +128,9 @@ def box_cox(r: Column, power: float) -> Column:
 def harm_of(kind: str, p: Coefficients, x: Coordinates) -> Column:
     """Relative harm of the added tokens: none, logshare, log, boxcox or power."""
     if kind == "none":
-        return F.lit(0.0)
-    forms = {"logshare": lambda: F.log1p(x.r) - x.share, "log": lambda: F.log1p(x.r), "boxcox": lambda: box_cox(x.r, p["lam"]), "power": lambda: power_or_zero(x.r, p["power"])}
-    return p["gamma"] * F.pow(x.t, F.lit(p.get("u", 0.0))) * F.pow(x.n, F.lit(p.get("v", 0.0))) * forms[kind]()
+        return 0.0 * x.r
+    forms = {"logshare": lambda: log1p(x.r) - x.share, "log": lambda: log1p(x.r), "boxcox": lambda: box_cox(x.r, p["lam"]), "power": lambda: power_or_zero(x.r, p["power"])}
+    return p["gamma"] * power(x.t, p.get("u", 0.0)) * power(x.n, p.get("v", 0.0)) * forms[kind]()
 
 
 def effective_data_law(p: Coefficients, x: Coordinates, *, credit: str = "exp", harm: str = "logshare", on_data: bool = True) -> Column:
@@ -123,10 +148,10 @@ def muennighoff(p: Coefficients, x: Coordinates) -> Column:
     """Repetition of unique data, with excess parameters discounted too."""
     a, b = _exp(p, "logA"), _exp(p, "logB")
     data = x.d * (1 + saturating(_exp(p, "logK"), x.r))
-    optimal = (p["alpha"] * a / (p["beta"] * b)) ** (1 / p["alpha"]) * F.pow(x.d, F.lit(p["beta"] / p["alpha"]))
-    used = F.least(optimal, x.n)
+    optimal = (p["alpha"] * a / (p["beta"] * b)) ** (1 / p["alpha"]) * power(x.d, p["beta"] / p["alpha"])
+    used = smaller(optimal, x.n)
     size = used * (1 + saturating(_exp(p, "log_rn_star"), x.n / used - 1))
-    return F.lit(_exp(p, "logE")) + a * F.pow(size, F.lit(-p["alpha"])) + _data(p, data)
+    return _exp(p, "logE") + a * power(size, -p["alpha"]) + _data(p, data)
 
 
 def windowed(p: Coefficients, x: Coordinates) -> Column:
@@ -134,7 +159,7 @@ def windowed(p: Coefficients, x: Coordinates) -> Column:
 
 
 def lovelace(p: Coefficients, x: Coordinates) -> Column:
-    return chinchilla(p, x) + p["gamma"] * power_or_zero(x.r, p["power"]) * F.pow(x.t, F.lit(p["u"])) * F.pow(x.n, F.lit(p["v"]))
+    return chinchilla(p, x) + p["gamma"] * power_or_zero(x.r, p["power"]) * power(x.t, p["u"]) * power(x.n, p["v"])
 
 
 def atlas(p: Coefficients, x: Coordinates) -> Column:
@@ -142,19 +167,19 @@ def atlas(p: Coefficients, x: Coordinates) -> Column:
 
 
 def he(p: Coefficients, x: Coordinates) -> Column:
-    return chinchilla(p, x) * F.pow(x.human_share, F.lit(-p["family_power"]))
+    return chinchilla(p, x) * power(x.human_share, -p["family_power"])
 
 
 def hamidieh(p: Coefficients, x: Coordinates) -> Column:
     """Domain rates on the logarithms of raw token counts."""
-    log_human = F.log(x.d) + math.log(1e9)
-    log_added = log_human + F.log(F.when(x.r > 0, x.r).otherwise(F.lit(1.0)))
+    log_human = log(x.d) + math.log(1e9)
+    log_added = log_human + log(positive_or(x.r, 1.0))
     shift = p["domain_h_rate"] * x.human_share * log_human + p["domain_ai_rate"] * x.share * log_added
-    return _floor_and_model(p, x) + _exp(p, "logB") * F.exp(-p["beta"] * F.log(x.total) - shift)
+    return _floor_and_model(p, x) + _exp(p, "logB") * exp(-p["beta"] * log(x.total) - shift)
 
 
 def _mixture(p: Coefficients, x: Coordinates) -> Column:
-    return 1 / (_exp(p, "log_mix_h") * F.pow(x.human_share, F.lit(p["mix_h_power"])) + _exp(p, "log_mix_ai") * power_or_zero(x.share, p["mix_ai_power"]))
+    return 1 / (_exp(p, "log_mix_h") * power(x.human_share, p["mix_h_power"]) + _exp(p, "log_mix_ai") * power_or_zero(x.share, p["mix_ai_power"]))
 
 
 def shukor_additive(p: Coefficients, x: Coordinates) -> Column:
@@ -163,17 +188,17 @@ def shukor_additive(p: Coefficients, x: Coordinates) -> Column:
 
 def shukor_joint(p: Coefficients, x: Coordinates) -> Column:
     """Amplitudes that are powers of a mix of both sources'."""
-    mix = lambda kind: F.pow(_exp(p, f"log_{kind}_h") * x.human_share + _exp(p, f"log_{kind}_ai") * x.share, F.lit(p[f"{kind}_mix_power"]))
-    return F.lit(_exp(p, "logE")) + mix("model") * F.pow(x.n, F.lit(-p["alpha"])) + mix("data") * F.pow(x.total, F.lit(-p["beta"])) + _mixture(p, x)
+    mix = lambda kind: power(_exp(p, f"log_{kind}_h") * x.human_share + _exp(p, f"log_{kind}_ai") * x.share, p[f"{kind}_mix_power"])
+    return _exp(p, "logE") + mix("model") * power(x.n, -p["alpha"]) + mix("data") * power(x.total, -p["beta"]) + _mixture(p, x)
 
 
 def sedova(p: Coefficients, x: Coordinates) -> Column:
-    return _floor_and_model(p, x) + F.pow(x.n, F.lit(p["size_coupling"])) * _data(p, x.d * (1 + _exp(p, "log_transfer") * x.r)) + p["share_tax"] * x.share
+    return _floor_and_model(p, x) + power(x.n, p["size_coupling"]) * _data(p, x.d * (1 + _exp(p, "log_transfer") * x.r)) + p["share_tax"] * x.share
 
 
 def jain(p: Coefficients, x: Coordinates) -> Column:
-    noise = (1 + _exp(p, "log_surrogate_noise") * x.r) / F.pow(1 + x.r, F.lit(2.0))
-    return _floor_and_model(p, x) + _exp(p, "logB") * F.pow(noise / x.d, F.lit(p["beta"])) + p["mismatch"] * F.pow(x.share, F.lit(2.0))
+    noise = (1 + _exp(p, "log_surrogate_noise") * x.r) / power(1 + x.r, 2.0)
+    return _floor_and_model(p, x) + _exp(p, "logB") * power(noise / x.d, p["beta"]) + p["mismatch"] * power(x.share, 2.0)
 
 
 LAWS: dict[str, Callable[[Coefficients, Coordinates], Column]] = {

@@ -303,20 +303,20 @@ def format_mismatch(spark, sf):
 
 @query(BASE + ", s AS (SELECT dump, list_sort(list(tokens)) AS v FROM base GROUP BY dump) SELECT dump, v[len(v) // 2 + 1] AS middle, v[1] AS least, v[len(v)] AS most FROM s")
 def budget_spread(spark, sf):
-    s = base(spark, sf).groupBy("dump").agg(F.sort_array(F.collect_list("tokens")).alias("v"))
-    return s.select("dump", measure.upper_median(F.col("v")).alias("middle"), F.element_at("v", 1).alias("least"), F.element_at("v", -1).alias("most"))
+    found = measure.order_statistics(base(spark, sf), ["dump"], "tokens", {"middle": F.floor(F.col("rows") / 2), "least": F.lit(0), "most": F.col("rows") - 1})
+    return found.select("dump", "middle", "least", "most")
 
 
 @query(BASE + "SELECT lang, round(quantile_cont(tokens, 0.25), 6) AS q25, round(quantile_cont(tokens, 0.5), 6) AS q50, round(quantile_cont(tokens, 0.75), 6) AS q75 FROM base GROUP BY lang")
 def quartile_band(spark, sf):
-    q = base(spark, sf).groupBy("lang").agg(F.percentile("tokens", F.lit([0.25, 0.5, 0.75])).alias("q"))
-    return q.select("lang", *[F.round(F.get("q", i), 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    q = measure.quantiles(base(spark, sf), ["lang"], "tokens", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return q.select("lang", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
 
 
 @query()
 def share_interval(spark, sf):
     """Bootstrap interval of the AI share of tokens per source."""
-    return measure.share_interval(base(spark, sf), "dump", ["id"], seed=0, draws=500).withColumns({c: F.round(c, 9) for c in ("low", "high")})
+    return measure.poisson_interval(base(spark, sf), "dump", "id", seed=0, draws=500).withColumns({c: F.round(c, 9) for c in ("low", "high")})
 
 
 @query(f"SELECT doc_id AS id, sha256('{KEY}:' || CAST(doc_id AS VARCHAR)) AS h FROM documents")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import laws, solve
 from webloom.functions.hashing import rank_hash
-from webloom.operators import measure, mixture, relational
+from webloom.operators import budget, measure, mixture, relational
 from webloom.plans.base import BASE, KEY, base, query, read
 
 RUNS_SQL = """WITH r AS (SELECT o_orderkey AS name, o_custkey AS grp, CAST(o_totalprice AS DOUBLE) AS amount, o_orderpriority AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
@@ -245,24 +245,25 @@ def repeated_plan(spark, sf):
 
 @query("WITH r AS (SELECT o_orderkey AS name, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders) SELECT name, row // 64 AS step, row % 64 // 16 AS rank, row % 16 AS place FROM r")
 def rank_slices(spark, sf):
-    keyed = read(spark, sf, "orders").select(F.col("o_orderkey").alias("name"), F.lpad(F.col("o_orderkey").cast("string"), 16, "0").alias("h"))
-    from webloom.operators.budget import running_total
+    keyed = read(spark, sf, "orders").select(F.col("o_orderkey").alias("name"))
+    return mixture.rank_rows(budget.running_total(keyed, "name", F.lit(1), ties=(), name="row"), 64, 4).select("name", "step", "rank", "place")
 
-    return mixture.rank_rows(running_total(keyed, "h", F.lit(1), ties=("name",), name="row"), 64, 4).select("name", "step", "rank", "place")
 
-
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id // 100 AS shard, doc_id, CAST(least(1000, greatest(1, ceil(n_chars / 100))) AS BIGINT) AS units, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS n FROM documents),
+p AS (SELECT shard, doc_id, units, n, CAST(0 AS BIGINT) AS job, units AS total, 1 AS items FROM d WHERE n = 1
+  UNION ALL SELECT d.shard, d.doc_id, d.units, d.n, p.job + CASE WHEN p.total + d.units > 1000 OR p.items = 20 THEN 1 ELSE 0 END, CASE WHEN p.total + d.units > 1000 OR p.items = 20 THEN d.units ELSE p.total + d.units END, CASE WHEN p.total + d.units > 1000 OR p.items = 20 THEN 1 ELSE p.items + 1 END FROM p JOIN d ON d.shard = p.shard AND d.n = p.n + 1)
+SELECT shard, doc_id, units, job FROM p""")
 def packed_jobs(spark, sf):
-    """Billable jobs of consecutive documents of each source."""
-    docs = read(spark, sf, "documents").select("source", "doc_id", F.least(F.lit(1000), F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 100))).cast("long").alias("units"))
-    return mixture.jobs_by_shard(docs, "source", "doc_id", "units")
+    """Billable jobs of consecutive documents of each file, here of 100 ids."""
+    docs = read(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).cast("long").alias("shard"), "doc_id", F.least(F.lit(1000), F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 100))).cast("long").alias("units"))
+    return mixture.jobs_by_shard(docs, "shard", "doc_id", "units", 1_000, 20)
 
 
 @query()
 def packed_rows(spark, sf):
-    """Documents of each source packed into rows of 2,048 characters."""
-    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", rank_hash(KEY, "doc_id").alias("h"), F.col("n_chars").cast("long").alias("length"))
-    return mixture.pack_rows(docs.where("length > 0"), "source", "h", "length", 2_048, keep_rest=True)
+    """The documents of each of 16 readers packed into rows of 2,048 characters."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), rank_hash(KEY, "doc_id").alias("h"), F.col("n_chars").cast("long").alias("length"))
+    return mixture.pack_rows(docs.where("length > 0").withColumn("reader", mixture.reader_of("h", 16)), "reader", "h", "length", 2_048, keep_rest=True)
 
 
 @query()
