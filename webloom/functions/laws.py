@@ -201,6 +201,21 @@ def jain(p: Coefficients, x: Coordinates) -> Column:
     return _floor_and_model(p, x) + _exp(p, "logB") * power(noise / x.d, p["beta"]) + p["mismatch"] * power(x.share, 2.0)
 
 
+#: The named ablations of the effective-data law: credit, harm, whether the harm is on the data term, and the coefficients that are held at a value.
+ABLATIONS: dict[str, tuple[str, str, bool, dict[str, float]]] = {
+    "benefit_none": ("none", "logshare", True, {}), "benefit_linear": ("linear", "logshare", True, {}), "benefit_exp_unit": ("exp", "logshare", True, {"logeta": 0.0}), "benefit_rational": ("rational", "logshare", True, {}), "benefit_tanh": ("tanh", "logshare", True, {}),
+    "benefit_exp_constant": ("exp", "logshare", True, {"rho": 0.0}), "benefit_exp_size": ("exp", "logshare", True, {}), "ours": ("exp", "logshare", True, {"sigma": 0.0}), "harm_none": ("exp", "none", True, {"sigma": 0.0}),
+    "harm_logshare_constant": ("exp", "logshare", True, {"sigma": 0.0, "u": 0.0, "v": 0.0}), "harm_logshare_budget": ("exp", "logshare", True, {"sigma": 0.0, "v": 0.0}), "harm_logshare_size": ("exp", "logshare", True, {"sigma": 0.0, "u": 0.0}),
+    "harm_logshare_additive": ("exp", "logshare", False, {"sigma": 0.0}), "harm_log": ("exp", "log", True, {"sigma": 0.0}), "harm_boxcox": ("exp", "boxcox", True, {"sigma": 0.0}), "harm_power": ("exp", "power", False, {"sigma": 0.0}),
+}
+
+
+def ablation(name: str, p: Coefficients, x: Coordinates) -> Column:
+    """The loss by a named ablation; all but the one with a window by size hold sigma at 0."""
+    credit, harm, on_data, held = ABLATIONS[name]
+    return effective_data_law({**p, **({} if name == "benefit_exp_size" else {"sigma": 0.0}), **held}, x, credit=credit, harm=harm, on_data=on_data)
+
+
 LAWS: dict[str, Callable[[Coefficients, Coordinates], Column]] = {
     "effective_data": effective_data_law, "chinchilla": chinchilla, "muennighoff": muennighoff, "windowed": windowed, "lovelace": lovelace, "atlas": atlas,
     "he": he, "hamidieh": hamidieh, "shukor_additive": shukor_additive, "shukor_joint": shukor_joint, "sedova": sedova, "jain": jain,

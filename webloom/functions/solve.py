@@ -87,6 +87,12 @@ def equivalent_tokens(law: Law, p: Coefficients, parameters: Column, goal: Colum
     return F.struct(F.when(n == 1, F.exp(bisect(over, F.get(crossings, 0), F.get(crossings, 0) + step))).alias("tokens"), status.alias("status"))
 
 
+def compute_equivalent_gain(law: Law, p: Coefficients, parameters: Column, goal: Column, tokens: Column, share: float, low_tpp: float, high_tpp: float, points: int = 1024) -> Column:
+    """struct<ceg, status>: the reference mix's tokens that reach the loss ``goal``, per token that the run took."""
+    same = equivalent_tokens(law, p, parameters, goal, share, low_tpp, high_tpp, points)
+    return F.struct((same["tokens"] / tokens).alias("ceg"), same["status"].alias("status"))
+
+
 def critical_share(human_change: Column, ai_change: Column) -> Column:
     """Share of AI text in an evaluation at which harm on human text and gain on AI text cancel; null unless there are both."""
     return F.when((human_change > 0) & (ai_change < 0), human_change / (human_change - ai_change))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,16 +73,37 @@ def billable_units(text: Column, words_per_unit: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(white_words(text) / words_per_unit)).cast("long")
 
 
+#: What is taken for an emoji: pictographs beyond the basic plane, dingbats and symbols, with their variation mark.
+EMOJI = "[\U0001F1E6-\U0001FAFF\u2600-\u27BF\u2B50\u2B55\u231A\u231B\u23E9-\u23F3]\ufe0f?"
+
+
+def emoji_named(value: str) -> str:
+    """Each emoji as its Unicode name between colons, in lower case with underscores."""
+    return re.sub(EMOJI, lambda m: f":{unicodedata.name(m[0][0], 'emoji').lower().replace(' ', '_').replace('-', '_')}:", value)
+
+
+def emoji_to_text(text: Column) -> Column:
+    """``emoji_named`` in Arrow batches, only of texts that hold an emoji."""
+
+    @F.pandas_udf("string")
+    def named(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else emoji_named(t))
+
+    has = text.rlike(r"[\x{1F1E6}-\x{1FAFF}\u2600-\u27BF\u2B50\u2B55\u231A\u231B\u23E9-\u23F3]")
+    return F.when(has, named(F.when(has, text))).otherwise(text)
+
+
 def without_preamble(text: Column) -> Column:
     """The text without its first line that isn't blank, if there are others and it opens like a chatbot's reply; blank lines go with it."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
-    first = F.regexp_replace(F.get(lines, 0), r"^[^a-zA-Z0-9]*", "")
+    first = F.regexp_replace(F.regexp_replace(F.get(lines, 0), r"^[^a-zA-Z0-9]*", ""), r"[\x{1F1E6}-\x{1FAFF}\u2600-\u27BF]", "")
     opens = first.rlike("^(?:" + "|".join(PREAMBLES) + ")")
     return F.when((F.size(lines) >= 2) & opens, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "\n")).otherwise(text)
 
 
 def cleaned_text(text: Column) -> Column:
-    """The input of a label model: what follows a reasoning block, no preamble, lower case, single spaces."""
+    """The input of a label model: emoji named, what follows a reasoning block, no preamble, lower case, single spaces."""
+    text = emoji_to_text(text)
     parts = F.split(text, "</think>")
     after = F.when(F.size(parts) > 1, F.trim(F.get(parts, 1))).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(without_preamble(after)), r"\s+", " "))

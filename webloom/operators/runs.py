@@ -139,6 +139,31 @@ def heat_cells(counts: DataFrame, across: str, down: str, least: int, cap: float
     return joined.select(across, down, "documents", "percent", F.least(F.lit(1.0), F.try_divide("percent", "__top")).alias("shade"), f"{across}_place", f"{down}_place")
 
 
+def catalog(runs: DataFrame, group: str = "grp") -> DataFrame:
+    """``runs`` (name, group, arm) with the control of each addition and the partner of each run of a filtering pair, null for others; of several the least name."""
+    least = lambda arms, to: runs.where(F.col("arm").isin(*arms)).groupBy(group).agg(F.min("name").alias(to))
+    joined = runs.join(least(["control"], "__control"), group, "left").join(least(["natural"], "__natural"), group, "left").join(least(["filtered"], "__filtered"), group, "left")
+    control = F.when(F.col("arm").isin("ai", "human", "repeat"), F.col("__control"))
+    partner = F.when(F.col("arm") == "natural", F.col("__filtered")).when(F.col("arm") == "filtered", F.col("__natural"))
+    return joined.select(*runs.columns, control.alias("control"), partner.alias("partner"))
+
+
+def members(runs: DataFrame, group: str = "grp") -> DataFrame:
+    """group, control, ai, human: the group's control and its additions in order of name. A group is some tens of runs."""
+    of = lambda arm: F.sort_array(F.collect_list(F.when(F.col("arm") == arm, F.col("name")))).alias(arm)
+    return runs.groupBy(group).agg(F.min(F.when(F.col("arm") == "control", F.col("name"))).alias("control"), of("ai"), of("human"))
+
+
+def added_fraction(arm: Column, human: Column, added: Column, control_human: Column) -> Column:
+    """Tokens a run adds per human token of its control: AI ones, or human ones beyond the control's."""
+    return F.when(arm == "human", human / control_human - 1).otherwise(added / human)
+
+
+def unique_cases(cases: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Every case once, where it is asked for first."""
+    return cases.groupBy(*key).agg(F.min(order).alias(order))
+
+
 def run_steps(registry: DataFrame, wanted: DataFrame) -> DataFrame:
     """The registered steps of the wanted runs (name) and of their groups' controls, which filtered runs borrow."""
     control = registry.where("arm = 'control'").select("grp", F.col("steps").alias("control_steps"))

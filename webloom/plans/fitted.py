@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from webloom.functions import laws
 from webloom.operators import fits, runs
 from webloom.plans.base import query, read
-from webloom.plans.studies import C4, ERRORS_SQL, OTHER, errors
+from webloom.plans.studies import C4, CREDITS, ERRORS_SQL, HARMS, OTHER, errors
 
 SIZES, BUDGETS, ADDED = 5, 4, 7
 CASES = {("effective_data", "human", "all"): C4, ("chinchilla", "human", "all"): OTHER}
@@ -207,5 +207,57 @@ def equivalent_token_ladder(spark, sf):
     n, h = F.lit(1e8), F.lit(2e9)
     total = h / (1 - F.col("share"))
     found = shares.withColumn("goal", solve.loss(laws.effective_data_law, C4, n, h, total * F.col("share"))).withColumn("total", total)
-    same = solve.equivalent_tokens(laws.effective_data_law, C4, n, F.col("goal"), 0.22315880974511895, 0.5, 200.0, points=256)
-    return found.select("share", F.round(same["tokens"] / F.col("total"), 4).alias("ceg"), same["status"].alias("status"))
+    same = solve.compute_equivalent_gain(laws.effective_data_law, C4, n, F.col("goal"), F.col("total"), 0.22315880974511895, 0.5, 200.0, points=256)
+    return found.select("share", F.round(same["ceg"], 4).alias("ceg"), same["status"].alias("status"))
+
+
+MEMBERS = "WITH r AS (SELECT o_orderkey AS name, o_custkey AS grp, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), a AS (SELECT name, grp, CASE WHEN n = 1 THEN 'control' WHEN n % 4 = 2 THEN 'ai' WHEN n % 4 = 3 THEN 'human' WHEN n % 4 = 0 THEN 'natural' ELSE 'filtered' END AS arm FROM r)\n"
+
+
+def _armed(spark, sf):
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("grp").orderBy("name"))
+    rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_custkey").alias("grp")).withColumn("n", n)
+    return rows.select("name", "grp", F.when(F.col("n") == 1, "control").when(F.col("n") % 4 == 2, "ai").when(F.col("n") % 4 == 3, "human").when(F.col("n") % 4 == 0, "natural").otherwise("filtered").alias("arm"))
+
+
+@query(MEMBERS + "SELECT a.name, a.arm, CASE WHEN a.arm IN ('ai', 'human') THEN min(b.name) FILTER (WHERE b.arm = 'control') END AS control, CASE a.arm WHEN 'natural' THEN min(b.name) FILTER (WHERE b.arm = 'filtered') WHEN 'filtered' THEN min(b.name) FILTER (WHERE b.arm = 'natural') END AS partner FROM a JOIN a b USING (grp) GROUP BY a.name, a.arm")
+def run_catalog(spark, sf):
+    return runs.catalog(_armed(spark, sf)).select("name", "arm", "control", "partner")
+
+
+@query(MEMBERS + "SELECT grp, min(name) FILTER (WHERE arm = 'control') AS control, coalesce(list(name ORDER BY name) FILTER (WHERE arm = 'ai'), []) AS ai, coalesce(list(name ORDER BY name) FILTER (WHERE arm = 'human'), []) AS human FROM a GROUP BY grp")
+def arm_members(spark, sf):
+    return runs.members(_armed(spark, sf))
+
+
+@query(STUDY + "SELECT l.name, round(CASE WHEN l.arm = 'human' THEN l.human / c.human - 1 ELSE l.r END, 9) AS fraction, round(100 * (l.loss / c.loss - 1), 9) AS change FROM l JOIN l c ON c.name = l.control")
+def added_fractions(spark, sf):
+    rows = _with_losses(spark)
+    control = rows.where("arm = 'control'").select("control", F.col("human").alias("control_human"), F.col("loss").alias("control_loss"))
+    fraction = runs.added_fraction(F.col("arm"), F.col("human"), F.col("added"), F.col("control_human"))
+    return rows.join(control, "control").select("name", F.round(fraction, 9).alias("fraction"), F.round(100 * (F.col("loss") / F.col("control_loss") - 1), 9).alias("change"))
+
+
+@query("SELECT l_shipmode AS law, l_returnflag AS target, min(l_orderkey) AS first FROM lineitem GROUP BY 1, 2".replace("l_shipmode", "l_linestatus"))
+def unique_fit_cases(spark, sf):
+    cases = read(spark, sf, "lineitem").select(F.col("l_linestatus").alias("law"), F.col("l_returnflag").alias("target"), F.col("l_orderkey").alias("first"))
+    return runs.unique_cases(cases, ["law", "target"], "first")
+
+
+def _ablation_sql(name):
+    credit, harm, on_data, held = laws.ABLATIONS[name]
+    window = f"(0.31 * pow(t, {held.get('rho', -0.9)}) * pow(n, {0.1 if name == 'benefit_exp_size' else 0.0}))"
+    worth = CREDITS[credit].replace("w", window) if credit != "none" else "0"
+    if "logeta" in held:
+        worth = worth.replace("0.6 * ", "1.0 * ", 1)
+    data, hurt = f"0.418 * pow(d * (1 + {worth}), -0.23)", f"0.06 * pow(t, {held.get('u', -0.3)}) * pow(n, {held.get('v', -0.1)}) * {HARMS[harm]}"
+    return f"round(0.556 + 0.205 * pow(n, -0.36) + {f'({data}) * (1 + {hurt})' if on_data else f'{data} + {hurt}'}, 8) AS {name}"
+
+
+@query(STUDY + "SELECT name, " + ", ".join(map(_ablation_sql, laws.ABLATIONS)) + " FROM x")
+def named_ablations(spark, sf):
+    """The sixteen forms of the effective-data law over the study's runs."""
+    x, p = laws.Coordinates.of(F.col("parameters"), F.col("human"), F.col("added")), OTHER | {"lam": -0.4}
+    return study(spark).select("name", *[F.round(laws.ablation(n, p, x), 8).alias(n) for n in laws.ABLATIONS])

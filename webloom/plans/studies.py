@@ -139,7 +139,12 @@ def rival_laws(spark, sf):
     return grid(spark).select("params", "human", "ratio", *[F.round(law(OTHER, x), 8).alias(name) for name, law in laws.LAWS.items() if name != "effective_data"])
 
 
-@query()
+# Credits and harms of the effective-data law in SQL, over n, d, r, t and the window w.
+CREDITS = {"none": "0", "linear": "0.6 * r", "exp": "0.6 * w * (1 - exp(-r / w))", "rational": "0.6 * r / (1 + r / w)", "tanh": "0.6 * w * ((1 - exp(-2 * r / w)) / (1 + exp(-2 * r / w)))"}
+HARMS = {"none": "0", "logshare": "(ln(1 + r) - r / (1 + r))", "log": "ln(1 + r)", "boxcox": "(exp(-0.4 * ln(1 + r)) - 1) / -0.4", "power": "CASE WHEN r > 0 THEN pow(r, 0.8) ELSE 0 END"}
+
+
+@query(GRID_SQL + "SELECT params, human, ratio, " + ", ".join(f"round(0.556 + 0.205 * pow(n, -0.36) + {data}, 8) AS {c}_{h}_{on}" for c, credit in CREDITS.items() for h, harm in HARMS.items() for on, data in (("data", f"0.418 * pow(d * (1 + {credit}), -0.23) * (1 + 0.06 * pow(t, -0.3) * pow(n, -0.1) * {harm})"), ("loss", f"0.418 * pow(d * (1 + {credit}), -0.23) + 0.06 * pow(t, -0.3) * pow(n, -0.1) * {harm}"))) + " FROM (SELECT *, 0.31 * pow(t, -0.9) * pow(n, 0.1) AS w FROM x)")
 def law_ablations(spark, sf):
     """Every credit and harm of the effective-data law over the grid."""
     x, p = coordinates(), OTHER | {"lam": -0.4}
