@@ -4,7 +4,8 @@ A rule rejects a document whose feature exceeds a cutoff. On labelled documents
 from the mildest to the strictest, in each stratum (language) on its own. A cutoff is certified if the exact
 binomial bound shows that it rejects at most its share of the allowed rate of good documents. Testing stops at the
 first that fails (fixed-sequence testing, which needs no correction along the sequence); over strata and rules the
-error level is divided (Bonferroni). So with probability 1 - ``level`` no stratum loses more than ``risk`` of its good
+error level is divided (Bonferroni). The risk is divided over the rules as well, for another reason: a document is
+lost if any one rule rejects it, so the rules' rates add up. So with probability 1 - ``level`` no stratum loses more than ``risk`` of its good
 documents (those that the fixed base lets pass) to the rules. Among certified cutoffs those count whose
 labelled rejections are mostly bad; of these the mildest is taken that still catches 98 % of the strictest's catch.
 
@@ -166,7 +167,11 @@ def judge(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def quality_filter(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``df``, with its columns, that ``judge`` keeps."""
+    """The rows of ``df``, with its columns, that ``judge`` keeps.
+
+    Null, empty and short texts go, as they fail the base; repeated rows stay or go alike; a null id has no label and
+    is judged like others; an empty table stays empty; without labels only the base rejects.
+    """
     names = [f"c{i}" for i in range(len(df.columns))]  # so that no column clashes with those added here
     id_, text, lang = (names[df.columns.index(c)] for c in (id_col, text_col, lang_col))
     features = written(with_features(df.toDF(*names), text))

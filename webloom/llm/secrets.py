@@ -202,7 +202,8 @@ def mask(text: str, spans: list[tuple[int, int, int]], placeholder: str = "<SECR
 def redact(df: DataFrame, *, text_col: str = "text", count_col: str | None = "n_chars", placeholder: str = "<SECRET>", rate: float = 1e-4, random_level: float = 1e-3) -> DataFrame:
     """``df`` with the secrets in its texts replaced; ``count_col``, if it is there, gets the new number of code points.
 
-    All rows and columns stay; rows without findings and null texts are unchanged.
+    All rows and columns stay, repeated rows and null ids too; rows without findings and null or empty texts are
+    unchanged; an empty table stays empty.
     """
     at = df.columns.index(text_col)
     count = df.columns.index(count_col) if count_col in df.columns else None
