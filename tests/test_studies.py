@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import fitting, laws
-from webloom.operators import fits, runs
+from webloom.operators import fits, relational, runs
 from webloom.plans import fitted
 from webloom.plans.studies import C4, OTHER
 
@@ -79,3 +79,23 @@ def test_bootstrap_of_groups(spark):
     got = fits.group_bootstrap(spark.createDataFrame(rows, "target string, grp int, ours double, theirs double"), ["target"], "grp", "ours", "theirs", draws=500).first()
     assert got["groups"] == 12 and got["low"] <= got["gap"] <= got["high"] and got["p_ours_lower"] == 1.0
     assert got["gap"] == pytest.approx(0.2 - math.sqrt(np.mean([r[2] ** 2 for r in rows])))
+
+
+def test_huber_of_columns_is_that_of_arrays(spark):
+    values = [-0.3, -0.1, 0.0, 0.05, 2.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(F.sum(laws.huber(F.col("v")))).first()[0]
+    assert got == pytest.approx(fitting.cost(np.array(values)))
+
+
+def test_only_allowed_values(spark):
+    df = spark.createDataFrame([("a",), (None,)], "v string")
+    assert [r[0] for r in df.select(relational.one_of(F.col("v"), ("a", "b"))).collect()] == ["a", None]
+    with pytest.raises(Exception, match="not allowed"):
+        df.select(relational.one_of(F.col("v"), ("b",))).collect()
+
+
+def test_nearest_partner_has_to_gain(spark):
+    left = spark.createDataFrame([(1, "s", 1.0), (2, "s", 2.0)], "name int, size string, amount double")
+    right = spark.createDataFrame([(7, "s", 1.05, 0.5), (8, "s", 2.05, 0.01)], "name int, size string, amount double, gain double")
+    found = relational.nearest(left, right, ["size"], "amount", "amount", 0.15, "name", "gain", 0.1)
+    assert [(r["name"], r["match_name"]) for r in found.collect()] == [(1, 7)]

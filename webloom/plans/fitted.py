@@ -124,7 +124,7 @@ def masking_summary(spark, sf):
     return runs.masking_at(_contrasts(spark), (0.0, 0.05, 0.1, 0.25, 0.5)).withColumns({c: F.round(c, 9) for c in ("masked_share", "median_change")})
 
 
-@query()
+@query(CONTRASTS.replace("WITH g", "WITH RECURSIVE g") + ", k AS MATERIALIZED (SELECT list(delta_human) AS dh, list(delta_ai) AS da, list(control_human) AS ch, list(control_ai) AS ca FROM c WHERE delta_human > 0), b AS (SELECT CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high, 0 AS step UNION ALL SELECT CASE WHEN med > 0 THEN middle ELSE low END, CASE WHEN med > 0 THEN high ELSE middle END, step + 1 FROM (SELECT b.*, (low + high) / 2 AS middle, list_median(list_transform(range(1, len(dh) + 1), lambda i: ((1 - (low + high) / 2) * dh[i] + (low + high) / 2 * da[i]) / ((1 - (low + high) / 2) * ch[i] + (low + high) / 2 * ca[i]))) AS med FROM b, k WHERE step < 60)) SELECT 'all' AS study, round((low + high) / 2, 9) AS share FROM b WHERE step = 60")
 def masking_flip(spark, sf):
     """The AI share at which the median reported change turns, over all harmed runs."""
     return runs.median_flip(_contrasts(spark).withColumn("study", F.lit("all")), "study").withColumn("share", F.round("share", 9))

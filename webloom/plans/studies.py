@@ -213,7 +213,22 @@ def observed_shares(spark, sf):
     return table.where("kind = 'observed'").select("month", "kind", F.round("share", 9).alias("share"))
 
 
-@query()
+# Student's quantiles by bisection, the density summed by Simpson's rule.
+FORECAST_SQL = """WITH RECURSIVE m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) / 400000 AS share FROM orders GROUP BY 1),
+o AS MATERIALIZED (SELECT month, share, CAST(substr(month, 1, 4) AS BIGINT) * 12 + CAST(substr(month, 6, 2) AS BIGINT) - 1 AS place FROM m WHERE month >= '1996-01'),
+e AS MATERIALIZED (SELECT min(place) AS t0, max(place) AS t1, arg_min(share, place) AS s0, arg_max(share, place) AS s1, count(*) AS n, CAST(count(*) - 2 AS DOUBLE) AS v FROM o),
+s AS (SELECT place - lag(place) OVER (ORDER BY place) AS gap, share - lag(share) OVER (ORDER BY place) AS rise FROM o),
+f AS MATERIALIZED (SELECT e.*, (s1 - s0) / (t1 - t0) AS drift, (SELECT sum(pow((rise - (s1 - s0) / (t1 - t0) * gap) / sqrt(gap), 2)) FROM s WHERE gap IS NOT NULL) / (n - 2) AS variance FROM e),
+b AS (SELECT p, CAST(0 AS DOUBLE) AS low, CAST(50 AS DOUBLE) AS high, 0 AS step FROM (VALUES (0.9), (0.975)) x(p)
+  UNION ALL SELECT p, CASE WHEN below < p THEN middle ELSE low END, CASE WHEN below < p THEN high ELSE middle END, step + 1
+  FROM (SELECT b.*, (low + high) / 2 AS middle, 0.5 + (low + high) / 2 / 12000 * list_sum(list_transform(range(4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow((low + high) / 2 * i / 4000, 2) / v, -(v + 1) / 2))) AS below FROM b, e WHERE step < 60)),
+q AS (SELECT max(CASE WHEN p = 0.9 THEN (low + high) / 2 END) AS q80, max(CASE WHEN p = 0.975 THEN (low + high) / 2 END) AS q95 FROM b WHERE step = 60),
+a AS (SELECT t1 + h AS place, s1 + drift * h AS mean, sqrt(variance * (h + h * h / (t1 - t0))) AS sd, q80, q95 FROM f, q, range(1, 2003 * 12 + 12 - CAST((SELECT t1 FROM e) AS BIGINT)) r(h))
+SELECT month, 'observed' AS kind, round(share, 9) AS share, CAST(NULL AS DOUBLE) AS lo80, CAST(NULL AS DOUBLE) AS hi80, CAST(NULL AS DOUBLE) AS lo95, CAST(NULL AS DOUBLE) AS hi95 FROM o
+UNION ALL SELECT lpad(CAST(place // 12 AS VARCHAR), 4, '0') || '-' || lpad(CAST(place % 12 + 1 AS VARCHAR), 2, '0'), 'forecast', """ + ", ".join(f"round(greatest(0.0, least(1.0, {x})), 9)" for x in ("mean", "mean - q80 * sd", "mean + q80 * sd", "mean - q95 * sd", "mean + q95 * sd")) + " FROM a"
+
+
+@query(FORECAST_SQL)
 def share_forecast(spark, sf):
     """Drift forecast of a monthly share with 80 and 95 % intervals."""
     m = read(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg((F.avg("o_totalprice") / 400_000).alias("share"))
