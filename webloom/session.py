@@ -37,9 +37,16 @@ def shared_root(spark: SparkSession) -> str:
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch in place of Spark's default of 10,000, which with whole texts would be some 100 MB a task.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application, so that Python functions of it run wherever they are sent."""
+    """Give executors this package, once per application, so that Python functions of it run wherever they are sent; keep Arrow batches small unless the session has a size of its own."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     if context.applicationId not in _SHIPPED:
         top = Path(__file__).parent
         archive = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
