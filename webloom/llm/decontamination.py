@@ -16,18 +16,16 @@ window away; a larger benchmark means more blocks to look into, not more passes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import PIECE_BYTES, batch_rows, keyed, pieces, utf8
+from webloom.llm.common import PIECE_BYTES, batch_rows, keyed, pieces, utf8, word_hashes
 from webloom.session import ship
 
 # Masks of weight 6: four of span 11, chosen so that few shifts of one mark the same positions as another, and two short
@@ -35,10 +33,8 @@ from webloom.session import ship
 MASKS = ("11101001001", "11010010101", "10110100011", "11001011001", "1110111", "111111")
 # Items of fewer words have masks of their own.
 WHOLE = 13
-WORD = re.compile(r"\w+")
 
 
-_WORD_HASH: dict[str, int] = {}
 #: Bits of the bitmap for each hash, and at most in all (32 MB).
 BITS_EACH, BITS_MOST = 16, 1 << 28
 
@@ -53,20 +49,6 @@ class Seeds:
     owners: list[np.ndarray]  # by mask: item, position
 
 
-def word_hashes(text: str) -> list[int]:
-    """64-bit hashes of the lower-cased text's words, remembered by word."""
-    known = _WORD_HASH
-    if len(known) > 500_000:
-        known.clear()
-    out = []
-    for w in WORD.findall(text.lower()):
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w) | 1
-        out.append(h)
-    return out
-
-
 def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(7).integers(1 << 62, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -3,10 +3,10 @@
 Documents are sets of five-word shingles. Equal sets are one node from the start, with its number of copies. Bands of
 MinHash values are shuffled; within a bucket every member is paired with the bucket's smallest and largest member,
 pairs are verified on the full shingle sets, and the verified links make first classes (connected components). Buckets
-whose other members are then still of several classes are cut into blocks of members in order of class, and every pair
-of blocks that are not of one class is compared as a matrix product; its links complete the classes. So each pair of a
-bucket is verified or in one class already, and buckets that their ends hold together cost pairs in proportion to
-their members.
+whose other members are then still of several classes are cut into blocks of members in order of size, and every pair
+of blocks that are not of one class and whose sizes allow a link is compared as a matrix product; its links complete the
+classes. So each pair of a bucket is verified, or in one class already, or too different in size, and buckets that their
+ends hold together cost pairs in proportion to their members. Of buckets with the same members one is compared.
 
 How many links a document has is then counted in its class, where a set is compared with every other one: members
 are cut into blocks, a pair of blocks is one matrix product of bounded size, and only the counts leave it. So no
@@ -16,19 +16,14 @@ pairs are written out, and copies count without being compared.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import batch_rows, discard, keyed, pieces, tables_made, written
-
-WORD = re.compile(r"\w+")
-_WORD_HASH: dict[str, int] = {}
+from webloom.llm.common import batch_rows, discard, keyed, pieces, tables_made, word_hashes, written
 
 
 def choose_bands(threshold: float, recall: float, hashes: int = 150) -> tuple[int, int]:
@@ -43,19 +38,9 @@ def choose_bands(threshold: float, recall: float, hashes: int = 150) -> tuple[in
 
 def shingles(text: str, n: int = 5) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's word n-grams; a text of fewer words has one, of all its words, and a text without words none."""
-    words = WORD.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _WORD_HASH
-    if len(known) > 500_000:
-        known.clear()
-    values = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        values.append(h)
-    ids = np.array(values, np.uint64)
+    ids = np.array(word_hashes(text), np.uint64)
+    if not len(ids):
+        return ids
     size = min(n, len(ids))
     out = np.zeros(len(ids) - size + 1, np.uint64)
     for j in range(size):
@@ -109,13 +94,14 @@ def signatures(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def components(edges: DataFrame) -> DataFrame:
     """For ``edges`` (a, b) one row per node: node, label (the least node of its component). Labels spread along edges and jump to their labels' labels until nothing changes; each round is written out."""
-    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
-    labels = written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")))
+    n = 2 * edges.count()
+    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), n)
+    labels = written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), n)
     while True:
         heard = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("heard")), "other").groupBy("node").agg(F.min("heard").alias("heard"))
         nearer = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = written(nearer.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        step = written(nearer.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), n)
         labels = step.select("node", "label")
         if step.where(F.col("old") != F.col("label")).isEmpty():
             return labels
@@ -125,18 +111,23 @@ def _linked(table: pa.Table, threshold: float) -> np.ndarray:
     """Which rows' shingle sets are similar, as a matrix; a row is similar to itself."""
     column = table["shingles"].combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
-    places = np.unique(column.values.to_numpy(), return_inverse=True)[1]
     n = table.num_rows
     rows = np.repeat(np.arange(n), sizes)
-    order = np.argsort(places, kind="stable")
-    places, rows = places[order], rows[order]
+    order = np.argsort(column.values.to_numpy(), kind="stable")
+    values, rows = column.values.to_numpy()[order], rows[order]
+    # Only shingles of two rows or more are columns of the matrix.
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    common = np.diff(np.append(np.flatnonzero(new), len(values))) > 1
+    kind = np.cumsum(new) - 1
+    places, rows = (np.cumsum(common) - 1)[kind][common[kind]], rows[common[kind]]
     shared = np.zeros((n, n), np.float32)
     width = 4096
-    for start in range(0, int(places[-1]) + 1, width):
+    for start in range(0, int(places[-1]) + 1 if len(places) else 0, width):
         a, b = np.searchsorted(places, [start, start + width])
         part = np.zeros((n, width), np.float32)
         part[rows[a:b], places[a:b] - start] = 1
         shared += part @ part.T
+    np.fill_diagonal(shared, sizes)
     return shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
 
 
@@ -162,24 +153,45 @@ def _links_across(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(keys[a], pa.binary()), "b": pa.array(keys[b], pa.binary())})
 
 
-def _unsettled(members: DataFrame, ends: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+#: A key with more than this part of all documents is joined by broadcast: there are fewer such keys than one in this part.
+HOT = 1_000
+
+
+def by_size(rows: DataFrame, small: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``small``, one row for each ``key``, of which ``size`` tells how many of the ``rows`` there are; they are ``total`` in all.
+
+    The keys of more than a thousandth of all rows, fewer than a thousand, are broadcast, so none of them meets in one task.
+    """
+    hot = F.col(size) * HOT > total
+    rest = rows.join(F.broadcast(small.where(hot).select(key)), key, "left_anti").join(small.where(~hot), key, how)
+    return rows.join(F.broadcast(small.where(hot)), key).unionByName(rest)
+
+
+def _unsettled(members: DataFrame, ends: DataFrame, labels: DataFrame, n_members: int, threshold: float, block: int, block_shingles: int) -> DataFrame:
     """The pairs of blocks to compare: bucket, low, high and, for each member of the two, set_key and label.
 
-    A bucket's ends have been compared with all its members, so it is settled if the others are of one label.
+    A bucket's ends have been compared with all its members, so it is settled if the others are of one label. Of
+    buckets with the same members one is enough. Blocks are runs in order of size, and two blocks are only paired if
+    some of their sizes allow a link.
     """
-    inner = members.join(ends.where("size > 3"), "bucket").where((F.col("set_key") != F.col("low.set_key")) & (F.col("set_key") != F.col("high.set_key"))).select("bucket", "set_key")
-    inner = inner.join(labels.select(F.col("node").alias("set_key"), "label"), "set_key", "left").select("bucket", "set_key", F.coalesce("label", "set_key").alias("label"))
-    open_buckets = inner.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    inner = by_size(members, ends.where("size > 3"), "bucket", "size", n_members).where((F.col("set_key") != F.col("low.set_key")) & (F.col("set_key") != F.col("high.set_key"))).select("bucket", "set_key", "n_shingles")
+    inner = inner.join(labels.select(F.col("node").alias("set_key"), "label"), "set_key", "left").select("bucket", "set_key", "n_shingles", F.coalesce("label", "set_key").alias("label"))
+    inner = written(inner)
+    digest = lambda seed: F.bit_xor(F.xxhash64("set_key", F.lit(seed)))
+    open_buckets = inner.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), digest(1).alias("d1"), digest(2).alias("d2")).where("least < most")
+    open_buckets = open_buckets.groupBy("n", "d1", "d2").agg(F.min("bucket").alias("bucket")).select("bucket")
     inner = inner.join(open_buckets, "bucket", "left_semi")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "set_key")) - 1
-    inner = written(inner.withColumn("block", F.floor(place / block).cast("int")))
-    blocks = inner.groupBy("bucket", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    other = blocks.select("bucket", F.col("block").alias("high"), F.col("least").alias("other_least"), F.col("most").alias("other_most"))
-    pairs = blocks.withColumnRenamed("block", "low").join(other, "bucket").where((F.col("low") <= F.col("high")) & (F.least("least", "other_least") < F.greatest("most", "other_most"))).select("bucket", "low", "high")
+    so_far = Window.partitionBy("bucket").orderBy("n_shingles", "set_key").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.greatest(F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("n_shingles", "set_key")) - 1) / block), F.floor(F.sum("n_shingles").over(so_far) / block_shingles))
+    inner = written(inner.withColumn("block", number.cast("int")))
+    blocks = inner.groupBy("bucket", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("n_shingles").alias("from"), F.max("n_shingles").alias("to"))
+    other = blocks.select("bucket", F.col("block").alias("high"), F.col("least").alias("other_least"), F.col("most").alias("other_most"), F.col("from").alias("other_from"))
+    fits = (F.col("low") == F.col("high")) | ((F.col("low") < F.col("high")) & (F.col("to") >= F.lit(threshold) * F.col("other_from")))
+    pairs = blocks.withColumnRenamed("block", "low").join(other, "bucket").where(fits & (F.least("least", "other_least") < F.greatest("most", "other_most"))).select("bucket", "low", "high")
     return pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))).join(inner, ["bucket", "block"]).select("bucket", "low", "high", "set_key", "label")
 
 
-def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 200) -> DataFrame:
+def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 300, block_shingles: int = 400_000) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_copies, n_shingles.
 
     ``class_id`` is the least id of the documents that links of similarity ``threshold`` or more connect to it (its
@@ -188,14 +200,22 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     Words are runs of letters, digits and underscores, lower-cased. A text of fewer than ``n`` words is one shingle;
     null, empty and wordless texts are similar to nothing. Rows of one id and repeated rows each get their row; a
     null id takes part, and where a class has null ids only its class_id is null. An empty table gives no rows;
-    other columns are ignored.
+    other columns are ignored. ``block`` and ``block_shingles`` bound what is compared at a time, not the result.
     """
+    return _similar(df, id_col, text_col, n, threshold, recall, block, block_shingles).drop("text_hash")
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 300, block_shingles: int = 400_000) -> DataFrame:
+    """As ``similar``, with text_hash."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(df, id_col=id_col, text_col=text_col, n=n, bands=bands, rows=rows))
+    n_docs = signed.count()
     sets = written(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("from"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     members = sets.select("set_key", "n_shingles", F.explode("bands").alias("bucket"))
-    ends = members.groupBy("bucket").agg(F.min(F.struct("set_key", "n_shingles")).alias("low"), F.max(F.struct("set_key", "n_shingles")).alias("high"), F.count("*").alias("size")).where("low.set_key < high.set_key")
-    paired = members.join(ends, "bucket").select("set_key", "n_shingles", F.explode(F.array("low", "high")).alias("end"))
+    n_sets = sets.count()
+    n_members = bands * n_sets
+    ends = written(members.groupBy("bucket").agg(F.min(F.struct("set_key", "n_shingles")).alias("low"), F.max(F.struct("set_key", "n_shingles")).alias("high"), F.count("*").alias("size")).where("low.set_key < high.set_key"))
+    paired = by_size(members, ends, "bucket", "size", n_members).select("set_key", "n_shingles", F.explode(F.array("low", "high")).alias("end"))
     # Sets whose sizes differ too much cannot be that similar.
     fits = (F.least("n_shingles", "end.n_shingles") >= threshold * F.greatest("n_shingles", "end.n_shingles")) & (F.col("set_key") != F.col("end.set_key"))
     pairs = written(paired.where(fits).select(F.least("set_key", "end.set_key").alias("a"), F.greatest("set_key", "end.set_key").alias("b")).distinct())
@@ -218,39 +238,47 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     shared = F.size(F.array_intersect("of_a", "of_b"))
     links = written(with_b.select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b")).alias("sizes")).where(F.col("shared") >= threshold * (F.col("sizes") - F.col("shared")) - 1e-6).select("a", "b"))
     labels = components(links)
-    across = _unsettled(members, ends, labels, block).join(contents, "set_key")
+    across = _unsettled(members, ends, labels, n_members, threshold, block, block_shingles).join(contents, "set_key")
     more = written(across.groupBy("bucket", "low", "high").applyInArrow(lambda t: _links_across(t, threshold), "a binary, b binary").distinct())
     if not more.isEmpty():
         # Classes are joined: labels of the first ones are the nodes.
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
         joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
         first = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
-        labels = written(first.join(components(joined).select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label")))
-    labels = labels.join(sets.select(F.col("set_key").alias("node"), "first_id", "copies"), "node")
-    classes = labels.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members"), F.sum("copies").alias("documents"))
-    placed = written(labels.join(classes, "label"))
-    dealt = placed.where("members > 2").withColumn("n_blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+        labels = written(first.join(components(joined).select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label")), n_sets)
+    labels = labels.join(sets.select(F.col("set_key").alias("node"), "first_id", "copies", "n_shingles"), "node")
+    classes = labels.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members"), F.sum("copies").alias("documents"), F.sum("n_shingles").alias("all_shingles"))
+    placed = written(labels.join(classes, "label"), n_sets)
+    n_blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("all_shingles") / block_shingles)).cast("int")
+    dealt = placed.where("members > 2").withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     dealt = dealt.select("label", F.col("node").alias("set_key"), "copies", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).select("label", "set_key", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    counted = dealt.join(contents, "set_key").groupBy("label", "low", "high").applyInArrow(lambda t: _count_links(t, threshold), "set_key binary, links long").groupBy("set_key").agg(F.sum("links").alias("links"))
+    counted = written(dealt.join(contents, "set_key").groupBy("label", "low", "high").applyInArrow(lambda t: _count_links(t, threshold), "set_key binary, links long").groupBy("set_key").agg(F.sum("links").alias("links")), n_sets)
     of_set = placed.join(counted, F.col("node") == F.col("set_key"), "left").select(F.col("node").alias("set_key"), "class_id", F.coalesce("links", F.col("documents") - F.col("copies")).alias("links"))
-    of_set = sets.select("set_key", "first_id", "copies").join(of_set, "set_key", "left").select("set_key", F.coalesce("class_id", "first_id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return signed.select("doc_id", "set_key", "n_shingles").join(of_set, "set_key", "left").select(
-        "doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), "n_shingles"
+    of_set = written(sets.select("set_key", "first_id", "copies").join(of_set, "set_key", "left").select("set_key", F.coalesce("class_id", "first_id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")), n_sets)
+    return by_size(signed.select("doc_id", "text_hash", "set_key", "n_shingles"), of_set, "set_key", "copies", n_docs, "left").select(
+        "doc_id", "text_hash", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), "n_shingles"
     )
 
 
 def drop_similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` without the documents that are similar to one of a lower id in their class; rows with a null id stay.
 
-    Rows that share the id and the text of a kept document are one document and leave one row.
+    Rows that share the id and the text of a kept document are one document and leave one row, the one whose columns
+    hash lowest. Null, empty and wordless texts stay, an empty table stays empty; all columns stay.
     """
     spark = df.sparkSession
+    names = [f"c{i}" for i in range(len(df.columns))]  # so that no column clashes with those added here
+    rows, id_, text = df.toDF(*names), names[df.columns.index(id_col)], names[df.columns.index(text_col)]
     with tables_made() as steps:
-        result = similar(df, id_col=id_col, text_col=text_col, **options)
+        result = _similar(rows, id_, text, **options)
     found = written(result)
     discard(spark, steps)
-    losers = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__loser")).distinct()
-    out = df.join(losers.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("__loser"), "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col, text_col]).unionByName(out.where(F.col(f"`{id_col}`").isNull()))
-    return out
+    key = {"loser": F.col(id_).cast("long"), "loser_text": F.xxhash64(F.col(text).cast("string"))}
+    losers = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("loser"), F.col("text_hash").alias("loser_text")).distinct()
+    out = rows.join(losers.hint("merge"), (key["loser"] == F.col("loser")) & (key["loser_text"] == F.col("loser_text")), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("loser"))
+    if not repeated.isEmpty():
+        twice = key["loser"] == F.col("loser")
+        once = out.join(repeated, twice, "left_semi").groupBy(id_, text).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
+        out = out.join(repeated, twice, "left_anti").unionByName(once)
+    return out.toDF(*df.columns)

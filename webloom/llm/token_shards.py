@@ -24,67 +24,98 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import batch_rows, chunk_coder, keyed, pieces, shared_folder
+from webloom.llm.common import PIECE_BYTES, chunk_coder, column_pieces, keyed, shared_folder
 
 MAGIC = b"RPG1"
 #: Terminals and nonterminals together; so symbols fit 16 bits.
 SYMBOLS = 1 << 16
 
 
-def repair(ids: np.ndarray, terminals: int, end: int | None, *, least: int = 24, share: float = 2e-4, rounds: int = 12, at_once: int = 2_048) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, terminals: int, end: int | None, *, least: int = 7, at_once: int = 8_192) -> tuple[np.ndarray, np.ndarray]:
     """Compressed symbols and rules (n, 2).
 
-    Each round counts all neighbouring pairs, takes the most frequent (up to ``at_once``, each seen at least
-    ``least`` times and in at least ``share`` of the places) and replaces their occurrences; where two overlap the
-    more frequent pair wins, the left one among equals. No rule's left part is ``end`` or expands to ids that close
-    with it, so none spans two documents.
+    Each round counts the neighbouring pairs, takes the most frequent (up to ``at_once``, each replaced in at least
+    ``least`` places) and replaces their occurrences; where two overlap the more frequent pair wins, and of a run of
+    one pair every second is taken. A rule takes twelve bytes and each replacement saves two, so seven pay. Rounds go
+    on until no pair pays or the symbols are used up. No rule's left part is ``end`` or expands to ids that close with
+    it, so none spans two documents.
+
+    A pair that was too rare stays so unless it holds a new symbol; so later rounds only look at places beside new
+    symbols and at those where a frequent pair had to give way.
     """
     rules: list[np.ndarray] = []
     closing = np.zeros(max(SYMBOLS, terminals), bool)  # symbols whose last id is ``end``
     if end is not None:
         closing[end] = True
-    seq, n_rules = ids.astype(np.uint32), 0
-    for _ in range(rounds):
-        room = min(at_once, SYMBOLS - terminals - n_rules)
-        if len(seq) < 2 or room <= 0:
-            break
-        need = max(least, int(share * len(seq)))
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        slot = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.uint32)
-        maybe = np.bincount(slot, minlength=1 << 20)[slot] >= need
-        if end is not None:
-            maybe &= ~closing[seq[:-1]]
-        where = np.flatnonzero(maybe)
-        pairs, which, counts = np.unique(keys[where], return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")[:room]
-        order = order[counts[order] >= need]
-        if not len(order):
+    seq, n_rules, none = ids.astype(np.uint32), 0, np.uint32(1 << 30)
+    places: np.ndarray | None = None  # where to look; None: everywhere
+    while len(seq) > 1 and (room := min(at_once, SYMBOLS - terminals - n_rules)) > 0:
+        if places is None:
+            places = np.arange(len(seq) - 1)
+        first, second = seq[places], seq[places + 1]
+        keys = first << np.uint32(16) | second  # symbols have 16 bits
+        free = np.ones(len(keys), bool) if end is None else ~closing[first]
+        # In a run of one symbol each pair overlaps the next.
+        same = np.flatnonzero((first == second) & free)
+        if len(same):
+            begins = np.concatenate([[True], np.diff(places[same]) > 1])
+            same = same[(np.arange(len(same)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 1]
+            free[same] = False
+        ordered = np.sort(keys[free])
+        edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+        counts = np.diff(edges)
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
             break
-        none = np.uint32(1 << 30)
-        rank_of = np.full(len(pairs), none)
-        rank_of[order] = np.arange(len(order), dtype=np.uint32)
+        chosen = often[np.argsort(-counts[often], kind="stable")[:room]]
+        pairs = ordered[edges[chosen]]
+        # A small table from a pair's hash to its rank; of two in one slot the more frequent is in, the other's turn comes later.
+        table = np.full(1 << 20, len(pairs), np.uint32)
+        table[((pairs * np.uint32(0x9E3779B1)) >> np.uint32(12))[::-1]] = np.arange(len(pairs), dtype=np.uint32)[::-1]
+        found = table[(keys * np.uint32(0x9E3779B1)) >> np.uint32(12)]
+        listed = found < len(pairs)
+        inside = free & listed & (np.append(pairs, np.uint32(0))[found] == keys)
         rank = np.full(len(seq) + 1, none)
-        rank[1:][where] = rank_of[which]
-        here, nxt = rank[1:-1], np.append(rank[2:-1], none)
-        take = np.flatnonzero((here < none) & (here < rank[:-2]) & (here <= nxt))
-        if len(take) < need:
+        rank[places[inside] + 1] = found[inside]
+        here = rank[places + 1]
+        win = np.flatnonzero(inside & (here < rank[places]) & (here <= rank[places + 2]))
+        enough = np.bincount(here[win], minlength=1) >= least
+        win = win[enough[here[win]]]
+        if not len(win):
             break
-        used, new = np.unique(here[take], return_inverse=True)
-        rules.append(np.stack([(pairs[order[used]] >> np.uint64(32)).astype(np.uint32), pairs[order[used]].astype(np.uint32)], axis=1))
+        used, new, take = np.flatnonzero(enough), (np.cumsum(enough) - 1)[here[win]], places[win]
+        rules.append(np.stack([pairs[used] >> np.uint32(16), pairs[used] & np.uint32(0xFFFF)], axis=1))
         closing[terminals + n_rules : terminals + n_rules + len(used)] = closing[rules[-1][:, 1]]
         seq[take] = (terminals + n_rules + new).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[take + 1] = False
+        listed[same], listed[win] = True, False
+        left = places[listed]
+        moved = np.cumsum(keep) - 1
+        look = np.zeros(len(seq) + 1, bool)  # a place's entry is the one after it
+        look[moved[take] + 1] = look[moved[take]] = look[moved[left[keep[left]]] + 1] = True
         seq = seq[keep]
         n_rules += len(used)
+        places = None if len(chosen) < len(often) else np.flatnonzero(look[1 : len(seq)])
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def rule_batches(rules: np.ndarray, terminals: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules whose parts all come before the run."""
+    latest = rules.max(axis=1).astype(np.int64) - terminals if len(rules) else np.zeros(0, np.int64)
+    start = 0
+    while start < len(rules):
+        later = np.flatnonzero(latest[start:] >= start)
+        stop = start + int(later[0]) if len(later) else len(rules)
+        yield start, stop
+        start = stop
+
+
 def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """How many ids each symbol stands for, terminals first."""
     out = np.ones(terminals + len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[terminals + i] = out[a] + out[b]
+    for start, stop in rule_batches(rules, terminals):
+        out[terminals + start : terminals + stop] = out[rules[start:stop]].sum(axis=1)
     return out
 
 
@@ -119,12 +150,10 @@ class Shard:
         self.first = np.concatenate([np.arange(self.terminals), self.terminals + np.concatenate([[0], np.cumsum(self.lengths[self.terminals :])[:-1]])]).astype(np.int64) if n_rules else np.arange(self.terminals)
         self.pool = np.empty(self.terminals + int(self.lengths[self.terminals :].sum()), np.uint32)
         self.pool[: self.terminals] = np.arange(self.terminals)
-        for i, (a, b) in enumerate(self.rules.tolist()):  # a rule's parts come before it
-            at = self.first[self.terminals + i]
-            for part in (a, b):
-                size = self.lengths[part]
-                self.pool[at : at + size] = self.pool[self.first[part] : self.first[part] + size]
-                at += size
+        for start, stop in rule_batches(self.rules, self.terminals):
+            ids = self.expand(self.rules[start:stop].ravel())
+            at = self.first[self.terminals + start]
+            self.pool[at : at + len(ids)] = ids
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         sizes = self.lengths[symbols]
@@ -153,17 +182,19 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], path: str, end: int, terminals
     names: list[int | None] = []
     held: list[np.ndarray] = []
     size = 0
-    tail = np.asarray([end], "<u4").tobytes()
+    tail = np.array([end], np.uint32)
 
     def shard() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([pack(held, terminals, end)], pa.binary())], ["part", "number", "start_in_part", "n_ids", "doc_ids", "shard"])
 
     for batch in batches:
-        for run in pieces(batch_rows(batch)):
-            for (doc, _), ids in zip(run, coder.encode([t for _, t in run]), strict=True):
-                names.append(doc)
-                held.append(np.frombuffer(ids + tail, "<u4"))
-                size += len(held[-1])
+        docs = batch.column(0).to_pylist()
+        for first, texts in column_pieces(batch.column(1), 4 * PIECE_BYTES):
+            ids, so_far = coder.encode_column(texts)
+            for row, (a, b) in enumerate(zip(so_far[:-1].tolist(), so_far[1:].tolist(), strict=True)):
+                names.append(docs[first + row])
+                held.append(np.concatenate([ids[a:b], tail]))
+                size += b - a + 1
                 if size >= shard_ids:
                     yield shard()
                     number, start, names, held, size = number + 1, start + size, [], [], 0
@@ -196,9 +227,14 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _read_rows(batches):
-        ids = batch.column(3).to_pylist()
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+    """As ``_read_rows``, with n_tokens and ids_crc32 for the ids; a shard is expanded at once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part, start, names, data = (batch.column(k)[i].as_py() for k in ("part", "start_in_part", "doc_ids", "shard"))
+            opened = Shard(data)
+            ids, so_far = memoryview(opened.expand(opened.seq).astype("<u4").tobytes()), opened.so_far
+            digests = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(so_far[:-1].tolist(), so_far[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), part, np.int32)), pa.array(names, pa.int64()), pa.array(start + so_far[:-1]), pa.array(np.diff(so_far)), pa.array(digests, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(spark, folder: str, *, digests: bool = False) -> DataFrame:
