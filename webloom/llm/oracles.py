@@ -84,3 +84,28 @@ reach AS (SELECT r, r AS other FROM d UNION SELECT reach.r, e.b FROM reach JOIN
 classes AS (SELECT reach.r, min(doc_id) AS class_id FROM reach JOIN d ON d.r = reach.other GROUP BY reach.r),
 links AS (SELECT a AS r, count(*) AS n_links, count(*) FILTER (WHERE same) AS copies FROM e GROUP BY a)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(copies, 0) + 1 AS n_copies, coalesce(n, 0) AS n_shingles FROM d JOIN classes USING (r) LEFT JOIN links USING (r) LEFT JOIN n USING (r)"""
+
+
+#: Damage by crc32, first faults, then the cheapest edits from the last turn back to the first: for each state (start, system, user, assistant) least cost, audit and lines.
+CONVERSATION_REPAIR = rf"""WITH RECURSIVE {CRC_TABLE},
+k AS (SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS MATERIALIZED (SELECT name, CAST({CRC.format(text="name")} AS BIGINT) % 20 AS kind FROM k, crc_table),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, kind FROM conversations JOIN h ON name = coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')),
+r AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM d, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM p),
+f AS MATERIALIZED (SELECT *, NOT blank AND seen > 1 AS duplicate, NOT blank AND seen = 1 AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS truncated, coalesce(substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal, max(i) AS last FROM f GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, last AS i, [{{'c': 0, 'a': '', 't': []::VARCHAR[]}}, {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}}, {{'c': 3, 'a': 'I', 't': ['assistant:']}}, {{'c': 0, 'a': '', 't': []::VARCHAR[]}}] AS s FROM n
+  UNION ALL
+  SELECT conv_id, i - 1, CASE WHEN goes THEN g ELSE list_transform([1, 2, 3, 4], lambda x: list_min([g[x], {{'c': 3 + g[nx[x]].c, 'a': 'I' || g[nx[x]].a, 't': list_prepend(who[x] || ':', g[nx[x]].t)}}, {{'c': 6 + g[nx[nx[x]]].c, 'a': 'II' || g[nx[nx[x]]].a, 't': list_prepend(who[x] || ':', list_prepend(who[nx[x]] || ':', g[nx[nx[x]]].t))}}])) END
+  FROM (SELECT conv_id, i, goes, nx, who, list_transform([1, 2, 3, 4], lambda x: list_min(list_filter([
+      {{'c': 4 + s[x].c, 'a': 'D' || s[x].a, 't': s[x].t}},
+      CASE WHEN NOT goes AND initial = 's' AND x = 1 THEN {{'c': cut + s[2].c, 'a': 'K' || s[2].a, 't': list_prepend(role || ':' || text, s[2].t)}} WHEN NOT goes AND initial = substr(who[x], 1, 1) THEN {{'c': cut + s[nx[x]].c, 'a': 'K' || s[nx[x]].a, 't': list_prepend(role || ':' || text, s[nx[x]].t)}} END,
+      CASE WHEN NOT goes THEN {{'c': 3 + cut + s[nx[x]].c, 'a': 'R' || s[nx[x]].a, 't': list_prepend(who[x] || ':' || text, s[nx[x]].t)}} END], lambda e: e IS NOT NULL))) AS g
+    FROM (SELECT f.conv_id, f.i, blank OR duplicate AS goes, substr(role, 1, 1) AS initial, role, text, CASE WHEN truncated THEN 3 ELSE 0 END AS cut, s, [3, 3, 4, 3] AS nx, ['user', 'user', 'assistant', 'user'] AS who FROM steps JOIN f ON f.conv_id IS NOT DISTINCT FROM steps.conv_id AND f.i = steps.i))),
+e AS (SELECT conv_id, s[1] AS s FROM steps WHERE i = 0),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s.c, 0) AS BIGINT) AS cost, coalesce(s.a, '') AS audit, sha256(coalesce(array_to_string(s.t, chr(10)), '')) AS repaired_sha256
+FROM c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
