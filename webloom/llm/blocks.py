@@ -1,14 +1,17 @@
 """Texts as blocks of numbers: runs of documents whose words are numbered within the block, then over the whole corpus.
 
 A dictionary of all words of a corpus grows with it, so no task can hold it. A block of a few megabytes has its own
-dictionary instead; the distinct words of all blocks are counted and numbered by a shuffle, and each block gets the
-numbers of its words back. A word is asked for once a block however frequent it is, so no word is a hot key.
+dictionary instead. Blocks send the words they have, each once, to shards by a hash of the word; a shard adds up the
+counts, numbers its words, and answers every block. So no word is a hot key however frequent it is, and all that is
+shuffled are deflated arrays.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import column_pieces, written
+from webloom.llm.common import column_pieces, discard, tables_made, written
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -33,6 +36,16 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
+def halves(numbers: np.ndarray) -> np.ndarray:
+    """64-bit numbers as two runs of 32-bit ones."""
+    return np.concatenate([numbers & 0xFFFFFFFF, numbers >> 32])
+
+
+def whole(parts: np.ndarray) -> np.ndarray:
+    low, high = parts.astype(np.int64).reshape(2, -1)
+    return low | high << 32
+
+
 def words_of(texts: pa.Array, breaks: str | None = None) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of texts, A-Z in lower case, and where each text's begin, with the end of the last.
 
@@ -48,15 +61,21 @@ def words_of(texts: pa.Array, breaks: str | None = None) -> tuple[pa.DictionaryA
     return flat.filter(real).dictionary_encode(), so_far[offsets]
 
 
-BLOCK = "block long, docs binary, words array<string>, labels array<string>, counts array<long>, tokens binary"
+def label_and_word(text: str) -> tuple[str, str]:
+    """Of a dictionary's entry: the label, quoted, a blank, the word; neither part has a blank or a line end."""
+    label, _, word = text.partition(" ")
+    return unquote(label), word
+
+
+MADE = "block long, n_words long, n_tokens long, docs binary, entries binary, counts binary, tokens binary"
 
 
 def blocks(docs: DataFrame, breaks: str | None = None) -> DataFrame:
-    """Rows of ``BLOCK`` for doc_id, text, label, counted: words are numbered by label and word.
+    """Rows of ``MADE`` for doc_id, text, label, counted: words are numbered by label and word.
 
-    ``docs`` packs ids, numbers of tokens and whether they count, as ``documents_of`` reads them.
-    ``words``, ``labels`` and ``counts`` are the block's dictionary; ``counts`` are occurrences in documents that count.
-    ``tokens`` are numbers of the dictionary; a break is the number behind the last.
+    ``docs`` packs ids, numbers of tokens and whether they count, as ``documents_of`` reads them. ``entries`` is the
+    block's dictionary in order of hashes, ``counts`` are its words' occurrences in documents that count, ``tokens``
+    their numbers; a break is the number behind the last.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,31 +84,31 @@ def blocks(docs: DataFrame, breaks: str | None = None) -> DataFrame:
             for start, texts in column_pieces(batch.column(1), BLOCK_BYTES):
                 part = batch.slice(start, len(texts))
                 coded, ends = words_of(texts, breaks)
-                number_of = coded.indices.to_numpy().astype(np.int64)
-                sizes = np.diff(ends)
+                indices, sizes = coded.indices.to_numpy().astype(np.int64), np.diff(ends)
                 labels = part.column(2).dictionary_encode()
-                spelled, n_words = coded.dictionary, len(coded.dictionary)
-                kind = np.repeat(labels.indices.to_numpy().astype(np.int64), sizes) * n_words + number_of
-                distinct, tokens = np.unique(kind, return_inverse=True)
-                counted = np.repeat(part.column(3).to_numpy(zero_copy_only=False).astype(bool), sizes)
-                word, label = distinct % max(n_words, 1), distinct // max(n_words, 1)
-                counts = np.bincount(tokens[counted], minlength=len(distinct))
-                if breaks:
-                    at = pc.index(spelled, ".").as_py()
-                    real = word != at
-                    new = np.where(real, np.cumsum(real) - 1, real.sum())
-                    tokens, word, label, counts = new[tokens], word[real], label[real], counts[real]
+                n_words = max(1, len(coded.dictionary))
+                distinct, tokens = np.unique(np.repeat(labels.indices.to_numpy().astype(np.int64), sizes) * n_words + indices, return_inverse=True)
+                spelled, names = coded.dictionary.to_pylist(), [quote(x) for x in labels.dictionary.to_pylist()]
+                entries = [f"{names[k // n_words]} {spelled[k % n_words]}" for k in distinct.tolist()]
+                real = np.array([breaks is None or spelled[k % n_words] != "." for k in distinct.tolist()], bool)
+                hashes = np.fromiter((zlib.crc32(e.encode()) for e in entries), np.int64, len(entries))
+                order = np.argsort(np.where(real, hashes, 1 << 32), kind="stable")
+                n = int(real.sum())
+                place = np.empty(len(order), np.int64)
+                place[order] = np.minimum(np.arange(len(order)), n)
+                tokens = place[tokens]
+                counted = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
+                counts = np.bincount(tokens[np.repeat(counted, sizes)], minlength=n)[:n]
                 ids = part.column(0)
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 plain = pc.fill_null(ids, 0).to_numpy().astype(np.int64).view(np.uint64)
-                docs = np.concatenate([x.astype(np.uint64) for x in (plain & np.uint64(0xFFFFFFFF), plain >> np.uint64(32), known, sizes, part.column(3).to_numpy(zero_copy_only=False))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([packed(docs)], pa.binary()), *(pa.array([x], pa.list_(pa.string())) for x in (spelled.take(pa.array(word)).to_pylist(), labels.dictionary.take(pa.array(label)).to_pylist())), pa.array([counts], pa.list_(pa.int64())), pa.array([packed(tokens)], pa.binary())],
-                    ["block", "docs", "words", "labels", "counts", "tokens"],
-                )
+                about = np.concatenate([x.astype(np.uint64) for x in (plain & np.uint64(0xFFFFFFFF), plain >> np.uint64(32), known, sizes, counted)])
+                deflated = zlib.compress("\n".join(entries[i] for i in order[:n]).encode(), 1)
+                values = (number, n, len(tokens), packed(about), deflated, packed(counts), packed(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], [c.split()[0] for c in MADE.split(", ")])
                 number += 1
 
-    return docs.mapInArrow(cut, BLOCK)
+    return docs.mapInArrow(cut, MADE)
 
 
 def documents_of(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -99,21 +118,116 @@ def documents_of(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], sizes.astype(np.int64), counted.astype(bool)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written, with numbers from 0 without gaps: rows are numbered inside each partition, and the partitions' sizes are added up."""
-    kept = written(df.withColumn("__at", F.monotonically_increasing_id()))
-    sizes = kept.groupBy(F.shiftright("__at", 33).alias("__part")).count().orderBy("__part").collect()  # one row a partition
-    before, at = [], 0
-    for r in sizes:
-        before.append((r["__part"], at))
-        at += r["count"]
-    offsets = df.sparkSession.createDataFrame(before, "__part long, __before long")
-    with_part = kept.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(offsets), "__part")
-    return with_part.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
-
-
-def with_numbers(made: DataFrame, vocabulary: DataFrame, found: str, columns: list[str]) -> DataFrame:
-    """The blocks and, for those of their words that ``vocabulary`` (word, label and ``columns``) has, an array of structs ``found``: place in the block's dictionary and ``columns``."""
-    asked = made.select("block", F.posexplode(F.arrays_zip("words", "labels")).alias("place", "entry")).select("block", "place", F.col("entry.words").alias("word"), F.col("entry.labels").alias("label"))
-    answers = asked.join(vocabulary.select("word", "label", *columns), ["word", "label"]).groupBy("block").agg(F.collect_list(F.struct("place", *columns)).alias(found))
-    return made.drop("words", "labels", "counts").join(answers, "block", "left")
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One block at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def one_batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string()}
+    columns = [c.split() for c in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[kind]) for j, (_, kind) in enumerate(columns)], [name for name, _ in columns])
+
+
+@dataclass
+class Corpus:
+    """Blocks whose words have the corpus' numbers.
+
+    ``coded`` has block, docs, tokens, numbers (of the block's dictionary, one more than the word's, 0 for words that
+    have none) and counts (over the corpus, of those that have one). ``shards`` has a row for each shard: ``before``
+    it so many words are numbered, and ``entries`` and ``counts`` are its own. ``sums`` adds up, by label, the counts of
+    all words, numbered or not.
+    """
+
+    coded: DataFrame
+    shards: DataFrame
+    sums: dict[str, int]
+    n_words: int
+    n_tokens: int
+    n_blocks: int
+
+
+ANSWER = "block long, shard int, n long, numbers binary, counts binary, entries binary, sums binary"
+
+
+def numbered(made: DataFrame, least: int = 1, shard_entries: int = 1_000_000) -> Corpus:
+    """The blocks of ``blocks``, written, with numbers for the words that count ``least`` times or more. ``shard_entries`` bounds what a shard reads, not the result."""
+    spark = made.sparkSession
+    with tables_made() as first:
+        made = written(made)
+    total = made.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t"), F.count("*").alias("b")).first()
+    n_shards = max(1, -(-(total["w"] or 0) // shard_entries))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            entries = zlib.decompress(row["entries"]).decode().split("\n") if row["n_words"] else []
+            shard = np.fromiter((zlib.crc32(e.encode()) for e in entries), np.int64, len(entries)) * n_shards >> 32
+            counts = unpacked(row["counts"])
+            at = np.searchsorted(shard, np.arange(n_shards + 1))
+            yield one_batch([(k, row["block"], zlib.compress("\n".join(entries[at[k] : at[k + 1]]).encode(), 1), packed(counts[at[k] : at[k + 1]])) for k in np.flatnonzero(np.diff(at)).tolist()], "shard int, block long, entries binary, counts binary")
+
+    def answer(table: pa.Table) -> pa.Table:
+        shard, asked = table["shard"][0].as_py(), table["block"].to_pylist()
+        parts = [pa.array(zlib.decompress(x).decode().split("\n")) for x in table["entries"].to_pylist()]
+        coded = pa.chunked_array(parts, pa.string()).dictionary_encode().combine_chunks()
+        coded = coded if isinstance(coded, pa.DictionaryArray) else coded.chunk(0)
+        which = coded.indices.to_numpy().astype(np.int64)
+        own = np.concatenate([unpacked(x) for x in table["counts"].to_pylist()]).astype(np.int64)
+        counts = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(counts, which, own)
+        has = counts >= least
+        number = np.where(has, np.cumsum(has), 0)
+        cuts = np.cumsum([0, *map(len, parts)])
+        rows = [(block, shard, 0, packed(number[which[a:b]]), packed(halves(counts[which[a:b]] * has[which[a:b]])), None, None) for block, a, b in zip(asked, cuts[:-1], cuts[1:], strict=True)]
+        spelled = coded.dictionary.to_pylist()
+        sums: dict[str, int] = {}
+        for e, c in zip(spelled, counts.tolist(), strict=True):
+            label = e.partition(" ")[0]
+            sums[label] = sums.get(label, 0) + c
+        listed = "\n".join(f"{label} {c}" for label, c in sums.items())
+        kept = "\n".join(e for e, k in zip(spelled, has.tolist(), strict=True) if k)
+        rows.append((None, shard, int(has.sum()), None, packed(halves(counts[has])), zlib.compress(kept.encode(), 1), listed.encode()))
+        return pa.Table.from_batches([one_batch(rows, ANSWER)])
+
+    answers = written(made.mapInArrow(deal, "shard int, block long, entries binary, counts binary").groupBy("shard").applyInArrow(answer, ANSWER))
+    shards = answers.where("block is null")
+    before, at, sums = {}, 0, {}
+    for r in shards.select("shard", "n", "sums").orderBy("shard").collect():  # one row a shard
+        before[r["shard"]], at = at, at + r["n"]
+        for line in bytes(r["sums"]).decode().split("\n"):
+            label, _, n = line.rpartition(" ")
+            sums[unquote(label)] = sums.get(unquote(label), 0) + int(n)
+    offsets = spark.sparkContext.broadcast(before)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            numbers, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a in sorted(row["answers"] or (), key=lambda a: a["shard"]):
+                local = unpacked(a["numbers"]).astype(np.int64)
+                numbers.append(np.where(local > 0, local + offsets.value[a["shard"]], 0))
+                counts.append(whole(unpacked(a["counts"])))
+            yield one_batch([(row["block"], row["docs"], row["tokens"], packed(np.concatenate(numbers)), packed(halves(np.concatenate(counts))))], CODED)
+
+    by_block = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "numbers", "counts")).alias("answers"))
+    coded = written(made.select("block", "docs", "tokens").join(by_block, "block", "left").mapInArrow(merge, CODED))
+    discard(spark, first)
+    starts = spark.createDataFrame(list(before.items()), "shard int, before long")
+    return Corpus(coded, shards.join(F.broadcast(starts), "shard").select("before", "entries", "counts"), sums, at, total["t"] or 0, total["b"])
+
+
+CODED = "block long, docs binary, tokens binary, numbers binary, counts binary"
+
+
+def vocabulary(corpus: Corpus) -> DataFrame:
+    """Rows number (from 1), label, word, n of the numbered words."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            counts = whole(unpacked(row["counts"])).tolist()
+            text = zlib.decompress(row["entries"]).decode()
+            if counts:
+                yield one_batch([(row["before"] + i, *label_and_word(e), c) for i, (e, c) in enumerate(zip(text.split("\n"), counts, strict=True), 1)], "number long, label string, word string, n long")
+
+    return corpus.shards.mapInArrow(spell, "number long, label string, word string, n long")

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.blocks import blocks, documents_of, numbered, packed, unpacked, with_numbers
-from webloom.llm.common import discard, keyed, tables_made, written
+from webloom.llm.blocks import blocks, documents_of, halves, numbered, one_batch, packed, rows_of, unpacked, whole
+from webloom.llm.common import keyed
 
 #: Decimal logarithms between which probabilities are coded, and the codes: 0 is probability 0.
 LOWEST, CODES = -16.0, 65_535
@@ -209,11 +209,8 @@ class Grams:
 
     def __init__(self, row: dict):
         self.ids, sizes, self.trained = documents_of(row["docs"])
-        local, found = unpacked(row["tokens"]).astype(np.int64), row["found"]
-        n_words = int(local.max()) + 1 if len(local) else 0
-        number, count = np.full(n_words, -1), np.zeros(n_words, np.int64)
-        for e in found or ():
-            number[e["place"]], count[e["place"]] = e["number"] + WORDS, e["n"]
+        local, number, count = unpacked(row["tokens"]).astype(np.int64), unpacked(row["numbers"]).astype(np.int64), whole(unpacked(row["counts"]))
+        number = np.where(number > 0, number + WORDS - 1, -1)
         # BEGIN, words, END of each document in a row.
         ends = np.cumsum(sizes + 2)
         total = int(ends[-1]) if len(ends) else 0
@@ -264,23 +261,20 @@ def _asked(rows: DataFrame, shards: int, n_texts: int) -> DataFrame:
     """What each block asks of each shard, with its own training counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                g = Grams(row)
-                c2, c3 = g.trained_counts()
-                c1 = g.context_counts(n_texts)
-                out = []
-                for shard, at2, at3 in g.dealt(shards):
-                    k2, k3 = g.keys2[at2], g.keys3[at3]
-                    own = np.searchsorted(at2, g.pair_of3[at3])
-                    first = np.concatenate([[True], k2[1:] >> 32 != k2[:-1] >> 32]) if len(k2) else np.zeros(0, bool)
-                    # Of a word's count, which can pass 32 bits, two halves, once for each first word.
-                    halves = c1[at2][first]
-                    pairs = np.concatenate([k2 >> 32, k2 & 0xFFFFFFFF, c2[at2], halves & 0xFFFFFFFF, halves >> 32])
-                    triples = np.concatenate([np.bincount(own, minlength=len(k2)), k3 & 0xFFFFFFFF, c3[at3]])
-                    out.append((shard, row["block"], packed(np.concatenate([[len(k2)], pairs])), packed(triples)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "block", "pairs", "triples"])
+        for row in rows_of(batches):
+            g = Grams(row)
+            c2, c3 = g.trained_counts()
+            c1 = g.context_counts(n_texts)
+            out = []
+            for shard, at2, at3 in g.dealt(shards):
+                k2, k3 = g.keys2[at2], g.keys3[at3]
+                own = np.searchsorted(at2, g.pair_of3[at3])
+                first = np.concatenate([[True], k2[1:] >> 32 != k2[:-1] >> 32])
+                # A word's count, which can pass 32 bits, once for each first word.
+                pairs = np.concatenate([[len(k2)], k2 >> 32, k2 & 0xFFFFFFFF, c2[at2], halves(c1[at2][first])])
+                triples = np.concatenate([np.bincount(own, minlength=len(k2)), k3 & 0xFFFFFFFF, c3[at3]])
+                out.append((shard, row["block"], packed(pairs), packed(triples)))
+            yield one_batch(out, PAYLOAD)
 
     return rows.mapInArrow(ask, PAYLOAD)
 
@@ -293,9 +287,8 @@ class _Asked:
         raw = unpacked(pairs).astype(np.int64)
         n = int(raw[0])
         self.first, self.second, self.c2 = raw[1 : 1 + 3 * n].reshape(3, n)
-        halves = raw[1 + 3 * n :].reshape(2, -1)
         new = np.concatenate([[True], self.first[1:] != self.first[:-1]])
-        self.c1 = (halves[0] | halves[1] << 32)[np.cumsum(new) - 1]
+        self.c1 = whole(raw[1 + 3 * n :])[np.cumsum(new) - 1]
         rest = unpacked(triples).astype(np.int64)
         each, rest = rest[:n], rest[n:].reshape(2, -1)
         self.parent, (self.third, self.c3) = np.repeat(np.arange(n), each), rest
@@ -330,34 +323,31 @@ def _scored(rows: DataFrame, shards: int, n_texts: int, total: int, distinct: in
     """Each document of blocks with their shards' answers."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                g = Grams(row)
-                own2, left, own3 = np.zeros(len(g.keys2)), np.ones(len(g.keys2)), np.zeros(len(g.keys3))
-                codes = {a["shard"]: a["codes"] for a in row["answers"] or ()}
-                for shard, at2, at3 in g.dealt(shards):
-                    found = unpacked(codes[shard])
-                    n = len(at2)
-                    own2[at2], left[at2], own3[at3] = dequantised(found[:n]), dequantised(found[n : 2 * n]), dequantised(found[2 * n :])
-                known = np.where(g.is_end, n_texts, g.counts)
-                alone = (known + 1) / (total + distinct + 1)
-                before = np.concatenate([[0], np.where(g.is_begin, n_texts, g.counts)[:-1]])
-                p = m2 / (before + m2) * alone
-                p[g.at2] += own2[g.which2]
-                # The pair that ends just before a token is its longer context.
-                context = np.full(len(p) + 1, -1)
-                context[g.at2 + 1] = g.which2
-                longer = np.flatnonzero(context[:-1] >= 0)
-                p[longer] *= left[context[longer]]
-                p[g.at3] += own3[g.which3]
-                real = ~g.is_begin
-                n_docs = len(g.ids)
-                tally = lambda x: np.bincount(g.doc[real], x[real], n_docs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.ids, pa.int64()), pa.array(g.sizes + 1, pa.int64()), pa.array(tally(known > 0).astype(np.int64), pa.int64()), pa.array(tally(np.log10(alone)), pa.float64()), pa.array(tally(np.log10(p)), pa.float64())],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score"],
-                )
+        for row in rows_of(batches):
+            g = Grams(row)
+            own2, left, own3 = np.zeros(len(g.keys2)), np.ones(len(g.keys2)), np.zeros(len(g.keys3))
+            codes = {a["shard"]: a["codes"] for a in row["answers"] or ()}
+            for shard, at2, at3 in g.dealt(shards):
+                found = unpacked(codes[shard])
+                n = len(at2)
+                own2[at2], left[at2], own3[at3] = dequantised(found[:n]), dequantised(found[n : 2 * n]), dequantised(found[2 * n :])
+            known = np.where(g.is_end, n_texts, g.counts)
+            alone = (known + 1) / (total + distinct + 1)
+            before = np.concatenate([[0], np.where(g.is_begin, n_texts, g.counts)[:-1]])
+            p = m2 / (before + m2) * alone
+            p[g.at2] += own2[g.which2]
+            # The pair that ends just before a token is its longer context.
+            context = np.full(len(p) + 1, -1)
+            context[g.at2 + 1] = g.which2
+            longer = np.flatnonzero(context[:-1] >= 0)
+            p[longer] *= left[context[longer]]
+            p[g.at3] += own3[g.which3]
+            real = ~g.is_begin
+            tally = lambda x: np.bincount(g.doc[real], x[real], len(g.ids))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g.ids, pa.int64()), pa.array(g.sizes + 1, pa.int64()), pa.array(tally(known > 0).astype(np.int64), pa.int64()), pa.array(tally(np.log10(alone)), pa.float64()), pa.array(tally(np.log10(p)), pa.float64())],
+                ["doc_id", "n_tokens", "n_known", "base_score", "score"],
+            )
 
     return rows.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
@@ -378,15 +368,10 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trai
     """
     training = ~held_out() if training is None else training
     docs = keyed(df, id_col, text_col).select("doc_id", "text", F.lit("").alias("label"), F.coalesce(training, F.lit(False)).alias("counted"))
-    with tables_made() as first:
-        made = written(blocks(docs))
-        trained = docs.agg(F.count_if("counted").alias("texts")).first()["texts"]
-        words = made.select(F.explode(F.arrays_zip("words", "labels", "counts")).alias("e")).where("e.counts > 0").groupBy(F.col("e.words").alias("word"), F.col("e.labels").alias("label")).agg(F.sum("e.counts").alias("n"))
-        vocabulary = numbered(words, "number")
-        sums = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = (sums["n"] or 0) + trained, sums["v"] + (trained > 0)
-    coded = written(with_numbers(made, vocabulary, "found", ["number", "n"]))
-    discard(df.sparkSession, first)
+    trained = docs.where("counted").count()
+    corpus = numbered(blocks(docs))
+    total, distinct = sum(corpus.sums.values()) + trained, corpus.n_words + (trained > 0)
+    coded = corpus.coded
     shards = max(1, -(-total // shard_tokens))
 
     def answer(table: pa.Table) -> pa.Table:
