@@ -109,3 +109,19 @@ e AS (SELECT conv_id, s[1] AS s FROM steps WHERE i = 0),
 c AS (SELECT DISTINCT conv_id FROM conversations)
 SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s.c, 0) AS BIGINT) AS cost, coalesce(s.a, '') AS audit, sha256(coalesce(array_to_string(s.t, chr(10)), '')) AS repaired_sha256
 FROM c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+#: Every run of up to five words inside a piece is counted; cuts in 128-bit integers.
+PHRASES = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d, unnest(pieces) u(piece)),
+g AS (SELECT lang, w[i:i + k - 1] AS w, k FROM p, unnest(range(1, len(w) + 1)) a(i), range(1, 6) b(k) WHERE i + k - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, w, k, count(*) AS f FROM g GROUP BY lang, w, k HAVING k = 1 OR count(*) >= 100),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+inside AS (SELECT lang, part AS w, max(f) AS longer FROM f, unnest([w[1:k - 1], w[2:k]]) u(part) WHERE k > 2 GROUP BY lang, part),
+c AS MATERIALIZED (SELECT f.lang, f.w, f.k, f.f AS a FROM f LEFT JOIN inside USING (lang, w) WHERE f.k > 1 AND (longer IS NULL OR 100 * longer < 100 * f.f)),
+q AS (SELECT lang, w, a, j AS cut, w[1:j] AS head, w[j + 1:k] AS tail FROM c, unnest(range(1, k)) b(j)),
+s AS (SELECT q.lang, q.w, q.a, cut, x.f AS l, y.f AS r, n, CAST((CAST(1000 AS HUGEINT) * q.a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM q JOIN n ON n.lang = q.lang JOIN f x ON x.lang = q.lang AND x.w = q.head JOIN f y ON y.lang = q.lang AND y.w = q.tail),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+o AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, score FROM m)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000"""

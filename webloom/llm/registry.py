@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe_codec, conversation_repair, decontamination, licenses, lm_scoring, ngram_join, oracles, quality, secrets, sharding, token_counts, token_shards, toxicity
+from webloom.llm import bpe_codec, conversation_repair, decontamination, licenses, lm_scoring, ngram_join, oracles, phrases, quality, secrets, sharding, token_counts, token_shards, toxicity
 from webloom.llm.common import table, tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -61,7 +61,11 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_minimax_shards, op4_license_scan, op5_token_shards, op6_quality_rules, op7_secret_scan, op8_token_counts, op9_toxicity, op10_bpe_codec, op11_conversation_repair, op12_lm_scoring)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_minimax_shards, op4_license_scan, op5_token_shards, op6_quality_rules, op7_secret_scan, op8_token_counts, op9_toxicity, op10_bpe_codec, op11_conversation_repair, op12_lm_scoring, op13_phrases)}
 #: Tokenizers, learned models and randomness tests have no SQL form; tests hold those queries against plain versions.
 ORACLES: dict[str, str] = {
     "op2_ngram_join": oracles.NGRAM_JOIN,
@@ -69,4 +73,5 @@ ORACLES: dict[str, str] = {
     "op4_license_scan": oracles.license_scan(licenses.PHRASES, licenses.TEMPLATES),
     "op6_quality_rules": oracles.quality_rules(quality.STRATA, quality.RULES, quality.GRID),
     "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
+    "op13_phrases": oracles.PHRASES,
 }
