@@ -20,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import column_pieces, discard, tables_made, written
+from webloom.llm.common import column_pieces, discard, tables_made, written, written_by
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -156,7 +156,7 @@ def numbered(made: DataFrame, least: int = 1, shard_entries: int = 1_000_000) ->
     """The blocks of ``blocks``, written, with numbers for the words that count ``least`` times or more. ``shard_entries`` bounds what a shard reads, not the result."""
     spark = made.sparkSession
     with tables_made() as first:
-        made = written(made)
+        made = written_by(made, "block")
     total = made.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t"), F.count("*").alias("b")).first()
     n_shards = max(1, -(-(total["w"] or 0) // shard_entries))
 
@@ -211,7 +211,7 @@ def numbered(made: DataFrame, least: int = 1, shard_entries: int = 1_000_000) ->
             yield one_batch([(row["block"], row["docs"], row["tokens"], packed(np.concatenate(numbers)), packed(halves(np.concatenate(counts))))], CODED)
 
     by_block = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "numbers", "counts")).alias("answers"))
-    coded = written(made.select("block", "docs", "tokens").join(by_block, "block", "left").mapInArrow(merge, CODED))
+    coded = written_by(made.select("block", "docs", "tokens").join(by_block.hint("merge"), "block", "left").mapInArrow(merge, CODED), "block")
     discard(spark, first)
     starts = spark.createDataFrame(list(before.items()), "shard int, before long")
     return Corpus(coded, shards.join(F.broadcast(starts), "shard").select("before", "entries", "counts"), sums, at, total["t"] or 0, total["b"])

@@ -51,6 +51,19 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Names of the tables among those made.
+_NAMED: dict[str, str] = {}
+
+
+def written_by(df: DataFrame, key: str) -> DataFrame:
+    """As ``written``, in buckets of ``key``, so that the table is joined by ``key`` where it lies and only the other side is shuffled."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    _MADE.append(path)
+    _NAMED[path] = name = f"webloom_{path.rsplit('-', 1)[1]}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def column_pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Where each run of about ``size`` bytes of a text column begins, and the run; a longer text is one of its own."""
     total, start = 0, 0
@@ -78,6 +91,8 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete tables that nothing will read again, so that later work has their disk."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
+        if p in _NAMED:
+            spark.sql(f"DROP TABLE IF EXISTS {_NAMED.pop(p)}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 

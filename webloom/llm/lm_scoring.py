@@ -214,7 +214,7 @@ class Grams:
         # BEGIN, words, END of each document in a row.
         ends = np.cumsum(sizes + 2)
         total = int(ends[-1]) if len(ends) else 0
-        self.doc = np.repeat(np.arange(len(sizes)), sizes + 2)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 2)
         self.numbers, self.counts = np.full(total, BEGIN), np.zeros(total, np.int64)
         self.is_end, self.is_begin = np.zeros(total, bool), np.zeros(total, bool)
         self.is_end[ends - 1] = self.is_begin[ends - sizes - 2] = True
@@ -382,6 +382,6 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trai
 
     answers = _asked(coded, shards, trained).groupBy("shard").applyInArrow(answer, "block long, shard int, codes binary")
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "codes")).alias("answers"))
-    out = _scored(coded.join(by_block, "block", "left"), shards, trained, total, distinct, m2)
+    out = _scored(coded.join(by_block.hint("merge"), "block", "left"), shards, trained, total, distinct, m2)
     held = ~F.coalesce(training, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
