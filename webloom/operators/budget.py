@@ -3,47 +3,40 @@
 All keep the rows whose sum of weights before them is below the target, so the row that crosses it is kept; the
 flags trim that row to hit the target exactly, or add rows that tie with the last. A running total over a whole table
 would be one task's work. ``running_total`` therefore sums by ranges of the order first (leading digits of a hash,
-quantiles of a number), turns those few sums into offsets, and runs the totals within each range.
+or cuts on a number and its ties), turns those few sums into offsets, and runs the totals within each range.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.operators.ranges import RANGE, in_ranges
+
 #: Leading hex digits that cut a global order into ranges: 16^3 of them.
 DIGITS = 3
 
 
-def numeric_ranges(df: DataFrame, column: str, ranges: int = 4_096, name: str = "__range") -> DataFrame:
-    """``df`` and the number of the range that ``column``, a number, lies in: ranges hold about as many rows each, however the values are spread."""
-    cuts = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("c")).first()["c"] or []
-    splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
-    placed = Bucketizer(splits=splits, inputCol="__number", outputCol="__bucket", handleInvalid="keep").transform(df.withColumn("__number", F.col(column).cast("double")))
-    return placed.withColumn(name, F.col("__bucket").cast("int")).drop("__number", "__bucket")
-
-
 def running_total(df: DataFrame, hash_col: str, weight: Column, *, by: list[str] | None = None, ties: tuple[str, ...] = ("id",), descending: bool = False, name: str = "before", digits: int = DIGITS) -> DataFrame:
     """``df`` and the sum of ``weight`` (null: 0) over the rows before each in order of ``hash_col``, then ``ties``; per group of ``by`` if given.
 
     ``hash_col`` is hex text of fixed length, spread evenly; its first ``digits`` cut the order into ranges, 16 times
-    as many for each more. Any number will do as well: then ranges are cut by quantiles.
+    as many for each more. Of a number's values one may hold most rows: then ranges are cut on all of group, number and ties.
     """
     weight = F.coalesce(weight, F.lit(0)).cast("long")
     groups = list(by or [])
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    ranged = numeric_ranges(df, hash_col) if isinstance(df.schema[hash_col].dataType, T.NumericType) else df.withColumn("__range", F.substring(hash_col, 1, digits))
+    number = isinstance(df.schema[hash_col].dataType, T.NumericType)
+    ranged = in_ranges(df, *groups, *[direction(c) for c in (hash_col, *ties)]) if number else df.withColumn(RANGE, F.substring(hash_col, 1, digits))
     cell = ranged.withColumn("__weight", weight)
-    sums = cell.groupBy(*groups, "__range").agg(F.sum("__weight").alias("__sum"))
+    along = (lambda c: F.col(c).asc()) if number else direction  # ranges of a number are numbered in the order asked for
+    sums = cell.groupBy(*groups, RANGE).agg(F.sum("__weight").alias("__sum"))
     over = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    offsets = sums.select(*groups, "__range", (F.sum("__sum").over(over.orderBy(direction("__range")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__offset"))
-    inside = Window.partitionBy(*groups, "__range").orderBy(*[direction(c) for c in (hash_col, *ties)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sums.select(*groups, RANGE, (F.sum("__sum").over(over.orderBy(along(RANGE)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__offset"))
+    inside = Window.partitionBy(*groups, RANGE).orderBy(*[direction(c) for c in (hash_col, *ties)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = cell.withColumn("__inside", F.sum("__weight").over(inside) - F.col("__weight"))
-    return summed.join(offsets, [*groups, "__range"]).withColumn(name, F.col("__inside") + F.col("__offset")).drop("__range", "__weight", "__inside", "__offset")
+    return summed.join(offsets, [*groups, RANGE]).withColumn(name, F.col("__inside") + F.col("__offset")).drop(RANGE, "__weight", "__inside", "__offset")
 
 
 def fill_budget(df: DataFrame, hash_col: str, weight_col: str, target: Column | int, *, by: list[str] | None = None, ties: tuple[str, ...] = ("id",), descending: bool = False, trim: bool = False, with_ties: bool = False) -> DataFrame:

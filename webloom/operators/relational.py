@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.operators.ranges import RANGE, in_ranges
+
 
 def conform(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """The columns of ``schema``, cast, in its order; extra ones are dropped, a missing one is an error."""
@@ -75,17 +77,40 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_value: str, r
     """Each left row and the right row of the same group whose value is nearest in ratio, if |ln ratio| is within the tolerance; ties go to the smaller key.
 
     With ``gain``, a column of the right side, a left row whose nearest partner gains less than ``least_gain`` goes.
+    Rows without a group or a positive value match nothing.
 
-    Both sides are cut into cells of one tolerance on the logarithm, and a row is compared with its own and the two
-    neighbouring cells, so the join is an equi-join.
+    An as-of merge: both sides together are dealt over ranges of group and value, each range carries its last and next
+    right row through, and what is missing at a range's ends comes from a table of two right rows a range. Of
+    right rows of one value only that of the smallest key takes part, so the cost doesn't grow with how many are near.
     """
-    cell = lambda c: F.floor(F.ln(F.col(c)) / tolerance).cast("long")
-    numbered = left.withColumn("__left", F.monotonically_increasing_id()).withColumn("__cell", F.explode(F.array(*[cell(left_value) + k for k in (-1, 0, 1)])))
-    other = right.select(*by, *[F.col(c).alias(f"match_{c}") for c in right.columns if c not in by], cell(right_value).alias("__cell"))
-    distance = F.abs(F.ln(F.col(f"match_{right_value}") / F.col(left_value)))
-    pairs = numbered.join(other, [*by, "__cell"]).withColumn("distance", distance).where(F.col("distance") <= tolerance)
-    best = Window.partitionBy("__left").orderBy("distance", f"match_{right_key}")
-    found = pairs.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "__left", "__cell")
+    real = lambda df, value: df.where(F.col(value) > 0).dropna(subset=by)
+    others = [c for c in right.columns if c not in by]
+    group = [f"__by{i}" for i in range(len(by))]
+    named = [F.col(c).alias(g) for c, g in zip(by, group, strict=True)]
+    match = F.struct(*[F.col(c).alias(f"match_{c}") for c in others])
+    single = real(right, right_value).groupBy(*named, F.col(right_value).cast("double").alias("__v")).agg(F.min_by(match, right_key).alias("__match"))
+    rows = real(left, left_value).select(*named, F.col(left_value).cast("double").alias("__v"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), F.monotonically_increasing_id().alias("__tie"))
+    both = rows.unionByName(single.withColumns({"__side": F.lit(0), "__tie": F.lit(0).cast("long")}), allowMissingColumns=True)
+    dealt = in_ranges(both, *group, "__v", "__side", "__tie")
+
+    def carried(column: str, over, end: int) -> Column:
+        return F.last(column, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, end))
+
+    ends = dealt.where("__match is not null").groupBy(*group, RANGE).agg(F.min_by("__match", "__v").alias("first"), F.max_by("__match", "__v").alias("last"))
+    # A group of one range needs nothing from others; of the rest there are two rows a range at most.
+    spans = dealt.groupBy(*group, RANGE).agg(F.count("*").alias("__n")).withColumn("__ranges", F.count("*").over(Window.partitionBy(*group))).where("__ranges > 1").drop("__n", "__ranges")
+    along = Window.partitionBy(*group)
+    patched = spans.join(ends, [*group, RANGE], "left").select(*group, RANGE, carried("last", along.orderBy(RANGE), -1).alias("__earlier"), carried("first", along.orderBy(F.desc(RANGE)), -1).alias("__later"))
+    inside = Window.partitionBy(*group, RANGE)
+    place = ["__v", "__side", "__tie"]
+    seen = dealt.withColumns({"__below": carried("__match", inside.orderBy(*place), 0), "__above": carried("__match", inside.orderBy(*[F.desc(c) for c in place]), 0)})
+    seen = seen.where("__side = 1").join(F.broadcast(patched), [*group, RANGE], "left")
+    below, above = F.coalesce("__below", "__earlier"), F.coalesce("__above", "__later")
+    distance = lambda m: F.abs(F.ln(m[f"match_{right_value}"] / F.col(f"__left.{left_value}")))
+    far = F.lit(float("inf"))
+    options = [F.struct(F.coalesce(distance(m), far).alias("distance"), m[f"match_{right_key}"].alias("key"), m.alias("match")) for m in (below, above)]
+    first = (options[0]["distance"] < options[1]["distance"]) | ((options[0]["distance"] == options[1]["distance"]) & F.coalesce(options[0]["key"] <= options[1]["key"], options[1]["key"].isNull()))
+    found = seen.select("__left", F.when(first, options[0]).otherwise(options[1]).alias("best")).where((F.col("best.distance") <= tolerance) & F.col("best.match").isNotNull()).select("__left.*", "best.match.*", "best.distance")
     return found.where(F.col(f"match_{gain}") >= least_gain) if gain else found
 
 
