@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,13 +146,42 @@ def test_sidecars_are_made_shard_by_shard(spark, tmp_path):
         sidecars.joined(docs, {"x": made.withColumn("id", F.lit("z"))}).collect()
     with pytest.raises(Exception, match="another id"):
         sidecars.joined(docs, {"x": made.where("row_index > 0")}).collect()
-    with pytest.raises(ValueError):
-        sidecars.joined(docs, {"x": made.unionByName(made)})
+    with pytest.raises(Exception, match="more than once"):
+        sidecars.joined(docs, {"x": made.unionByName(made)}).collect()
     with pytest.raises(ValueError, match="places"):
         sidecars.label_missing(spark, folder, str(tmp_path / "bad"), ["text"], lambda df: df.withColumn("id", F.lit("other")))
     assert sidecars.mirror_path("/a/b/c/part-0.parquet", "/a/b", "/x") == "/x/c/part-0.parquet"
 
 
+def test_a_misaligned_sidecar_is_an_error_whatever_is_read(spark):
+    docs = spark.createDataFrame([("f", 0, 1, "d", "x"), ("f", 1, 2, "d", "y")], "file_name string, row_index long, id long, dump string, text string")
+    side = spark.createDataFrame([("f", 0, 1, "AI"), ("f", 1, 9, "Human")], "file_name string, row_index long, id long, label string")
+    out = sidecars.joined(docs, {"l": side})
+    for read in (out, out.select("dump", "l_label"), out.select("dump"), out.groupBy("l_label").count(), out.where("l_label = 'Human'").select("text")):
+        with pytest.raises(Exception, match="f row 1 has another id"):
+            read.collect()
+    with pytest.raises(Exception, match="another id"):
+        out.count()
+    right = sidecars.joined(docs, {"l": side.withColumn("id", F.col("row_index") + 1)}).select("dump", "l_label").collect()
+    assert sorted(map(tuple, right)) == [("d", "AI"), ("d", "Human")]
+
+
+def test_tables_laid_out_by_file_are_joined_without_a_shuffle(spark):
+    docs = spark.range(900).selectExpr("concat('f', id % 7) AS file_name", "id div 7 AS row_index", "id", "repeat('word ', 200) AS text")
+    side = docs.selectExpr("file_name", "row_index", "id", "id % 3 AS label").repartition(5)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lying = [sidecars.laid_out_by_file(x) for x in (docs, side, side.withColumnRenamed("label", "topic"))]
+        out = sidecars.joined(lying[0], {"l": lying[1], "t": lying[2]})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(rows) == 900 and all(r["l_label"] == r["t_topic"] == r["id"] % 3 and r["text"] for r in rows)
+
+
 def test_label_rows(spark):
     df = spark.createDataFrame([("success", "4", "AI", None), ("error", None, None, "too short"), (None, None, None, None)], "o string, v string, l string, e string")
     row = sidecars.label_row(F.col("o"), F.col("v"), "4", F.col("l"), ("AI", "Human"), F.col("e"))
@@ -319,8 +349,22 @@ def test_poisson_interval_is_that_of_resampling(spark):
     df = spark.createDataFrame(rows, "id long, dump string, tokens long, label string")
     p = measure.poisson_interval(df.repartition(7), "dump", "id", draws=800).first()
     assert measure.poisson_interval(df.repartition(3), "dump", "id", draws=800, held=5_000).first()["low"] == pytest.approx(p["low"], abs=1e-9)
-    r = measure.share_interval(df, "dump", ["id"], draws=800).first()
-    assert p["low"] == pytest.approx(r["low"], abs=0.006) and p["high"] == pytest.approx(r["high"], abs=0.006)
+    tokens, ai = np.array([r[2] for r in rows], float), np.array([r[3] == "AI" for r in rows])
+    low, high = measure.ratio_interval(tokens * ai, tokens, 0, 800)
+    assert p["low"] == pytest.approx(low, abs=0.006) and p["high"] == pytest.approx(high, abs=0.006)
+
+
+def test_unit_interval_is_that_of_resampling_units(spark):
+    rng = random.Random(1)
+    units = [(k, u, rng.randint(0, 5), rng.randint(1, 9)) for k in ("a", None) for u in range(1_500)]
+    rows = [(k, u, v, w) for k, u, v, w in units for _ in range(1 + u % 3)]
+    df = spark.createDataFrame(rows, "g string, u long, v int, w int").repartition(5)
+    got = {r["g"]: r for r in measure.unit_interval(df, "g", "u", F.col("v"), F.col("w"), 100.0, draws=800).collect()}
+    for k in ("a", None):
+        v, w = (np.array([r[i] * (1 + r[1] % 3) for r in units if r[0] == k], float) for i in (2, 3))
+        low, high = measure.ratio_interval(100 * v, w, 0, 800)
+        assert got[k]["rate"] == pytest.approx(100 * v.sum() / w.sum()) and got[k]["units"] == 1_500
+        assert got[k]["low"] == pytest.approx(low, abs=0.6) and got[k]["high"] == pytest.approx(high, abs=0.6)
 
 
 def test_order_statistics(spark):

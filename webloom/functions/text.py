@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -111,18 +112,30 @@ def cleaned_text(text: Column) -> Column:
 
 def picked_windows(tokens: Column, size: int, k: int) -> Column:
     """At most ``k`` evenly spaced ones of the non-overlapping windows of ``size`` tokens, rounding half to even."""
-    n = F.greatest(F.ceil(F.size(tokens) / size), F.lit(1)).cast("int")
-    all_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(tokens, i * size + 1, F.lit(size)))
-    if k == 1:
-        return F.slice(all_, 1, 1)
-    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / (k - 1)).cast("int")))
-    return F.when(n <= k, all_).otherwise(F.transform(picks, lambda p: F.get(all_, p)))
+
+    def pick(t: Column) -> Column:
+        n = F.greatest(F.ceil(F.size(t) / size), F.lit(1)).cast("int")
+        window = lambda i: F.slice(t, i * size + 1, F.lit(size))
+        every = F.sequence(F.lit(0), n - 1)
+        some = F.array(F.lit(0)) if k == 1 else F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / (k - 1)).cast("int")))
+        return F.transform(F.when(n <= k, every).otherwise(some), window)
+
+    return bound(tokens, pick)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` has it inside a lambda: there Spark would work out an expression again for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def scored_windows(tokens: Column, length: int) -> Column:
     """Windows of ``length`` + 1 tokens at a stride of ``length``, each of two tokens or more."""
-    starts = F.when(F.size(tokens) >= 2, F.sequence(F.lit(0), F.size(tokens) - 2, F.lit(length))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.slice(tokens, s + 1, F.lit(length + 1)))
+
+    def cut(t: Column) -> Column:
+        starts = F.when(F.size(t) >= 2, F.sequence(F.lit(0), F.size(t) - 2, F.lit(length))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.slice(t, s + 1, F.lit(length + 1)))
+
+    return bound(tokens, cut)
 
 
 def classifier_input(url: Column, text: Column) -> Column:

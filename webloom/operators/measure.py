@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,24 +36,6 @@ def ratio_interval(values: np.ndarray, weights: np.ndarray, seed: int, draws: in
     return float(low), float(high)
 
 
-def share_interval(df: DataFrame, by: str, order: list[str], seed: int = 0, draws: int = 2_000) -> DataFrame:
-    """by, low, high: the bootstrap interval of the AI share of tokens, documents drawn by number in ``order``.
-
-    For groups of bounded size, such as a month's sample: the rows of one come together. ``poisson_interval`` does
-    without that.
-    """
-    ship(df.sparkSession)
-
-    def resampled(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        tokens = rows["tokens"].to_numpy(np.float64)
-        low, high = ratio_interval(tokens * (rows["label"] == "AI").to_numpy(), tokens, seed, draws)
-        return pd.DataFrame({by: [rows[by].iloc[0]], "low": [low], "high": [high]})
-
-    kind = df.schema[by].dataType.simpleString()
-    return df.where("label is not null").select(*dict.fromkeys([by, "label", "tokens", *order])).groupBy(by).applyInPandas(resampled, f"{by} {kind}, low double, high double")
-
-
 #: P(a Poisson variable of mean 1 is at most k), for k from 0.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 
@@ -66,30 +47,29 @@ def poisson_weights(keys: np.ndarray, seed: int, draws: int) -> np.ndarray:
     return np.searchsorted(POISSON, uniform.ravel(), side="right").reshape(uniform.shape).astype(np.float64)
 
 
-def poisson_interval(df: DataFrame, by: str, id_col: str, seed: int = 0, draws: int = 2_000, held: int = 2_000_000) -> DataFrame:
-    """by, low, high: the bootstrap interval of the AI share of tokens over groups of any size.
+def poisson_ratios(rows: DataFrame, seed: int = 0, draws: int = 2_000, held: int = 2_000_000) -> DataFrame:
+    """group, q (2.5 and 97.5 % quantiles): bootstrap intervals of sum(value) / sum(weight), from rows group (string), key (long), value, weight.
 
-    Each document gets a Poisson weight for each draw, from its id; sums by group and draw are formed where the
-    documents are read, so what is shuffled is draws by groups, never rows.
+    Each key gets a Poisson weight for each draw, the same wherever it is read; sums by group and draw are formed where
+    the rows are read, so what is shuffled is draws by groups, never rows, whatever the size of a group.
     """
-    ship(df.sparkSession)
-    rows = df.where("label is not null").select(F.col(by).cast("string").alias("group"), F.xxhash64(id_col).alias("key"), F.col("tokens").cast("double").alias("tokens"), (F.col("label") == "AI").alias("ai"))
+    ship(rows.sparkSession)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str | None, np.ndarray] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([list(s[0]) for s in sums.values()], pa.list_(pa.float64())), pa.array([list(s[1]) for s in sums.values()], pa.list_(pa.float64()))], ["group", "ai", "every"])
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([list(s[i]) for s in sums.values()], pa.list_(pa.float64())) for i in (0, 1))], ["group", "value", "weight"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, step := max(1, held // draws)):
                 part = batch.slice(at, step)
-                weights = poisson_weights(part.column(1).to_numpy(zero_copy_only=False).view(np.uint64), seed, draws)
-                tokens, ai = part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False)
+                drawn = poisson_weights(part.column(1).to_numpy(zero_copy_only=False).view(np.uint64), seed, draws)
+                value, weight = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
                 names = part.column(0).to_pylist()
                 for name in dict.fromkeys(names):
                     here = np.array([n == name for n in names])
-                    both = np.stack([(tokens * ai)[here] @ weights[here], tokens[here] @ weights[here]])
+                    both = np.stack([value[here] @ drawn[here], weight[here] @ drawn[here]])
                     sums[name] = sums[name] + both if name in sums else both
                 if len(sums) * draws > held:
                     yield out()
@@ -97,9 +77,16 @@ def poisson_interval(df: DataFrame, by: str, id_col: str, seed: int = 0, draws:
         if sums:
             yield out()
 
-    parts = rows.mapInArrow(summed, "group string, ai array<double>, every array<double>")
-    by_draw = parts.select("group", F.posexplode(F.arrays_zip("ai", "every")).alias("draw", "s")).groupBy("group", "draw").agg((F.try_divide(F.sum("s.ai"), F.sum("s.every"))).alias("share"))
-    found = by_draw.groupBy("group").agg(F.percentile("share", F.lit([0.025, 0.975])).alias("q"))
+    parts = rows.select("group", "key", F.col("value").cast("double"), F.col("weight").cast("double")).mapInArrow(summed, "group string, value array<double>, weight array<double>")
+    by_draw = parts.select("group", F.posexplode(F.arrays_zip("value", "weight")).alias("draw", "s")).groupBy("group", "draw").agg((F.try_divide(F.sum("s.value"), F.sum("s.weight"))).alias("share"))
+    return by_draw.groupBy("group").agg(F.percentile("share", F.lit([0.025, 0.975])).alias("q"))
+
+
+def poisson_interval(df: DataFrame, by: str, id_col: str, seed: int = 0, draws: int = 2_000, held: int = 2_000_000) -> DataFrame:
+    """by, low, high: the bootstrap interval of the AI share of tokens over groups of any size."""
+    tokens = F.col("tokens").cast("double")
+    rows = df.where("label is not null").select(F.col(by).cast("string").alias("group"), F.xxhash64(id_col).alias("key"), (tokens * (F.col("label") == "AI").cast("double")).alias("value"), tokens.alias("weight"))
+    found = poisson_ratios(rows, seed, draws, held)
     return found.select(F.col("group").cast(df.schema[by].dataType).alias(by), F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
 
 
@@ -227,18 +214,15 @@ def macro_scores(domains: DataFrame, by: str, bpb: str = "bpb") -> DataFrame:
 def unit_interval(df: DataFrame, by: str, unit: str, value: Column, weight: Column, scale: float, seed: int = 0, draws: int = 2_000) -> DataFrame:
     """by, rate (scale * sum of values / sum of weights), low, high (95 %), units: units (such as prompts) are resampled whole.
 
-    Values are summed by unit first; a resampling sees one row per unit of a group.
+    Values are summed by unit first, so all of a unit gets one weight a draw (see ``poisson_ratios``); no group of
+    units comes together.
     """
-    ship(df.sparkSession)
     sums = df.groupBy(by, unit).agg(F.sum(value).cast("double").alias("v"), F.sum(weight).cast("double").alias("w"))
-
-    def resampled(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(unit)
-        v, w = rows["v"].to_numpy(), rows["w"].to_numpy()
-        low, high = ratio_interval(scale * v, w, seed, draws)
-        return pd.DataFrame({by: [rows[by].iloc[0]], "rate": [scale * v.sum() / w.sum()], "low": [low], "high": [high], "units": [len(rows)]})
-
-    return sums.groupBy(by).applyInPandas(resampled, f"{by} {df.schema[by].dataType.simpleString()}, rate double, low double, high double, units long")
+    whole = sums.groupBy(by).agg(F.try_divide(F.lit(scale) * F.sum("v"), F.sum("w")).alias("rate"), F.count("*").alias("units"))
+    rows = sums.select(F.col(by).cast("string").alias("group"), F.xxhash64(unit).alias("key"), F.coalesce("v", F.lit(0.0)).alias("value"), F.coalesce("w", F.lit(0.0)).alias("weight"))
+    q = poisson_ratios(rows, seed, draws)
+    found = whole.join(q, F.col(by).cast("string").eqNullSafe(F.col("group")))
+    return found.select(by, "rate", (F.lit(scale) * F.get("q", 0)).alias("low"), (F.lit(scale) * F.get("q", 1)).alias("high"), "units")
 
 
 def labelled_only(df: DataFrame, columns: list[str], unlabelled: str = "unlabeled") -> DataFrame:

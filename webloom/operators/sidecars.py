@@ -12,8 +12,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.operators.relational import unique_or_error
-from webloom.sources.tables import exists, ordered_scan
+from webloom.sources.tables import exists, laid_out, ordered_scan
 
 PLACE = ["file_name", "row_index"]
 
@@ -60,19 +59,30 @@ def _digest(id_col: str) -> Column:
     return F.bit_xor(F.xxhash64("row_index", F.col(id_col).cast("string")))
 
 
+def laid_out_by_file(df: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Documents or a sidecar (with PLACE) laid out by file name, so that ``joined`` shuffles neither."""
+    return laid_out(df, PLACE[0], PLACE[1:], buckets)
+
+
 def joined(documents: DataFrame, sidecars: dict[str, DataFrame], id_col: str = "id") -> DataFrame:
     """``documents`` (with PLACE) and the columns of each sidecar, prefixed by its name, joined by place.
 
     A sidecar row whose id is another than the document's is an error, and so are a document without one and a place
-    there twice.
+    there twice. The check is a filter, so it holds whatever columns are read afterwards. Tables of
+    ``laid_out_by_file`` are joined without a shuffle.
     """
     out = documents
     for name, side in sidecars.items():
         columns = [c for c in side.columns if c not in (*PLACE, id_col)]
-        other = unique_or_error(side, PLACE, name).select(*PLACE, F.col(id_col).alias("__id"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        row = F.struct(F.col(id_col).alias("__id"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        other = side.groupBy(*PLACE).agg(F.count("*").alias("__rows"), F.first(row).alias("__side"))
+        before = out.columns
         out = out.join(other, PLACE, "left")
-        message = F.concat(F.lit(f"{name}: "), F.col("file_name"), F.lit(" row "), F.col("row_index").cast("string"), F.lit(" has another id"))
-        out = out.withColumn(id_col, F.when(F.col(id_col) == F.col("__id"), F.col(id_col)).otherwise(F.raise_error(message).cast(out.schema[id_col].dataType))).drop("__id")
+        where = F.concat(F.lit(f"{name}: "), F.col("file_name"), F.lit(" row "), F.col("row_index").cast("string"))
+        wrong = F.when(F.col("__rows") > 1, F.lit(" is there more than once")).otherwise(F.lit(" has another id"))
+        fits = (F.col("__rows") == 1) & (F.col(id_col) == F.col("__side.__id"))
+        out = out.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(where, wrong)).cast("boolean")))
+        out = out.select(*before, *[F.col(f"__side.{name}_{c}").alias(f"{name}_{c}") for c in columns])
     return out
 
 

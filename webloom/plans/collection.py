@@ -57,9 +57,11 @@ def _topics(spark, sf):
 
 @query(PLACED + "SELECT id, dump, label AS labels_label, lang AS topics_topic, CASE WHEN tokens < 1000 THEN 'short' ELSE 'long' END AS topics_format FROM p")
 def documents_with_sidecars(spark, sf):
-    docs = placed(spark, sf)
-    labels = docs.select("id", "file_name", "row_index", "label")
-    return sidecars.joined(docs.select("id", "dump", "file_name", "row_index"), {"labels": labels, "topics": _topics(spark, sf)}).drop("file_name", "row_index")
+    """Documents and two sidecars laid out by file name, joined where they lie."""
+    docs = sidecars.laid_out_by_file(placed(spark, sf))
+    labels = sidecars.laid_out_by_file(docs.select("id", "file_name", "row_index", "label"))
+    topics = sidecars.laid_out_by_file(_topics(spark, sf))
+    return sidecars.joined(docs.select("id", "dump", "file_name", "row_index"), {"labels": labels, "topics": topics}).drop("file_name", "row_index")
 
 
 @query(PLACED + "SELECT id FROM p WHERE (id // 500) % 2 = 1")

@@ -123,6 +123,22 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def laid_out(df: DataFrame, by: str, order: list[str], buckets: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder in buckets of ``by``, sorted inside by ``by`` and ``order``, and read again.
+
+    Tables laid out alike are joined and grouped by ``by``, alone or with more columns, where they lie: nothing is
+    shuffled, and writing shuffles nothing either. For keys of bounded size, such as a file's rows: a key is one
+    bucket's. ``buckets`` is Spark's number of shuffle partitions if it isn't given.
+    """
+    spark = df.sparkSession
+    # Else Spark wants tables cut by every column of a join, and shuffles them to have it.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    name = f"laid_out_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, by).sortBy(by, *order).option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def write_table(df: DataFrame, path: str, *, order: list[str] | None = None, rows_per_file: int = 100_000, replace: bool = False) -> None:
     """Parquet with zstd, at most ``rows_per_file`` rows a file, in ``order`` across and within files. Without ``replace`` an existing table is an error."""
     if order:
