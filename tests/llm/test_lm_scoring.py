@@ -60,7 +60,8 @@ def test_sequences(n, top):
     coded = lm.EliasFano(lm.EliasFano.words_of(values))
     assert (coded[np.arange(n)] == values).all()
     asked = np.concatenate([values, values + 1, np.maximum(values - 1, 0), rng.integers(0, top + 2, 50), [0]]).astype(np.int64)
-    assert (coded.successor(asked) == np.searchsorted(values, asked)).all()
+    place, equal = coded.successor(asked)
+    assert (place == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
     bits = 64 * len(lm.EliasFano.words_of(values)) / max(n, 1)
     assert n < 1_000 or bits <= 6 + max(0, math.log2(max(1, top / n)))
 
@@ -71,13 +72,12 @@ def test_trie_finds_its_pairs_and_triples_and_no_others():
     pairs = np.unique(np.concatenate([triples[:, :2], rng.integers(0, 40, (100, 2))]), axis=0)
     place = {tuple(p): i for i, p in enumerate(pairs.tolist())}
     parent = np.array([place[tuple(t[:2])] for t in triples.tolist()])
-    ones = np.ones(len(pairs))
-    trie = lm.Trie(lm.mapped(lm.Trie.build(pairs[:, 0], pairs[:, 1], ones, 9 * ones, parent, triples[:, 2], np.ones(len(triples)), 5.0, 5.0)))
+    trie = lm.Trie(lm.mapped(lm.Trie.build(pairs[:, 0], pairs[:, 1], np.ones(len(pairs)), parent, triples[:, 2], np.ones(len(triples)), 5.0)))
     asked, third = rng.integers(0, 45, (5_000, 2)), rng.integers(0, 33, 5_000)
     node = trie.pairs(asked[:, 0], asked[:, 1])
     assert node.tolist() == [place.get(tuple(p), -1) for p in asked.tolist()]
     leaf = {tuple(t): i for i, t in enumerate(triples.tolist())}
-    assert trie.triples(node, third).tolist() == [leaf.get((*p, w), -1) for p, w in zip(asked.tolist(), third.tolist(), strict=True)]
+    assert trie.triples(node, np.arange(len(node)), third).tolist() == [leaf.get((*p, w), -1) for p, w in zip(asked.tolist(), third.tolist(), strict=True)]
 
 
 def test_codes_are_close_and_in_order():

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import column_pieces, discard, tables_made, written, written_by
+from webloom.llm.common import column_pieces, discard, tables_made, trim, written, written_by
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -107,6 +107,8 @@ def blocks(docs: DataFrame, breaks: str | None = None) -> DataFrame:
                 values = (number, n, len(tokens), packed(about), deflated, packed(counts), packed(tokens))
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], [c.split()[0] for c in MADE.split(", ")])
                 number += 1
+                del coded, tokens, entries, spelled, distinct, values
+                trim()
 
     return docs.mapInArrow(cut, MADE)
 
@@ -123,6 +125,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+            trim()
 
 
 def one_batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
@@ -135,16 +138,18 @@ def one_batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 class Corpus:
     """Blocks whose words have the corpus' numbers.
 
-    ``coded`` has block, docs, tokens, numbers (of the block's dictionary, one more than the word's, 0 for words that
-    have none) and counts (over the corpus, of those that have one). ``shards`` has a row for each shard: ``before``
-    it so many words are numbered, and ``entries`` and ``counts`` are its own. ``sums`` adds up, by label, the counts of
-    all words, numbered or not.
+    ``coded`` has block, docs, tokens, numbers (of the block's dictionary, from 1, 0 for words that have none, in
+    order) and counts (over the corpus, of those that have one). Frequent words have low numbers: a shard's word of rank
+    k (from 0) has k times the number of shards, plus the shard's, plus 1. ``shards`` has a row for each shard with its
+    ``entries`` and ``counts`` by rank. ``sums`` adds up, by label, the counts of all words, numbered or not.
     """
 
     coded: DataFrame
     shards: DataFrame
     sums: dict[str, int]
+    n_shards: int
     n_words: int
+    most: int
     n_tokens: int
     n_blocks: int
 
@@ -177,44 +182,50 @@ def numbered(made: DataFrame, least: int = 1, shard_entries: int = 1_000_000) ->
         own = np.concatenate([unpacked(x) for x in table["counts"].to_pylist()]).astype(np.int64)
         counts = np.zeros(len(coded.dictionary), np.int64)
         np.add.at(counts, which, own)
-        has = counts >= least
-        number = np.where(has, np.cumsum(has), 0)
+        order = np.argsort(-counts, kind="stable")
+        order = order[counts[order] >= least]
+        number = np.zeros(len(counts), np.int64)
+        number[order] = np.arange(len(order)) * n_shards + shard + 1
         cuts = np.cumsum([0, *map(len, parts)])
-        rows = [(block, shard, 0, packed(number[which[a:b]]), packed(halves(counts[which[a:b]] * has[which[a:b]])), None, None) for block, a, b in zip(asked, cuts[:-1], cuts[1:], strict=True)]
+        rows = [(block, shard, 0, packed(number[which[a:b]]), packed(halves(np.where(number > 0, counts, 0)[which[a:b]])), None, None) for block, a, b in zip(asked, cuts[:-1], cuts[1:], strict=True)]
         spelled = coded.dictionary.to_pylist()
         sums: dict[str, int] = {}
         for e, c in zip(spelled, counts.tolist(), strict=True):
             label = e.partition(" ")[0]
             sums[label] = sums.get(label, 0) + c
         listed = "\n".join(f"{label} {c}" for label, c in sums.items())
-        kept = "\n".join(e for e, k in zip(spelled, has.tolist(), strict=True) if k)
-        rows.append((None, shard, int(has.sum()), None, packed(halves(counts[has])), zlib.compress(kept.encode(), 1), listed.encode()))
+        kept = "\n".join(spelled[i] for i in order.tolist())
+        rows.append((None, shard, len(order), None, packed(halves(counts[order])), zlib.compress(kept.encode(), 1), listed.encode()))
+        trim()
         return pa.Table.from_batches([one_batch(rows, ANSWER)])
 
     answers = written(made.mapInArrow(deal, "shard int, block long, entries binary, counts binary").groupBy("shard").applyInArrow(answer, ANSWER))
     shards = answers.where("block is null")
-    before, at, sums = {}, 0, {}
-    for r in shards.select("shard", "n", "sums").orderBy("shard").collect():  # one row a shard
-        before[r["shard"]], at = at, at + r["n"]
+    n_words, most, sums = 0, 0, {}
+    for r in shards.select("shard", "n", "sums").collect():  # one row a shard
+        n_words += r["n"]
+        most = max(most, (r["n"] - 1) * n_shards + r["shard"] + 1)
         for line in bytes(r["sums"]).decode().split("\n"):
             label, _, n = line.rpartition(" ")
             sums[unquote(label)] = sums.get(unquote(label), 0) + int(n)
-    offsets = spark.sparkContext.broadcast(before)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             numbers, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a in sorted(row["answers"] or (), key=lambda a: a["shard"]):
-                local = unpacked(a["numbers"]).astype(np.int64)
-                numbers.append(np.where(local > 0, local + offsets.value[a["shard"]], 0))
+                numbers.append(unpacked(a["numbers"]))
                 counts.append(whole(unpacked(a["counts"])))
-            yield one_batch([(row["block"], row["docs"], row["tokens"], packed(np.concatenate(numbers)), packed(halves(np.concatenate(counts))))], CODED)
+            number = np.concatenate(numbers)
+            # Frequent words first, and the break stays last.
+            order = np.argsort(number, kind="stable")
+            place = np.empty(len(order) + 1, np.int64)
+            place[order], place[-1] = np.arange(len(order)), len(order)
+            yield one_batch([(row["block"], row["docs"], packed(place[unpacked(row["tokens"])]), packed(number[order]), packed(halves(np.concatenate(counts)[order])))], CODED)
 
     by_block = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "numbers", "counts")).alias("answers"))
     coded = written_by(made.select("block", "docs", "tokens").join(by_block.hint("merge"), "block", "left").mapInArrow(merge, CODED), "block")
     discard(spark, first)
-    starts = spark.createDataFrame(list(before.items()), "shard int, before long")
-    return Corpus(coded, shards.join(F.broadcast(starts), "shard").select("before", "entries", "counts"), sums, at, total["t"] or 0, total["b"])
+    return Corpus(coded, shards.select("shard", "entries", "counts"), sums, n_shards, n_words, most, total["t"] or 0, total["b"])
 
 
 CODED = "block long, docs binary, tokens binary, numbers binary, counts binary"
@@ -223,11 +234,13 @@ CODED = "block long, docs binary, tokens binary, numbers binary, counts binary"
 def vocabulary(corpus: Corpus) -> DataFrame:
     """Rows number (from 1), label, word, n of the numbered words."""
 
+    n_shards = corpus.n_shards
+
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             counts = whole(unpacked(row["counts"])).tolist()
             text = zlib.decompress(row["entries"]).decode()
             if counts:
-                yield one_batch([(row["before"] + i, *label_and_word(e), c) for i, (e, c) in enumerate(zip(text.split("\n"), counts, strict=True), 1)], "number long, label string, word string, n long")
+                yield one_batch([(i * n_shards + row["shard"] + 1, *label_and_word(e), c) for i, (e, c) in enumerate(zip(text.split("\n"), counts, strict=True))], "number long, label string, word string, n long")
 
     return corpus.shards.mapInArrow(spell, "number long, label string, word string, n long")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -122,11 +123,19 @@ def pieces(rows: Iterable[tuple[int | None, bytes]], size: int = PIECE_BYTES) ->
         yield held
 
 
+def trim() -> None:
+    """Give back to the system what this process has freed, so that a worker between tasks doesn't hold the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch_rows(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, UTF-8 text) of a batch made by ``keyed``, in slices so that few Python objects live at once."""
     for start in range(0, batch.num_rows, 512):
         part = batch.slice(start, 512)
         yield from zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True)
+    trim()
 
 
 WORD = re.compile(r"\w+")

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.blocks import blocks, documents_of, halves, numbered, one_batch, packed, rows_of, unpacked, whole
-from webloom.llm.common import keyed
+from webloom.llm.blocks import blocks, documents_of, numbered, one_batch, packed, rows_of, unpacked, whole
+from webloom.llm.common import keyed, trim
 
 #: Decimal logarithms between which probabilities are coded, and the codes: 0 is probability 0.
 LOWEST, CODES = -16.0, 65_535
@@ -44,6 +44,10 @@ def dequantised(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (LOWEST - LOWEST * (codes.astype(np.float64) - 1) / (CODES - 1)), 0.0)
 
 
+#: Where the one of each rank stands in each byte, at rank * 256 + byte.
+IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[rank] for rank in range(8) for byte in range(256)], np.uint64)
+
+
 class EliasFano:
     """A rising sequence of n numbers up to ``top``: low bits side by side, high bits as gaps between ones. All four arrays are views of a buffer of 64-bit words."""
 
@@ -69,21 +73,20 @@ class EliasFano:
     def __init__(self, words: np.ndarray):
         self.n, self.width, n_high, n_low = (int(x) for x in words[:4])
         self.low, self.high, self.ones = words[4 : 4 + n_low], words[4 + n_low : 4 + n_low + n_high], words[4 + n_low + n_high : 4 + n_low + 2 * n_high]
-        self.zeros = np.arange(n_high, dtype=np.uint64) * np.uint64(64) - self.ones
+        self.zeros, self.inverse = np.arange(n_high, dtype=np.uint64) * np.uint64(64) - self.ones, ~self.high
+        self.n_zeros = int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.high[-1]))
         self.size = 4 + n_low + 2 * n_high
 
     @staticmethod
     def _place(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Where in each word the one of this rank (from 0) stands, by halving."""
-        place = np.zeros(len(word), np.uint64)
-        rank = rank.astype(np.uint64)
-        for half in (32, 16, 8, 4, 2, 1):
-            part = word >> place & np.uint64((1 << half) - 1)
-            inside = np.bitwise_count(part).astype(np.uint64)
-            beyond = rank >= inside
-            rank = np.where(beyond, rank - inside, rank)
-            place += np.where(beyond, np.uint64(half), np.uint64(0))
-        return place
+        """Where in each word the one of this rank (from 0) stands: first its byte, from the sums of ones of all eight at once, then its bit, from a table."""
+        each, top = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+        ones = word - (word >> np.uint64(1) & np.uint64(0x5555555555555555))
+        ones = (ones & np.uint64(0x3333333333333333)) + (ones >> np.uint64(2) & np.uint64(0x3333333333333333))
+        upto = (ones + (ones >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * each
+        place = np.bitwise_count((rank * each | top) - upto & top).astype(np.uint64) << np.uint64(3)
+        rest = rank - (upto << np.uint64(8) >> place & np.uint64(0xFF))
+        return place + IN_BYTE[rest << np.uint64(8) | word >> place & np.uint64(0xFF)]
 
     def _select(self, directory: np.ndarray, bits: np.ndarray, rank: np.ndarray) -> np.ndarray:
         at = np.searchsorted(directory, rank.astype(np.uint64), side="right") - 1
@@ -104,28 +107,28 @@ class EliasFano:
         high = self._select(self.ones, self.high, i) - i
         return (high.astype(np.uint64) << np.uint64(self.width) | self._low(i)).astype(np.int64)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The first place whose number is at least each value: those with its high bits lie between two zeros, and the low bits are searched among them."""
-        high = values >> self.width
-        most = int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.high[-1]))
-        inverse = ~self.high
-
-        def behind_zero(k: np.ndarray) -> np.ndarray:
-            """Ones before the zero of rank k, that is numbers whose high part is at most k; n if there is no such zero."""
-            out = np.full(len(k), self.n)
-            there = (k >= 0) & (k < most)
-            out[there] = np.minimum(self.n, self._select(self.zeros, inverse, k[there]) - k[there])
-            return np.where(k < 0, 0, out)
+    def _behind_zero(self, k: np.ndarray) -> np.ndarray:
+        """How many numbers have a high part of at most k: the ones before the zero of rank k."""
+        out = np.full(len(k), self.n)
+        there = (k >= 0) & (k < self.n_zeros)
+        out[there] = np.minimum(self.n, self._select(self.zeros, self.inverse, k[there]) - k[there])
+        return np.where(k < 0, 0, out)
 
-        low, end = behind_zero(high - 1), behind_zero(high)
+    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place whose number is at least each value, and whether it is that value: numbers with its high bits lie between two zeros, and the low bits are searched among them."""
+        high = values >> self.width
+        low, end = self._behind_zero(high - 1), self._behind_zero(high)
+        last = end.copy()
         wanted = (values & ((1 << self.width) - 1)).astype(np.uint64)
-        while True:
-            open_ = np.flatnonzero(low < end)
-            if not len(open_):
-                return low
+        open_ = np.flatnonzero(low < end)
+        while len(open_):
             middle = (low[open_] + end[open_]) // 2
             less = self._low(middle) < wanted[open_]
             low[open_[less]], end[open_[~less]] = middle[less] + 1, middle[~less]
+            open_ = open_[low[open_] < end[open_]]
+        equal = low < last
+        equal[equal] = self._low(low[equal]) == wanted[equal]
+        return low, equal
 
 
 def level(parents: np.ndarray, numbers: np.ndarray, n_parents: int) -> list[np.ndarray]:
@@ -139,15 +142,19 @@ def level(parents: np.ndarray, numbers: np.ndarray, n_parents: int) -> list[np.n
 
 
 class Trie:
-    """Three levels in one flat buffer of 64-bit words; nothing of it is copied when it is opened."""
+    """Three levels in one flat buffer of 64-bit words; nothing of it is copied when it is opened.
+
+    The codes of level two are what a pair leaves to its shorter context, from which its count follows too; those of
+    level three are the triples' own parts.
+    """
 
     @staticmethod
-    def build(first: np.ndarray, second: np.ndarray, c2: np.ndarray, c1: np.ndarray, parent: np.ndarray, third: np.ndarray, c3: np.ndarray, m2: float, m3: float) -> bytes:
-        """From sorted distinct pairs (first, second), each with its count and its first word's, and sorted triples (place of the pair, third) with their counts."""
+    def build(first: np.ndarray, second: np.ndarray, c2: np.ndarray, parent: np.ndarray, third: np.ndarray, c3: np.ndarray, m3: float) -> bytes:
+        """From sorted distinct pairs (first, second) with their counts, and sorted triples (place of the pair, third) with theirs."""
         words, of = np.unique(first, return_inverse=True)
         parts = [EliasFano.words_of(words), *level(of, second, len(words)), *level(parent, third, len(first))]
-        codes = [quantised(c2 / (c1 + m2)), quantised(m3 / (c2 + m3)), quantised(c3 / (c2[parent] + m3))]
-        parts += [np.frombuffer(c.tobytes() + b"\0" * (-2 * len(c) % 8), np.uint64) for c in codes]
+        for codes in (quantised(m3 / (c2 + m3)), quantised(c3 / (c2[parent] + m3))):
+            parts.append(np.frombuffer(codes.tobytes() + b"\0" * (-2 * len(codes) % 8), np.uint64))
         return np.concatenate([np.array([len(words), len(first), len(third)], np.uint64), *parts]).tobytes()
 
     def __init__(self, buffer):
@@ -157,39 +164,39 @@ class Trie:
             self.sequences.append(EliasFano(words[at:]))
             at += self.sequences[-1].size
         self.codes = []
-        for n in (self.sizes[1], self.sizes[1], self.sizes[2]):
+        for n in self.sizes[1:]:
             self.codes.append(words[at : at + (2 * n + 7) // 8].view(np.uint16)[:n])
             at += (2 * n + 7) // 8
 
-    def _child(self, node: np.ndarray, number: np.ndarray, entries: EliasFano, pointers: EliasFano) -> np.ndarray:
-        """The place of each number among its node's successors, or -1: the node's range is searched from where its numbers' raise begins."""
-        out = np.full(len(node), -1)
-        here = np.flatnonzero(node >= 0)
-        if not len(here) or not entries.n:
+    def _children(self, node: np.ndarray, which: np.ndarray, number: np.ndarray, entries: EliasFano, pointers: EliasFano) -> np.ndarray:
+        """The place of each number among the successors of its node, ``node[which]``, or -1: a node's range and its numbers' raise are looked up once, then each number's successor in the range."""
+        out = np.full(len(which), -1)
+        there = np.flatnonzero(node >= 0)
+        if not len(there) or not entries.n:
             return out
-        start, end = pointers[node[here]], pointers[node[here] + 1]
-        raise_ = np.zeros(len(here), np.int64)
-        behind = start > 0
-        raise_[behind] = entries[start[behind] - 1] + 1
-        wanted = number[here] + raise_
-        found = entries.successor(wanted)
-        inside = (found >= start) & (found < end)
-        inside[inside] = entries[found[inside]] == wanted[inside]
+        start, end, raised = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        start[there], end[there] = pointers[node[there]], pointers[node[there] + 1]
+        behind = np.flatnonzero(start > 0)
+        raised[behind] = entries[start[behind] - 1] + 1
+        here = np.flatnonzero(end[which] > 0)
+        parent = which[here]
+        found, equal = entries.successor(number[here] + raised[parent])
+        inside = equal & (found >= start[parent]) & (found < end[parent])
         out[here[inside]] = found[inside]
         return out
 
     def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The node of each pair, -1 if it was never seen."""
         root = self.sequences[0]
+        words, which = np.unique(first, return_inverse=True)
         if not root.n:
             return np.full(len(first), -1)
-        node = root.successor(first)
-        there = node < root.n
-        there[there] = root[node[there]] == first[there]
-        return self._child(np.where(there, node, -1), second, self.sequences[1], self.sequences[2])
+        node, equal = root.successor(words)
+        return self._children(np.where(equal, node, -1), which, second, self.sequences[1], self.sequences[2])
 
-    def triples(self, node: np.ndarray, third: np.ndarray) -> np.ndarray:
-        return self._child(node, third, self.sequences[3], self.sequences[4])
+    def triples(self, node: np.ndarray, which: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """The leaf of each third word behind the pair ``node[which]``, -1 if it was never seen."""
+        return self._children(node, which, third, self.sequences[3], self.sequences[4])
 
 
 def mapped(data: bytes) -> mmap.mmap:
@@ -257,80 +264,60 @@ class Grams:
 PAYLOAD = "shard int, block long, pairs binary, triples binary"
 
 
-def _asked(rows: DataFrame, shards: int, n_texts: int) -> DataFrame:
+def _asked(rows: DataFrame, shards: int) -> DataFrame:
     """What each block asks of each shard, with its own training counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             g = Grams(row)
             c2, c3 = g.trained_counts()
-            c1 = g.context_counts(n_texts)
             out = []
             for shard, at2, at3 in g.dealt(shards):
                 k2, k3 = g.keys2[at2], g.keys3[at3]
                 own = np.searchsorted(at2, g.pair_of3[at3])
-                first = np.concatenate([[True], k2[1:] >> 32 != k2[:-1] >> 32])
-                # A word's count, which can pass 32 bits, once for each first word.
-                pairs = np.concatenate([[len(k2)], k2 >> 32, k2 & 0xFFFFFFFF, c2[at2], halves(c1[at2][first])])
-                triples = np.concatenate([np.bincount(own, minlength=len(k2)), k3 & 0xFFFFFFFF, c3[at3]])
-                out.append((shard, row["block"], packed(pairs), packed(triples)))
+                each = np.bincount(own, minlength=len(k2))
+                out.append((shard, row["block"], packed(np.concatenate([k2 >> 32, k2 & 0xFFFFFFFF, c2[at2], each])), packed(np.concatenate([k3 & 0xFFFFFFFF, c3[at3]]))))
             yield one_batch(out, PAYLOAD)
 
     return rows.mapInArrow(ask, PAYLOAD)
 
 
-class _Asked:
-    """One block's questions to a shard."""
-
-    def __init__(self, block: int, pairs: bytes, triples: bytes):
-        self.block = block
-        raw = unpacked(pairs).astype(np.int64)
-        n = int(raw[0])
-        self.first, self.second, self.c2 = raw[1 : 1 + 3 * n].reshape(3, n)
-        new = np.concatenate([[True], self.first[1:] != self.first[:-1]])
-        self.c1 = whole(raw[1 + 3 * n :])[np.cumsum(new) - 1]
-        rest = unpacked(triples).astype(np.int64)
-        each, rest = rest[:n], rest[n:].reshape(2, -1)
-        self.parent, (self.third, self.c3) = np.repeat(np.arange(n), each), rest
-
-
-def build_shard(asked: list[_Asked], m2: float, m3: float) -> bytes:
-    """The trie of what all blocks together have trained on."""
-    of = lambda name: np.concatenate([getattr(a, name) for a in asked])
-    pairs = of("first") << 32 | of("second")
-    keys, which = np.unique(pairs, return_inverse=True)
-    c2, c1 = np.bincount(which, of("c2"), len(keys)), np.zeros(len(keys))
-    c1[which] = of("c1")
-    start = np.cumsum([0, *(len(a.first) for a in asked)])
-    pair = which[np.concatenate([a.parent + s for a, s in zip(asked, start, strict=False)])]
-    keys3, which3 = np.unique(pair << 32 | of("third"), return_inverse=True)
-    c3 = np.bincount(which3, of("c3"), len(keys3))
-    seen = c2 > 0
-    new = np.cumsum(seen) - 1
-    keys3, c3 = keys3[c3 > 0], c3[c3 > 0]
-    return Trie.build(keys[seen] >> 32, keys[seen] & 0xFFFFFFFF, c2[seen], c1[seen], new[keys3 >> 32], keys3 & 0xFFFFFFFF, c3, m2, m3)
-
-
-def answers_of(trie: Trie, a: _Asked) -> bytes:
-    """Codes of each pair's own part, of what its context leaves to the shorter one, and of each triple's own part."""
-    node = trie.pairs(a.first, a.second)
-    leaf = trie.triples(node[a.parent], a.third)
-    pick = lambda codes, at, other: np.where(at >= 0, codes[np.maximum(at, 0)], other) if len(codes) else np.full(len(at), other)
-    return packed(np.concatenate([pick(trie.codes[0], node, 0), pick(trie.codes[1], node, CODES), pick(trie.codes[2], leaf, 0)]))
-
-
-def _scored(rows: DataFrame, shards: int, n_texts: int, total: int, distinct: int, m2: float) -> DataFrame:
+def answered(asked: list[tuple[bytes, bytes]], m3: float) -> list[bytes]:
+    """The codes for each block's pairs and triples, from the trie of what all blocks together have trained on. What several blocks ask is looked up once."""
+    pairs = [unpacked(p).astype(np.int64).reshape(4, -1) for p, _ in asked]
+    triples = [unpacked(t).astype(np.int64).reshape(2, -1) for _, t in asked]
+    first, second, own2, each = np.concatenate(pairs, axis=1)
+    third, own3 = np.concatenate(triples, axis=1)
+    keys, which = np.unique(first << 32 | second, return_inverse=True)
+    c2 = np.bincount(which, own2, len(keys)).astype(np.int64)
+    keys3, which3 = np.unique(np.repeat(which, each) << 32 | third, return_inverse=True)
+    c3 = np.bincount(which3, own3, len(keys3)).astype(np.int64)
+    seen, seen3 = c2 > 0, c3 > 0
+    place = np.cumsum(seen) - 1
+    trie = Trie(mapped(Trie.build(keys[seen] >> 32, keys[seen] & 0xFFFFFFFF, c2[seen], place[keys3[seen3] >> 32], keys3[seen3] & 0xFFFFFFFF, c3[seen3], m3)))
+    node = trie.pairs(keys >> 32, keys & 0xFFFFFFFF)
+    leaf = trie.triples(node, keys3 >> 32, keys3 & 0xFFFFFFFF)
+    codes2, codes3 = np.full(len(keys), CODES), np.zeros(len(keys3), np.int64)
+    codes2[node >= 0], codes3[leaf >= 0] = trie.codes[0][node[node >= 0]], trie.codes[1][leaf[leaf >= 0]]
+    cuts2, cuts3 = (np.cumsum([0, *(x.shape[1] for x in parts)]) for parts in (pairs, triples))
+    return [packed(np.concatenate([codes2[which[a:b]], codes3[which3[c:d]]])) for a, b, c, d in zip(cuts2[:-1], cuts2[1:], cuts3[:-1], cuts3[1:], strict=True)]
+
+
+def _scored(rows: DataFrame, shards: int, n_texts: int, total: int, distinct: int, m2: float, m3: float) -> DataFrame:
     """Each document of blocks with their shards' answers."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             g = Grams(row)
-            own2, left, own3 = np.zeros(len(g.keys2)), np.ones(len(g.keys2)), np.zeros(len(g.keys3))
+            left, own3 = np.ones(len(g.keys2)), np.zeros(len(g.keys3))
             codes = {a["shard"]: a["codes"] for a in row["answers"] or ()}
             for shard, at2, at3 in g.dealt(shards):
                 found = unpacked(codes[shard])
                 n = len(at2)
-                own2[at2], left[at2], own3[at3] = dequantised(found[:n]), dequantised(found[n : 2 * n]), dequantised(found[2 * n :])
+                left[at2], own3[at3] = dequantised(found[:n]), dequantised(found[n:])
+            # The pairs' counts, exact up to a thousand and within 0.03 percent beyond.
+            c2 = m3 / left - m3
+            own2 = np.where(c2 < 1_000, np.rint(c2), c2) / (g.context_counts(n_texts) + m2)
             known = np.where(g.is_end, n_texts, g.counts)
             alone = (known + 1) / (total + distinct + 1)
             before = np.concatenate([[0], np.where(g.is_begin, n_texts, g.counts)[:-1]])
@@ -375,13 +362,13 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trai
     shards = max(1, -(-total // shard_tokens))
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [_Asked(*r) for r in zip(table["block"].to_pylist(), table["pairs"].to_pylist(), table["triples"].to_pylist(), strict=True)]
-        trie = Trie(mapped(build_shard(asked, m2, m3)))
-        shard = table["shard"][0].as_py()
-        return pa.table({"block": pa.array([a.block for a in asked], pa.int64()), "shard": pa.array([shard] * len(asked), pa.int32()), "codes": pa.array([answers_of(trie, a) for a in asked], pa.binary())})
+        codes = answered(list(zip(table["pairs"].to_pylist(), table["triples"].to_pylist(), strict=True)), m3)
+        out = pa.table({"block": table["block"], "shard": table["shard"], "codes": pa.array(codes, pa.binary())})
+        trim()
+        return out
 
-    answers = _asked(coded, shards, trained).groupBy("shard").applyInArrow(answer, "block long, shard int, codes binary")
+    answers = _asked(coded, shards).groupBy("shard").applyInArrow(answer, "block long, shard int, codes binary")
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "codes")).alias("answers"))
-    out = _scored(coded.join(by_block.hint("merge"), "block", "left"), shards, trained, total, distinct, m2)
+    out = _scored(coded.join(by_block.hint("merge"), "block", "left"), shards, trained, total, distinct, m2, m3)
     held = ~F.coalesce(training, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.blocks import blocks, documents_of, numbered, one_batch, packed, rows_of, unpacked, vocabulary
-from webloom.llm.common import written
+from webloom.llm.common import trim, written
 from webloom.session import ship
 
 #: Characters that no phrase reaches across.
@@ -106,9 +106,9 @@ def _prefix_runs(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndar
     return starts[there], sums[there], touches[there]
 
 
-def frequent_phrases(coded: DataFrame, n_tokens: int, n_blocks: int, n_words: int, least: int, longest: int, range_keys: int) -> tuple[DataFrame, int]:
+def frequent_phrases(coded: DataFrame, n_tokens: int, n_blocks: int, most: int, least: int, longest: int, range_keys: int) -> tuple[DataFrame, int]:
     """Rows key, words, n of all phrases of 2 to ``longest`` words that occur ``least`` times or more, and the bytes of a word in a key."""
-    width = max(1, (int(n_words).bit_length() + 7) // 8)
+    width = max(1, (most.bit_length() + 7) // 8)
     keys = Keys(longest, width)
     ranges = max(1, -(-n_tokens // range_keys))
     cuts = coded.sparkSession.sparkContext.broadcast(_cuts(coded, keys, ranges, 50, n_blocks))
@@ -141,6 +141,8 @@ def frequent_phrases(coded: DataFrame, n_tokens: int, n_blocks: int, n_words: in
             out[1] += [k] * int(kept.sum())
             out[2] += sums[kept].tolist()
             out[3] += touches[kept].tolist()
+        del both, packed_keys, words, counts, order
+        trim()
         return pa.table([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["key", "words", "n", "open"])
 
     runs = written(coded.mapInArrow(deal, "range int, keys binary").groupBy("range").applyInArrow(count, "key binary, words int, n long, open boolean"))
@@ -163,7 +165,7 @@ def phrases(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", le
     corpus = numbered(blocks(docs, BREAKS), least)
     words = vocabulary(corpus)
     totals = df.sparkSession.createDataFrame(list(corpus.sums.items()), "lang string, total long")
-    found, width = frequent_phrases(corpus.coded, corpus.n_tokens, corpus.n_blocks, corpus.n_words, least, longest, range_keys)
+    found, width = frequent_phrases(corpus.coded, corpus.n_tokens, corpus.n_blocks, corpus.most, least, longest, range_keys)
     # Phrases inside longer ones; between them stands one that is a word longer and occurs no less than the longest.
     w = F.lit(width)
     parts = F.array(F.substring("key", F.lit(1), (F.col("words") - 1) * w), F.substring("key", w + 1, (F.col("words") - 1) * w))
