@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import batch_rows, discard, keyed, pieces, tables_made, word_hashes, written
+from webloom.llm.common import batch_rows, discard, keyed, pieces, tables_made, trim, word_hashes, written
 
 
 def choose_bands(threshold: float, recall: float, hashes: int = 150) -> tuple[int, int]:
@@ -87,6 +87,7 @@ def signatures(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     [part.column(0), part.column(2), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sign(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
                     ["doc_id", "text_hash", "set_key", "n_shingles", "bands"],
                 )
+            trim()
 
     docs = keyed(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     return docs.mapInArrow(signed, "doc_id long, text_hash long, set_key binary, n_shingles long, bands array<long>")
@@ -141,6 +142,7 @@ def _count_links(table: pa.Table, threshold: float) -> pa.Table:
         np.fill_diagonal(linked, False)
     else:
         linked &= blocks[:, None] != blocks[None, :]
+    trim()
     return pa.table({"set_key": pa.array(keys, pa.binary()), "links": pa.array((linked @ copies).astype(np.int64), pa.int64())})
 
 
@@ -150,6 +152,7 @@ def _links_across(table: pa.Table, threshold: float) -> pa.Table:
     keys = np.array(table["set_key"].to_pylist(), object)
     linked = np.triu(_linked(table, threshold) & (labels[:, None] != labels[None, :]))
     a, b = np.nonzero(linked)
+    trim()
     return pa.table({"a": pa.array(keys[a], pa.binary()), "b": pa.array(keys[b], pa.binary())})
 
 
@@ -157,14 +160,34 @@ def _links_across(table: pa.Table, threshold: float) -> pa.Table:
 HOT = 1_000
 
 
-def by_size(rows: DataFrame, small: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+def by_size(rows: DataFrame, small: DataFrame, key: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``small``, one row for each ``key``, of which ``size`` tells how many of the ``rows`` there are; they are ``total`` in all.
 
     The keys of more than a thousandth of all rows, fewer than a thousand, are broadcast, so none of them meets in one task.
     """
+    keys = [key] if isinstance(key, str) else key
     hot = F.col(size) * HOT > total
-    rest = rows.join(F.broadcast(small.where(hot).select(key)), key, "left_anti").join(small.where(~hot), key, how)
-    return rows.join(F.broadcast(small.where(hot)), key).unionByName(rest)
+    rest = rows.join(F.broadcast(small.where(hot).select(*keys)), keys, "left_anti").join(small.where(~hot), keys, how)
+    return rows.join(F.broadcast(small.where(hot)), keys).unionByName(rest)
+
+
+def in_size_blocks(members: DataFrame, by: str, block: int, block_shingles: int) -> DataFrame:
+    """``members`` (``by``, set_key, n_shingles, ...) and the block of each: runs in order of size of about ``block`` sets or ``block_shingles`` shingles.
+
+    How many sets of a group have each size decides where blocks begin, so no group is sorted; sets of one size that are
+    too many for a block are dealt over several by their hash.
+    """
+    sizes = members.groupBy(by, "n_shingles").agg(F.count("*").alias("sets"))
+    smaller = Window.partitionBy(by).orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(smaller), F.lit(0))
+    weight = F.col("sets") * F.col("n_shingles")
+    start = F.floor(before(F.col("sets")) / block + before(weight) / block_shingles)
+    parts = F.ceil(F.greatest(F.col("sets") / block, weight / block_shingles))
+    starts = written(sizes.select(by, "n_shingles", "sets", start.alias("start"), parts.alias("parts")))
+    total = starts.agg(F.sum("sets").alias("n")).first()["n"] or 0
+    placed = by_size(members, starts, [by, "n_shingles"], "sets", total)
+    part = F.when(F.col("parts") <= 1, 0).otherwise(1 + F.pmod(F.xxhash64("set_key"), F.col("parts")))
+    return placed.withColumn("block", F.col("start") * (1 << 24) + part).drop("sets", "start", "parts")
 
 
 def _unsettled(members: DataFrame, ends: DataFrame, labels: DataFrame, n_members: int, threshold: float, block: int, block_shingles: int) -> DataFrame:
@@ -179,11 +202,8 @@ def _unsettled(members: DataFrame, ends: DataFrame, labels: DataFrame, n_members
     inner = written(inner)
     digest = lambda seed: F.bit_xor(F.xxhash64("set_key", F.lit(seed)))
     open_buckets = inner.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), digest(1).alias("d1"), digest(2).alias("d2")).where("least < most")
-    open_buckets = open_buckets.groupBy("n", "d1", "d2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    inner = inner.join(open_buckets, "bucket", "left_semi")
-    so_far = Window.partitionBy("bucket").orderBy("n_shingles", "set_key").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.greatest(F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("n_shingles", "set_key")) - 1) / block), F.floor(F.sum("n_shingles").over(so_far) / block_shingles))
-    inner = written(inner.withColumn("block", number.cast("int")))
+    open_buckets = written(open_buckets.groupBy("n", "d1", "d2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
+    inner = written(in_size_blocks(by_size(inner, open_buckets, "bucket", "n", n_members).drop("n"), "bucket", block, block_shingles))
     blocks = inner.groupBy("bucket", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("n_shingles").alias("from"), F.max("n_shingles").alias("to"))
     other = blocks.select("bucket", F.col("block").alias("high"), F.col("least").alias("other_least"), F.col("most").alias("other_most"), F.col("from").alias("other_from"))
     fits = (F.col("low") == F.col("high")) | ((F.col("low") < F.col("high")) & (F.col("to") >= F.lit(threshold) * F.col("other_from")))
@@ -205,8 +225,8 @@ def similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     return _similar(df, id_col, text_col, n, threshold, recall, block, block_shingles).drop("text_hash")
 
 
-def _similar(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 300, block_shingles: int = 400_000) -> DataFrame:
-    """As ``similar``, with text_hash."""
+def _similar(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 300, block_shingles: int = 400_000, count_links: bool = True) -> DataFrame:
+    """As ``similar``, with text_hash; without ``count_links`` n_links is null, and no class is compared within itself."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(df, id_col=id_col, text_col=text_col, n=n, bands=bands, rows=rows))
     n_docs = signed.count()
@@ -227,7 +247,7 @@ def _similar(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: f
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_key", "shingles"])
 
     # Also those members of larger buckets whose size fits neither end.
-    inner = members.join(ends.where("size > 3").select("bucket"), "bucket", "left_semi").select("set_key")
+    inner = by_size(members, ends.where("size > 3").select("bucket", "size"), "bucket", "size", n_members).select("set_key")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(inner).distinct().join(sets, "set_key").select(F.col("from.doc_id").alias("wanted_id"), F.col("from.text_hash").alias("wanted_hash"))
     docs = keyed(df, id_col, text_col)
     # Texts are joined by sorting at every size; a broadcast would only do while there are few.
@@ -248,15 +268,19 @@ def _similar(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: f
         labels = written(first.join(components(joined).select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label")), n_sets)
     labels = labels.join(sets.select(F.col("set_key").alias("node"), "first_id", "copies", "n_shingles"), "node")
     classes = labels.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members"), F.sum("copies").alias("documents"), F.sum("n_shingles").alias("all_shingles"))
-    placed = written(labels.join(classes, "label"), n_sets)
+    placed = written(by_size(labels, classes, "label", "members", n_sets), n_sets)
     n_blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("all_shingles") / block_shingles)).cast("int")
     dealt = placed.where("members > 2").withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     dealt = dealt.select("label", F.col("node").alias("set_key"), "copies", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).select("label", "set_key", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    counted = written(dealt.join(contents, "set_key").groupBy("label", "low", "high").applyInArrow(lambda t: _count_links(t, threshold), "set_key binary, links long").groupBy("set_key").agg(F.sum("links").alias("links")), n_sets)
-    of_set = placed.join(counted, F.col("node") == F.col("set_key"), "left").select(F.col("node").alias("set_key"), "class_id", F.coalesce("links", F.col("documents") - F.col("copies")).alias("links"))
-    of_set = written(sets.select("set_key", "first_id", "copies").join(of_set, "set_key", "left").select("set_key", F.coalesce("class_id", "first_id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")), n_sets)
+    if count_links:
+        counted = written(dealt.join(contents, "set_key").groupBy("label", "low", "high").applyInArrow(lambda t: _count_links(t, threshold), "set_key binary, links long").groupBy("set_key").agg(F.sum("links").alias("links")), n_sets)
+        of_set = placed.join(counted, F.col("node") == F.col("set_key"), "left").select(F.col("node").alias("set_key"), "class_id", F.coalesce("links", F.col("documents") - F.col("copies")).alias("links"))
+        links_of = F.coalesce("links", F.lit(0))
+    else:
+        of_set, links_of = placed.select(F.col("node").alias("set_key"), "class_id"), F.lit(None).cast("long")
+    of_set = written(sets.select("set_key", "first_id", "copies").join(of_set, "set_key", "left").select("set_key", F.coalesce("class_id", "first_id").alias("class_id"), "copies", links_of.alias("links")), n_sets)
     return by_size(signed.select("doc_id", "text_hash", "set_key", "n_shingles"), of_set, "set_key", "copies", n_docs, "left").select(
-        "doc_id", "text_hash", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), "n_shingles"
+        "doc_id", "text_hash", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)) if count_links else F.lit(None).cast("long")).alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), "n_shingles"
     )
 
 
@@ -270,7 +294,7 @@ def drop_similar(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     names = [f"c{i}" for i in range(len(df.columns))]  # so that no column clashes with those added here
     rows, id_, text = df.toDF(*names), names[df.columns.index(id_col)], names[df.columns.index(text_col)]
     with tables_made() as steps:
-        result = _similar(rows, id_, text, **options)
+        result = _similar(rows, id_, text, count_links=False, **options)
     found = written(result)
     discard(spark, steps)
     key = {"loser": F.col(id_).cast("long"), "loser_text": F.xxhash64(F.col(text).cast("string"))}
