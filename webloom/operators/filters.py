@@ -6,11 +6,14 @@ The thresholds are the published ones of those filter families, all parameters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.languages import LanguageModel, language
 from webloom.session import ship
 
 STAGES = ("english", "gopher_repetition", "gopher_quality", "c4", "fineweb_quality")
@@ -45,31 +48,45 @@ def duplicate_chars(items: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(chars(items) - chars(F.array_distinct(items)), F.char_length(text)), F.lit(0.0))
 
 
-def top_share(codes: np.ndarray, sizes: np.ndarray, n: int, chars: int) -> float:
-    """Share of the text's characters in its most frequent n-gram (the first of equals), spaces within it counted."""
-    if len(codes) < n:
+def repeated_grams(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For n from 2 to ``longest`` the places whose n-gram of codes stands elsewhere too, and the number of their n-gram, alike for equal ones.
+
+    An n-gram is the pair of the two (n-1)-grams in it, and can only repeat where both do. So the numbers are exact,
+    not hashes, and each n looks at what is left of the one before: of most texts next to nothing.
+    """
+    number = codes.astype(np.int64)
+    places = np.arange(len(codes))
+    for n in range(2, longest + 1):
+        known = np.full(len(codes) + 1, -1)
+        known[places] = number
+        places = places[known[places + 1] >= 0]
+        pairs = known[places] * (len(codes) + 1) + known[places + 1]
+        _, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        again = counts[which] > 1 if len(places) else np.zeros(0, bool)
+        places, number = places[again], which[again]
+        yield n, places, number
+
+
+def top_share(places: np.ndarray, number: np.ndarray, so_far: np.ndarray, n: int, chars: int) -> float:
+    """Share of the text's characters in its most frequent n-gram (the first of equals), spaces within it counted. ``places`` and ``number`` are of the repeated ones, ``so_far`` the words' sizes summed up."""
+    if len(so_far) <= n:
         return 0.0
-    grams = np.lib.stride_tricks.sliding_window_view(codes, n)
-    _, first, counts = np.unique(grams, axis=0, return_index=True, return_counts=True)
-    at = int(first[counts == counts.max()].min())
-    return float((sizes[at : at + n].sum() + n - 1) * counts.max()) / chars
+    counts = np.bincount(number) if len(number) else np.ones(1, np.int64)
+    most = int(counts.max())
+    at = int(places[counts[number] == most][0]) if len(number) else 0
+    return float((so_far[at + n] - so_far[at] + n - 1) * most) / chars
 
 
-def repeated_share(codes: np.ndarray, sizes: np.ndarray, n: int, chars: int) -> float:
+def repeated_share(places: np.ndarray, number: np.ndarray, so_far: np.ndarray, n: int, chars: int) -> float:
     """Share of the text's characters in n-grams that stood there before; after one of them the search goes on behind it."""
-    if len(codes) < n:
-        return 0.0
-    kinds, which = np.unique(np.lib.stride_tricks.sliding_window_view(codes, n), axis=0, return_inverse=True)
-    if len(kinds) == len(which):
-        return 0.0
-    so_far = np.concatenate([[0], np.cumsum(sizes)])
-    seen, total, free = np.zeros(len(kinds), bool), 0, 0
-    for at, kind in enumerate(which.tolist()):
+    seen: set[int] = set()
+    total = free = 0
+    for at, kind in zip(places.tolist(), number.tolist(), strict=True):
         if at < free:
             continue
-        if seen[kind]:
+        if kind in seen:
             total, free = total + int(so_far[at + n] - so_far[at]), at + n
-        seen[kind] = True
+        seen.add(kind)
     return total / chars
 
 
@@ -77,11 +94,18 @@ def repeats(text: str, top: dict[int, float] = TOP_GRAMS, repeated: dict[int, fl
     """Whether any n-gram rule finds too much of the text in one n-gram, or in repeated ones."""
     found = text.split()
     numbers: dict[str, int] = {}
-    codes = np.array([numbers.setdefault(w, len(numbers)) for w in found], np.int32)
-    sizes = np.array([len(w) for w in found], np.int64)
+    codes = np.array([numbers.setdefault(w, len(numbers)) for w in found], np.int64)
     if len(numbers) == len(found) > 20 * max(top, default=1):
         return False  # no word comes twice, and one n-gram is too small a part
-    return any(top_share(codes, sizes, n, len(text)) > most for n, most in top.items()) or any(repeated_share(codes, sizes, n, len(text)) > most for n, most in repeated.items())
+    so_far = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+    for n, places, number in repeated_grams(codes, max([*top, *repeated], default=1)):
+        if n in top and top_share(places, number, so_far, n, len(text)) > top[n]:
+            return True
+        if n in repeated and repeated_share(places, number, so_far, n, len(text)) > repeated[n]:
+            return True
+        if not len(places) and n >= max(top, default=0):
+            return False  # what is longer repeats no more
+    return False
 
 
 def gram_repetition(text: Column) -> Column:
@@ -129,10 +153,11 @@ def line_statistics_ok(text: Column, rows: Column, punctuated: float = 0.12, sho
     return (n > 0) & (F.try_divide(ends, n) > punctuated) & (F.try_divide(few, n) < short) & (duplicate_chars(rows, F.replace(text, F.lit("\n"), F.lit(""))) <= duplicated)
 
 
-def audit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", url_col: str | None = None, blocklist: DataFrame | None = None) -> DataFrame:
+def audit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", url_col: str | None = None, blocklist: DataFrame | None = None, model: LanguageModel | None = None, least_score: float = 0.65) -> DataFrame:
     """``df``, a cumulative flag for each stage, removed_at (first stage that fails, that of ``english`` being called language, else null) and the edited text. Null texts fail at the first stage.
 
-    With ``url_col`` and a ``blocklist`` of hosts (column host) a stage ``url_filter`` comes first. Words, lines and
+    The language is that of ``lang_col``, or with a ``model`` the one it finds in the text with a score of
+    ``least_score`` or more. With ``url_col`` and a ``blocklist`` of hosts (column host) a stage ``url_filter`` comes first. Words, lines and
     paragraphs are columns of their own, each made once; n-gram rules are asked only of texts that pass the cheaper
     tests before them.
     """
@@ -144,10 +169,16 @@ def audit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", url_
         passes = F.col("__blocked").isNull().alias("__url")
     else:
         passes = F.lit(True).alias("__url")
-    split = df.select(*keep, passes, words(text).alias("__words"), lines(text).alias("__lines"), F.filter(F.split(text, r"\n{2,}"), lambda x: F.trim(x) != "").alias("__paragraphs"), cleaned_lines(text).alias("edited"))
-    split = split.select(*keep, "edited", "__url", "__words", "__lines", "__paragraphs", lines(F.col("edited")).alias("__edited_lines"))
+    if model is not None:
+        found = df.select("*", passes, language(text, model).alias("__language"))
+        df, passes = found, F.col("__url")
+        english = (F.col("__language.lang") == "en") & (F.col("__language.score") >= least_score)
+    else:
+        english = F.col(f"`{lang_col}`") == "en"
+    split = df.select(*keep, passes, english.alias("__english"), words(text).alias("__words"), lines(text).alias("__lines"), F.filter(F.split(text, r"\n{2,}"), lambda x: F.trim(x) != "").alias("__paragraphs"), cleaned_lines(text).alias("edited"))
+    split = split.select(*keep, "edited", "__url", "__english", "__words", "__lines", "__paragraphs", lines(F.col("edited")).alias("__edited_lines"))
     w, rows = F.col("__words"), F.col("__lines")
-    tests = {"english": F.col(f"`{lang_col}`") == "en", "repetition": line_repetition_ok(text, rows, F.col("__paragraphs")), "gopher_quality": quality_ok(text, w, rows), "c4": cleaned_ok(text, F.col("edited")), "fineweb_quality": line_statistics_ok(F.col("edited"), F.col("__edited_lines"))}
+    tests = {"english": F.col("__english"), "repetition": line_repetition_ok(text, rows, F.col("__paragraphs")), "gopher_quality": quality_ok(text, w, rows), "c4": cleaned_ok(text, F.col("edited")), "fineweb_quality": line_statistics_ok(F.col("edited"), F.col("__edited_lines"))}
     ok = lambda test: F.coalesce(test, F.lit(False)) & text.isNotNull()
     tested = split.select(*keep, "edited", F.struct(F.col("__url").alias("url_filter"), *[ok(t).alias(s) for s, t in tests.items()]).alias("__ok"))
     asked = F.col("__ok.url_filter") & F.col("__ok.english") & F.col("__ok.repetition")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import pii, text
 from webloom.functions.hashing import rank_hash
-from webloom.operators import budget, filters, measure, near_duplicates, pools, relational
+from webloom.operators import budget, filters, languages, measure, near_duplicates, pools, relational
 from webloom.plans.base import BASE, KEY, base, query, read
 from webloom.sources import tables
 
@@ -207,6 +207,21 @@ def filter_audit(spark, sf):
     return filters.audit(docs).select("doc_id", *filters.STAGES, "removed_at", F.char_length("edited").alias("edited_chars"))
 
 
+@query()
+def language_scores(spark, sf):
+    """The language that a letter model fitted on the documents finds in each of them."""
+    docs = read(spark, sf, "documents")
+    found = languages.with_language(docs.select("doc_id", "text"), languages.fit(docs))
+    return found.select("doc_id", "language.lang", F.round("language.score", 6).alias("score"))
+
+
+@query()
+def scored_filter_audit(spark, sf):
+    """As ``filter_audit``, the language taken from the text instead of a column."""
+    docs = read(spark, sf, "documents")
+    return filters.audit(docs.drop("lang"), model=languages.fit(docs)).select("doc_id", *filters.STAGES, "removed_at")
+
+
 @query()
 def filtered_survival(spark, sf):
     docs = filters.audit(base(spark, sf, text=True))
