@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from webloom import config
 from webloom.functions import text
-from webloom.operators import labelling
 
 
 @dataclass(frozen=True)
@@ -34,44 +33,6 @@ def test_settings_are_strict(tmp_path):
         config.settings({"parts": []}, Whole)
 
 
-class Service:
-    def __init__(self, lost=()):
-        self.jobs, self.polls, self.lost = {}, {}, set(lost)
-
-    def submit(self, items):
-        job = f"job{len(self.jobs)}"
-        self.jobs[job] = items
-        return job
-
-    def finished(self, job):
-        if job in self.lost:
-            raise labelling.Expired
-        self.polls[job] = self.polls.get(job, 0) + 1
-        return self.polls[job] >= 2
-
-    def results(self, job):
-        return {name: {"label": body.split()[0]} for name, body in self.jobs[job]}
-
-
-def test_bulk_labels_are_kept_packed_and_resumed():
-    documents = [(f"d{i}", f"L{i} some words") for i in range(7)] + [("d0", "L0 some words")]
-    service, ledger, waits = Service(), labelling.Ledger(), []
-    options = {"most_items": 2, "outstanding": 2, "sleep": waits.append}
-    assert labelling.label_in_bulk(documents, service, ledger, "m", **options) == [{"label": f"L{i}"} for i in [*range(7), 0]]
-    assert [len(items) for items in service.jobs.values()] == [2, 2, 2, 1] and waits
-    labelling.label_in_bulk(documents, service, ledger, "m", **options)
-    assert len(service.jobs) == 4
-    labelling.label_in_bulk([("d0", "new text")], service, ledger, "m", **options)  # another text, another label
-    assert len(service.jobs) == 5
-    # A run that died after submitting: its job is collected, an expired one is asked for again.
-    service, ledger = Service(lost=["gone"]), labelling.Ledger(jobs={"gone": ["d1"]})
-    ledger.jobs[service.submit([("d0", "L0 some words")])] = ["d0"]
-    assert labelling.label_in_bulk(documents[:2], service, ledger, "m", **options) == [{"label": "L0"}, {"label": "L1"}]
-    assert [n for n, _ in service.jobs["job1"]] == ["d1"] and {"gone", "job0", "job1"} == ledger.closed
-    with pytest.raises(ValueError, match="two texts"):
-        labelling.label_in_bulk([("a", "x"), ("a", "y")], service, ledger, "m", **options)
-
-
 def test_emoji_become_names(spark):
     assert text.emoji_named("a 😀 b ⭐") == "a :grinning_face: b :white_medium_star:"
     df = spark.createDataFrame([("Sure 😀 thing\n\nThe Text",), ("Plain 🎉",), (None,)], "t string")

@@ -201,7 +201,7 @@ def jain(p: Coefficients, x: Coordinates) -> Column:
     return _floor_and_model(p, x) + _exp(p, "logB") * power(noise / x.d, p["beta"]) + p["mismatch"] * power(x.share, 2.0)
 
 
-#: The named ablations of the effective-data law: credit, harm, whether the harm is on the data term, and the coefficients that are held at a value.
+# The named ablations of the effective-data law: credit, harm, whether the harm is on the data term, and the coefficients that are held at a value.
 ABLATIONS: dict[str, tuple[str, str, bool, dict[str, float]]] = {
     "benefit_none": ("none", "logshare", True, {}), "benefit_linear": ("linear", "logshare", True, {}), "benefit_exp_unit": ("exp", "logshare", True, {"logeta": 0.0}), "benefit_rational": ("rational", "logshare", True, {}), "benefit_tanh": ("tanh", "logshare", True, {}),
     "benefit_exp_constant": ("exp", "logshare", True, {"rho": 0.0}), "benefit_exp_size": ("exp", "logshare", True, {}), "ours": ("exp", "logshare", True, {"sigma": 0.0}), "harm_none": ("exp", "none", True, {"sigma": 0.0}),

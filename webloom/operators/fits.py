@@ -23,8 +23,8 @@ def _cohort(rows: pd.DataFrame) -> fitting.Cohort:
     return fitting.Cohort.of(*(rows[c] for c in ("parameters", "human", "added", "loss")), rows["name"].tolist(), rows["control"].tolist())
 
 
-def solutions(runs: DataFrame, names: list[str], n_starts: int = 16, chunk: int = 8, seed: int = 0) -> DataFrame:
-    """law, target, fold, number, cost, theta, converged: what every start reaches. ``runs``: target, fold, name, control, parameters, human, added, loss; the laws are dealt over them."""
+def reached(runs: DataFrame, names: list[str], n_starts: int = 16, chunk: int = 8, seed: int = 0) -> DataFrame:
+    """law, target, fold, start, theta, cost, converged, held: where every start ends. ``runs``: target, fold, name, control, parameters, human, added, loss; the laws are dealt over them."""
     ship(runs.sparkSession)
     chunks = -(-(n_starts + 1) // chunk)
     dealt = runs.select("target", "fold", "name", "control", "parameters", "human", "added", "loss").withColumn("law", F.explode(F.array(*map(F.lit, names)))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
@@ -33,27 +33,18 @@ def solutions(runs: DataFrame, names: list[str], n_starts: int = 16, chunk: int
         law, target, fold, part = (rows[c].iloc[0] for c in ("law", "target", "fold", "chunk"))
         cohort = _cohort(rows)
         known, table, begin = fitting.starts(law, cohort, n_starts, seed)
-        found = [fitting.solve(law, cohort, begin[i], table, known, i) for i in range(part * chunk, min((part + 1) * chunk, len(begin)))]
-        return pd.DataFrame([(law, target, fold, s.number, s.cost, list(s.theta), s.converged) for s in found if s], columns=[*CASE, "number", "cost", "theta", "converged"])
+        mine = range(part * chunk, min((part + 1) * chunk, len(begin)))
+        found = [(i, fitting.solve(law, cohort, begin[i], table, known)) for i in mine]
+        return pd.DataFrame([(law, target, fold, i, *r) for i, r in found if r], columns=[*CASE, "start", "theta", "cost", "converged", "held"])
 
-    return dealt.groupBy(*CASE, "chunk").applyInPandas(solved, "law string, target string, fold string, number int, cost double, theta array<double>, converged boolean")
+    return dealt.groupBy(*CASE, "chunk").applyInPandas(solved, "law string, target string, fold string, start int, theta array<double>, cost double, converged boolean, held array<string>")
 
 
 def fit_bank(runs: DataFrame, names: list[str], n_starts: int = 16, chunk: int = 8, seed: int = 0) -> DataFrame:
-    """law, target, fold, theta, cost, converged, starts, at_bounds: the best solution of each case, the first start among equals, polished."""
-    found = solutions(runs, names, n_starts, chunk, seed)
-    best = found.groupBy(*CASE).agg(F.min_by(F.struct("number", "cost", "theta", "converged"), F.struct("cost", "number")).alias("best"), F.count("*").alias("starts"))
-    rows = runs.select("target", "fold", "name", "control", "parameters", "human", "added", "loss").join(best, ["target", "fold"])
-
-    def polished(rows: pd.DataFrame) -> pd.DataFrame:
-        law, target, fold, n = (rows[c].iloc[0] for c in (*CASE, "starts"))
-        cohort, b = _cohort(rows), rows["best"].iloc[0]
-        known, table = fitting.bounds(law, cohort)
-        s = fitting.polish(law, cohort, fitting.Solution(int(b["number"]), float(b["cost"]), tuple(b["theta"]), bool(b["converged"])), table, known)
-        near = [k for k, v, (low, high, _) in zip(known, s.theta, table, strict=True) if min(abs(v - low), abs(v - high)) < 1e-6]
-        return pd.DataFrame([(law, target, fold, list(s.theta), s.cost, s.converged, int(n), near)], columns=[*CASE, "theta", "cost", "converged", "starts", "at_bounds"])
-
-    return rows.groupBy(*CASE).applyInPandas(polished, "law string, target string, fold string, theta array<double>, cost double, converged boolean, starts int, at_bounds array<string>")
+    """law, target, fold, theta, cost, converged, held, starts: of each case the start that ends lowest, the first among equals; how many starts had a finite value."""
+    ends = reached(runs, names, n_starts, chunk, seed)
+    lowest = F.min_by(F.struct("theta", "cost", "converged", "held"), F.struct("cost", "start"))
+    return ends.groupBy(*CASE).agg(lowest.alias("end"), F.count("*").alias("starts")).select(*CASE, "end.*", "starts")
 
 
 def coefficients(fits: DataFrame) -> dict[tuple[str, str, str], dict[str, float]]:
