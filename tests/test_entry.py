@@ -18,7 +18,7 @@ class Missing:
 sys.meta_path.insert(0, Missing())
 import __spark_entry__ as e
 q = set(e.queries())
-print(len(q), sum(n.startswith("op") for n in q), "pipeline" in q, set(e.oracle_sql()) <= q)
+print(len(q), sum(n[2:3].isdigit() for n in q), "pipeline" in q, set(e.oracle_sql()) <= q)
 """
 
 
