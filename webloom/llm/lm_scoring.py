@@ -284,14 +284,15 @@ def _asked(rows: DataFrame, shards: int) -> DataFrame:
 
 def answered(asked: list[tuple[bytes, bytes]], m3: float) -> list[bytes]:
     """The codes for each block's pairs and triples, from the trie of what all blocks together have trained on. What several blocks ask is looked up once."""
-    pairs = [unpacked(p).astype(np.int64).reshape(4, -1) for p, _ in asked]
-    triples = [unpacked(t).astype(np.int64).reshape(2, -1) for _, t in asked]
-    first, second, own2, each = np.concatenate(pairs, axis=1)
-    third, own3 = np.concatenate(triples, axis=1)
-    keys, which = np.unique(first << 32 | second, return_inverse=True)
+    pairs, triples = [unpacked(p).reshape(4, -1) for p, _ in asked], [unpacked(t).reshape(2, -1) for _, t in asked]
+    cuts2, cuts3 = (np.cumsum([0, *(x.shape[1] for x in parts)]) for parts in (pairs, triples))
+    (first, second, own2, each), (third, own3) = np.concatenate(pairs, axis=1), np.concatenate(triples, axis=1)
+    del pairs, triples
+    keys, which = np.unique(first.astype(np.int64) << 32 | second, return_inverse=True)
     c2 = np.bincount(which, own2, len(keys)).astype(np.int64)
     keys3, which3 = np.unique(np.repeat(which, each) << 32 | third, return_inverse=True)
     c3 = np.bincount(which3, own3, len(keys3)).astype(np.int64)
+    del first, second, own2, each, third, own3
     seen, seen3 = c2 > 0, c3 > 0
     place = np.cumsum(seen) - 1
     trie = Trie(mapped(Trie.build(keys[seen] >> 32, keys[seen] & 0xFFFFFFFF, c2[seen], place[keys3[seen3] >> 32], keys3[seen3] & 0xFFFFFFFF, c3[seen3], m3)))
@@ -299,7 +300,6 @@ def answered(asked: list[tuple[bytes, bytes]], m3: float) -> list[bytes]:
     leaf = trie.triples(node, keys3 >> 32, keys3 & 0xFFFFFFFF)
     codes2, codes3 = np.full(len(keys), CODES), np.zeros(len(keys3), np.int64)
     codes2[node >= 0], codes3[leaf >= 0] = trie.codes[0][node[node >= 0]], trie.codes[1][leaf[leaf >= 0]]
-    cuts2, cuts3 = (np.cumsum([0, *(x.shape[1] for x in parts)]) for parts in (pairs, triples))
     return [packed(np.concatenate([codes2[which[a:b]], codes3[which3[c:d]]])) for a, b, c, d in zip(cuts2[:-1], cuts2[1:], cuts3[:-1], cuts3[1:], strict=True)]
 
 
@@ -343,7 +343,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", training=None, m2: float = 20.0, m3: float = 20.0, shard_tokens: int = 2_000_000) -> DataFrame:
+def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", training=None, m2: float = 20.0, m3: float = 20.0, shard_tokens: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows for which ``training``, a condition on doc_id, holds (the remainder of crc32 of the id as text by 7
