@@ -9,7 +9,7 @@ from webloom.functions import pii, text
 from webloom.functions.hashing import rank_hash
 from webloom.operators import budget, filters, languages, measure, near_duplicates, pools, relational
 from webloom.plans.base import BASE, KEY, base, query, read
-from webloom.sources import tables
+from webloom.sources import tables, warc
 
 SHARES = ", ".join(f"CAST(sum(CASE WHEN label = '{x}' THEN 1 ELSE 0 END) AS BIGINT) AS {x.lower()}_documents, CAST(sum(CASE WHEN label = '{x}' THEN tokens ELSE 0 END) AS BIGINT) AS {x.lower()}_tokens" for x in measure.LABELS)
 
@@ -247,6 +247,13 @@ def anonymised_documents(spark, sf):
     return done.select("doc_id", "token_count", F.sha2("text", 256).alias("digest"), "pii_anonymized")
 
 
+@query("SELECT url, strlen(html) AS bytes, md5(html) AS digest FROM pages")
+def warc_records(spark, sf):
+    """Pages packed as WARC records and read from them again."""
+    found = warc.warc_pages(warc.unpacked_records(warc.packed_records(read(spark, sf, "pages"))))
+    return found.select("url", F.octet_length("html").cast("long").alias("bytes"), F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
 @query()
 def extracted_pages(spark, sf):
     pages = tables.extract_pages(read(spark, sf, "pages").select("page_id", "url", "html"))

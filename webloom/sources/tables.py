@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import html
-import re
 import uuid
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.session import shared_root, ship
+from webloom.sources.pages import main_text, page_text  # noqa: F401
 
 
 def scan(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
@@ -193,52 +191,13 @@ def drawn_frame(paths: list[str], n: int | None, key: str) -> list[tuple[str, fl
     return [(p, len(chosen) / len(paths)) for p in chosen]
 
 
-class _Text(HTMLParser):
-    """Text of the elements that carry content."""
-
-    SKIP = {"script", "style", "nav", "head", "noscript", "template", "footer", "aside", "form", "iframe"}
-    BREAK = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "ul", "ol", "table", "blockquote", "pre"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skipping: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skipping.append(tag)
-        elif tag in self.BREAK:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in self.skipping:
-            while self.skipping.pop() != tag:
-                pass
-        elif tag in self.BREAK:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if not self.skipping:
-            self.out.append(data)
-
-
-def page_text(source: str | None) -> str | None:
-    """The readable text of an HTML page, one line per block; null for null."""
-    if source is None:
-        return None
-    parser = _Text()
-    parser.feed(source)
-    parser.close()
-    rows = (re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in html.unescape("".join(parser.out)).split("\n"))
-    return "\n".join(x for x in rows if x)
-
-
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """``pages`` and the ``text`` of their main content, found by density."""
     ship(pages.sparkSession)
 
     @F.pandas_udf("string")
     def extracted(column: pd.Series) -> pd.Series:
-        return column.map(page_text)
+        return column.map(main_text)
 
     return pages.withColumn("text", extracted(F.col(html_col)))
 
