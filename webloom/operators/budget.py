@@ -36,7 +36,10 @@ def running_total(df: DataFrame, hash_col: str, weight: Column, *, by: list[str]
     offsets = sums.select(*groups, RANGE, (F.sum("__sum").over(over.orderBy(along(RANGE)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__offset"))
     inside = Window.partitionBy(*groups, RANGE).orderBy(*[direction(c) for c in (hash_col, *ties)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = cell.withColumn("__inside", F.sum("__weight").over(inside) - F.col("__weight"))
-    return summed.join(offsets, [*groups, RANGE]).withColumn(name, F.col("__inside") + F.col("__offset")).drop(RANGE, "__weight", "__inside", "__offset")
+    # Null is a group like others.
+    names = {g: f"__of_{g}" for g in groups} | {RANGE: "__of_range"}
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
+    return summed.join(offsets.withColumnsRenamed(names), same).drop(*names.values()).withColumn(name, F.col("__inside") + F.col("__offset")).drop(RANGE, "__weight", "__inside", "__offset")
 
 
 def fill_budget(df: DataFrame, hash_col: str, weight_col: str, target: Column | int, *, by: list[str] | None = None, ties: tuple[str, ...] = ("id",), descending: bool = False, trim: bool = False, with_ties: bool = False) -> DataFrame:

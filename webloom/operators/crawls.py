@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions.hashing import rank_hash, seeded_key
 from webloom.operators import budget
-from webloom.sources.tables import exists
+from webloom.sources.row_groups import read_groups
+from webloom.sources.tables import exists, materialised
 
 
 def block_hash(seed: int, dump: str = "dump", file: str = "file_name", block: str = "block") -> Column:
@@ -32,6 +34,31 @@ def until_enough(rows: DataFrame, wanted: Column, needed: int) -> DataFrame:
     return rows.join(read, "block_hash", "left_semi")
 
 
+def row_groups_until_enough(groups: DataFrame, seed: int, columns: str, wanted: Column, wanted_columns: str, needed: int, first: int = 1, blocks_read=None) -> DataFrame:
+    """The rows of row groups (of ``sources.row_groups``) in seeded order until ``needed`` are ``wanted``; the group that reaches it is whole.
+
+    Groups are read in waves, each as large as the share of wanted rows so far asks for, four times the one before at
+    most. Counting reads ``wanted_columns`` alone; the groups that are found to be enough are then read with
+    ``columns``. Groups behind the last wave are never opened.
+    """
+    hashed = groups.withColumn("block_hash", block_hash(seed))
+    ordered = materialised(budget.running_total(hashed, "block_hash", F.lit(1), ties=("file_path", "block"), name="place"))
+    last, at, found, size = ordered.count(), 0, 0, first
+    while at < last and found < needed:
+        wave = ordered.where((F.col("place") >= at) & (F.col("place") < at + size))
+        counted = read_groups(wave.repartition(min(size, 10_000)), wanted_columns, ("place",), blocks_read).groupBy("place").agg(F.sum(F.coalesce(wanted, F.lit(False)).cast("long")).alias("n"))
+        by_place = {r["place"]: r["n"] for r in counted.collect()}  # a row for each group of the wave
+        for place in range(at, min(at + size, last)):
+            found += by_place.get(place, 0)
+            if found >= needed:
+                last = place + 1
+                break
+        at += size
+        missing = math.ceil((needed - found) * at / found) if found else 4 * size
+        size = max(1, min(missing, 4 * size))
+    return read_groups(ordered.where(F.col("place") < (last if needed > 0 else 0)), columns, ("dump", "file_name", "block", "block_hash"), blocks_read)
+
+
 def month_sample(candidates: DataFrame, month: str, n: int, key: str, date: str = "date", id_col: str = "id") -> DataFrame:
     """The n documents of the month with the smallest month-keyed hash; fewer are an error."""
     inside = candidates.where(F.substring(date, 1, 7) == month).withColumn("h", rank_hash(f"{key}/{month}", id_col)).withColumn("month", F.lit(month))

@@ -91,18 +91,24 @@ def poisson_interval(df: DataFrame, by: str, id_col: str, seed: int = 0, draws:
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, value, n, upto: how many rows have each value, and how many of the group have that or a smaller one. Nulls are left out.
+    """by, value, n, upto: how many rows have each value, a number, and how many of the group have that or a smaller one. Nulls are left out.
 
-    Exact order statistics come from this without bringing a group's rows together.
+    Exact order statistics come from this without bringing a group's rows, or its distinct values, together: sums run
+    over ranges of group and value.
     """
+    from webloom.operators.budget import running_total
+
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    return counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    return running_total(counts, value, F.col("n"), by=by, ties=(), name="upto").withColumn("upto", F.col("upto") + F.col("n"))
 
 
 def order_statistics(df: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
     """Per group ``rows``, the number of its rows, and the values at the named places of its sorted ones, from 0; a place may depend on ``rows``."""
-    counted = value_counts(df, by, value).withColumn("rows", F.max("upto").over(Window.partitionBy(*by)))
-    return counted.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in places.items()])
+    counted = value_counts(df, by, value)
+    names = {c: f"__of_{c}" for c in by}
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("rows")).withColumnsRenamed(names)
+    whole = counted.join(sizes, [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]).drop(*names.values()) if by else counted.crossJoin(F.broadcast(sizes))  # one row
+    return whole.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in places.items()])
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:

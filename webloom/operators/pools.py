@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.operators import budget
@@ -51,12 +51,15 @@ def held_out_tail(natural: DataFrame, pools: DataFrame, target: int, *, hash_col
     return budget.fill_budget(free, hash_col, tokens, target, ties=(id_col,), descending=True)
 
 
-def with_duplicates(pools: DataFrame, candidates: DataFrame, tokens: str = "tokens", id_col: str = "id") -> DataFrame:
-    """``pool_stats`` with rows for what is in no pool: _duplicates (rows beyond the first of an id) and _left_out (first rows of no pool)."""
-    counts = candidates.agg(F.count("*").alias("rows"), F.count_distinct(id_col).alias("ids"))
-    sizes = pools.agg(F.count("*").alias("placed")).crossJoin(F.broadcast(counts))  # one row each
-    extra = sizes.select(F.explode(F.array(F.struct(F.lit("_duplicates").alias("pool"), (F.col("rows") - F.col("ids")).alias("documents")), F.struct(F.lit("_left_out").alias("pool"), (F.col("ids") - F.col("placed")).alias("documents")))).alias("e"))
-    return pool_stats(pools, tokens).unionByName(extra.select("e.pool", "e.documents", F.lit(None).cast("long").alias("tokens")))
+def pool_stats_of(candidates: DataFrame, *, tokens: str = "tokens", id_col: str = "id", order: str = "ordinal") -> DataFrame:
+    """``pool_stats`` of the pools that ``build_pools`` makes of the candidates, with rows for what is in none: _duplicates (rows beyond the first of an id) and _left_out (first rows of no pool). The candidates are read once."""
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(order)) == 1
+    placed = candidates.select(tokens, first.alias("__first"), pool_of(F.col("label"), F.col("selection")).alias("__pool"))
+    pool = F.when(~F.col("__first"), F.lit("_duplicates")).otherwise(F.coalesce("__pool", F.lit("_left_out")))
+    counts = placed.groupBy(pool.alias("pool")).agg(F.count("*").alias("documents"), F.sum(tokens).cast("long").alias("tokens"))
+    outside = ("_duplicates", "_left_out")
+    both = counts.unionByName(candidates.sparkSession.createDataFrame([(p, 0, 0) for p in outside], "pool string, documents long, tokens long"))
+    return both.groupBy("pool").agg(F.sum("documents").alias("documents"), F.sum(F.when(~F.col("pool").isin(*outside), F.col("tokens"))).alias("tokens"))
 
 
 def shaped_candidates(df: DataFrame, selection: str, label_columns: dict[str, str]) -> DataFrame:

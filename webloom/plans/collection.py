@@ -14,6 +14,7 @@ from webloom.functions.hashing import rank_hash
 from webloom.operators import budget, crawls, measure, pools, relational, release, runs, sidecars, store
 from webloom.plans.base import BASE, KEY, base, query, read
 from webloom.session import shared_root
+from webloom.sources import row_groups
 
 PLACED = BASE + ", p AS (SELECT *, 'part-' || CAST(id // 500 AS VARCHAR) AS file_name, id % 500 AS row_index, id % 500 // 50 AS block, sha256('row-blocks:7:' || dump || '/part-' || CAST(id // 500 AS VARCHAR) || '#' || CAST(id % 500 // 50 AS VARCHAR)) AS block_hash FROM base)\n"
 
@@ -34,6 +35,21 @@ def blocks_until_enough(spark, sf):
     return crawls.until_enough(crawls.in_block_order(placed(spark, sf), 7, 50), F.col("lang") == "en", 60).select("id")
 
 
+GROUPS = """WITH p AS (SELECT doc_id AS id, lang, sha256('row-blocks:7:corpus/part-' || CAST(doc_id // 500 AS VARCHAR) || '#' || CAST((row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) - 1) // 100 AS VARCHAR)) AS block_hash FROM documents),
+s AS (SELECT block_hash, count(*) FILTER (WHERE lang = 'en') AS n FROM p GROUP BY block_hash), c AS (SELECT block_hash, coalesce(sum(n) OVER (ORDER BY block_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+"""
+
+
+@query(GROUPS + "SELECT id, lang FROM p JOIN c USING (block_hash) WHERE before < 150")
+def row_groups_until_enough(spark, sf):
+    """Documents in files of 500 ids with row groups of 100: whole row groups in seeded order until 150 English documents are read; the others are not opened."""
+    folder = f"{shared_root(spark)}/groups-{uuid.uuid4().hex}"
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", F.concat(F.lit("part-"), F.floor(F.col("doc_id") / 500).cast("string")).alias("file"))
+    docs.repartition("file").sortWithinPartitions("file", "id").write.partitionBy("file").option("parquet.block.row.count.limit", 100).parquet(folder)
+    groups = row_groups.row_groups(spark, {"corpus": folder}).withColumn("file_name", F.regexp_extract("file_path", "/file=([^/]+)/", 1))
+    return crawls.row_groups_until_enough(groups, 7, "id bigint, lang string", F.col("lang") == "en", "lang string", 150).select("id", "lang")
+
+
 @query(PLACED + "SELECT id, dump FROM (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY dump ORDER BY block_hash, row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) WHERE before < 20000")
 def collected_documents(spark, sf):
     return crawls.collected(placed(spark, sf).select("id", "dump", "tokens", "file_name", "row_index"), 7, 50, 20_000).select("id", "dump")
@@ -107,18 +123,19 @@ STORE = BASE + ", k AS (SELECT id, substr(h, 1, 16) AS key, string_split(text, '
 
 def _store(spark, sf):
     docs = base(spark, sf, text=True).select("id", "text", F.substring("h", 1, 16).alias("h"))
-    return store.build_store(docs, f"{shared_root(spark)}/store-{uuid.uuid4().hex}", lambda t: F.transform(F.split(t, " "), lambda w: F.char_length(w)), share=0.5)
+    folder = f"{shared_root(spark)}/store-{uuid.uuid4().hex}"
+    return folder, store.build_store(docs, folder, lambda t: F.transform(F.split(t, " "), lambda w: F.char_length(w)), share=0.5)
 
 
 @query(STORE + "SELECT id, key, start AS \"offset\", length FROM i")
 def token_store(spark, sf):
     """Index of a store of the lower half of the keys; a word's token is its length."""
-    return _store(spark, sf).select("id", "key", "offset", "length")
+    return _store(spark, sf)[1].select("id", "key", "offset", "length")
 
 
 @query(STORE + "SELECT key, list_transform(w[greatest(1000 - start, 0) + 1:least(9000 - start, length)], lambda x: CAST(length(x) AS INT)) AS tokens FROM i WHERE start < 9000 AND start + length > 1000")
 def store_range(spark, sf):
-    return store.read_range(_store(spark, sf), 1_000, 9_000)
+    return store.read_tokens(spark, _store(spark, sf)[0], 1_000, 9_000)
 
 
 CANDIDATES = "WITH c AS (SELECT l_orderkey AS id, l_linenumber AS ordinal, CAST(l_quantity AS BIGINT) AS tokens, CASE l_returnflag WHEN 'A' THEN 'AI' WHEN 'R' THEN 'Human' END AS label, CASE WHEN l_orderkey % 5 = 0 THEN 'natural' ELSE 'editlens_ai' END AS selection FROM lineitem), f AS (SELECT *, CASE WHEN label IS NULL THEN CASE WHEN selection = 'natural' THEN '_unlabeled_natural' ELSE '_unlabeled' END WHEN selection = 'natural' THEN 'natural' ELSE lower(label) END AS pool FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS n FROM c) WHERE n = 1)\n"
@@ -127,7 +144,7 @@ CANDIDATES = "WITH c AS (SELECT l_orderkey AS id, l_linenumber AS ordinal, CAST(
 @query(CANDIDATES + "SELECT pool, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens FROM f GROUP BY pool UNION ALL SELECT '_duplicates', (SELECT count(*) - count(DISTINCT id) FROM c), NULL UNION ALL SELECT '_left_out', (SELECT count(DISTINCT id) FROM c) - (SELECT count(*) FROM f WHERE pool IS NOT NULL), NULL")
 def pool_statistics_with_duplicates(spark, sf):
     items = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ordinal"), F.col("l_quantity").cast("long").alias("tokens"), F.when(F.col("l_returnflag") == "A", "AI").when(F.col("l_returnflag") == "R", "Human").alias("label"), F.when(F.col("l_orderkey") % 5 == 0, "natural").otherwise("editlens_ai").alias("selection"))
-    return pools.with_duplicates(pools.build_pools(items), items)
+    return pools.pool_stats_of(items)
 
 
 @query(BASE + ", f AS (SELECT * FROM base WHERE label IS NOT NULL), t AS (SELECT id, label, tokens FROM (SELECT *, coalesce(sum(tokens) OVER (ORDER BY h DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM f) WHERE prior < 100000) SELECT 'all' AS part, id FROM t UNION ALL SELECT lower(label), id FROM t WHERE label IN ('Human', 'AI')")
