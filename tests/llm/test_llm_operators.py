@@ -462,3 +462,64 @@ def test_toxicity_learns_the_terms_of_a_small_language(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.fit(df, spark.createDataFrame(marks, "doc_id long, toxic int"))
     assert set(model.lexicon) == {"bomenterr", "grunfel"}
+
+
+# --- randomness tests of the secret scan ------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("letters", "length"), [("BASE64", 20), ("BASE64_URL", 20), ("HEX_UPPER", 24), ("BASE32", 32)])
+def test_nine_in_ten_random_strings_are_found(letters, length):
+    """From the shortest length on at which that holds for the encoding."""
+    rng, alphabet = random.Random(5), getattr(secrets, letters)
+    for n in (length, length + 4, 40, 64):
+        texts = ["some words here " + "".join(rng.choice(alphabet) for _ in range(n)) + " and more." for _ in range(300)]
+        assert sum(any(k == 3 for _, _, k in secrets.scan(t)) for t in texts) >= 270
+
+
+def test_p_values_of_random_and_of_written_strings_hold():
+    """By brute force: strings drawn at random, and strings drawn by the model of text, reach each p-value as seldom as it says."""
+    rng = random.Random(6)
+    letters, weights = zip(*secrets.LETTERS.items(), strict=True)
+
+    def written(n, alphabet):
+        out, digit = [], rng.random() < 0.5
+        for _ in range(n):
+            digit ^= rng.random() < secrets.TEXT_CHANGE
+            out.append(rng.choice([c for c in alphabet if c.isdigit()]) if digit else rng.choices(letters, weights)[0].upper())
+        return "".join(out)
+
+    for alphabet in (secrets.HEX_UPPER, secrets.BASE32, secrets.BASE64):
+        p = [secrets.battery("".join(rng.choice(alphabet) for _ in range(32)))["random"] for _ in range(2_000)]
+        assert all(sum(x <= a for x in p) <= 1.6 * a * len(p) + 5 for a in (0.1, 0.01, 0.001))
+    p = [secrets.battery(t)["written"] for t in (written(32, secrets.BASE32) for _ in range(3_000))]
+    assert all(sum(x <= a for x in p) <= 1.6 * a * len(p) + 3 for a in (0.05, 0.01, 0.001))
+    # Strings that happen to be hex are those of few letters; of all written ones they are a small part.
+    found = [secrets.battery(t) for t in (written(24, secrets.HEX_UPPER) for _ in range(20_000))]
+    assert sum(r["encoding"] == "hex" and r["written"] <= 0.001 for r in found if r) <= 0.0016 * len(found) + 3
+
+
+def test_names_numbers_and_dates_are_not_secrets(spark):
+    for text in ("INTERNATIONALIZATIONOFTHEWORLD", "CUSTOMERSUPPORTTICKET2024", "MY_LONG_CONSTANT_NAME_IN_CODE", "WINDOWS2000SERVICEPACK4", "DEADBEEFDEADBEEFDEADBEEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "2024/01/01/12/34/56/789012", "a-file-name-of-many-words-v2-final"):
+        assert not [s for s in secrets.scan(text) if s[2] == 3], text
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert "random:" not in "".join(r["spans"] for r in secrets.secret_scan(docs).collect())
+
+
+def test_many_rows_of_one_id_span_several_parts(spark, tmp_path):
+    rows = [(7, f"{i:05d} word {i}") for i in range(2_000)] + [(None, f"{i:05d} none") for i in range(1_000)] + [(9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would take so few rows together
+    try:
+        token_shards.write_shards(df, str(tmp_path / "s"), tokenizer_path(registry.WORD_BPE))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(str(tmp_path / "s"))
+    assert parts.select("part").distinct().count() == 4 and max(r["n_ids"] for r in parts.collect()) < 0.6 * sum(r["n_ids"] for r in parts.collect())
+    coder = tokenizer(tokenizer_path(registry.WORD_BPE))
+    at, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        n = len(coder.encode(t, add_special_tokens=False).ids) + 1
+        want.append((i, at, n))
+        at += n
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"]) for r in token_shards.read_shards(spark, str(tmp_path / "s"), digests=True).collect()), key=lambda r: r[1])
+    assert got == want

@@ -51,6 +51,15 @@ ENCODINGS = tuple((name, {c: i for i, c in enumerate(letters)}) for name, letter
 
 #: Model of text: probability that two symbols drawn from it agree, and that neighbours are of different classes.
 TEXT_MATCH, TEXT_CHANGE = 0.066, 0.12
+# How many of 10,000 letters of English are each, in order of the alphabet.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (817, 129, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7), strict=True))
+#: Share of written letters that are hex digits.
+HEX_LETTERS = sum(LETTERS[c] for c in "abcdef") / sum(LETTERS.values())
+#: A letter's logarithmic probability in text, made less sure by a tenth of even chance, since other languages differ.
+LETTER_LOG = {c: math.log(0.9 * n / sum(LETTERS.values()) + 0.1 / 26) for c, n in LETTERS.items()}
+LETTER_MEAN = sum(n * LETTER_LOG[c] for c, n in LETTERS.items()) / sum(LETTERS.values())
+#: Its spread between letters, with half as much again for what neighbouring letters have in common.
+LETTER_SPREAD = 1.5 * math.sqrt(sum(n * (LETTER_LOG[c] - LETTER_MEAN) ** 2 for c, n in LETTERS.items()) / sum(LETTERS.values()))
 
 
 def normal_tail(z: float) -> float:
@@ -99,12 +108,16 @@ def battery(text: str) -> dict | None:
     chi = sum((c - n / m) ** 2 for c in counts) * m / n
     # With few symbols per cell the statistic is not chi-squared; its exact mean and variance for multinomial counts are.
     mean, var = m - 1.0, 2.0 * (m - 1) * (n - 1) / n
-    p_chi = normal_tail((chi - mean) / math.sqrt(var))
+    scale = var / (2 * mean)  # a chi-squared variable of that mean and variance, since the statistic is skewed
+    p_chi = chi2_tail(chi / scale, mean / scale)
     kinds = [classes(c) for c in body]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
     share = [sum(classes(c) == k for c in values) / m for k in range(4)]
     q = 1 - sum(x * x for x in share)
-    p_few, p_many = 1 - binomial_tail(changes + 1, n - 1, q), binomial_tail(changes, n - 1, q)
+    # Neighbouring changes share a symbol, so their number spreads otherwise than of independent ones.
+    shared = sum(x * (1 - x) ** 2 for x in share) - q * q
+    sigma = math.sqrt((n - 1) * q * (1 - q) + 2 * (n - 2) * shared)
+    p_few, p_many = normal_tail(((n - 1) * q - changes - 0.5) / sigma), normal_tail((changes - (n - 1) * q - 0.5) / sigma)
     centre = (m - 1) / 2
     spread = (m * m - 1) / 12
     serial = sum((a - centre) * (b - centre) for a, b in zip(symbols, symbols[1:], strict=False)) / (spread * math.sqrt(n - 1))
@@ -114,7 +127,15 @@ def battery(text: str) -> dict | None:
     shift = n * (m * TEXT_MATCH - 1) if m * TEXT_MATCH > 1 else 0.0
     p_even = 1 - normal_tail((chi - mean - shift) / math.sqrt(var + 4 * shift))
     p_change = binomial_tail(changes, n - 1, TEXT_CHANGE)
-    written = chi2_tail(-2 * (math.log(max(p_even, 1e-300)) + math.log(max(p_change, 1e-300))), 4)
+    letters = [c for c in body.lower() if c in LETTERS]
+    if name == "hex":  # sixteen symbols are too few for evenness to tell; that all letters are hex digits tells more
+        parts = (p_change, HEX_LETTERS ** len(letters))
+    elif name == "base32" and letters:  # letters of one case: text has the common ones
+        deviation = (sum(LETTER_LOG[c] for c in letters) - LETTER_MEAN * len(letters)) / (LETTER_SPREAD * math.sqrt(len(letters)))
+        parts = (p_even, p_change, normal_tail(-deviation))
+    else:
+        parts = (p_even, p_change)
+    written = chi2_tail(-2 * sum(math.log(max(p, 1e-300)) for p in parts), 2 * len(parts))
     return {"encoding": name, "n": n, "random": random, "written": written}
 
 
