@@ -209,7 +209,8 @@ def write_shards(df: DataFrame, folder: str, tokenizer_file: str, *, end: int =
     empty (just ``end``); null ids come first; rows of one id are ordered by text, repeated rows are all kept; an
     empty table writes an empty table; other columns are ignored.
     """
-    rows = keyed(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges are cut inside an id too, by how its texts begin, so many rows of one id, or of none, span several parts.
+    rows = keyed(df, id_col, text_col).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(partial(_pack_rows, path=tokenizer_file, end=end, terminals=terminals, shard_ids=shard_ids), SHARD_SCHEMA).write.parquet(folder)
 
 
@@ -243,16 +244,17 @@ def read_shards(spark, folder: str, *, digests: bool = False) -> DataFrame:
     Only one number per part, a range of ids, comes to the driver to place the parts one after another.
     """
     shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
-    totals = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
-    offsets, before = [0] * (1 + max(totals, default=0)), 0
-    for part in sorted(totals):
-        offsets[part], before = before, before + totals[part]
+    before, at = [], 0
+    for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        before.append((r["part"], at))
+        at += r["n"]
+    offsets = spark.createDataFrame(before, "part int, before long")  # a row a part
     if digests:
         rows = shards.mapInArrow(_read_digests, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
         rest = ["n_tokens", "ids_crc32"]
     else:
         rows, rest = shards.mapInArrow(_read_rows, "part int, doc_id long, start long, ids binary"), ["ids"]
-    return rows.select("doc_id", (F.col("start") + F.element_at(F.lit(offsets).cast("array<long>"), F.col("part") + 1)).alias("start"), *rest)
+    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), *rest)
 
 
 def token_shards(df: DataFrame, tokenizer_file: str, **options) -> DataFrame:
