@@ -510,12 +510,12 @@ def test_many_rows_of_one_id_span_several_parts(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would take so few rows together
     try:
-        token_shards.write_shards(df, str(tmp_path / "s"), tokenizer_path(registry.WORD_BPE))
+        token_shards.write_shards(df, str(tmp_path / "s"), WORD)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     parts = spark.read.parquet(str(tmp_path / "s"))
     assert parts.select("part").distinct().count() == 4 and max(r["n_ids"] for r in parts.collect()) < 0.6 * sum(r["n_ids"] for r in parts.collect())
-    coder = tokenizer(tokenizer_path(registry.WORD_BPE))
+    coder = tokenizer(WORD)
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         n = len(coder.encode(t, add_special_tokens=False).ids) + 1
