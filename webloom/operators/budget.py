@@ -24,17 +24,27 @@ def running_total(df: DataFrame, hash_col: str, weight: Column, *, by: list[str]
     ``hash_col`` is hex text of fixed length, spread evenly; its first ``digits`` cut the order into ranges, 16 times
     as many for each more. Of a number's values one may hold most rows: then ranges are cut on all of group, number and ties.
     """
-    weight = F.coalesce(weight, F.lit(0)).cast("long")
     groups = list(by or [])
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    number = isinstance(df.schema[hash_col].dataType, T.NumericType)
-    ranged = in_ranges(df, *groups, *[direction(c) for c in (hash_col, *ties)]) if number else df.withColumn(RANGE, F.substring(hash_col, 1, digits))
-    cell = ranged.withColumn("__weight", weight)
-    along = (lambda c: F.col(c).asc()) if number else direction  # ranges of a number are numbered in the order asked for
+    if isinstance(df.schema[hash_col].dataType, T.NumericType):
+        return running_total_in_order(df, [direction(c) for c in (hash_col, *ties)], weight, by=groups, name=name)
+    ranged = df.withColumn(RANGE, F.substring(hash_col, 1, digits))
+    return _total_by_range(ranged, groups, direction(RANGE), [direction(c) for c in (hash_col, *ties)], weight, name)
+
+
+def running_total_in_order(df: DataFrame, order: list[Column | str], weight: Column, *, by: list[str] | None = None, name: str = "before") -> DataFrame:
+    """As ``running_total``, in any order of several columns: ranges are cut on all of them, so no value is one task's."""
+    groups = list(by or [])
+    return _total_by_range(in_ranges(df, *groups, *order), groups, F.col(RANGE).asc(), order, weight, name)
+
+
+def _total_by_range(ranged: DataFrame, groups: list[str], along: Column, order: list[Column | str], weight: Column, name: str) -> DataFrame:
+    """Sums inside each range, and those of the ranges before it."""
+    cell = ranged.withColumn("__weight", F.coalesce(weight, F.lit(0)).cast("long"))
     sums = cell.groupBy(*groups, RANGE).agg(F.sum("__weight").alias("__sum"))
     over = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    offsets = sums.select(*groups, RANGE, (F.sum("__sum").over(over.orderBy(along(RANGE)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__offset"))
-    inside = Window.partitionBy(*groups, RANGE).orderBy(*[direction(c) for c in (hash_col, *ties)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = sums.select(*groups, RANGE, (F.sum("__sum").over(over.orderBy(along).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")).alias("__offset"))
+    inside = Window.partitionBy(*groups, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = cell.withColumn("__inside", F.sum("__weight").over(inside) - F.col("__weight"))
     # Null is a group like others.
     names = {g: f"__of_{g}" for g in groups} | {RANGE: "__of_range"}

@@ -34,29 +34,34 @@ def until_enough(rows: DataFrame, wanted: Column, needed: int) -> DataFrame:
     return rows.join(read, "block_hash", "left_semi")
 
 
-def row_groups_until_enough(groups: DataFrame, seed: int, columns: str, wanted: Column, wanted_columns: str, needed: int, first: int = 1, blocks_read=None) -> DataFrame:
-    """The rows of row groups (of ``sources.row_groups``) in seeded order until ``needed`` are ``wanted``; the group that reaches it is whole.
+def enough_groups(groups: DataFrame, order: list[str], measure: Column, measured_columns: str, needed: int, *, first: int = 1, blocks_read=None) -> tuple[DataFrame, int, int]:
+    """``groups`` (of ``sources.row_groups``) with ``place``, their number in ``order``; how many of them it takes for the sum of ``measure`` over their rows to be ``needed``; and that sum before the last of these.
 
-    Groups are read in waves, each as large as the share of wanted rows so far asks for, four times the one before at
-    most. Counting reads ``wanted_columns`` alone; the groups that are found to be enough are then read with
-    ``columns``. Groups behind the last wave are never opened.
+    Groups are measured in waves, each as large as what was found so far asks for, four times the one before at most,
+    and ``measured_columns`` are all that is read of them. Groups behind the last wave are never opened.
     """
-    hashed = groups.withColumn("block_hash", block_hash(seed))
-    ordered = materialised(budget.running_total(hashed, "block_hash", F.lit(1), ties=("file_path", "block"), name="place"))
-    last, at, found, size = ordered.count(), 0, 0, first
+    ordered = materialised(budget.running_total_in_order(groups, [*order, "file_path", "block"], F.lit(1), name="place"))
+    last, at, found, before, size = ordered.count(), 0, 0, 0, first
     while at < last and found < needed:
         wave = ordered.where((F.col("place") >= at) & (F.col("place") < at + size))
-        counted = read_groups(wave.repartition(min(size, 10_000)), wanted_columns, ("place",), blocks_read).groupBy("place").agg(F.sum(F.coalesce(wanted, F.lit(False)).cast("long")).alias("n"))
-        by_place = {r["place"]: r["n"] for r in counted.collect()}  # a row for each group of the wave
+        measured = read_groups(wave.repartition(min(size, 10_000)), measured_columns, ("place",), blocks_read).groupBy("place").agg(F.sum(F.coalesce(measure, F.lit(0))).cast("long").alias("n"))
+        by_place = {r["place"]: r["n"] for r in measured.collect()}  # a row for each group of the wave
         for place in range(at, min(at + size, last)):
-            found += by_place.get(place, 0)
+            before, found = found, found + by_place.get(place, 0)
             if found >= needed:
                 last = place + 1
                 break
         at += size
         missing = math.ceil((needed - found) * at / found) if found else 4 * size
         size = max(1, min(missing, 4 * size))
-    return read_groups(ordered.where(F.col("place") < (last if needed > 0 else 0)), columns, ("dump", "file_name", "block", "block_hash"), blocks_read)
+    return ordered, last if needed > 0 else 0, before
+
+
+def row_groups_until_enough(groups: DataFrame, seed: int, columns: str, wanted: Column, wanted_columns: str, needed: int, *, first: int = 1, blocks_read=None) -> DataFrame:
+    """The rows of row groups (of ``sources.row_groups``) in seeded order until ``needed`` are ``wanted``; the group that reaches it is whole (see ``enough_groups``)."""
+    hashed = groups.withColumn("block_hash", block_hash(seed))
+    ordered, n, _ = enough_groups(hashed, ["block_hash"], F.coalesce(wanted, F.lit(False)).cast("long"), wanted_columns, needed, first=first, blocks_read=blocks_read)
+    return read_groups(ordered.where(F.col("place") < n), columns, ("dump", "file_name", "block", "block_hash"), blocks_read)
 
 
 def month_sample(candidates: DataFrame, month: str, n: int, key: str, date: str = "date", id_col: str = "id") -> DataFrame:

@@ -26,6 +26,16 @@ def label_share(df: DataFrame, by: str, dump: str = "dump") -> DataFrame:
     return out.withColumns({"ai_share": F.try_divide("ai_tokens", "tokens"), "ai_or_mixed_share": F.try_divide(F.col("ai_tokens") + F.col("mixed_tokens"), F.col("tokens"))})
 
 
+def share_of_files(documents: DataFrame, labels: DataFrame, seed: int = 0, draws: int = 2_000, id_col: str = "id") -> DataFrame:
+    """``label_share`` of each month's file, with low and high (95 %): ``documents`` (id, dump, tokens) and the sidecar of their labels, both with the places of their rows, joined by place; a file is a month, documents without a label are left out."""
+    from webloom.operators.sidecars import joined
+
+    rows = joined(documents, {"side": labels.select("file_name", "row_index", id_col, "label")}, id_col).withColumn("label", F.col("side_label"))
+    rows = rows.withColumn("month", F.regexp_replace("file_name", r"\.parquet$", ""))
+    shares, bounds = label_share(rows, "month"), poisson_interval(rows, "month", id_col, seed, draws)
+    return shares.join(bounds, "month")
+
+
 def ratio_interval(values: np.ndarray, weights: np.ndarray, seed: int, draws: int = 2_000, held: int = 4_000_000) -> tuple[float, float]:
     """95 % percentile interval of sum(values) / sum(weights) over resampled documents; about ``held`` picks are held at a time."""
     rng, ratios = np.random.default_rng(seed), []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text
 from webloom.functions.hashing import rank_hash
-from webloom.operators import budget, crawls, measure, pools, relational, release, runs, sidecars, store
+from webloom.operators import budget, crawls, evalsets, measure, pools, relational, release, runs, sidecars, store
 from webloom.plans.base import BASE, KEY, base, query, read
 from webloom.session import shared_root
 from webloom.sources import row_groups
@@ -80,6 +80,38 @@ def documents_with_sidecars(spark, sf):
     return sidecars.joined(docs.select("id", "dump", "file_name", "row_index"), {"labels": labels, "topics": topics}).drop("file_name", "row_index")
 
 
+@query(PLACED + "SELECT file_name AS month, string_agg(DISTINCT dump, ';' ORDER BY dump) AS dumps, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (WHERE label = 'AI') AS ai_documents, CAST(coalesce(sum(tokens) FILTER (WHERE label = 'AI'), 0) AS BIGINT) AS ai_tokens, round(coalesce(sum(tokens) FILTER (WHERE label = 'AI'), 0) / sum(tokens), 9) AS ai_share FROM p WHERE label IS NOT NULL GROUP BY file_name")
+def share_of_month_files(spark, sf):
+    """Label shares of files of documents, labels coming from their sidecars."""
+    docs = placed(spark, sf)
+    lying = sidecars.laid_out_by_file(docs)
+    found = measure.share_of_files(lying.select("id", "dump", "tokens", "file_name", "row_index"), lying.select("id", "file_name", "row_index", "label"), draws=50)
+    return found.select("month", "dumps", "documents", "tokens", "ai_documents", "ai_tokens", F.round("ai_share", 9).alias("ai_share"))
+
+
+@query(PLACED + "SELECT id, dump, label, lang AS topic, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS token_count, true AS pii_anonymized FROM p")
+def released_month_labels(spark, sf):
+    """The monthly sample's release without its texts: labels and topics by place, personal data replaced where it never was."""
+    docs = sidecars.laid_out_by_file(placed(spark, sf, text=True).withColumns({"token_count": text.white_words(F.col("text")), "pii_anonymized": F.col("id") % 3 == 0}))
+    labels, topics = (sidecars.laid_out_by_file(docs.select("id", "file_name", "row_index", F.col(a).alias(b))) for a, b in (("label", "label"), ("lang", "topic")))
+    columns = "id bigint, text string, dump string, label_label string, topics_topic string, token_count bigint, pii_anonymized boolean"
+    found = release.released_months(docs.select("id", "text", "dump", "file_name", "row_index", "token_count", "pii_anonymized"), labels, topics, columns)
+    found = relational.conform(found, release.release_schema(columns, with_text=False))
+    return found.select("id", "dump", F.col("label_label").alias("label"), F.col("topics_topic").alias("topic"), "token_count", "pii_anonymized")
+
+
+@query("""WITH c AS (SELECT doc_id AS id, text, lang, coalesce(sum(len(text)) OVER (ORDER BY doc_id // 500, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents WHERE len(text) >= 200), s AS (SELECT * FROM c WHERE before < 100000)
+SELECT 'head' AS name, CAST(count(*) AS BIGINT) AS documents, CAST(sum(len(text)) AS BIGINT) AS characters, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS tokens, CAST(count(*) FILTER (WHERE lang = 'en') AS BIGINT) AS english FROM s""")
+def evaluation_set(spark, sf):
+    """The manifest of a set of the first 100,000 characters of a stream, in documents of 200 or more, written with their languages as domains."""
+    folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", F.format_string("part-%09d", F.floor(F.col("doc_id") / 500).cast("long")).alias("file"))
+    docs.repartition("file").sortWithinPartitions("file", "id").write.partitionBy("file").option("parquet.block.row.count.limit", 50).parquet(folder)
+    head = evalsets.stream_head(spark, folder, "text string, lang string", 100_000, 200)
+    made = evalsets.write_set(head, f"{folder}-sets", "head", source="documents", selection="first 100,000 characters", order=["place", "row_index"], domain_col="lang")
+    return made.select("name", "documents", "characters", "tokens", F.coalesce(F.col("domains")["en"], F.lit(0).cast("long")).alias("english"))
+
+
 @query(PLACED + "SELECT id FROM p WHERE (id // 500) % 2 = 1")
 def unlabelled_shards(spark, sf):
     """Documents of the shards that have no sidecar yet, where those of even number have one."""

@@ -256,6 +256,41 @@ def mixture_plan(spark, sf):
     return mixture.plan(mixture.Run("ai", 5, 6), human, ai, 4_104, 513).select("pool", "id", "tokens")
 
 
+#: The other arms: human text of its own added, the web's mix, the same without what was added, and human text alone.
+ARM_SQL = ", first AS (SELECT pool, id, least(tokens, {human} - prior) AS tokens FROM (SELECT *, CASE WHEN human THEN 'human' ELSE 'ai' END AS pool FROM c) WHERE human AND prior < {human})"
+
+
+@query(PLAN_SQL + ARM_SQL.format(human=10_260) + """, rest AS (SELECT id, tokens, CAST(coalesce(sum(tokens) OVER (ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior FROM c WHERE human AND prior >= 10260)
+SELECT * FROM first UNION ALL SELECT 'human', id, least(tokens, 5130 - prior) FROM rest WHERE prior < 5130""")
+def human_plan(spark, sf):
+    """As ``mixture_plan``, with the human documents that follow in place of AI ones."""
+    human, _ = _pools(spark, sf)
+    return mixture.plan(mixture.Run("human", 4, 6), human, None, 2_565, 513).select("pool", "id", "tokens")
+
+
+def _web_mix(arm):
+    """A run of 9 steps' tokens of the web's mix: 7 human and 2 AI steps."""
+    return mixture.Run.planned(arm, 9 * 2_565, 1, 2_565)
+
+
+@query(PLAN_SQL + ARM_SQL.format(human=17_955) + " SELECT * FROM first UNION ALL SELECT 'ai', id, least(tokens, 5130 - prior) FROM c WHERE NOT human AND prior < 5130")
+def natural_plan(spark, sf):
+    return mixture.plan(_web_mix("natural"), *_pools(spark, sf), 2_565, 513).select("pool", "id", "tokens")
+
+
+@query(PLAN_SQL + ARM_SQL.format(human=17_955) + " SELECT * FROM first")
+def filtered_plan(spark, sf):
+    """The natural run's human documents alone."""
+    human, _ = _pools(spark, sf)
+    return mixture.plan(_web_mix("filtered"), human, None, 2_565, 513).select("pool", "id", "tokens")
+
+
+@query(PLAN_SQL + ARM_SQL.format(human=10_260) + " SELECT * FROM first")
+def control_plan(spark, sf):
+    human, _ = _pools(spark, sf)
+    return mixture.plan(mixture.Run("control", 4, 4), human, None, 2_565, 513).select("pool", "id", "tokens")
+
+
 @query(PLAN_SQL + "SELECT 'human' AS pool, count(*) AS documents, CAST(25650 AS BIGINT) AS tokens FROM c WHERE human AND prior < 10260")
 def repeated_plan(spark, sf):
     human, _ = _pools(spark, sf)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,6 +145,17 @@ def write_table(df: DataFrame, path: str, *, order: list[str] | None = None, row
     df.write.mode("overwrite" if replace else "errorifexists").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def write_shards(numbered: DataFrame, path: str, number: str, *, rows_per_shard: int = 100_000, last: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Shards of exactly ``rows_per_shard`` rows, the last one of what is left, in the order of ``number``, the rows' numbers from 0 without gaps, which isn't written. Part files are named in their order. An existing table is an error.
+
+    ``last`` is applied to the rows as they are written, behind the shuffle, whose sample reads what is before it twice.
+    """
+    shard = F.floor(F.col(number) / rows_per_shard)
+    # A task holds whole shards, so a file of so many rows ends where a shard does.
+    dealt = numbered.withColumn("__shard", shard).repartitionByRange("__shard").sortWithinPartitions("__shard", number)
+    last(dealt.drop("__shard", number)).write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard).parquet(path)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("compression", "gzip").json(path)
 
