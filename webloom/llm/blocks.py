@@ -3,7 +3,7 @@
 A dictionary of all words of a corpus grows with it, so no task can hold it. A block of a few megabytes has its own
 dictionary instead. Blocks send the words they have, each once, to shards by a hash of the word; a shard adds up the
 counts, numbers its words, and answers every block. So no word is a hot key however frequent it is, and all that is
-shuffled are deflated arrays.
+shuffled are squeezed arrays.
 """
 
 from __future__ import annotations
@@ -26,13 +26,22 @@ from webloom.llm.common import column_pieces, discard, tables_made, trim, writte
 BLOCK_BYTES = 4 << 20
 
 
+def squeezed(data: bytes) -> bytes:
+    """The length and the bytes, by Zstandard's fastest level."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def restored(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def packed(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers below 2^32 in few bytes: their lowest bytes, then the next ones, deflated."""
-    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Unsigned numbers below 2^32 in few bytes: their lowest bytes, then the next ones, squeezed."""
+    return squeezed(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    raw = np.frombuffer(restored(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
@@ -87,7 +96,10 @@ def blocks(docs: DataFrame, breaks: str | None = None) -> DataFrame:
                 indices, sizes = coded.indices.to_numpy().astype(np.int64), np.diff(ends)
                 labels = part.column(2).dictionary_encode()
                 n_words = max(1, len(coded.dictionary))
-                distinct, tokens = np.unique(np.repeat(labels.indices.to_numpy().astype(np.int64), sizes) * n_words + indices, return_inverse=True)
+                if len(labels.dictionary) == 1:  # the words' own numbers do
+                    distinct, tokens = np.arange(len(coded.dictionary)), indices
+                else:
+                    distinct, tokens = np.unique(np.repeat(labels.indices.to_numpy().astype(np.int64), sizes) * n_words + indices, return_inverse=True)
                 spelled, names = coded.dictionary.to_pylist(), [quote(x) for x in labels.dictionary.to_pylist()]
                 entries = [f"{names[k // n_words]} {spelled[k % n_words]}" for k in distinct.tolist()]
                 real = np.array([breaks is None or spelled[k % n_words] != "." for k in distinct.tolist()], bool)
@@ -103,8 +115,8 @@ def blocks(docs: DataFrame, breaks: str | None = None) -> DataFrame:
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 plain = pc.fill_null(ids, 0).to_numpy().astype(np.int64).view(np.uint64)
                 about = np.concatenate([x.astype(np.uint64) for x in (plain & np.uint64(0xFFFFFFFF), plain >> np.uint64(32), known, sizes, counted)])
-                deflated = zlib.compress("\n".join(entries[i] for i in order[:n]).encode(), 1)
-                values = (number, n, len(tokens), packed(about), deflated, packed(counts), packed(tokens))
+                listed = squeezed("\n".join(entries[i] for i in order[:n]).encode())
+                values = (number, n, len(tokens), packed(about), listed, packed(counts), packed(tokens))
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], [c.split()[0] for c in MADE.split(", ")])
                 number += 1
                 del coded, tokens, entries, spelled, distinct, values
@@ -167,15 +179,15 @@ def numbered(made: DataFrame, least: int = 1, shard_entries: int = 1_000_000) ->
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            entries = zlib.decompress(row["entries"]).decode().split("\n") if row["n_words"] else []
+            entries = restored(row["entries"]).decode().split("\n") if row["n_words"] else []
             shard = np.fromiter((zlib.crc32(e.encode()) for e in entries), np.int64, len(entries)) * n_shards >> 32
             counts = unpacked(row["counts"])
             at = np.searchsorted(shard, np.arange(n_shards + 1))
-            yield one_batch([(k, row["block"], zlib.compress("\n".join(entries[at[k] : at[k + 1]]).encode(), 1), packed(counts[at[k] : at[k + 1]])) for k in np.flatnonzero(np.diff(at)).tolist()], "shard int, block long, entries binary, counts binary")
+            yield one_batch([(k, row["block"], squeezed("\n".join(entries[at[k] : at[k + 1]]).encode()), packed(counts[at[k] : at[k + 1]])) for k in np.flatnonzero(np.diff(at)).tolist()], "shard int, block long, entries binary, counts binary")
 
     def answer(table: pa.Table) -> pa.Table:
         shard, asked = table["shard"][0].as_py(), table["block"].to_pylist()
-        parts = [pa.array(zlib.decompress(x).decode().split("\n")) for x in table["entries"].to_pylist()]
+        parts = [pa.array(restored(x).decode().split("\n")) for x in table["entries"].to_pylist()]
         coded = pa.chunked_array(parts, pa.string()).dictionary_encode().combine_chunks()
         coded = coded if isinstance(coded, pa.DictionaryArray) else coded.chunk(0)
         which = coded.indices.to_numpy().astype(np.int64)
@@ -195,7 +207,7 @@ def numbered(made: DataFrame, least: int = 1, shard_entries: int = 1_000_000) ->
             sums[label] = sums.get(label, 0) + c
         listed = "\n".join(f"{label} {c}" for label, c in sums.items())
         kept = "\n".join(spelled[i] for i in order.tolist())
-        rows.append((None, shard, len(order), None, packed(halves(counts[order])), zlib.compress(kept.encode(), 1), listed.encode()))
+        rows.append((None, shard, len(order), None, packed(halves(counts[order])), squeezed(kept.encode()), listed.encode()))
         trim()
         return pa.Table.from_batches([one_batch(rows, ANSWER)])
 
@@ -239,7 +251,7 @@ def vocabulary(corpus: Corpus) -> DataFrame:
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             counts = whole(unpacked(row["counts"])).tolist()
-            text = zlib.decompress(row["entries"]).decode()
+            text = restored(row["entries"]).decode()
             if counts:
                 yield one_batch([(i * n_shards + row["shard"] + 1, *label_and_word(e), c) for i, (e, c) in enumerate(zip(text.split("\n"), counts, strict=True))], "number long, label string, word string, n long")
 

@@ -254,6 +254,7 @@ class Grams:
         """For each shard the places of its pairs and of its triples, which go with the pair they begin with."""
         mixed = self.keys2.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         shard2 = ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % shards
+        shard2 = shard2.astype(np.uint16 if shards <= 1 << 16 else np.int64)  # 16 bits are sorted by counting
         shard3 = shard2[self.pair_of3]
         order2, order3 = np.argsort(shard2, kind="stable"), np.argsort(shard3, kind="stable")
         cuts2, cuts3 = (np.searchsorted(x[o], np.arange(shards + 1)) for x, o in ((shard2, order2), (shard3, order3)))
