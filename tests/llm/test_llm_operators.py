@@ -523,3 +523,29 @@ def test_many_rows_of_one_id_span_several_parts(spark, tmp_path):
         at += n
     got = sorted(((r["doc_id"], r["start"], r["n_tokens"]) for r in token_shards.read_shards(spark, str(tmp_path / "s"), digests=True).collect()), key=lambda r: r[1])
     assert got == want
+
+
+def test_words_of_context_are_learned_in_any_language(spark):
+    """Terms of an invented language stand in toxic texts, and in reports of them that are not toxic."""
+    rng = random.Random(4)
+    filler = [f"wort{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(1_500):
+        words = rng.choices(filler, k=30)
+        kind = i % 5
+        if kind == 0:  # abuse: the term beside a word of address
+            words[10:12], toxic = ["schimpfwerk", "deinesgleichen"], 1
+        elif kind == 1 and i % 10 == 1:  # a report
+            words[10:12], toxic = ["berichtete", "schimpfwerk"], 0
+        else:
+            toxic = 0
+        rows.append((i, " ".join([*words, str(i)])))
+        labels.append((i, 1, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, marks, lift=2.0)
+    assert "schimpfwerk" in model.lexicon and "deinesgleichen" in model.lexicon + model.raising and model.lowering == ["berichtete"]
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i, r in got.items() if r["held_out"]]
+    assert sum(got[i]["predicted"] == labels[i][2] for i in held) >= 0.97 * len(held)
+    none = toxicity.fit(docs, marks.where("toxic = 0"), lift=2.0)
+    assert none.lexicon == none.lowering == none.raising == []

@@ -4,7 +4,8 @@ The lexicon (words far more frequent in toxic than in other labelled texts) is a
 corpus is turned into a Levenshtein automaton, run on the trie: one bit-parallel state per number of errors, stepped
 along the trie's edges for many words at once, so only branches within reach of some word are walked. A hit is weighed by its window of words: quotation
 marks around it and words of reporting take weight away, address of a reader adds some. A logistic model over the sums
-gives the score. Lexicon, variants that turned out harmless, and the model are learned from labelled rows alone.
+gives the score. Lexicon, variants that turned out harmless, words of context in whatever language, and the model are
+learned from labelled rows alone; the words of reporting and address that are given are English, the learned ones add to them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import batch_rows, keyed, pieces, written
@@ -38,7 +39,8 @@ def errors_allowed(term: str) -> int:
 class Lexicon:
     """A trie of terms and the words it has been asked about."""
 
-    def __init__(self, terms: list[str], harmless: list[str] = (), cache_size: int = 500_000):
+    def __init__(self, terms: list[str], harmless: list[str] = (), lowering: list[str] = (), raising: list[str] = (), cache_size: int = 500_000):
+        self.lowering, self.raising = REPORTING | frozenset(lowering), ADDRESS | frozenset(raising)
         self.terms, self.harmless, self.cache_size = sorted(set(terms)), frozenset(harmless), cache_size
         if any(len(t) > LONGEST for t in self.terms):
             raise ValueError(f"a term has more than {LONGEST} letters")
@@ -114,12 +116,12 @@ class Lexicon:
 _KNOWN: dict[tuple, Lexicon] = {}
 
 
-def lexicon_of(terms: list[str], harmless: list[str] = ()) -> Lexicon:
+def lexicon_of(terms: list[str], harmless: list[str] = (), lowering: list[str] = (), raising: list[str] = ()) -> Lexicon:
     """One lexicon per Python worker, so that what it has looked up serves all tasks of the worker."""
-    key = (tuple(terms), tuple(harmless))
+    key = tuple(map(tuple, (terms, harmless, lowering, raising)))
     if key not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[key] = Lexicon(terms, harmless)
+        _KNOWN[key] = Lexicon(*key)
     return _KNOWN[key]
 
 
@@ -149,9 +151,9 @@ def features(text: str, lexicon: Lexicon, window: int = 10) -> np.ndarray:
         if quoted(line, words[i].start() - line_start, words[i].end() - line_start):
             weight *= 0.3
             cited += 1
-        if not REPORTING.isdisjoint(near):
+        if not lexicon.lowering.isdisjoint(near):
             weight *= 0.6
-        if not ADDRESS.isdisjoint(near):
+        if not lexicon.raising.isdisjoint(near):
             weight *= 1.3
         exact += hit[1] == 0
         fuzzy += hit[1] > 0
@@ -162,6 +164,13 @@ def features(text: str, lexicon: Lexicon, window: int = 10) -> np.ndarray:
     return out
 
 
+def context_of(text: str, lexicon: Lexicon, window: int = 10) -> set[str]:
+    """The words around the hits of one text whose words ``lexicon`` has looked up, hits left out."""
+    plain = WORD.findall(text.lower())
+    hits = [i for i, w in enumerate(plain) if w in lexicon.found]
+    return {w for i in hits for w in plain[max(0, i - window) : i + 1 + window] if w not in lexicon.found and len(w) <= LONGEST}
+
+
 def all_features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
     bags = [set(WORD.findall(t.lower())) for t in texts]
     lexicon.look(set().union(*bags))
@@ -174,6 +183,11 @@ class Model:
     lexicon: list[str]
     harmless: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES + 1))
+    lowering: list[str] = field(default_factory=list)
+    raising: list[str] = field(default_factory=list)
+
+    def known(self) -> Lexicon:
+        return lexicon_of(self.lexicon, self.harmless, self.lowering, self.raising)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(x @ self.weights[1:] + self.weights[0])))
@@ -192,11 +206,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return w
 
 
-def with_features(docs: DataFrame, lexicon: list[str], harmless: list[str]) -> DataFrame:
+def with_features(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the features of each document of ``keyed`` columns."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon_of(lexicon, harmless)
+        known = model.known()
         for batch in batches:
             for run in pieces(batch_rows(batch)):
                 x = all_features([t.decode() for _, t in run], known)
@@ -222,7 +236,8 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     as many toxic texts. So the words of a small language need no share of all toxic texts. Of more than
     ``most_terms`` the most frequent in proportion are taken; words of more than ``LONGEST`` letters are none. Equal texts count once. A variant within a
     term's errors is harmless if the labelled texts have it no more often among toxic texts than among others, as far
-    as their numbers go.
+    as their numbers go. Words of context are learned by the same bound, among the texts with a hit: those near hits of
+    texts that are not toxic lower a hit's weight, those near hits of toxic ones raise it.
     """
     rows = F.broadcast(training_rows(labels, most))
     sample = written(keyed(df, id_col, text_col).join(rows, "doc_id").groupBy(F.xxhash64("text").alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic")))
@@ -251,9 +266,43 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
 
         mild = counts.where((F.col("bad") + 0.5) / (n_toxic + 1) <= 3 * (F.col("good") + 0.5) / (n_other + 1)).select("word")
         harmless = [r["word"] for r in mild.mapInArrow(near, "word string").collect()]
-    measured = with_features(sample.select("doc_id", "text"), terms, harmless).join(sample.select("doc_id", "toxic"), "doc_id").select("features", "toxic").collect()
+    model = Model(terms, harmless)
+    if terms:
+        model.lowering, model.raising = _context_words(sample, model, level, least_texts)
+    measured = with_features(sample.select("doc_id", "text"), model).join(sample.select("doc_id", "toxic"), "doc_id").select("features", "toxic").collect()
     x, y = np.array([r["features"] for r in measured]).reshape(-1, N_FEATURES), np.array([r["toxic"] for r in measured], float)
-    return Model(terms, harmless, fit_logistic(x, y))
+    model.weights = fit_logistic(x, y)
+    return model
+
+
+def _improbable(mine: Column, other: Column, share: float) -> Column:
+    """Natural logarithm of Chernoff's bound for so many of the texts that have a word being of a kind that has this share of all; 0 if they are no more than that."""
+    part = mine / (mine + other)
+    bound = -(mine * F.log(part / share) + F.when(other > 0, other * F.log((1 - part) / (1 - share))).otherwise(0.0))
+    return F.when(part > share, bound).otherwise(0.0)
+
+
+def _context_words(sample: DataFrame, model: Model, level: float, least_texts: int, most: int = 2_000) -> tuple[list[str], list[str]]:
+    """Words that stand near hits in texts that are not toxic, and in toxic ones, more often than chance would have it; of more than ``most`` the least probable."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.known()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            known.look(set().union(*(WORD.findall((t or "").lower()) for t in texts)))
+            words = [context_of(t or "", known) for t in texts]
+            rows = [(w, k) for own, k in zip(words, batch.column(1).to_pylist(), strict=True) for w in ("", *own) if own]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.int32())], ["word", "toxic"])
+
+    counts = written(sample.select("text", "toxic").mapInArrow(near, "word string, toxic int").groupBy("word").agg(F.sum("toxic").cast("double").alias("bad"), F.sum(1 - F.col("toxic")).cast("double").alias("good")))
+    every = counts.where("word = ''").first()  # all texts with a hit
+    if every is None or not every["bad"] or not every["good"]:
+        return [], []
+    share = every["bad"] / (every["bad"] + every["good"])
+    asked = counts.where((F.col("word") != "") & (F.col("bad") + F.col("good") >= least_texts))
+    limit = math.log(level / max(1, 2 * asked.count()))
+    pick = lambda p: [r["word"] for r in asked.withColumn("p", p).where(F.col("p") <= limit).orderBy("p", "word").limit(most).collect()]
+    return pick(_improbable(F.col("good"), F.col("bad"), 1 - share)), pick(_improbable(F.col("bad"), F.col("good"), share))
 
 
 def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +313,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon_of(model.lexicon, model.harmless)
+        known = model.known()
         for batch in batches:
             for run in pieces(batch_rows(batch)):
                 s = model.scores(all_features([t.decode() for _, t in run], known))
