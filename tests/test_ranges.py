@@ -76,3 +76,12 @@ def test_batches_of_equal_lengths(spark):
     rows = spark.range(1_000).select("id", F.lit(3).alias("tokens"))
     got = measure.length_batches(rows, "tokens", 16, "id").collect()
     assert all(r["batch"] == r["id"] // 16 for r in got)
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, None, *range(3, 2_000)]), i) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "k int, i int")
+    small = df.where("k % 3 <> 0").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("most"))
+    got = sorted(map(tuple, relational.join_by_size(df, small, "k", "n", 6_000).select("k", "i", "most").collect()))
+    assert got == sorted(map(tuple, df.join(small, "k").select("k", "i", "most").collect())) and len(got) > 3_000

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.relational import join_by_size
 from webloom.session import ship
 from webloom.sources.tables import materialised
 
@@ -73,17 +74,18 @@ def near_duplicate_groups(df: DataFrame, *, id_col: str = "id", text_col: str =
     """id, root of each document with a word: the least id of those that shared bands connect to it (of the same ``by``).
 
     A shared band is a link, whatever the similarity of the two texts: the published recipe verifies nothing. Equal
-    signatures are one member from the start, so a hot group of copies stays small.
+    signatures are one member from the start, so a hot group of copies stays small; hot buckets and signatures are joined
+    by bounded broadcasts.
     """
     group = F.col(by) if by else F.lit("")
     signed = with_shingles(df, id_col, text_col, group, n)
     signed = materialised(with_bands(signed, bands, rows).withColumn("same", F.xxhash64("part", "bands")))
-    heads = signed.groupBy("same").agg(F.min("id").alias("head"), F.first("part").alias("part"), F.first("bands").alias("bands"))
+    heads = materialised(signed.groupBy("same").agg(F.min("id").alias("head"), F.count("*").alias("copies"), F.first("part").alias("part"), F.first("bands").alias("bands")))
     members = heads.select("head", F.posexplode("bands").alias("band", "key"), "part").select("head", F.xxhash64("part", "band", "key").alias("bucket"))
-    least = members.groupBy("bucket").agg(F.min("head").alias("first"))
-    links = members.join(least, "bucket").where("head <> first").select(F.col("first").alias("a"), F.col("head").alias("b")).distinct()
+    least = materialised(members.groupBy("bucket").agg(F.min("head").alias("first"), F.count("*").alias("size")).where("size > 1"))
+    links = join_by_size(members, least, "bucket", "size", bands * heads.count()).where("head <> first").select(F.col("first").alias("a"), F.col("head").alias("b")).distinct()
     roots = clusters(links)
-    heads_of = signed.select("id", "same").join(heads.select("same", "head"), "same").select("id", "head")
+    heads_of = join_by_size(signed.select("id", "same"), heads.select("same", "head", "copies"), "same", "copies", signed.count()).select("id", "head")
     return heads_of.join(roots.withColumnRenamed("node", "head"), "head", "left").select("id", F.coalesce("root", "head").alias("root"))
 
 

@@ -41,6 +41,20 @@ def keyed_sidecar(docs: DataFrame, side: DataFrame, id_col: str = "id") -> DataF
     return docs.join(unique_or_error(side, [id_col], "sidecar"), id_col, "left")
 
 
+#: A key with more than this part of all rows is joined by broadcast: there are fewer such keys than one in this part.
+HOT = 1_000
+
+
+def join_by_size(rows: DataFrame, small: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``small``, one row for each ``key``, whose column ``size`` tells how many of the ``rows`` have it; they are ``total`` in all.
+
+    The keys of more than a thousandth of all rows, fewer than a thousand, are broadcast, so none of them meets in one task.
+    """
+    hot = F.col(size) * HOT > total
+    rest = rows.join(F.broadcast(small.where(hot).select(key)), key, "left_anti").join(small.where(~hot), key)
+    return rows.join(F.broadcast(small.where(hot)), key).unionByName(rest).drop(size)
+
+
 def first_occurrence(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
