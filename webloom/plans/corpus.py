@@ -40,11 +40,11 @@ def normalised_documents(spark, sf):
     return relational.conform(shaped, "id string, dump string, origin string, token_count bigint, pii_anonymized boolean")
 
 
-@query("SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://')) ELSE url END AS trimmed, split_part(url, '/', -1) AS base_name, url || chr(10) || chr(10) || substr(html, 1, 20) AS classifier_input FROM pages")
+@query("SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://')) ELSE url END AS trimmed, split_part(url, '/', -1) AS base_name, url || chr(10) || chr(10) || html AS classifier_input FROM pages")
 def page_paths(spark, sf):
     p = read(spark, sf, "pages")
     return p.select("page_id", F.substring(text.crawl_path(F.replace("url", F.lit("://"), F.lit("crawl-data/"))), 1, 10_000).alias("t"), "url", "html").select(
-        "page_id", F.replace("t", F.lit("crawl-data/"), F.lit("://")).alias("trimmed"), text.base_name(F.col("url")).alias("base_name"), text.classifier_input(F.col("url"), F.substring("html", 1, 20)).alias("classifier_input"))
+        "page_id", F.replace("t", F.lit("crawl-data/"), F.lit("://")).alias("trimmed"), text.base_name(F.col("url")).alias("base_name"), text.classifier_input(F.col("url"), F.col("html")).alias("classifier_input"))
 
 
 @query("SELECT page_id, url || chr(10) || chr(10) || html AS classifier_input FROM pages")
@@ -283,19 +283,19 @@ def cleaned_texts(spark, sf):
     return turns.select("conv_id", "turn", "cleaned", F.transform(text.picked_windows(F.split("cleaned", " "), 16, 3), lambda w: F.array_join(w, " ")).alias("windows"))
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(substr(text, 1, 400), ' ') AS w FROM documents)
-SELECT doc_id, CAST(CASE WHEN len(w) >= 2 THEN (len(w) - 2) // 8 + 1 ELSE 0 END AS BIGINT) AS windows, CAST(CASE WHEN len(w) >= 2 THEN (len(w) - 2) // 8 * 8 ELSE NULL END AS BIGINT) AS last_start FROM t""")
+@query("""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
+SELECT doc_id, CAST(CASE WHEN len(w) >= 2 THEN (len(w) - 2) // 64 + 1 ELSE 0 END AS BIGINT) AS windows, CAST(CASE WHEN len(w) >= 2 THEN (len(w) - 2) // 64 * 64 ELSE NULL END AS BIGINT) AS last_start FROM t""")
 def evaluation_windows(spark, sf):
-    t = read(spark, sf, "documents").select("doc_id", F.split(F.substring("text", 1, 400), " ").alias("w"))
-    found = t.select("doc_id", text.scored_windows(F.col("w"), 8).alias("x"))
+    """Windows of 64 words; ``evaluation_windows_of_texts`` has those of 8."""
+    found = read(spark, sf, "documents").select("doc_id", text.scored_windows(F.split("text", " "), 64).alias("x"))
     n = F.size("x").cast("long")
-    return found.select("doc_id", n.alias("windows"), F.when(n > 0, (n - 1) * 8).alias("last_start"))
+    return found.select("doc_id", n.alias("windows"), F.when(n > 0, (n - 1) * 64).alias("last_start"))
 
 
 @query("""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
 SELECT doc_id, CAST(CASE WHEN len(w) >= 2 THEN (len(w) - 2) // 8 + 1 ELSE 0 END AS BIGINT) AS windows, CAST(CASE WHEN len(w) >= 2 THEN (len(w) - 2) // 8 * 8 ELSE NULL END AS BIGINT) AS last_start FROM t""")
 def evaluation_windows_of_texts(spark, sf):
-    """As ``evaluation_windows``, over whole texts."""
+    """As ``evaluation_windows``, of 8 words."""
     found = read(spark, sf, "documents").select("doc_id", text.scored_windows(F.split("text", " "), 8).alias("x"))
     n = F.size("x").cast("long")
     return found.select("doc_id", n.alias("windows"), F.when(n > 0, (n - 1) * 8).alias("last_start"))

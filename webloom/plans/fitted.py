@@ -58,11 +58,11 @@ def runs_with_losses(spark, sf):
     return _with_losses(spark, ("human", "ai")).select("name", "target", F.round("loss", 9).alias("loss"))
 
 
-@query("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7)")
 def uncovered_runs(spark, sf):
-    """Parts as runs, line items as their losses on the targets of the return flags."""
-    seen = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_returnflag").alias("target"))
-    return runs.uncovered(read(spark, sf, "part").select(F.col("p_partkey").alias("name")), seen, "R")
+    """Parts as runs, line items as their losses on targets of return flag and line number."""
+    seen = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("name"), F.concat_ws("-", "l_returnflag", F.col("l_linenumber").cast("string")).alias("target"))
+    return runs.uncovered(read(spark, sf, "part").select(F.col("p_partkey").alias("name")), seen, "R-7")
 
 
 @query(STUDY + "SELECT grp, min(name) FILTER (WHERE arm = 'control') AS control, min(name) FILTER (WHERE arm = 'human') AS human, round(ln(max(loss) FILTER (WHERE name = grp || '-5') / max(loss) FILTER (WHERE arm = 'control')), 9) AS change FROM l GROUP BY grp")
@@ -160,12 +160,12 @@ def step_tokens(spark, sf):
     return study(spark).select("size", runs.step_tokens(F.col("size")).alias("tokens")).distinct()
 
 
-@query("WITH r AS (SELECT o_orderkey AS name, o_custkey AS grp, CAST(floor(o_totalprice / 1000) AS BIGINT) AS steps, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT r.name, r.steps, c.steps AS control_steps FROM r JOIN r c ON c.grp = r.grp AND c.n = 1 WHERE r.name % 3 = 0")
+@query("WITH r AS (SELECT o_orderkey AS name, o_custkey AS grp, CAST(floor(o_totalprice / 1000) AS BIGINT) AS steps, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT r.name, r.steps, c.steps AS control_steps FROM r JOIN r c ON c.grp = r.grp AND c.n = 1")
 def registered_steps(spark, sf):
     from webloom.plans.studies import runs as orders
 
     registry = orders(spark, sf).select("name", "grp", "arm", F.floor(F.col("amount") / 1000).cast("long").alias("steps"))
-    return runs.run_steps(registry, registry.where("name % 3 = 0").select("name")).select("name", "steps", "control_steps")
+    return runs.run_steps(registry, registry.select("name")).select("name", "steps", "control_steps")
 
 
 @query(ERRORS_SQL + ", g AS (SELECT target, grp, sum(ours * ours) AS a, sum(theirs * theirs) AS b, count(*) AS n FROM e GROUP BY 1, 2) SELECT target, CAST(count(*) AS INT) AS groups, round(sqrt(sum(b) / sum(n)) - sqrt(sum(a) / sum(n)), 9) AS gap, CAST(sum(CASE WHEN a < b THEN 1 ELSE 0 END) AS INT) AS groups_ours_lower FROM g GROUP BY target")

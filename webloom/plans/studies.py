@@ -39,19 +39,21 @@ def chosen_with_controls(spark, sf):
     return relational.control_closure(r, r.where("amount > 300000").select("name"), "name", "grp").select("name", "grp", "arm")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS name, o_orderpriority AS size, o_totalprice AS amount FROM orders WHERE o_orderkey % 50 = 0), b AS (SELECT o_orderkey AS name, o_orderpriority AS size, o_totalprice AS amount FROM orders WHERE o_orderkey % 50 = 1),
+@query("""WITH a AS (SELECT o_orderkey AS name, o_orderpriority AS size, o_totalprice AS amount FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT o_orderkey AS name, o_orderpriority AS size, o_totalprice AS amount FROM orders WHERE o_orderstatus = 'F'),
 p AS (SELECT a.name, b.name AS match_name, abs(ln(b.amount / a.amount)) AS distance FROM a JOIN b USING (size) WHERE abs(ln(b.amount / a.amount)) <= 0.15)
 SELECT name, match_name, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, match_name) AS n FROM p) WHERE n = 1""")
 def nearest_run(spark, sf):
-    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_orderpriority").alias("size"), F.col("o_totalprice").alias("amount"))
-    found = relational.nearest(o.where("name % 50 = 0"), o.where("name % 50 = 1"), ["size"], "amount", "amount", 0.15, "name")
+    """Every run in progress (status P) and the finished one (F) of its size whose amount is nearest."""
+    o = read(spark, sf, "orders")
+    of = lambda status: o.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("name"), F.col("o_orderpriority").alias("size"), F.col("o_totalprice").alias("amount"))
+    found = relational.nearest(of("P"), of("F"), ["size"], "amount", "amount", 0.15, "name")
     return found.select("name", "match_name", F.round("distance", 9).alias("distance"))
 
 
 @query(RUNS_SQL + """, p AS (SELECT a.name, b.name AS match_name, abs(ln(b.amount / a.amount)) AS distance FROM runs a JOIN runs b USING (size) WHERE a.arm = 'ai' AND b.arm = 'human' AND abs(ln(b.amount / a.amount)) <= 0.15)
 SELECT name, match_name, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, match_name) AS n FROM p) WHERE n = 1""")
 def nearest_human_run(spark, sf):
-    """As ``nearest_run``, of every AI run among all human runs of its size."""
+    """As ``nearest_run``, of every AI run among all human runs."""
     r = runs(spark, sf)
     arm = lambda x: r.where(F.col("arm") == x).select("name", "size", "amount")
     found = relational.nearest(arm("ai"), arm("human"), ["size"], "amount", "amount", 0.15, "name")
