@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -164,11 +165,14 @@ def features(text: str, lexicon: Lexicon, window: int = 10) -> np.ndarray:
     return out
 
 
-def context_of(text: str, lexicon: Lexicon, window: int = 10) -> set[str]:
-    """The words around the hits of one text whose words ``lexicon`` has looked up, hits left out."""
+def context_of(text: str, lexicon: Lexicon, close: int = 3) -> dict[str, tuple[int, float]]:
+    """Of the words of one text with hits, whose words ``lexicon`` has looked up: how often they stand close to hits, and how often they would if they were spread over the text evenly; hits left out."""
     plain = WORD.findall(text.lower())
     hits = [i for i, w in enumerate(plain) if w in lexicon.found]
-    return {w for i in hits for w in plain[max(0, i - window) : i + 1 + window] if w not in lexicon.found and len(w) <= LONGEST}
+    at = {j for i in hits for j in range(max(0, i - close), min(len(plain), i + 1 + close)) if plain[j] not in lexicon.found}
+    near = Counter(plain[j] for j in at)
+    every = Counter(w for w in plain if w not in lexicon.found and len(w) <= LONGEST) if hits else {}
+    return {w: (near[w], n * len(at) / (len(plain) - len(hits))) for w, n in every.items()}
 
 
 def all_features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
@@ -237,7 +241,7 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     ``most_terms`` the most frequent in proportion are taken; words of more than ``LONGEST`` letters are none. Equal texts count once. A variant within a
     term's errors is harmless if the labelled texts have it no more often among toxic texts than among others, as far
     as their numbers go. Words of context are learned by the same bound, among the texts with a hit: those near hits of
-    texts that are not toxic lower a hit's weight, those near hits of toxic ones raise it.
+    texts that are not toxic lower a hit's weight, those near hits of toxic ones raise it (see ``_context_words``).
     """
     rows = F.broadcast(training_rows(labels, most))
     sample = written(keyed(df, id_col, text_col).join(rows, "doc_id").groupBy(F.xxhash64("text").alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic")))
@@ -282,24 +286,32 @@ def _improbable(mine: Column, other: Column, share: float) -> Column:
     return F.when(part > share, bound).otherwise(0.0)
 
 
-def _context_words(sample: DataFrame, model: Model, level: float, least_texts: int, most: int = 2_000) -> tuple[list[str], list[str]]:
-    """Words that stand near hits in texts that are not toxic, and in toxic ones, more often than chance would have it; of more than ``most`` the least probable."""
+def _context_words(sample: DataFrame, model: Model, level: float, least_texts: int, enriched: float = 2.0, most: int = 2_000) -> tuple[list[str], list[str]]:
+    """Words that stand close to hits in texts that are not toxic, and in toxic ones, more often than chance would have it; of more than ``most`` the least probable.
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A word of context is ``enriched`` times as frequent close to hits as elsewhere in the same texts. Else the words of a
+    language whose hits are more often toxic than another's would do.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.known()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            known.look(set().union(*(WORD.findall((t or "").lower()) for t in texts)))
-            words = [context_of(t or "", known) for t in texts]
-            rows = [(w, k) for own, k in zip(words, batch.column(1).to_pylist(), strict=True) for w in ("", *own) if own]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.int32())], ["word", "toxic"])
-
-    counts = written(sample.select("text", "toxic").mapInArrow(near, "word string, toxic int").groupBy("word").agg(F.sum("toxic").cast("double").alias("bad"), F.sum(1 - F.col("toxic")).cast("double").alias("good")))
-    every = counts.where("word = ''").first()  # all texts with a hit
-    if every is None or not every["bad"] or not every["good"]:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            known.look(set().union(*(WORD.findall(t.lower()) for t in texts)))
+            rows = []
+            for text, kind in zip(texts, batch.column(1).to_pylist(), strict=True):
+                own = context_of(text, known)
+                rows += [(w, kind, n, expected) for w, (n, expected) in own.items()] + [("", kind, 0, 0.0)] * bool(own)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["word", "toxic", "near", "expected"])
+
+    rows = sample.select("text", "toxic").mapInArrow(counted, "word string, toxic int, near long, expected double")
+    close = (F.col("near") > 0) | (F.col("word") == "")
+    counts = written(rows.groupBy("word").agg(F.sum(F.when(close, F.col("toxic")).otherwise(0)).cast("double").alias("bad"), F.sum(F.when(close, 1 - F.col("toxic")).otherwise(0)).cast("double").alias("good"), F.sum("near").alias("near"), F.sum("expected").alias("expected")))
+    whole = counts.where("word = ''").first()  # all texts with a hit
+    if whole is None or not whole["bad"] or not whole["good"]:
         return [], []
-    share = every["bad"] / (every["bad"] + every["good"])
-    asked = counts.where((F.col("word") != "") & (F.col("bad") + F.col("good") >= least_texts))
+    share = whole["bad"] / (whole["bad"] + whole["good"])
+    asked = counts.where((F.col("word") != "") & (F.col("bad") + F.col("good") >= least_texts) & (F.col("near") >= enriched * F.col("expected")))
     limit = math.log(level / max(1, 2 * asked.count()))
     pick = lambda p: [r["word"] for r in asked.withColumn("p", p).where(F.col("p") <= limit).orderBy("p", "word").limit(most).collect()]
     return pick(_improbable(F.col("good"), F.col("bad"), 1 - share)), pick(_improbable(F.col("bad"), F.col("good"), share))
