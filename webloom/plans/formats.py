@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from webloom.functions import tokens
 from webloom.functions.hashing import rank_hash, training_order
+from webloom.operators import documents
 from webloom.plans.base import KEY, query, read
 from webloom.session import shared_root
 from webloom.sources import tables
@@ -102,3 +104,36 @@ def training_order_keys(spark, sf):
     """Where documents stand in two passes over the data."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring(rank_hash(KEY, "doc_id"), 1, 16).alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("epoch"))
     return docs.select("id", "epoch", training_order("h", 1337, F.col("epoch"), spark).alias("order_key"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, 'crawl-data/CC-' || source || '/warc/' || source || '.warc.gz' AS warc_path, lang, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS token_count, length(text) AS n_chars FROM documents WHERE length(text) >= 500 AND source <> (SELECT max(source) FROM documents)""")
+def materialised_documents(spark, sf):
+    """Documents of 500 characters or more from JSON lines, with the listed paths of their files; one file has none."""
+    docs, path = read(spark, sf, "documents"), _folder(spark, "extracted")
+    tables.write_json_lines(docs.select(F.col("doc_id").alias("id"), "text", "lang", F.concat("source", F.lit(".warc.gz")).alias("file_name")), path)
+    sources = docs.select("source").distinct()
+    last = docs.agg(F.max("source")).first()[0]
+    paths = sources.where(F.col("source") != last).select(F.concat(F.lit("crawl-data/CC-"), "source", F.lit("/warc/"), "source", F.lit(".warc.gz")).alias("warc_path"))
+    extracted = tables.json_lines(spark, path, "id bigint, text string, lang string, file_name string")
+    found = documents.documents_of(extracted, paths, "id string, warc_path string, lang string, token_count bigint, text string", min_chars=500)
+    return found.select("id", "warc_path", "lang", "token_count", F.char_length("text").alias("n_chars"))
+
+
+def _vocabulary() -> str | None:
+    """The file of a public byte-level vocabulary, where this machine has one."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return None
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+if _vocabulary():
+
+    @query()
+    def bpe_token_counts(spark, sf):
+        """Tokens of every document by a byte-level BPE vocabulary."""
+        from webloom.session import ship
+
+        ship(spark)
+        return read(spark, sf, "documents").select("doc_id", tokens.bpe_tokens(F.col("text"), _vocabulary()).alias("tokens"))
