@@ -31,7 +31,7 @@ PLAIN = regex.compile("[\t\n\r\x20-\x7e¡-ȳΑ-ΡΣ-ώА-я‐-‧‰-⁞₠-₵
 class TrieBpe:
     """A byte-level BPE vocabulary and its words' encodings."""
 
-    def __init__(self, path: str, cache_size: int = 250_000, longest: int = 64):
+    def __init__(self, path: str, cache_size: int = 500_000, longest: int = 64):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
