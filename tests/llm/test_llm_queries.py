@@ -153,3 +153,15 @@ def test_join_finds_the_links_of_a_template_family(spark):
     got = {r["doc_id"]: r["class_id"] for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), block=40).collect()}
     assert sum(got[a] == got[b] for a, b in linked) >= 0.99 * len(linked)
     assert all(got[i] == i for i in range(150))
+
+
+def test_quality_rules_against_their_twin_where_rules_are_certified(spark):
+    """At sf0.1, where cutoffs are certified and reject what the base lets pass."""
+    folder = "/root/testdata/sf0.1"
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    found, twin = registry.op6_quality_rules(spark, folder), c.sql(registry.ORACLES["op6_quality_rules"])
+    got = found.collect()
+    assert rows(found.columns, got) == rows(twin.columns, twin.fetchall())
+    assert sum(not r["kept"] and not r["base_failed"] for r in got) > 100
