@@ -9,6 +9,8 @@ from webloom.operators import fits, relational, runs
 from webloom.plans import fitted
 from webloom.plans.studies import C4, OTHER
 
+FOLDER = "/root/testdata/sf0.01"
+
 
 def cohort(law, p, noise=0.0):
     rng = np.random.default_rng(0)
@@ -54,21 +56,21 @@ def test_fits_find_the_law_again():
 
 
 def test_the_bank_does_not_depend_on_how_starts_are_dealt(spark):
-    rows = runs.folds(fitted._with_losses(spark), "size").where("fold in ('all', 'without_10')")
+    rows = runs.folds(fitted._with_losses(spark, FOLDER), "size").where("fold in ('all', 'without_10')")
     a, b = ({(r["law"], r["fold"]): (r["cost"], tuple(r["theta"])) for r in fits.fit_bank(rows, ["chinchilla"], n_starts=4, chunk=k).collect()} for k in (1, 5))
     assert a == b and len(a) == 2
 
 
 def test_missing_losses_are_errors(spark):
     with pytest.raises(Exception, match="no loss"):
-        runs.with_losses(fitted.study(spark), fitted.losses(spark).where("name <> '0-0-0'"), ["human"]).collect()
+        runs.with_losses(fitted.study(spark, FOLDER), fitted.losses(spark, FOLDER).where("name <> '0-0-0'"), ["human"]).collect()
     with pytest.raises(ValueError):
-        runs.with_losses(fitted.study(spark), fitted.losses(spark).unionByName(fitted.losses(spark)), ["human"])
-    assert runs.uncovered(fitted.study(spark), fitted.losses(spark).where("name <> '0-0-0'"), "human").count() == 1
+        runs.with_losses(fitted.study(spark, FOLDER), fitted.losses(spark, FOLDER).unionByName(fitted.losses(spark, FOLDER)), ["human"])
+    assert runs.uncovered(fitted.study(spark, FOLDER), fitted.losses(spark, FOLDER).where("name <> '0-0-0'"), "human").count() == 1
 
 
 def test_flip_is_where_the_median_turns(spark):
-    found = fitted._contrasts(spark).withColumn("study", F.lit("x"))
+    found = fitted._contrasts(spark, FOLDER).withColumn("study", F.lit("x"))
     q = runs.median_flip(found, "study").first()["share"]
     at = {r["share"]: r["median_change"] for r in runs.masking_at(found, (q - 1e-6, q + 1e-6)).collect()}
     assert len(at) == 2 and at[min(at)] > 0 > at[max(at)]

@@ -111,14 +111,14 @@ OTHER = C4 | {
     "log_rn_star": 1.0, "sigma": 0.1, "power": 0.8, "log_transfer": -0.5, "family_power": 0.03, "domain_h_rate": 0.01, "domain_ai_rate": -0.01, "log_mix_h": 3.0, "log_mix_ai": 3.2, "mix_h_power": 0.9, "mix_ai_power": 1.1,
     "log_model_h": -1.5, "log_model_ai": -1.4, "model_mix_power": 1.0, "log_data_h": -0.9, "log_data_ai": -0.7, "data_mix_power": 0.9, "share_tax": 0.03, "size_coupling": 0.1, "log_surrogate_noise": 0.5, "mismatch": 0.03,
 }
-GRID_SQL = "WITH g AS (SELECT (s + 1) * 1e8 AS params, CAST((s + 1) * 1e8 * 20 * (b + 1) AS DOUBLE) AS human, CAST(a AS DOUBLE) / 4 AS ratio FROM range(8) t(s), range(6) u(b), range(9) v(a)), x AS (SELECT params, human, ratio, params / 1e8 AS n, human / 1e9 AS d, ratio AS r, human / (20 * params) AS t FROM g)\n"
+#: Suppliers as models: the balance sets the size, the nation the budget; each with nine ratios of added tokens.
+GRID_SQL = "WITH g AS (SELECT s_suppkey, params, params * 20 * (s_nationkey % 6 + 1) AS human, CAST(a AS DOUBLE) / 4 AS ratio FROM (SELECT s_suppkey, s_nationkey, 1e8 + (CAST(s_acctbal AS DOUBLE) + 1000) * 1e5 AS params FROM supplier), range(9) v(a)), x AS (SELECT params, human, ratio, params / 1e8 AS n, human / 1e9 AS d, ratio AS r, human / (20 * params) AS t FROM g)\n"
 
 
-def grid(spark):
-    """Sizes by budgets by added ratios."""
-    ids = lambda n, name: spark.range(n).withColumnRenamed("id", name)
-    g = ids(8, "s").crossJoin(ids(6, "b")).crossJoin(ids(9, "a"))
-    g = g.select(((F.col("s") + 1) * F.lit(1e8)).alias("params"), ((F.col("s") + 1) * F.lit(1e8) * 20 * (F.col("b") + 1)).alias("human"), (F.col("a") * F.lit(0.25)).alias("ratio"))
+def grid(spark, sf):
+    """Sizes and budgets by added ratios."""
+    models = read(spark, sf, "supplier").select("s_nationkey", (F.lit(1e8) + (F.col("s_acctbal").cast("double") + 1_000) * F.lit(1e5)).alias("params"))
+    g = models.select("params", (F.col("params") * 20 * (F.col("s_nationkey") % 6 + 1)).alias("human"), F.explode(F.array(*[F.lit(a / 4) for a in range(9)])).alias("ratio"))
     return laws.with_coordinates(g.withColumn("added", F.col("human") * F.col("ratio")), "params", "human", "added")
 
 
@@ -128,7 +128,7 @@ def coordinates():
 
 @query(GRID_SQL + "SELECT params, human, ratio, round(0.556 + 0.205 * pow(n, -0.36) + 0.418 * pow(d * (1 + 0.6 * w * (1 - exp(-r / w))), -0.23) * (1 + 0.06 * pow(t, -0.3) * pow(n, -0.1) * (ln(1 + r) - r / (1 + r))), 8) AS loss FROM (SELECT *, 0.31 * pow(t, -0.9) AS w FROM x)")
 def effective_data_law(spark, sf):
-    return grid(spark).select("params", "human", "ratio", F.round(laws.effective_data_law(C4, coordinates()), 8).alias("loss"))
+    return grid(spark, sf).select("params", "human", "ratio", F.round(laws.effective_data_law(C4, coordinates()), 8).alias("loss"))
 
 
 @query(GRID_SQL + """, y AS (SELECT *, d * (1 + r) AS tot, r / (1 + r) AS f, 1 / (1 + r) AS h, 0.556 + 0.205 * pow(n, -0.36) AS m, 1 / (exp(3.0) * pow(1 / (1 + r), 0.9) + exp(3.2) * CASE WHEN r > 0 THEN pow(r / (1 + r), 1.1) ELSE 0 END) AS fl, 0.31 * pow(t, -0.9) * pow(n, 0.1) AS w, least(pow(0.36 * 0.205 / (0.23 * 0.418), 1 / 0.36) * pow(d, 0.23 / 0.36), n) AS un FROM x)
@@ -138,7 +138,7 @@ round((m + 0.418 * pow(tot, -0.23)) * exp(-0.03 * ln(h)), 8) AS he, round(m + 0.
 round(0.556 + (exp(-1.5) * h + exp(-1.4) * f) * pow(n, -0.36) + pow(exp(-0.9) * h + exp(-0.7) * f, 0.9) * pow(tot, -0.23) + fl, 8) AS shukor_joint, round(m + pow(n, 0.1) * 0.418 * pow(d * (1 + exp(-0.5) * r), -0.23) + 0.03 * f, 8) AS sedova, round(m + 0.418 * pow((1 + exp(0.5) * r) / pow(1 + r, 2) / d, 0.23) + 0.03 * f * f, 8) AS jain FROM y""")
 def rival_laws(spark, sf):
     x = coordinates()
-    return grid(spark).select("params", "human", "ratio", *[F.round(law(OTHER, x), 8).alias(name) for name, law in laws.LAWS.items() if name != "effective_data"])
+    return grid(spark, sf).select("params", "human", "ratio", *[F.round(law(OTHER, x), 8).alias(name) for name, law in laws.LAWS.items() if name != "effective_data"])
 
 
 # Credits and harms of the effective-data law in SQL, over n, d, r, t and the window w.
@@ -151,12 +151,12 @@ def law_ablations(spark, sf):
     """Every credit and harm of the effective-data law over the grid."""
     x, p = coordinates(), OTHER | {"lam": -0.4}
     forms = [F.round(laws.effective_data_law(p, x, credit=c, harm=h, on_data=on), 8).alias(f"{c}_{h}_{'data' if on else 'loss'}") for c in ("none", "linear", "exp", "rational", "tanh") for h in ("none", "logshare", "log", "boxcox", "power") for on in (True, False)]
-    return grid(spark).select("params", "human", "ratio", *forms)
+    return grid(spark, sf).select("params", "human", "ratio", *forms)
 
 
 @query(GRID_SQL + ", l AS (SELECT *, 0.556 + 0.205 * pow(n, -0.36) + 0.418 * pow(d * (1 + 0.6 * w * (1 - exp(-r / w))), -0.23) * (1 + 0.06 * pow(t, -0.3) * pow(n, -0.1) * (ln(1 + r) - r / (1 + r))) AS loss FROM (SELECT *, 0.31 * pow(t, -0.9) AS w FROM x)), b AS (SELECT params, human, max(CASE WHEN ratio = 0 THEN loss END) AS control, min(loss) AS best, arg_min(ratio, loss) AS ratio FROM l GROUP BY params, human) SELECT params, human, ratio AS best_ratio, round(greatest(0, 1 - best / control), 8) AS reduction, round(ratio / (1 + ratio), 9) AS best_share FROM b")
 def optimal_ratio(spark, sf):
-    l = grid(spark).withColumn("loss", laws.effective_data_law(C4, coordinates()))  # noqa: E741
+    l = grid(spark, sf).withColumn("loss", laws.effective_data_law(C4, coordinates()))  # noqa: E741
     b = l.groupBy("params", "human").agg(F.max(F.when(F.col("ratio") == 0, F.col("loss"))).alias("control"), F.min("loss").alias("best"), F.min_by("ratio", "loss").alias("ratio"))
     return b.select("params", "human", F.col("ratio").alias("best_ratio"), F.round(F.greatest(F.lit(0.0), 1 - F.col("best") / F.col("control")), 8).alias("reduction"), F.round(F.col("ratio") / (1 + F.col("ratio")), 9).alias("best_share"))
 
@@ -327,6 +327,6 @@ def packed_rows(spark, sf):
 def law_equations(spark, sf):
     """Cost of not filtering, value of added tokens, optimal ratio and equivalent tokens over sizes and budgets."""
     law, n, h = laws.effective_data_law, F.col("params"), F.col("human")
-    rows = grid(spark).where("ratio = 0.5").select("params", "human")
+    rows = grid(spark, sf).where("ratio = 0.5").select("params", "human")
     found = rows.select("params", "human", solve.cost_of_not_filtering(law, C4, n, h, F.lit(mixture.WEB_AI_SHARE)).alias("cost"), solve.token_value(law, C4, n, h, 0.5 * h).alias("value"), solve.optimal_ratio(law, C4, n, h).alias("ratio"), solve.equivalent_tokens(law, C4, n, solve.loss(law, C4, n, h, F.lit(0.0)), 0.2, 5.0, 400.0).alias("same"))
     return found.select("params", "human", *[F.round(c, 6).alias(c) for c in ("cost", "value", "ratio")], F.round("same.tokens", -3).alias("tokens"), F.col("same.status").alias("status"))
