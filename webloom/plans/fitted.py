@@ -206,7 +206,7 @@ def equivalent_token_ladder(spark, sf):
     """Effective share of its tokens that a mix is worth, at the AI share that each supplier's balance stands for, with the human tokens of the smallest run."""
     from webloom.functions import solve
 
-    shares = read(spark, sf, "supplier").select("s_suppkey", F.least(F.lit(0.6), F.abs("s_acctbal") / 20_000).alias("share"))
+    shares = read(spark, sf, "supplier").select("s_suppkey", F.least(F.lit(0.6), F.abs("s_acctbal") / 20_000).alias("share")).repartition(spark.sparkContext.defaultParallelism)
     n, h = F.lit(1e8), F.lit(2e9)
     total = h / (1 - F.col("share"))
     found = shares.withColumn("goal", solve.loss(laws.effective_data_law, C4, n, h, total * F.col("share"))).withColumn("total", total)

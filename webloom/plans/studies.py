@@ -327,6 +327,7 @@ def packed_rows(spark, sf):
 def law_equations(spark, sf):
     """Cost of not filtering, value of added tokens, optimal ratio and equivalent tokens over sizes and budgets."""
     law, n, h = laws.effective_data_law, F.col("params"), F.col("human")
-    rows = grid(spark, sf).where("ratio = 0.5").select("params", "human")
+    # Solving takes long for a row, so few rows are dealt over all cores.
+    rows = grid(spark, sf).where("ratio = 0.5").select("params", "human").repartition(spark.sparkContext.defaultParallelism)
     found = rows.select("params", "human", solve.cost_of_not_filtering(law, C4, n, h, F.lit(mixture.WEB_AI_SHARE)).alias("cost"), solve.token_value(law, C4, n, h, 0.5 * h).alias("value"), solve.optimal_ratio(law, C4, n, h).alias("ratio"), solve.equivalent_tokens(law, C4, n, solve.loss(law, C4, n, h, F.lit(0.0)), 0.2, 5.0, 400.0).alias("same"))
     return found.select("params", "human", *[F.round(c, 6).alias(c) for c in ("cost", "value", "ratio")], F.round("same.tokens", -3).alias("tokens"), F.col("same.status").alias("status"))
