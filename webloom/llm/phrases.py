@@ -127,12 +127,10 @@ def frequent_phrases(coded: DataFrame, n_tokens: int, n_blocks: int, most: int,
             yield one_batch([(k, packed(np.concatenate([number[at[k] : at[k + 1]].T.ravel(), counts[at[k] : at[k + 1]]]))) for k in np.flatnonzero(np.diff(at)).tolist()], "range int, keys binary")
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [unpacked(x).astype(np.int64).reshape(longest + 1, -1) for x in table["keys"].to_pylist()]
-        both = np.concatenate(parts, axis=1)
-        del parts
-        packed_keys = np.ascontiguousarray(both[:-1].T.astype(">u8", order="C").view(np.uint8).reshape(both.shape[1], longest, 8)[:, :, 8 - width :]).reshape(both.shape[1], longest * width)
+        both = np.concatenate([unpacked(x).reshape(longest + 1, -1) for x in table["keys"].to_pylist()], axis=1)
+        packed_keys = np.ascontiguousarray(both[:-1].T.astype(">u4", order="C").view(np.uint8).reshape(both.shape[1], longest, 4)[:, :, 4 - width :]).reshape(both.shape[1], longest * width)
         order = sort_order(packed_keys)
-        packed_keys, words, counts = packed_keys[order], both[:-1].T[order], both[-1][order]
+        packed_keys, words, counts = packed_keys[order], both[:-1].T[order], both[-1].astype(np.int64)[order]
         out: list[list] = [[], [], [], []]
         for k in range(2, longest + 1):
             starts, sums, touches = _prefix_runs(words, counts, k)
@@ -150,7 +148,7 @@ def frequent_phrases(coded: DataFrame, n_tokens: int, n_blocks: int, most: int,
     return written(runs.where("not open").select("key", "words", "n").unionByName(joined)), width
 
 
-def phrases(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, share: int = 100, top: int = 2_000, range_keys: int = 2_000_000) -> DataFrame:
+def phrases(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, share: int = 100, top: int = 2_000, range_keys: int = 1_000_000) -> DataFrame:
     """The first ``top`` phrases of each language by score: lang, rank, phrase, a, l, r, n, score.
 
     ``a`` is how often the phrase occurs, ``l`` and ``r`` how often the parts of its lowest-scoring cut do, ``n`` the
