@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,19 @@ def test_the_bank_does_not_depend_on_how_starts_are_dealt(spark):
     assert a == b and len(a) == 2
 
 
+def test_many_runs_are_fitted_by_passes(spark, monkeypatch):
+    """No task gets a case's runs, and the ends are those of fits within tasks."""
+    n = np.repeat([1e8, 3e8, 9e8], 12)
+    k = np.arange(36)
+    rows = pd.DataFrame({"target": "x", "fold": "all", "name": k, "control": k - k % 6, "parameters": n, "human": n * 20 * (1 + k // 6 % 2), "added": n * 10 * (k % 6)})
+    rows["loss"] = np.exp(fitting.log_losses("effective_data", tuple(C4), np.array(list(C4.values())), laws.Coordinates.of(*(rows[c].to_numpy(float) for c in ("parameters", "human", "added"))), False)[0]) * (1 + 0.001 * np.sin(k))
+    df = spark.createDataFrame(rows)
+    whole = {r["law"]: r["cost"] for r in fits.fit_bank(df, ["chinchilla", "effective_data"], n_starts=1).collect()}
+    monkeypatch.setattr(fits, "_reached_in_tasks", None)
+    by_passes = {r["law"]: r["cost"] for r in fits.fit_bank(df, ["chinchilla", "effective_data"], n_starts=1, local_runs=35).collect()}
+    assert by_passes == pytest.approx(whole, rel=1e-6)
+
+
 def test_missing_losses_are_errors(spark):
     with pytest.raises(Exception, match="no loss"):
         runs.with_losses(fitted.study(spark, FOLDER), fitted.losses(spark, FOLDER).where("name <> '0-0-0'"), ["human"]).collect()
