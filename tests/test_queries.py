@@ -58,3 +58,22 @@ def test_query(spark, duck, name):
         assert rows(found.columns, values) == rows(twin.columns, twin.fetchall())
     else:
         assert values
+
+
+@pytest.mark.parametrize("name", ["pool_statistics_with_duplicates", "window_probabilities"])
+def test_results_do_not_depend_on_how_a_table_is_split(spark, tmp_path, name):
+    """Lines with one number, and sums of doubles, in the order of the table, though several tasks read it."""
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for part in range(4):
+        con.execute(f"COPY (SELECT * FROM (SELECT *, row_number() OVER () AS n FROM '/root/testdata/sf0.01/lineitem.parquet') WHERE n % 4 = {part}) TO '{tmp_path}/lineitem.parquet/part-{part}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 20)
+    try:
+        got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(con.execute(catalog.ORACLES[name]).fetchall(), key=repr)

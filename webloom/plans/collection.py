@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from webloom.functions import text
 from webloom.functions.hashing import rank_hash
 from webloom.operators import budget, crawls, evalsets, measure, pools, relational, release, runs, sidecars, store
-from webloom.plans.base import BASE, KEY, base, query, read
+from webloom.plans.base import BASE, KEY, base, query, read, read_in_order
 from webloom.session import shared_root
 from webloom.sources import row_groups
 
@@ -175,7 +175,8 @@ CANDIDATES = "WITH c AS (SELECT l_orderkey AS id, l_linenumber AS ordinal, CAST(
 
 @query(CANDIDATES + "SELECT pool, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens FROM f GROUP BY pool UNION ALL SELECT '_duplicates', (SELECT count(*) - count(DISTINCT id) FROM c), NULL UNION ALL SELECT '_left_out', (SELECT count(DISTINCT id) FROM c) - (SELECT count(*) FROM f WHERE pool IS NOT NULL), NULL")
 def pool_statistics_with_duplicates(spark, sf):
-    items = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ordinal"), F.col("l_quantity").cast("long").alias("tokens"), F.when(F.col("l_returnflag") == "A", "AI").when(F.col("l_returnflag") == "R", "Human").alias("label"), F.when(F.col("l_orderkey") % 5 == 0, "natural").otherwise("editlens_ai").alias("selection"))
+    """Lines of an order with one number stand in the order of the table."""
+    items = read_in_order(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "__file", "__row").alias("ordinal"), F.col("l_quantity").cast("long").alias("tokens"), F.when(F.col("l_returnflag") == "A", "AI").when(F.col("l_returnflag") == "R", "Human").alias("label"), F.when(F.col("l_orderkey") % 5 == 0, "natural").otherwise("editlens_ai").alias("selection"))
     return pools.pool_stats_of(items)
 
 
