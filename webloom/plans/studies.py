@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from webloom.functions import laws, solve
 from webloom.functions.hashing import rank_hash
 from webloom.operators import budget, measure, mixture, relational
-from webloom.plans.base import BASE, KEY, base, query, read
+from webloom.plans.base import BASE, KEY, base, query, read, read_in_order
 
 RUNS_SQL = """WITH r AS (SELECT o_orderkey AS name, o_custkey AS grp, CAST(o_totalprice AS DOUBLE) AS amount, o_orderpriority AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 runs AS (SELECT name, grp, amount, size, CASE WHEN n = 1 THEN 'control' WHEN n % 2 = 0 THEN 'ai' ELSE 'human' END AS arm FROM r)
@@ -203,9 +203,15 @@ def centred_accuracy(spark, sf):
 
 @query("WITH w AS (SELECT l_orderkey AS id, avg(l_discount) AS p0, avg(l_tax) AS p1, avg(l_quantity / 500) AS p2 FROM lineitem GROUP BY 1) SELECT id, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS bucket, round((p1 + 2 * p2) / 2, 9) AS score FROM w")
 def window_probabilities(spark, sf):
-    items = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.array("l_discount", "l_tax", F.col("l_quantity") / 500).alias("probs"))
-    mean = items.select("id", F.posexplode("probs").alias("i", "p")).groupBy("id", "i").agg(F.avg("p").alias("p"))
-    return mean.groupBy("id").agg(F.max_by("i", F.struct("p", -F.col("i"))).alias("bucket"), F.round(F.sum(F.col("i") * F.col("p")) / 2, 9).alias("score"))
+    """Means of an id's windows, summed in the order of the table: which of two equal means is larger depends on the order."""
+    probs = {"p0": F.col("l_discount"), "p1": F.col("l_tax"), "p2": F.col("l_quantity") / 500}
+    items = read_in_order(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "__file", "__row", *[p.alias(c) for c, p in probs.items()])
+    ordered = Window.partitionBy("id").orderBy("__file", "__row")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = items.select("id", F.lead("__row").over(ordered).isNull().alias("last"), *[(F.sum(c).over(so_far) / F.count(c).over(so_far)).alias(c) for c in probs])
+    p0, p1, p2 = map(F.col, probs)
+    bucket = F.when((p0 >= p1) & (p0 >= p2), 0).when(p1 >= p2, 1).otherwise(2)
+    return running.where("last").select("id", bucket.alias("bucket"), F.round((p1 + 2 * p2) / 2, 9).alias("score"))
 
 
 @query("WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) / 400000 AS share FROM orders GROUP BY 1) SELECT month, 'observed' AS kind, round(share, 9) AS share FROM m WHERE month >= '1996-01'")
