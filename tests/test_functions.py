@@ -103,3 +103,17 @@ def test_equations_solve_the_law(spark):
         assert 1 < r["cost"] < 10 and abs(r["gap"]) < 1e-9 and r["best"] <= r["tried"] + 1e-12
         assert r["same"]["status"] == "ok" and math.isclose(r["same"]["tokens"], r["h"], rel_tol=1e-6)
     assert df.select(solve.critical_share(F.lit(0.3), F.lit(-0.1)).alias("q")).first()["q"] == 0.3 / 0.4
+
+
+def test_equations_are_not_solved_inside_expressions(spark):
+    """A row's grids are evaluated once, over arrays; folds in expressions evaluated them again wherever they were named."""
+    from webloom.functions import laws, solve
+    from webloom.plans.studies import C4
+
+    law, n, h = laws.effective_data_law, F.col("n"), F.col("h")
+    df = spark.createDataFrame([(1e8, 2e9), (3e8, 6e9)], "n double, h double")
+    same = solve.equivalent_tokens(law, C4, n, solve.loss(law, C4, n, h, F.lit(0.0)), 0.0, 5.0, 400.0)
+    found = df.select("h", same.alias("same"), solve.optimal_ratio(law, C4, n, h).alias("ratio"))
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        assert r["same"]["status"] == "ok" and abs(r["same"]["tokens"] / r["h"] - 1) < 1e-9 and 0 <= r["ratio"] <= 64

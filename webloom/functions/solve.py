@@ -1,45 +1,63 @@
-"""Equations over laws, solved row by row inside expressions: bisection and golden search as folds over a fixed number of steps."""
+"""Equations over laws, solved over arrays of rows: grids, bisection and golden search in a fixed number of steps.
+
+Every place of a grid is evaluated once a row, for some hundred rows at once.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions.laws import Coefficients, Coordinates
+from webloom.session import ship
 
 Law = Callable[[Coefficients, Coordinates], Column]
+#: Rows whose grids are held at once.
+ROWS = 64
 
 
 def loss(law: Law, p: Coefficients, parameters: Column, human: Column, added: Column) -> Column:
     return law(p, Coordinates.of(parameters, human, added))
 
 
-def bisect(f: Callable[[Column], Column], low: Column, high: Column, steps: int = 80) -> Column:
-    """A place between ``low`` and ``high`` where ``f`` changes sign; it has to have other signs at the two."""
+def _by_rows(solve: Callable[..., tuple[np.ndarray, ...]], kind: str, *columns: Column) -> Column:
+    """``solve`` over the columns' values, arrays of up to ``ROWS`` by 1, as a column of ``kind``: a number, or a struct of what it returns."""
+    ship(SparkSession.getActiveSession())
+
+    @F.pandas_udf(kind)
+    def solved(values: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in values:
+            arrays = [v.to_numpy(float)[:, None] for v in batch]
+            with np.errstate(all="ignore"):
+                parts = [solve(*(v[i : i + ROWS] for v in arrays)) for i in range(0, len(arrays[0]), ROWS)]
+            found = [np.concatenate([np.ravel(p[k]) for p in parts]) for k in range(len(parts[0]))] if parts else []
+            yield pd.DataFrame(dict(zip(("tokens", "status"), found, strict=True))) if kind != "double" else pd.Series(found[0] if found else [], dtype=float)
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = (s["low"] + s["high"]) / 2
-        left = F.signum(f(s["low"])) * F.signum(f(middle)) <= 0
-        return F.struct(F.when(left, s["low"]).otherwise(middle).alias("low"), F.when(left, middle).otherwise(s["high"]).alias("high"))
+    return solved(*[c.cast("double") for c in columns])
 
-    start = F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
+
+def bisect(f: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, steps: int = 80) -> np.ndarray:
+    """A place between ``low`` and ``high`` where ``f`` changes sign; it has to have other signs at the two."""
+    for _ in range(steps):
+        middle = (low + high) / 2
+        left = np.sign(f(low)) * np.sign(f(middle)) <= 0
+        low, high = np.where(left, low, middle), np.where(left, middle, high)
+    return (low + high) / 2
 
 
-def least_at(f: Callable[[Column], Column], low: Column, high: Column, steps: int = 60) -> Column:
+def least_at(f: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, steps: int = 60) -> np.ndarray:
     """Where ``f``, of one minimum in between, is least, by golden-section search."""
     golden = (math.sqrt(5) - 1) / 2
-
-    def narrow(s: Column, _: Column) -> Column:
-        a, b = s["high"] - golden * (s["high"] - s["low"]), s["low"] + golden * (s["high"] - s["low"])
+    for _ in range(steps):
+        a, b = high - golden * (high - low), low + golden * (high - low)
         left = f(a) <= f(b)
-        return F.struct(F.when(left, s["low"]).otherwise(a).alias("low"), F.when(left, b).otherwise(s["high"]).alias("high"))
-
-    start = F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, narrow, lambda s: (s["low"] + s["high"]) / 2)
+        low, high = np.where(left, low, a), np.where(left, b, high)
+    return (low + high) / 2
 
 
 def cost_of_not_filtering(law: Law, p: Coefficients, parameters: Column, human: Column, share: Column, least: float = 0.05, most: float = 200.0, points: int = 400) -> Column:
@@ -47,12 +65,18 @@ def cost_of_not_filtering(law: Law, p: Coefficients, parameters: Column, human:
 
     The first place of a logarithmic grid that reaches the loss is refined by bisection.
     """
-    goal = loss(law, p, parameters, human, F.lit(0.0))
-    over = lambda z: loss(law, p, parameters, (1 - share) * human * F.exp(z), share * human * F.exp(z)) - goal
     low, step = math.log(least), math.log(most / least) / (points - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * F.lit(step))
-    first = F.get(F.filter(grid, lambda z: over(z) <= 0), 0)
-    return F.when(first.isNull(), F.lit(float("inf"))).when(first <= low, F.lit(least)).otherwise(F.exp(bisect(over, first - step, first)))
+
+    def solved(n, h, s):
+        goal = loss(law, p, n, h, 0.0 * h)
+        over = lambda z: loss(law, p, n, (1 - s) * h * np.exp(z), s * h * np.exp(z)) - goal
+        grid = low + np.arange(points) * step
+        reached = over(grid[None]) <= 0
+        first = grid[reached.argmax(axis=1)][:, None]
+        fine = np.where(first <= low, least, np.exp(bisect(over, first - step, first)))
+        return (np.where(reached.any(axis=1)[:, None], fine, np.inf),)
+
+    return _by_rows(solved, "double", parameters, human, share)
 
 
 def token_value(law: Law, p: Coefficients, parameters: Column, human: Column, added: Column) -> Column:
@@ -64,12 +88,17 @@ def token_value(law: Law, p: Coefficients, parameters: Column, human: Column, ad
 def optimal_ratio(law: Law, p: Coefficients, parameters: Column, human: Column, most: float = 64.0, points: int = 700) -> Column:
     """The added ratio of least loss between 0 and ``most``: the best of 0 and a logarithmic grid, refined between its neighbours."""
     step = math.log(most / 1e-3) / (points - 1)
-    at = lambda r: loss(law, p, parameters, human, human * r)
-    grid = F.concat(F.array(F.lit(0.0)), F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(1e-3) * F.exp(i * F.lit(step))))
-    best = F.array_min(F.transform(grid, lambda r: F.struct(at(r).alias("loss"), r.alias("ratio"))))["ratio"]
-    low, high = F.when(best <= 1e-3, 0.0).otherwise(best * math.exp(-step)), F.when(best == 0, 1e-3).otherwise(F.least(F.lit(most), best * math.exp(step)))
-    fine = least_at(at, low, high)
-    return F.when(at(fine) <= at(best), fine).otherwise(best)
+
+    def solved(n, h):
+        at = lambda r: loss(law, p, n, h, h * r)
+        grid = np.concatenate([[0.0], 1e-3 * np.exp(np.arange(points) * step)])
+        values = at(grid[None])
+        best = grid[np.where(np.isnan(values), np.inf, values).argmin(axis=1)][:, None]
+        low, high = np.where(best <= 1e-3, 0.0, best * math.exp(-step)), np.where(best == 0, 1e-3, np.minimum(most, best * math.exp(step)))
+        fine = least_at(at, low, high)
+        return (np.where(at(fine) <= at(best), fine, best),)
+
+    return _by_rows(solved, "double", parameters, human)
 
 
 def equivalent_tokens(law: Law, p: Coefficients, parameters: Column, goal: Column, share: float, low_tpp: float, high_tpp: float, points: int = 1024) -> Column:
@@ -77,14 +106,21 @@ def equivalent_tokens(law: Law, p: Coefficients, parameters: Column, goal: Colum
 
     status is ok, multiple_crossings, below_range (the loss is lower than any there) or above_range.
     """
-    low, step = F.log(parameters * low_tpp / (1 - share)), math.log(high_tpp / low_tpp) / points
-    over = lambda z: loss(law, p, parameters, (1 - share) * F.exp(z), share * F.exp(z)) - goal
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: low + i * F.lit(step))
-    crossings = F.filter(F.slice(grid, 1, points), lambda z: ((over(z) > 0) & (over(z + step) <= 0)) | ((over(z) < 0) & (over(z + step) >= 0)))
-    lowest = F.array_min(F.transform(grid, over))
-    n = F.size(crossings)
-    status = F.when(n > 1, "multiple_crossings").when(n == 1, "ok").when(lowest > 0, "below_range").otherwise("above_range")
-    return F.struct(F.when(n == 1, F.exp(bisect(over, F.get(crossings, 0), F.get(crossings, 0) + step))).alias("tokens"), status.alias("status"))
+    step = math.log(high_tpp / low_tpp) / points
+
+    def solved(n, goal):
+        over = lambda z: loss(law, p, n, (1 - share) * np.exp(z), share * np.exp(z)) - goal
+        grid = np.log(n * low_tpp / (1 - share)) + np.arange(points + 1) * step
+        values = over(grid)
+        here, after = values[:, :-1], values[:, 1:]
+        crossed = ((here > 0) & (after <= 0)) | ((here < 0) & (after >= 0))
+        times = crossed.sum(axis=1)
+        first = np.take_along_axis(grid, crossed.argmax(axis=1)[:, None], axis=1)
+        tokens = np.exp(bisect(over, first, first + step))[:, 0]
+        status = np.select([times > 1, times == 1, values.min(axis=1) > 0], ["multiple_crossings", "ok", "below_range"], "above_range").astype(object)
+        return np.where(times == 1, tokens, None), status
+
+    return _by_rows(solved, "tokens double, status string", parameters, goal)
 
 
 def compute_equivalent_gain(law: Law, p: Coefficients, parameters: Column, goal: Column, tokens: Column, share: float, low_tpp: float, high_tpp: float, points: int = 1024) -> Column:
