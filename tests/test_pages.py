@@ -111,3 +111,16 @@ def test_given_pages_lose_their_frame(spark):
         assert nav and not set(nav) & set(r["text"].split("\n"))
         longest = max((b for b in pages.page_blocks(r["html"]) if not b.links), key=lambda b: b.words)
         assert longest.text in r["text"]
+
+
+def test_packs_of_records_are_bounded(spark):
+    """Large pages of one batch go into several packs, and all come back."""
+    from pyspark.sql import functions as F
+
+    from webloom.sources import warc
+
+    pages = spark.range(0, 40, 1, 1).select(F.concat(F.lit("u"), "id").alias("url"), F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(2_000)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256))).alias("html"))
+    packs = warc.packed_records(pages)
+    assert packs.agg(F.max(F.octet_length("warc"))).first()[0] < 2 << 20 and packs.count() > 1
+    got = warc.warc_pages(warc.unpacked_records(packs)).select("url", F.md5(F.col("html").cast("binary")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pages.select("url", F.md5(F.col("html").cast("binary"))).collect()))
